@@ -6,7 +6,7 @@ import importlib
 
 from wayframe.catalog.registry import REGISTRY, Query
 
-_PARTS = ("labelling",)
+_PARTS = ("labelling", "rl")
 
 
 def load() -> dict[str, Query]:
