@@ -38,7 +38,7 @@ actors AS (SELECT l_orderkey AS tick, l_linenumber AS line, l_partkey AS part, l
   CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
   CASE l_linenumber % 4 WHEN 0 THEN 'vehicle.tesla.model3' WHEN 1 THEN 'walker.pedestrian.0001'
        WHEN 2 THEN 'vehicle.diamondback.bike' ELSE 'traffic.sign' END AS type_name,
-  CAST(l_partkey % 121 - 60 AS DOUBLE) AS dx, CAST(l_suppkey % 81 - 40 AS DOUBLE) AS dy,
+  CAST(l_partkey % 121 - 10 AS DOUBLE) AS x_w, CAST(l_suppkey % 81 AS DOUBLE) AS y_w,
   CAST(l_partkey % 360 AS DOUBLE) AS yaw_w, l_quantity / 5e0 - 5e0 AS vx_w, l_discount * 5e1 AS vy_w,
   l_suppkey % 5 / 4e0 + 1e0 AS extent_x, l_suppkey % 3 / 4e0 + 5e-1 AS extent_y FROM lineitem)"""
 
@@ -116,3 +116,19 @@ def normal(key: str, seed: int = 0) -> str:
 
 def r6(expr: str, name: str, digits: int = 6) -> str:
     return f"round({expr}, {digits}) + 0e0 AS {name}"
+
+
+# Actors within 40 m of the vehicle, with their features in its axes.
+NEARBY = EGOS + "," + ACTORS + """,
+near AS (SELECT a.*, ego_x, ego_y, ego_yaw, radians(ego_yaw) AS er FROM actors a JOIN egos g ON a.tick = g.tick
+         WHERE (x_w - ego_x) * (x_w - ego_x) + (y_w - ego_y) * (y_w - ego_y) <= 1600)"""
+
+TOKENS = NEARBY + """,
+tk0 AS (SELECT *, CASE WHEN starts_with(type_name, 'walker.') THEN 1
+    WHEN contains(type_name, 'bike') OR contains(type_name, 'bicycle') OR contains(type_name, 'motorcycle') THEN 2 ELSE 0 END AS type_id,
+    (x_w - ego_x) * cos(er) + (y_w - ego_y) * sin(er) AS x_ego, (y_w - ego_y) * cos(er) - (x_w - ego_x) * sin(er) AS y_ego,
+    vx_w * cos(er) + vy_w * sin(er) AS vx, vy_w * cos(er) - vx_w * sin(er) AS vy,
+    radians(yaw_w) - er AS dyaw, 2 * extent_x AS length, 2 * extent_y AS width
+    FROM near WHERE starts_with(type_name, 'vehicle.') OR starts_with(type_name, 'walker.')),
+tokens AS (SELECT *, CASE WHEN dyaw > pi() THEN dyaw - 2 * pi() WHEN dyaw < -pi() THEN dyaw + 2 * pi() ELSE dyaw END AS yaw,
+    CASE WHEN vx < -1 THEN 1 ELSE 0 END AS oncoming_flag, CASE WHEN type_id = 0 THEN 1 ELSE 0 END AS priority_flag FROM tk0)"""

@@ -114,8 +114,8 @@ def actors(spark: SparkSession, sf_dir: str) -> DataFrame:
         supp.alias("supp"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
         name.alias("type_name"),
-        (part % 121 - 60).cast("double").alias("dx"),
-        (supp % 81 - 40).cast("double").alias("dy"),
+        (part % 121 - 10).cast("double").alias("x_w"),
+        (supp % 81).cast("double").alias("y_w"),
         (part % 360).cast("double").alias("yaw_w"),
         (F.col("l_quantity") / 5.0 - 5.0).alias("vx_w"),
         (F.col("l_discount") * 50.0).alias("vy_w"),

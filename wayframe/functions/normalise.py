@@ -101,7 +101,8 @@ def route_mask(route) -> Column:
 
 def pad_to(arr, n: int, zero: Column) -> Column:
     """Cut or fill an array to ``n`` elements."""
-    a = F.slice(F.coalesce(_c(arr), F.array().cast("array<double>") if zero is None else F.slice(F.array(zero), 1, 0)), 1, n)
+    empty = F.array_repeat(zero, 0)
+    a = F.slice(F.coalesce(_c(arr), empty), 1, n)
     return F.concat(a, F.array_repeat(zero, F.lit(n) - F.size(a)))
 
 
