@@ -45,6 +45,10 @@ def speed3(vx, vy, vz) -> Column:
     return F.sqrt(vx * vx + vy * vy + vz * vz)
 
 
+def goal_distance(x, y, goal_x, goal_y) -> Column:
+    return F.hypot(_c(goal_x) - _c(x), _c(goal_y) - _c(y))
+
+
 def path_curvature(yaw_rate, speed) -> Column:
     return _c(yaw_rate) / F.greatest(_c(speed), F.lit(0.5))
 
