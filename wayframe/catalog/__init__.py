@@ -6,7 +6,7 @@ import importlib
 
 from wayframe.catalog.registry import REGISTRY, Query
 
-_PARTS = ("labelling", "rl", "objects", "expressions")
+_PARTS = ("labelling", "rl", "objects", "expressions", "dataset", "rasters")
 
 
 def load() -> dict[str, Query]:
