@@ -6,7 +6,7 @@ import importlib
 
 from wayframe.catalog.registry import REGISTRY, Query
 
-_PARTS = ("labelling", "rl", "objects", "expressions", "dataset", "rasters", "audits")
+_PARTS = ("labelling", "rl", "objects", "expressions", "dataset", "rasters", "audits", "storage", "streams")
 
 
 def load() -> dict[str, Query]:

@@ -49,7 +49,8 @@ def frames(spark: SparkSession, sf_dir: str, irregular: bool = False) -> DataFra
         .when(kind == 3, -ten)
         .otherwise(ten)
     )
-    t_us = F.unix_micros(F.col("ts").cast("timestamp")) if irregular else n * 100_000
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    t_us = micros if irregular else n * 100_000
     command = F.when(F.col("event_type") == "click", 1)
     for name, code in (("view", 2), ("purchase", 3), ("error", 4)):
         command = command.when(F.col("event_type") == name, code)
