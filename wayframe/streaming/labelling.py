@@ -91,10 +91,12 @@ def stream_future_labels(
     prepare(stream.sparkSession)
     base = F.lit(True) if tail is None else ~F.col(tail)
     keys = list(keys)
+    # The first watermark is time 0, and a tick at it would count as late: clocks start one second later.
+    now = F.col(clock or "t_us").cast("bigint") + 1_000_000
     ticks = stream.select(
         *keys,
-        F.timestamp_micros(clock or "t_us").alias("event_time"),
-        F.col(clock or "t_us").cast("bigint").alias("clock_us"),
+        F.timestamp_micros(now).alias("event_time"),
+        now.alias("clock_us"),
         F.col("frame_id").cast("bigint").alias("frame_id"),
         F.col("t_us").cast("bigint").alias("t_us"),
         *[F.col(c).cast("double").alias(c) for c in ("x_m", "y_m", "speed_mps")],
