@@ -108,7 +108,7 @@ def _(spark, sf):
     f"WITH {ROUTE_CELLS}, s AS ({stamped('centres', '3', 'route_id')}) SELECT route_id, 0 AS channel, {CHECK} FROM s GROUP BY 1",
 )
 def _(spark, sf):
-    raw = routes(spark, sf).select(
+    raw = R.spread(routes(spark, sf)).select(
         "route_id", F.lit(0).alias("channel"), F.explode(R.draw_polyline("points", 4, GRID)).alias("cell"), F.lit(1.0).alias("value")
     )
     return checks(R.merge_cells(raw, ["route_id"], GRID), ["route_id"])

@@ -79,6 +79,8 @@ def future_samples(
         ).alias("_looking"),
     )
 
+    payload = [c for c in df.columns if c not in keys]
+
     # Copy a row into an earlier bucket if fewer than n samples lie between that bucket's reach and the row.
     in_bucket = W.partitionBy(*keys, SEG).orderBy(time, order)
     rows = base.join(stats, [*keys, SEG]).withColumn("_nth_before", F.lag(time, n).over(in_bucket))
@@ -94,45 +96,40 @@ def future_samples(
         .drop("_place", "_looking", "_nth_before")
     )
 
-    # Rows of the bucket before each target = position of the first sample at or after it.
+    # Rows of the bucket before each target = position of the first sample at or after it; the position
+    # taken for target k is the largest of those for the targets up to k, each moved on to step k.
     by_time = W.partitionBy(*keys, SEG).orderBy(time)
     firsts = [
-        F.count(F.lit(1)).over(by_time.rangeBetween(W.unboundedPreceding, k * step_us - 1)) - k
+        (F.count(F.lit(1)).over(by_time.rangeBetween(W.unboundedPreceding, k * step_us - 1)) - k).cast("int")
         for k in range(1, n + 1)
     ]
-    ranked = placed.withColumn("_firsts", F.array(*firsts))
-    pos = F.row_number().over(in_bucket)
-    ranked = ranked.withColumn("_pos", pos)
+    ranked = placed.select(
+        *keys, SEG, "_own", "_end", *payload, *[c.alias(f"_f{k}") for k, c in enumerate(firsts, 1)],
+        F.row_number().over(in_bucket).alias("_pos"),
+    )
+    taken = [F.col("_f1") + 1]
+    taken += [F.greatest(*[F.col(f"_f{j}") for j in range(1, k + 1)]) + k for k in range(2, n + 1)]
+    is_base = F.col("_own") & (~F.col(tail) if tail else F.lit(True))
+    at = F.when(is_base & (F.col("_end") >= F.col(time) + horizon), F.array(*taken))
 
-    # Gather: the bucket's samples as one sorted array, each base row looks its samples up by position.
-    payload = [c for c in df.columns if c not in keys]
+    # Gather: the bucket's samples as one sorted array, in which each base row looks its samples up by position.
+    sample = F.struct("_pos", F.col(time).alias("t_us"), *[F.col(v) for v in values])
     grouped = ranked.groupBy(*keys, SEG).agg(
-        F.sort_array(F.collect_list(F.struct("_pos", F.col(time).alias("t_us"), *[F.col(v) for v in values]))).alias("_all"),
-        F.collect_list(
-            F.when(F.col("_own") & (~F.col(tail) if tail else F.lit(True)), F.struct(*payload, "_firsts", "_end"))
-        ).alias("_bases"),
+        F.sort_array(F.collect_list(sample)).alias("_all"),
+        F.collect_list(F.when(is_base, F.struct(*payload, at.alias("_at")))).alias("_bases"),
     )
-    labelled = F.transform(
-        "_bases",
-        lambda b: F.struct(
-            *[b[c].alias(c) for c in payload],
-            _pick(F.col("_all"), b["_firsts"], b["_end"] >= b[time] + horizon, n, values).alias("samples"),
-        ),
-    )
-    return grouped.select(*keys, F.inline(labelled)).select(*df.columns, "samples")
 
+    def lookup(a: Column, i: Column) -> Column:
+        s = F.get(F.col("_all"), a)
+        return F.struct((i + 1).alias("i"), s["t_us"].alias("t_us"), *[s[v].alias(v) for v in values])
 
-def _pick(everything: Column, firsts: Column, covered: Column, n: int, values: Sequence[str]) -> Column:
-    def one(k: Column) -> Column:
-        at = F.array_max(F.slice(firsts, F.lit(1), k)) + k
-        s = F.get(everything, at.cast("int"))
-        return F.when(
-            s.isNotNull(),
-            F.struct(k.cast("int").alias("i"), s["t_us"].alias("t_us"), *[s[v].alias(v) for v in values]),
-        )
+    def found(b: Column) -> Column:
+        whole = F.transform(b["_at"], lookup)
+        cut = F.transform(F.filter(b["_at"], lambda a: a < F.size("_all")), lookup)
+        return F.when(F.element_at(b["_at"], -1) < F.size("_all"), whole).otherwise(cut)
 
-    picked = F.transform(F.sequence(F.lit(1), F.lit(n)), one)
-    return F.when(covered, F.array_compact(picked))
+    labelled = F.transform("_bases", lambda b: F.struct(*[b[c].alias(c) for c in payload], found(b).alias("samples")))
+    return grouped.select(*keys, F.inline(labelled)).select(*df.columns, "samples")
 
 
 def future_waypoints(df: DataFrame) -> DataFrame:

@@ -69,36 +69,36 @@ def stamp(row, col, radius: int, grid: Grid) -> Column:
     )
 
 
-def _widen(cells: Column, radius: int, grid: Grid) -> Column:
-    """Squares around all cells: first along rows, then along columns, without repeats."""
-    if radius <= 0:
-        return cells
-    w = grid.width
-    tall = F.array_distinct(
-        F.flatten(
-            F.transform(
-                cells,
-                lambda c: F.transform(_span(F.floor(c / w).cast("int"), radius, grid.height), lambda r: r * w + c % w),
-            )
-        )
-    )
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                tall, lambda c: F.transform(_span(c % w, radius, w), lambda k: c - c % w + k)
-            )
-        )
-    )
+def _stretch(codes: Column, radius: int, size: int) -> Column:
+    """Widen cells along the minor axis of their codes (``major * size + minor``), without repeats.
 
+    The codes are sorted, so each cell only adds what the one before it on the
+    same line has not covered: the work is that of the result.
+    """
+    s = F.sort_array(codes)
+    before = F.concat(F.array(F.lit(-1)), F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))))
 
-def draw_polyline(points, thickness: int, grid: Grid) -> Column:
-    """Cells of a polyline given as ``array<struct<x, y>>``; no cell twice.
+    def added(c: Column, p: Column) -> Column:
+        line = c - c % size
+        lo = F.greatest(F.greatest(c - radius, line), F.when(p >= line, p + radius + 1).otherwise(line))
+        hi = F.least(c + radius, line + (size - 1))
+        return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
 
-    Each segment is walked in unit steps of its longer side; only steps on the
-    grid are stamped.  A single point is stamped as it is.
+    return F.flatten(F.zip_with(s, F.slice(before, F.lit(1), F.size(s)), added))
+
+
+def _swap(codes: Column, size: int, other: int) -> Column:
+    """Codes ``major * size + minor`` with the axes exchanged; ``other`` is the major axis' size."""
+    return F.transform(codes, lambda c: (c % size) * other + F.floor(c / size).cast("int"))
+
+
+def polyline_centres(points, grid: Grid) -> Column:
+    """Cells a polyline ``array<struct<x, y>>`` passes through, each once.
+
+    Each segment is walked in unit steps of its longer side; steps off the grid
+    are left out.
     """
     pts = _c(points)
-    radius = max(0, thickness - 1)
     h, w = grid.height, grid.width
 
     def cell(p: Column) -> Column:
@@ -124,11 +124,39 @@ def draw_polyline(points, thickness: int, grid: Grid) -> Column:
         )
 
     cells = F.transform(pts, cell)
-    n = F.size(pts)
-    k = F.greatest(n - 1, F.lit(0))
-    centres = F.array_distinct(F.flatten(F.zip_with(F.slice(cells, F.lit(1), k), F.slice(cells, F.lit(2), k), walk)))
-    alone = F.flatten(F.transform(F.slice(cells, 1, 1), lambda p: stamp(p["r"], p["c"], radius, grid)))
-    return F.when(n < 2, alone).otherwise(_widen(centres, radius, grid))
+    k = F.greatest(F.size(pts) - 1, F.lit(0))
+    return F.array_distinct(F.flatten(F.zip_with(F.slice(cells, F.lit(1), k), F.slice(cells, F.lit(2), k), walk)))
+
+
+def thicken(points, centres, thickness: int, grid: Grid) -> Column:
+    """Cells of the stamped polyline, from :func:`polyline_centres`; a single point is stamped as it is."""
+    pts, centres = _c(points), _c(centres)
+    radius = max(0, thickness - 1)
+
+    def alone(p: Column) -> Column:
+        return stamp(*xy_to_cell(p["x"], p["y"], grid), radius, grid)
+
+    drawn = centres
+    if radius:
+        tall = _stretch(_swap(centres, grid.width, grid.height), radius, grid.height)
+        drawn = _stretch(_swap(tall, grid.height, grid.width), radius, grid.width)
+    return F.when(F.size(pts) < 2, F.flatten(F.transform(F.slice(pts, 1, 1), alone))).otherwise(drawn)
+
+
+def draw_polyline(points, thickness: int, grid: Grid) -> Column:
+    """Cells of a polyline given as ``array<struct<x, y>>``, stamped with squares; no cell twice."""
+    return thicken(points, polyline_centres(points, grid), thickness, grid)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out evenly before drawing.
+
+    One input row becomes thousands of cells, so input partitions sized by bytes
+    are far too big.  The number is stated (the session's shuffle partitions),
+    or adaptive execution would merge them again; dealing by row keeps a frame
+    with very many lines from filling one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _layers(df: DataFrame, keys: Sequence[str], *layers: tuple[Column | int, Column, Column | float]) -> DataFrame:
@@ -154,10 +182,11 @@ def lane_layers(segments: DataFrame, keys: Sequence[str], grid: Grid = Grid()) -
 
     Reads ``kind`` (only 0 is drawn), ``coords_x``, ``coords_y`` and ``speed_limit``.
     """
-    lines = segments.where((F.col("kind") == 0) & (F.size("coords_x") > 0) & (F.size("coords_x") == F.size("coords_y")))
+    lines = spread(segments).where((F.col("kind") == 0) & (F.size("coords_x") > 0) & (F.size("coords_x") == F.size("coords_y")))
     lines = lines.withColumn(
         "_p", F.zip_with("coords_x", "coords_y", lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
     )
+    lines = lines.withColumn("_c", polyline_centres("_p", grid))
     half = grid.lane_width * 0.5
     k = F.greatest(F.size("_p") - 1, F.lit(0))
 
@@ -176,12 +205,16 @@ def lane_layers(segments: DataFrame, keys: Sequence[str], grid: Grid = Grid()) -
         return F.array_distinct(F.flatten(pairs))
 
     limit = F.coalesce(F.col("speed_limit").cast("double"), F.lit(0.0))
-    zone = F.when(limit > 0.0, draw_polyline("_p", grid.pixels(grid.corridor_width * 0.5), grid))
+
+    def band(meters: float) -> Column:
+        return thicken("_p", "_c", grid.pixels(meters), grid)
+
+    zone = F.when(limit > 0.0, band(grid.corridor_width * 0.5))
     return _layers(
         lines,
         keys,
-        (CH["lane_centre"], draw_polyline("_p", grid.pixels(grid.centre_thickness), grid), 1.0),
-        (CH["drivable"], draw_polyline("_p", grid.pixels(grid.drivable_thickness), grid), 1.0),
+        (CH["lane_centre"], band(grid.centre_thickness), 1.0),
+        (CH["drivable"], band(grid.drivable_thickness), 1.0),
         (CH["lane_left"], boundary(1.0), 1.0),
         (CH["lane_right"], boundary(-1.0), 1.0),
         (CH["speed_limit"], zone, limit_to_mps(limit)),
@@ -196,16 +229,17 @@ def light_layers(lights: DataFrame, keys: Sequence[str], grid: Grid = Grid(), ra
         .when(F.col("state") == K.YELLOW, CH["light_yellow"])
         .when(F.col("state") == K.GREEN, CH["light_green"])
     )
-    return _layers(lights, keys, (CH["stop_line"], cells, 1.0), (colour, cells, 1.0)).where("channel IS NOT NULL")
+    return _layers(spread(lights), keys, (CH["stop_line"], cells, 1.0), (colour, cells, 1.0)).where("channel IS NOT NULL")
 
 
 def route_layers(routes: DataFrame, keys: Sequence[str], grid: Grid = Grid(), points: str = "points") -> DataFrame:
     """Route centre line and corridor, from ``array<struct<x, y>>`` per frame."""
+    lines = spread(routes).withColumn("_c", polyline_centres(points, grid))
     return _layers(
-        routes,
+        lines,
         keys,
-        (CH["route_centre"], draw_polyline(points, 1, grid), 1.0),
-        (CH["route_corridor"], draw_polyline(points, grid.pixels(grid.corridor_width * 0.5), grid), 1.0),
+        (CH["route_centre"], thicken(points, "_c", 1, grid), 1.0),
+        (CH["route_corridor"], thicken(points, "_c", grid.pixels(grid.corridor_width * 0.5), grid), 1.0),
     )
 
 
@@ -219,7 +253,7 @@ def actor_layers(tokens: DataFrame, keys: Sequence[str], grid: Grid = Grid()) ->
     cells = F.when(kind == K.VEHICLE, stamp(row, col, r, grid)).otherwise(stamp(row, col, small, grid))
     centre = stamp(row, col, 0, grid)
     return _layers(
-        tokens,
+        spread(tokens),
         keys,
         (channel, cells, 1.0),
         (CH["velocity_x"], centre, F.col("vx")),
