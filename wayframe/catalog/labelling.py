@@ -33,6 +33,15 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FU.future_waypoints(FU.future_samples(buffered(spark, sf_dir)))
 
 
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded ticks, numbered consecutively per episode.
+
+    Done before labelling, while it only costs a count of the ticks; the tail
+    ticks come last, so the numbers of the frames stay consecutive without them.
+    """
+    return dense_index(buffered(spark, sf_dir), FU.EPISODE, "frame_id")
+
+
 @query(
     "drop_action_mismatch",
     f"WITH {Q.FRAMES} SELECT episode_ord, frame_id, throttle, brake FROM frames "
@@ -107,10 +116,11 @@ def _(spark, sf):
     return QU.require_full_horizon(labelled(spark, sf)).select(*KEY)
 
 
-def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def judged(spark: SparkSession, sf_dir: str, ticks: DataFrame | None = None) -> DataFrame:
     """Labelled frames with extrema, the stationary flag and the limit repair."""
     limit, is_default = G.repair_speed_limit(F.col("speed_limit_kmh"), default=13.9)
-    df = FU.future_extrema(labelled(spark, sf_dir))
+    ticks = buffered(spark, sf_dir) if ticks is None else ticks
+    df = FU.future_extrema(FU.future_waypoints(FU.future_samples(ticks)))
     return (
         df.withColumn("stationary", QU.stationary_flag())
         .withColumn("speed_limit_mps", limit)
@@ -157,10 +167,9 @@ def _(spark, sf):
 
 
 def thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stationary thinning over the frames with a full horizon, numbered per episode."""
-    full = QU.require_full_horizon(judged(spark, sf_dir))
-    numbered = dense_index(full, FU.EPISODE, "frame_id")
-    return GA.thin_stationary(numbered, key="run_tick")
+    """Stationary thinning over the frames with a full horizon (the first ones of each episode)."""
+    full = QU.require_full_horizon(judged(spark, sf_dir, numbered(spark, sf_dir)))
+    return GA.thin_stationary(full, key="run_tick")
 
 
 THINNED = JUDGED + f""",
@@ -208,13 +217,12 @@ def _(spark, sf):
 def reasoned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All recorded frames with their reason.
 
-    Frames without a full horizon are the last ones of an episode, so numbering
-    and thinning all frames leaves the position of the others unchanged.
+    Frames without a full horizon are the last ones of an episode, so thinning
+    all frames leaves the position of the others unchanged.
     """
-    frames_ = judged(spark, sf_dir)
-    full = QU.has_full_horizon()
-    numbered = dense_index(frames_, FU.EPISODE, "frame_id").withColumn("stationary", F.col("stationary") & full)
-    kept = GA.thin_stationary(numbered, key="run_tick")
+    frames_ = judged(spark, sf_dir, numbered(spark, sf_dir))
+    complete = frames_.withColumn("stationary", F.col("stationary") & QU.has_full_horizon())
+    kept = GA.thin_stationary(complete, key="run_tick")
     return FU.command_from_futures(QU.rejection_reason(kept))
 
 

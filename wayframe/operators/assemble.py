@@ -16,10 +16,21 @@ OBJECT_FEATURES = (
 )
 
 
+SALT = 64
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """The first ``n`` rows per key; Spark limits each group before the shuffle, so a hot key stays small."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    """The first ``n`` rows per key, numbered in ``_rn``.
+
+    A key may hold a large part of the table, so its rows are first dealt into
+    salted parts of which each keeps its own first ``n``; the final order is
+    taken over those.  Spark also limits each part before the shuffle.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALT)))
+    part = W.partitionBy(*keys, "_salt").orderBy(*order)
+    kept = salted.withColumn("_rn", F.row_number().over(part)).where(F.col("_rn") <= n).drop("_rn", "_salt")
+    whole = W.partitionBy(*keys).orderBy(*order)
+    return kept.withColumn("_rn", F.row_number().over(whole)).where(F.col("_rn") <= n)
 
 
 def children(df: DataFrame, keys: Sequence[str], order: Sequence[str], features: Sequence[str], n: int, name: str) -> DataFrame:

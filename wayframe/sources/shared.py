@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+_own: dict[str, str | None] = {}  # by application, where the session names no folder
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, from the session; a temporary one of our own where none is set (tests)."""
-    path = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR, None)
+    path = spark.conf.get(CHECKPOINT_DIR, None)
     if not path:
-        path = tempfile.mkdtemp(prefix="wayframe-")
-        spark.conf.set(CHECKPOINT_DIR, path)
+        app = spark.sparkContext.applicationId
+        path = _own.setdefault(app, None) or tempfile.mkdtemp(prefix="wayframe-")
+        _own[app] = path
     return path.rstrip("/")
 
 
