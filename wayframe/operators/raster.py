@@ -55,6 +55,11 @@ def xy_to_cell(x, y, grid: Grid) -> tuple[Column, Column]:
     return row, col
 
 
+def _once(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` evaluated once: array functions repeat an argument that is written twice."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _span(centre: Column, radius: int, size: int) -> Column:
     """Positions within ``radius`` of the centre that lie on the grid (empty if none)."""
     lo, hi = F.greatest(centre - radius, F.lit(0)), F.least(centre + radius, F.lit(size - 1))
@@ -75,8 +80,6 @@ def _stretch(codes: Column, radius: int, size: int) -> Column:
     The codes are sorted, so each cell only adds what the one before it on the
     same line has not covered: the work is that of the result.
     """
-    s = F.sort_array(codes)
-    before = F.concat(F.array(F.lit(-1)), F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))))
 
     def added(c: Column, p: Column) -> Column:
         line = c - c % size
@@ -84,7 +87,11 @@ def _stretch(codes: Column, radius: int, size: int) -> Column:
         hi = F.least(c + radius, line + (size - 1))
         return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
 
-    return F.flatten(F.zip_with(s, F.slice(before, F.lit(1), F.size(s)), added))
+    def widen(s: Column) -> Column:
+        before = F.concat(F.array(F.lit(-1)), F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))))
+        return F.flatten(F.zip_with(s, F.slice(before, F.lit(1), F.size(s)), added))
+
+    return _once(F.sort_array(codes), widen)
 
 
 def _swap(codes: Column, size: int, other: int) -> Column:
@@ -123,9 +130,11 @@ def polyline_centres(points, grid: Grid) -> Column:
             F.array_compact(F.transform(F.sequence(F.lit(0), steps), at))
         )
 
-    cells = F.transform(pts, cell)
-    k = F.greatest(F.size(pts) - 1, F.lit(0))
-    return F.array_distinct(F.flatten(F.zip_with(F.slice(cells, F.lit(1), k), F.slice(cells, F.lit(2), k), walk)))
+    def join(cells: Column) -> Column:
+        k = F.greatest(F.size(cells) - 1, F.lit(0))
+        return F.array_distinct(F.flatten(F.zip_with(F.slice(cells, F.lit(1), k), F.slice(cells, F.lit(2), k), walk)))
+
+    return _once(F.transform(pts, cell), join)
 
 
 def thicken(points, centres, thickness: int, grid: Grid) -> Column:
