@@ -68,7 +68,7 @@ hit AS (SELECT tgt.episode_ord, tgt.frame_id, tgt.k, smp.idx AS b FROM tgt ASOF
         ON tgt.episode_ord = smp.episode_ord AND tgt.target <= smp.tm),
 pos AS (SELECT episode_ord, frame_id, k,
                k + max(b - k) OVER (PARTITION BY episode_ord, frame_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS idx FROM hit),
-fut AS (SELECT pos.episode_ord, pos.frame_id, pos.k AS i, s.tm AS f_us, s.x_m AS f_x, s.y_m AS f_y, s.speed_mps AS f_v
+fut AS (SELECT pos.episode_ord, pos.frame_id, CAST(pos.k AS INTEGER) AS i, s.tm AS f_us, s.x_m AS f_x, s.y_m AS f_y, s.speed_mps AS f_v
         FROM pos JOIN smp s ON s.episode_ord = pos.episode_ord AND s.idx = pos.idx)"""
 
 

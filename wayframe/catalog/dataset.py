@@ -81,7 +81,7 @@ def _(spark, sf):
 
 @query(
     "reconcile_total",
-    f"""WITH {SHARDED} SELECT count(*) AS total_from_shards, 5500 AS total_from_metadata, count(*) <> 5500 AS differs, 0 AS shards_without_count FROM sharded""",
+    f"""WITH {SHARDED} SELECT count(*) AS total_from_shards, CAST(5500 AS BIGINT) AS total_from_metadata, count(*) <> 5500 AS differs, CAST(0 AS BIGINT) AS shards_without_count FROM sharded""",
 )
 def _(spark, sf):
     c = SH.shard_summary(sharded(spark, sf))
