@@ -10,7 +10,6 @@ from wayframe.catalog.labelling import LABELLED, labelled
 from wayframe.catalog.registry import query
 from wayframe.catalog.rl import REWARDS, start
 from wayframe.catalog.views import frames, r6, table, tensors
-from wayframe.operators import quality as QU
 from wayframe.operators import reports as RP
 from wayframe.operators import rewards as R
 

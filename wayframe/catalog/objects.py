@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayframe.catalog import ctes as Q
 from wayframe.catalog.registry import query
-from wayframe.catalog.views import actors, egos, frames, lights, r6, route_points
+from wayframe.catalog.views import actors, egos, lights, r6, route_points
 from wayframe.operators import assemble as A
 from wayframe.operators import joins as J
 from wayframe.operators import quality as QU
