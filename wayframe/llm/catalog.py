@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayframe.llm import line_dedup, mixing, quality
+from wayframe.llm import html_text, jaccard_join, line_dedup, mixing, packing, quality, secret_scan, sharding, token_files, vector_dedup
 from wayframe.llm.common import table
 
 
@@ -14,20 +14,50 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op7_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op4_line_dedup, op8_quality_rules)
+    f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_token_files, op4_line_dedup, op5_html_text, op6_jaccard_join, op7_pack_windows, op8_quality_rules, op9_virtual_slots, op10_vector_dedup)
 }
 
 SQL: dict[str, str] = {
     "op1_mix_sources": mixing.SQL,
     "op4_line_dedup": line_dedup.SQL,
+    "op6_jaccard_join": jaccard_join.sql(),
     "op8_quality_rules": quality.sql(quality.BASE_COUNTS_SQL),
+    "op10_vector_dedup": vector_dedup.SQL,
 }

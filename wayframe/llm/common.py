@@ -93,3 +93,38 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
 def unique(name: str) -> str:
     """A column name that no input column has."""
     return f"_{name}_{uuid.uuid4().hex[:8]}"
+
+
+def runs(batches, keys: int):
+    """Arrow batches sorted by their first ``keys`` integer columns, as (table, borders): whole runs of equal keys only.
+
+    Run k of a table is rows borders[k] to borders[k + 1].  What is held back between batches is one run at most.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t])
+        if not t.num_rows:
+            continue
+        k = np.stack([t.column(i).to_numpy() for i in range(keys)])
+        cut = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
+        held = t if not len(cut) else t.slice(int(cut[-1]))
+        if len(cut):
+            yield t.slice(0, int(cut[-1])).combine_chunks(), [0, *cut.tolist()]
+    if held is not None and held.num_rows:
+        yield held.combine_chunks(), [0, held.num_rows]
+
+
+def chunk_pairs(df: DataFrame, group: Sequence[str], rows: str, chunk: Column, size: int) -> DataFrame:
+    """Give each row the block pairs (i, j), i <= j, of its group that it takes part in.
+
+    A group of ``rows`` rows has ceil(rows / size) blocks, ``chunk`` being a hash that deals its rows over them; all
+    pairs of rows meet in some block pair, no task has more than about two blocks, and a group of one block is not copied.
+    """
+    n = F.ceil(F.col(rows) / size).cast("int")
+    c = F.pmod(chunk, F.col("_blocks")).cast("int")
+    d = df.withColumn("_blocks", n).withColumn("_c", c)
+    return d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumns({"i": F.least("_c", "_o"), "j": F.greatest("_c", "_o")}).drop("_o", "_blocks").withColumnRenamed("_c", "block")
