@@ -1,10 +1,58 @@
-"""From raw documents to packed sequences: quality rules, line dedup, near-duplicate join, mixing, packing."""
+"""From raw documents to packed token sequences, in five stages.
+
+Each stage takes what the stage before kept and returns the columns of documents, the last one pieces of
+sequences.  Between stages the rows are written to the shared folder, so a lost executor costs one stage.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from wayframe.llm import jaccard_join, line_dedup, mixing, packing, quality
+from wayframe.llm.common import settle, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a base rule or lie beyond a fence of their language and source go."""
+    return quality.keep_good(docs)
+
+
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Recurring lines go from all documents but their first; a document that loses every line goes with them."""
+    out = line_dedup.drop_lines(docs).where("n_dropped = 0 OR n_dropped < n_lines")
+    return out.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that share 80 % of their five-word shingles, directly or through others, the first stays."""
+    return jaccard_join.keep_one(docs, words=5, percent=80)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of 2048."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_deduplication),
+    ("near_duplicates", near_duplicates),
+    ("mix_sources", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Token ids are beyond SQL; the stages are tested one by one instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table of documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
