@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from wayframe.llm.common import let, settle, words
 
 DEPTH, PARTS, SIMILAR = 3, 8, 80
-#: A group of lines with this many tokens recurs from two documents on.
+#: A group of lines with this many tokens that hold no digit recurs from two documents on.
 LONG, LONG_DOCS = 8, 2
 #: Shorter ones, down to this many tokens, meet by chance and need more documents; still shorter ones stay.
 SHORT, SHORT_DOCS = 3, 20
@@ -32,7 +32,7 @@ def digest(text: Column) -> Column:
 
 
 def place(line: Column) -> Column:
-    """A line's place in the tree: n tokens, leaf, template digest, and the hashes of its stretches."""
+    """A line's place in the tree: n tokens, those of them without a digit, leaf, template digest, and the hashes of its stretches."""
     tokens = words(F.regexp_replace(line, "[0-9]+", "<*>"))
 
     def stretch(t: Column, j: Column) -> Column:
@@ -44,6 +44,7 @@ def place(line: Column) -> Column:
         tokens,
         lambda t: F.struct(
             F.size(t).alias("n"),
+            F.size(F.filter(t, lambda w: ~F.contains(w, F.lit("<*>")))).alias("fixed"),
             F.xxhash64(F.size(t), F.array_join(F.slice(t, 1, DEPTH), " ")).alias("leaf"),
             digest(F.array_join(t, " ")).alias("tpl"),
             F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda j: stretch(t, j)).alias("parts"),
@@ -54,13 +55,13 @@ def place(line: Column) -> Column:
 def keyed(docs: DataFrame) -> DataFrame:
     """Documents with the columns of DOC, by which they are ordered: null doc_ids last, ties by text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("id"), digest(text).alias("th"), text.alias("_text"))
+    return docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("id"), digest(text).alias("th"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """One row per line that has a word: its document, number, and place in the tree."""
-    x = keyed(docs).select(*DOC, F.posexplode(F.split("_text", "\n")).alias("pos", "line"))
-    return x.select(*DOC, "pos", place(F.col("line")).alias("p")).where("p.n > 0").select(*DOC, "pos", "p.n", "p.leaf", "p.tpl", "p.parts")
+    x = keyed(docs).select(*DOC, F.posexplode(F.split(F.coalesce("row.text", F.lit("")), "\n")).alias("pos", "line"))
+    return x.select(*DOC, "pos", place(F.col("line")).alias("p")).where("p.n > 0").select(*DOC, "pos", "p.n", "p.fixed", "p.leaf", "p.tpl", "p.parts")
 
 
 def agreeing(n: str, parts: str, seed: str) -> Column:
@@ -74,19 +75,19 @@ def agreeing(n: str, parts: str, seed: str) -> Column:
 
 def recurring(lines: DataFrame) -> DataFrame:
     """The templates of groups that recur: (leaf, tpl, first), first being the document that keeps its lines."""
-    once = lines.groupBy("n", "leaf", "tpl", *DOC).agg(F.min("parts").alias("parts"))
+    once = lines.groupBy("n", "fixed", "leaf", "tpl", *DOC).agg(F.min("parts").alias("parts"))
     doc = F.struct(*DOC)
-    templates = once.groupBy("n", "leaf", "tpl").agg(F.count(F.lit(1)).alias("docs"), F.min(doc).alias("first"), F.max(doc).alias("last"), F.min("parts").alias("parts"))
-    templates = settle(templates.where(f"n >= {SHORT}"), "templates")
+    templates = once.groupBy("n", "fixed", "leaf", "tpl").agg(F.count(F.lit(1)).alias("docs"), F.min(doc).alias("first"), F.max(doc).alias("last"), F.min("parts").alias("parts"))
+    templates = settle(templates.where(f"fixed >= {SHORT}"), "templates")
     leaves = templates.groupBy("leaf").agg(
         F.max(F.struct("docs", (-F.col("tpl")).alias("by"), "tpl", "parts")).alias("seed"), F.count(F.lit(1)).alias("templates"), F.sum("docs").alias("in_leaf")
     )
     busy = leaves.where(f"in_leaf >= {LONG_DOCS}").select(F.col("leaf").alias("_leaf"), F.col("seed.tpl").alias("seed_tpl"), F.col("seed.parts").alias("seed_parts"))
     t = templates.join(busy, F.col("leaf") == F.col("_leaf"))
     same = 100 * (agreeing("n", "parts", "seed_parts") + F.least("n", F.lit(DEPTH))) >= SIMILAR * F.col("n")
-    t = t.withColumn("grp", F.when(same, F.col("seed_tpl")).otherwise(F.col("tpl"))).select("n", "leaf", "tpl", "grp", "docs", "first", "last")
-    groups = t.groupBy("leaf", "grp").agg(F.min("n").alias("n"), F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last"))
-    groups = groups.where(f"first <> last AND ((n >= {LONG} AND docs >= {LONG_DOCS}) OR docs >= {SHORT_DOCS})")
+    t = t.withColumn("grp", F.when(same, F.col("seed_tpl")).otherwise(F.col("tpl"))).select("fixed", "leaf", "tpl", "grp", "docs", "first", "last")
+    groups = t.groupBy("leaf", "grp").agg(F.min("fixed").alias("fixed"), F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last"))
+    groups = groups.where(f"first <> last AND ((fixed >= {LONG} AND docs >= {LONG_DOCS}) OR docs >= {SHORT_DOCS})")
     return t.select("leaf", "tpl", "grp").join(groups.select(F.col("leaf").alias("_leaf"), F.col("grp").alias("_grp"), F.col("first").alias("first")), (F.col("leaf") == F.col("_leaf")) & (F.col("grp") == F.col("_grp"))).select("leaf", "tpl", "first")
 
 
@@ -103,10 +104,10 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     hit = lines.join(bad, (F.col("leaf") == F.col("_leaf")) & (F.col("tpl") == F.col("_tpl"))).where(F.struct(*DOC) != F.col("first"))
     lost = hit.groupBy(*DOC).agg(F.collect_set("pos").alias("lost")).withColumnsRenamed({c: f"_{c}" for c in DOC})
     j = keyed(docs).join(lost, [F.col(c) == F.col(f"_{c}") for c in DOC], "left")
-    all_lines = F.split("_text", "\n")
+    whole = F.coalesce("row.text", F.lit(""))
     stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("lost"))
-    text = F.when(F.col("lost").isNull(), F.col("row.text")).otherwise(let(all_lines, lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x, i)), "\n")))
-    n_lines = F.size(F.filter(all_lines, lambda x: F.translate(x, " \t\n\x0b\f\r", "") != "")).cast("bigint")
+    text = F.when(F.col("lost").isNull(), F.col("row.text")).otherwise(let(F.split(whole, "\n"), lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x, i)), "\n")))
+    n_lines = F.regexp_count(whole, F.lit(r"[^\x20\x09-\x0D][^\n]*")).cast("bigint")
     out = j.select("row", text.alias("_new"), n_lines.alias("n_lines"), F.coalesce(F.size("lost"), F.lit(0)).cast("bigint").alias("n_dropped"))
     out = out.withColumn("n_dropped", F.when(F.col("n_dropped") < 0, F.lit(0).cast("bigint")).otherwise(F.col("n_dropped")))
     cols = []
@@ -121,13 +122,13 @@ SQL = rf"""WITH d AS (SELECT DISTINCT doc_id, text, doc_id IS NULL AS no_id, coa
    CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS th, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l0 AS (SELECT no_id, id, th, i, regexp_extract_all(regexp_replace(ls[i], '[0-9]+', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS w
    FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)),
-l AS MATERIALIZED (SELECT no_id, id, th, i, len(w) AS n, array_to_string(w[1:{DEPTH}], ' ') AS lead, CAST('0x' || substr(md5(array_to_string(w, ' ')), 1, 15) AS BIGINT) AS tpl,
+l AS MATERIALIZED (SELECT no_id, id, th, i, len(w) AS n, len(list_filter(w, lambda y: NOT contains(y, '<*>'))) AS fixed, array_to_string(w[1:{DEPTH}], ' ') AS lead, CAST('0x' || substr(md5(array_to_string(w, ' ')), 1, 15) AS BIGINT) AS tpl,
    [array_to_string(w[{DEPTH} + 1 + j * greatest(len(w) - {DEPTH}, 0) // {PARTS} : {DEPTH} + (j + 1) * greatest(len(w) - {DEPTH}, 0) // {PARTS}], ' ') for j in range(0, {PARTS})] AS parts FROM l0 WHERE len(w) > 0),
-t AS MATERIALIZED (SELECT n, lead, tpl, count(DISTINCT (no_id, id, th)) AS docs, min((no_id, id, th)) AS first, max((no_id, id, th)) AS last, min(parts) AS parts FROM l WHERE n >= {SHORT} GROUP BY n, lead, tpl),
+t AS MATERIALIZED (SELECT n, fixed, lead, tpl, count(DISTINCT (no_id, id, th)) AS docs, min((no_id, id, th)) AS first, max((no_id, id, th)) AS last, min(parts) AS parts FROM l WHERE fixed >= {SHORT} GROUP BY n, fixed, lead, tpl),
 s AS (SELECT n, lead, tpl AS seed_tpl, parts AS seed FROM t QUALIFY row_number() OVER (PARTITION BY n, lead ORDER BY docs DESC, tpl) = 1),
 g AS MATERIALIZED (SELECT t.*, CASE WHEN 100 * (least(t.n, {DEPTH}) + list_sum([CASE WHEN parts[j + 1] = seed[j + 1] THEN (j + 1) * greatest(t.n - {DEPTH}, 0) // {PARTS} - j * greatest(t.n - {DEPTH}, 0) // {PARTS} ELSE 0 END for j in range(0, {PARTS})])) >= {SIMILAR} * t.n THEN seed_tpl ELSE tpl END AS grp
    FROM t JOIN s ON s.n = t.n AND s.lead = t.lead),
-r AS (SELECT n, lead, grp, min(first) AS first FROM g GROUP BY n, lead, grp HAVING min(first) <> max(last) AND ((n >= {LONG} AND sum(docs) >= {LONG_DOCS}) OR sum(docs) >= {SHORT_DOCS})),
+r AS (SELECT n, lead, grp, min(first) AS first FROM g GROUP BY n, lead, grp HAVING min(first) <> max(last) AND ((min(fixed) >= {LONG} AND sum(docs) >= {LONG_DOCS}) OR sum(docs) >= {SHORT_DOCS})),
 x AS (SELECT l.no_id, l.id, l.th, list(l.i) AS lost FROM l JOIN g ON g.n = l.n AND g.lead = l.lead AND g.tpl = l.tpl JOIN r ON r.n = l.n AND r.lead = l.lead AND r.grp = g.grp WHERE (l.no_id, l.id, l.th) <> r.first GROUP BY 1, 2, 3)
 SELECT d.doc_id, CAST(len(list_filter(d.ls, lambda y: regexp_matches(y, '[^\x20\x09-\x0D]'))) AS BIGINT) AS n_lines, CAST(coalesce(len(x.lost), 0) AS BIGINT) AS n_dropped,
   CASE WHEN x.lost IS NULL THEN o.text ELSE array_to_string([d.ls[i] for i in range(1, len(d.ls) + 1) if NOT list_contains(x.lost, i)], chr(10)) END AS text
