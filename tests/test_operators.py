@@ -90,7 +90,7 @@ def test_thinning_counts_standstill_positions(spark, width):
     still = [True] * 8 + [False] + [True] * 3
     rows = [("r", 0, i, s, False) for i, s in enumerate(still)]
     df = spark.createDataFrame(rows, "run_id string, episode_ord int, idx bigint, stationary boolean, near_light boolean")
-    got = GA.thin_stationary(df, ratio=1.1, key="idx", width=width).orderBy("idx").collect()
+    got = GA.thin_stationary(df, ratio=1.1, key=["idx"], width=width).orderBy("idx").collect()
     assert [r["keep"] for r in got] == [True] * 5 + [False] * 3 + [True] * 4
 
 
@@ -256,8 +256,9 @@ def test_velocities_add_up_and_are_clipped(spark):
 def test_channel_stats_count_the_empty_cells(spark):
     grid = R.Grid(meters_x=2.0, meters_y=1.0, resolution=1.0)
     df = spark.createDataFrame([(1, 15, 0, 0, -4.0)], "tick int, channel int, row int, col int, value double")
-    r = one(R.channel_stats(df, ["tick"], grid))
+    r = one(R.channel_stats(df, ["tick"], grid).where("channel = 15"))
     assert (r["min"], r["max"], r["mean"]) == (-4.0, 0.0, -2.0)
+    assert R.channel_stats(df, ["tick"], grid).count() == 18
 
 
 # --- sampling ---
@@ -287,6 +288,35 @@ def test_draws_look_random(spark):
     assert abs(r["mn"]) < 0.03 and abs(r["sn"] - 1) < 0.03 and abs(r["k"]) < 0.2
 
 
+def test_draws_use_the_whole_key(spark):
+    """Neither two episodes nor samples whose numbers agree in their low bits share their draws."""
+    from wayframe.functions import hashing as H
+
+    df = spark.createDataFrame([(e, f, 0.1, 0.5, 0.0) for e in (1, 2) for f in range(200)], "episode_ord int, frame_id int, steer_norm double, throttle double, brake double").withColumn("run_id", F.lit("r"))
+    hit = {(r["episode_ord"], r["frame_id"]): r["noise_injected"] for r in SA.inject_noise(df, 3).collect()}
+    assert [hit[1, f] for f in range(200)] != [hit[2, f] for f in range(200)]
+    far = one(spark.range(1).select(*[H.hash_int([F.lit(k), F.lit(e)]).alias(f"d{k}_{e}") for k in (5, 5 + 2**26, 5 + 2**32) for e in (0, 1)]))
+    assert len(set(far)) == 6
+
+
+def test_conversion_check_sees_every_difference(spark):
+    from wayframe.operators.sharding import verify_conversion
+
+    kinds = "sample_idx int, n int, x double, route array<array<double>>"
+    a = [(1, 1, 1.0, [[1.0, 2.0]]), (2, None, None, None), (3, 1, float("nan"), [[None, 2.0]]), (4, 1, 1.0, [[1.0], [2.0]]), (6, 2, 1.0, [])]
+    b = [(1, 1, 1.0 + 1e-7, [[1.0, 2.0]]), (2, 5, 1.0, [[1.0]]), (3, 1, 1.0, [[1.0, 2.0]]), (4, 1, 1.0, [[1.0], [2.0, 3.0]]), (5, 1, 1.0, None)]
+    got = verify_conversion(spark.createDataFrame(a, kinds), spark.createDataFrame(b, kinds), ["n", "x", "route"]).collect()
+    assert sorted(map(tuple, got)) == [
+        (2, "n", "extra"), (2, "route", "extra"), (2, "x", "extra"), (3, "route", "value"), (3, "x", "value"), (4, "route", "shape"), (5, "*", "extra"), (6, "*", "missing")]
+
+
+def test_object_width_counts_null_objects(spark):
+    from wayframe.operators.quality import check_object_width
+
+    df = spark.createDataFrame([(1, [[1.0] * 11]), (2, [None]), (3, [[1.0] * 10])], "i int, objects array<array<double>>")
+    assert sorted(r["i"] for r in check_object_width(df).collect()) == [2, 3]
+
+
 def test_objects_and_raster_are_dropped_together(spark):
     df = spark.createDataFrame([(i, [[1.0] * 11], [1.0], [1]) for i in range(50)],
                                "sample_idx int, objects array<array<double>>, object_mask array<double>, bev_cells array<int>")
@@ -322,4 +352,9 @@ def test_diversity_can_fail_hard(spark):
     with pytest.raises(Exception, match="diversity"):
         RP.require_diversity(report).collect()
     few = one(RP.diversity_report(df.limit(20), F.col("v"), F.col("s")))
-    assert few["status"] == "insufficient_samples"
+    assert few["few_samples"] and few["issues"] == ["speed_std", "steer_std"]
+
+
+def test_reward_histogram_shows_every_filled_bin(spark):
+    got = RP.reward_histogram(spark.range(20).select(F.col("id").cast("double").alias("reward_clipped"))).collect()
+    assert sum(r["count"] for r in got) == 20 and max(r["bin"] for r in got) == 19

@@ -46,6 +46,24 @@ def test_neighbours(rows, width, offset):
     assert sorted(map(repr, want.collect())) == sorted(map(repr, got.collect()))
 
 
+@pytest.mark.parametrize("width", [1, 5, 64, 10_000])
+def test_previous_row_of_a_counter_with_gaps(rows, width):
+    first = W.partitionBy("k").orderBy("t")
+    want = rows.select("k", "t", F.lag("x").over(first).alias("p"))
+    got = neighbours(rows, ["k"], "t", 1, width, p=F.col("x")).select("k", "t", "p")
+    assert sorted(map(repr, want.collect())) == sorted(map(repr, got.collect()))
+
+
+@pytest.mark.parametrize("width", [4, 7, 1000])
+def test_gate_counts_rows_where_ticks_are_missing(spark, width):
+    from wayframe.operators.gates import mark_gate
+
+    ticks = [(1, t, 2.0 if t > 9 else 0.0) for t in range(60) if t % 4 != 1]
+    df = spark.createDataFrame(ticks, "episode_ord int, frame_id bigint, speed_mps double").withColumn("run_id", F.lit("r"))
+    got = mark_gate(df, ticks=5, width=width, gaps=True).where("recording").agg(F.min("frame_id")).first()[0]
+    assert got == [t for _, t, v in ticks if v][4]
+
+
 def test_no_window_over_a_whole_episode(spark):
     """Frames are never windowed by episode alone: only bucket summaries are."""
     from wayframe.operators.gates import recording_gate

@@ -30,6 +30,19 @@ def test_append_casts_and_skips_empty_input(spark, tmp_path):
     assert [tuple(r) for r in back.collect()] == [("r", 1, 5, 2, 1.5, 2.5, 3.5)]
 
 
+def test_conform_refuses_unknown_and_absent_columns(spark):
+    df = spark.createDataFrame([("r", 1, 5, 2, 1.5, 2.5, 3.5)], "run_id string, shard_id long, frame_id int, i int, x_ego double, y_ego double, v_mps double")
+    with pytest.raises(ValueError, match="unknown columns \\['v_mpss'\\], absent columns \\['v_mps'\\]"):
+        T.conform(df.withColumnRenamed("v_mps", "v_mpss"), "futures")
+    assert T.conform(df.drop("v_mps"), "futures", optional=["v_mps"]).first()["v_mps"] is None
+
+
+def test_doubles_keep_their_precision(spark, tmp_path):
+    df = spark.range(3).select(F.col("id").alias("sample_idx"), F.lit(0).alias("shard_idx"), (F.col("id") + 0.1).alias("x"))
+    TS.write_tar_shards(df, str(tmp_path), ["x"])
+    assert sorted(r["x"] for r in TS.read_tar_shards(spark, str(tmp_path), {"x": "double"}).collect()) == [0.1, 1.1, 2.1]
+
+
 def test_tar_shards_round_trip_and_drop_incomplete(spark, tmp_path):
     df = spark.range(25).select(
         F.col("id").alias("sample_idx"), F.expr("id div 10").alias("shard_idx"), F.col("id").alias("frame_id"),

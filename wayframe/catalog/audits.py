@@ -59,7 +59,7 @@ def rewarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     + f"""h AS (SELECT CAST(least(19, floor((s - lo) * 20 / (hi - lo))) AS INTEGER) AS bin FROM xs),
 c AS (SELECT bin, count(*) AS n FROM h GROUP BY 1)
 SELECT bin, {Q.r6('lo + (hi - lo) * bin / 20', '"from"')}, {Q.r6('lo + (hi - lo) * (bin + 1) / 20', '"to"')}, n AS count,
-  {Q.r6('n * 1e2 / (SELECT count(*) FROM h)', 'percent')} FROM c, lim WHERE bin < 10""",
+  {Q.r6('n * 1e2 / (SELECT count(*) FROM h)', 'percent')} FROM c, lim""",
 )
 def _(spark, sf):
     return _hist_cols(RP.reward_histogram(rewarded(spark, sf)))
@@ -109,8 +109,7 @@ def _(spark, sf):
 
 DIVERSE = """d AS (SELECT count(*) AS samples_checked, avg(speed_mps) AS speed_mean, stddev_pop(speed_mps) AS speed_std, stddev_pop(steer_norm) AS steer_std,
   count(*) FILTER (WHERE speed_mps > 5e-1) / count(*) AS moving_ratio FROM {source})
-SELECT samples_checked, {r}, CASE WHEN samples_checked < 100 THEN 'insufficient_samples' WHEN issues <> '' THEN 'warning' ELSE 'ok' END AS status,
-  CASE WHEN samples_checked < 100 THEN '' ELSE issues END AS issues FROM (SELECT *, 1 - moving_ratio AS stationary_ratio,
+SELECT samples_checked, {r}, CASE WHEN issues <> '' THEN 'warning' ELSE 'ok' END AS status, samples_checked < 100 AS few_samples, issues FROM (SELECT *, 1 - moving_ratio AS stationary_ratio,
   concat_ws(',', CASE WHEN speed_std < 12 THEN 'speed_std' END, CASE WHEN steer_std < 1e-1 THEN 'steer_std' END, CASE WHEN moving_ratio < 95e-2 THEN 'moving_ratio' END,
   CASE WHEN 1 - moving_ratio > 25e-2 THEN 'stationary_ratio' END) AS issues FROM d)"""
 RATIOS = ("speed_mean", "speed_std", "steer_std", "moving_ratio", "stationary_ratio")
@@ -121,7 +120,7 @@ def _diverse(source: str) -> str:
 
 
 def _diverse_cols(df: DataFrame) -> DataFrame:
-    return df.select("samples_checked", *[r6(c, digits=5) for c in RATIOS], "status", F.array_join("issues", ",").alias("issues"))
+    return df.select("samples_checked", *[r6(c, digits=5) for c in RATIOS], "status", "few_samples", F.array_join("issues", ",").alias("issues"))
 
 
 RULES = {"min_speed_std": 12.0, "min_moving_ratio": 0.95}
@@ -132,12 +131,6 @@ def _(spark, sf):
     return _diverse_cols(RP.diversity_report(frames(spark, sf), F.col("speed_mps"), F.col("steer_norm"), RULES))
 
 
-@query("diversity_report_first", f"WITH {Q.FRAMES}, {_diverse('(SELECT * FROM frames WHERE run_tick < 1000)')}")
-def _(spark, sf):
-    d = RP.diversity_report(frames(spark, sf), F.col("speed_mps"), F.col("steer_norm"), RULES, sample_size=1000, order="run_tick")
-    return _diverse_cols(d)
-
-
 @query(
     "label_sanity",
     f"""WITH {LABELLED}, v AS (SELECT stddev_samp(least(greatest(v / 5e1, 0), 1)) * 50 AS speed_std FROM way),

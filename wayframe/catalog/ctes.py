@@ -99,15 +99,12 @@ gated AS (SELECT * EXCLUDE (ready, start_at), coalesce(frame_id >= start_at, fal
 
 
 def mix(key: str, seed: int = 0) -> str:
-    """The 32-bit mix of functions/hashing.py."""
-    x = f"(({key} + {seed * 2654435769}) % 4294967296)"
-    for _ in range(2):
-        x = f"(xor({x} >> 16, {x}) * 73244475 % 4294967296)"
-    return f"xor({x} >> 16, {x})"
+    """The draw of functions/hashing.py; ``key`` may be several expressions with commas between them."""
+    return f"CAST('0x' || substr(md5(concat_ws(':', '{seed}', {key})), 1, 12) AS BIGINT)"
 
 
 def uniform(key: str, seed: int = 0) -> str:
-    return f"({mix(key, seed)} / 4294967296e0)"
+    return f"({mix(key, seed)} / 281474976710656e0)"
 
 
 def normal(key: str, seed: int = 0) -> str:

@@ -88,26 +88,52 @@ def _(spark, sf):
     return SH.reconcile_total(SH.reconcile_shards(c, 5500, PER_SHARD), 5500)
 
 
+#: What is done to the copy: field, problem, and which samples (never those of the lines above for the same field).
+DAMAGE = (
+    ("l_partkey", "value", "sample_idx % 89 = 3"),
+    ("l_quantity", "missing", "sample_idx % 61 = 2"),
+    ("l_quantity", "value", "sample_idx % 83 = 7 AND sample_idx % 61 <> 2"),
+    ("l_tax", "extra", "sample_idx % 59 = 4"),
+    ("route", "shape", "sample_idx % 79 = 9"),
+    ("route", "missing", "sample_idx % 73 = 1 AND sample_idx % 79 <> 9"),
+    ("objects", "shape", "sample_idx % 71 = 8"),
+    ("future_xy", "value", "sample_idx % 67 = 6"),
+    ("future_xy", "value", "sample_idx % 53 = 1 AND sample_idx % 67 <> 6"),
+    ("future_xy", "value", "sample_idx % 47 = 2 AND sample_idx % 53 <> 1 AND sample_idx % 67 <> 6"),
+)
+
+
 @query(
     "verify_conversion",
-    f"""WITH {SHARDED} SELECT sample_idx, field, problem FROM (
-  SELECT sample_idx, '*' AS field, 'missing' AS problem FROM sharded WHERE sample_idx % 97 = 5
-  UNION ALL SELECT sample_idx, 'l_partkey', 'value' FROM sharded WHERE sample_idx % 97 <> 5 AND sample_idx % 89 = 3
-  UNION ALL SELECT sample_idx, 'l_quantity', 'value' FROM sharded WHERE sample_idx % 97 <> 5 AND sample_idx % 83 = 7
-  UNION ALL SELECT sample_idx, 'xs', 'shape' FROM sharded WHERE sample_idx % 97 <> 5 AND sample_idx % 79 = 9
-  UNION ALL SELECT sample_idx, 'xs', 'missing' FROM sharded WHERE sample_idx % 97 <> 5 AND sample_idx % 73 = 1 AND sample_idx % 79 <> 9)""",
+    f"""WITH {SHARDED} SELECT sample_idx, '*' AS field, 'missing' AS problem FROM sharded WHERE sample_idx % 97 = 5
+  UNION ALL SELECT -1 - sample_idx, '*', 'extra' FROM sharded WHERE sample_idx % 101 = 7
+  """
+    + " ".join(f"UNION ALL SELECT sample_idx, '{f}', '{p}' FROM sharded WHERE sample_idx % 97 <> 5 AND {c}" for f, p, c in DAMAGE),
 )
 def _(spark, sf):
     """A copy with known damage: every damaged sample, and no other, is reported."""
-    src = sharded(spark, sf).select("sample_idx", "l_partkey", "l_quantity", F.array("l_tax", "l_discount").alias("xs"))
     i = F.col("sample_idx")
-    out = src.where(i % 97 != 5).select(
+    pair = lambda *xs: F.array(*[F.array(*x) for x in xs])
+    full = sharded(spark, sf).select(
+        "sample_idx", "l_partkey", "l_quantity", "l_tax",
+        pair(("l_tax", "l_discount"), ("l_quantity", "l_tax")).alias("route"),
+        pair(("l_quantity", "l_tax", "l_discount"), ("l_tax", "l_tax", "l_tax")).alias("objects"),
+        pair(("l_discount", "l_quantity"), ("l_tax", "l_quantity")).alias("future_xy"),
+    )
+    src = full.withColumn("l_tax", F.when(i % 59 != 4, F.col("l_tax")))
+    nan, none = F.lit(float("nan")), F.lit(None).cast("double")
+    second = lambda x: F.array(F.col("future_xy")[0], F.array(x, F.col("l_quantity")))
+    out = full.where(i % 97 != 5).select(
         "sample_idx",
         F.when(i % 89 == 3, F.col("l_partkey") + 1).otherwise(F.col("l_partkey")).alias("l_partkey"),
-        F.when(i % 83 == 7, F.col("l_quantity") + 0.001).otherwise(F.col("l_quantity") + 1e-7).alias("l_quantity"),
-        F.when(i % 79 == 9, F.slice("xs", 1, 1)).when(i % 73 != 1, F.col("xs")).alias("xs"),
+        F.when(i % 61 == 2, none).when(i % 83 == 7, F.col("l_quantity") + 0.001).otherwise(F.col("l_quantity") + 1e-7).alias("l_quantity"),
+        "l_tax",
+        F.when(i % 79 == 9, F.slice("route", 1, 1)).when(i % 73 != 1, F.col("route")).alias("route"),
+        F.when(i % 71 == 8, F.array(F.slice(F.col("objects")[0], 1, 2), F.col("objects")[1])).otherwise(F.col("objects")).alias("objects"),
+        F.when(i % 67 == 6, second(none)).when(i % 53 == 1, second(nan)).when(i % 47 == 2, second(F.col("l_tax") + 0.01)).otherwise(F.col("future_xy")).alias("future_xy"),
     )
-    return SH.verify_conversion(src, out, {"l_partkey": "exact", "l_quantity": "float", "xs": "array"})
+    added = full.where(i % 101 == 7).withColumn("sample_idx", -1 - i)
+    return SH.verify_conversion(src, out.unionByName(added), ["l_partkey", "l_quantity", "l_tax", "route", "objects", "future_xy"])
 
 
 @query(
@@ -177,7 +203,7 @@ SHIFT = f"({Q.uniform('vec_id', SEED + 7)} * 1e-1 - 5e-2)"
 @query(
     "augment_vectors",
     f"""WITH {Q.TENSORS},
-e AS (SELECT vec_id, j, v[j] AS raw, CASE WHEN {_hit(2, '5e-1')} THEN least(greatest(v[j] + {Q.normal('(vec_id * 64 + j - 1)', SEED + 10)} * 2e-2, -1), 1) ELSE v[j] END AS x
+e AS (SELECT vec_id, j, v[j] AS raw, CASE WHEN {_hit(2, '5e-1')} THEN least(greatest(v[j] + {Q.normal('vec_id, j - 1', SEED + 10)} * 2e-2, -1), 1) ELSE v[j] END AS x
       FROM tensors CROSS JOIN range(1, 15) r(j)),
 f AS (SELECT vec_id, j, CASE WHEN {_hit(3, '5e-1')} THEN least(greatest(v[55 + j] * {FACTOR}, 0), 1) ELSE v[55 + j] END AS x FROM tensors CROSS JOIN range(1, 5) r(j))
 SELECT vec_id AS sample_idx, 'ego_vec' AS field, CAST(j - 1 AS INTEGER) AS j, {Q.r6(f"CASE WHEN j = 1 AND {_hit(3, '5e-1')} THEN least(greatest(x * {FACTOR}, 0), 1) ELSE x END", 'value')} FROM e
@@ -193,7 +219,7 @@ def _(spark, sf):
     "augment_points",
     f"""WITH {Q.TENSORS},
 p AS (SELECT vec_id, i, j, v[20 + i * 2 + j] AS f, v[30 + i * 2 + j] AS r FROM tensors CROSS JOIN range(0, 4) a(i) CROSS JOIN range(0, 2) b(j)),
-n AS (SELECT *, CASE WHEN {_hit(5, '5e-1')} THEN least(greatest(f + {Q.normal('(vec_id * 64 + i * 2 + j)', SEED + 20)} * 2e-2, -1), 1) ELSE f END AS g FROM p)
+n AS (SELECT *, CASE WHEN {_hit(5, '5e-1')} THEN least(greatest(f + {Q.normal('vec_id, i, j', SEED + 20)} * 2e-2, -1), 1) ELSE f END AS g FROM p)
 SELECT vec_id AS sample_idx, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
   {Q.r6(f"CASE WHEN j = 1 AND {_hit(6, '5e-1')} THEN least(greatest(g + {SHIFT}, -1), 1) ELSE g END", 'future')},
   {Q.r6(f"CASE WHEN j = 1 AND {_hit(6, '5e-1')} THEN least(greatest(r + {SHIFT}, -1), 1) ELSE r END", 'route')} FROM n""",
@@ -236,15 +262,15 @@ def _(spark, sf):
 
 
 def _noisy(col: str, draw: int, std: str, lo: int) -> str:
-    x = f"least(greatest({col} + {Q.normal('run_tick', 11 + draw)} * {std}, {lo}), 1)"
-    return Q.r6(f"CASE WHEN {Q.uniform('run_tick', 11)} < 2e-1 THEN {x} ELSE {col} END", col)
+    x = f"least(greatest({col} + {Q.normal('run_id, episode_ord, frame_id', 11 + draw)} * {std}, {lo}), 1)"
+    return Q.r6(f"CASE WHEN {Q.uniform('run_id, episode_ord, frame_id', 11)} < 2e-1 THEN {x} ELSE {col} END", col)
 
 
 @query(
     "inject_noise",
     f"""WITH {Q.FRAMES} SELECT episode_ord, frame_id, {_noisy('steer_norm', 10, '1e-1', -1)}, {_noisy('throttle', 20, '5e-2', 0)},
-  {_noisy('brake', 30, '5e-2', 0)}, {Q.uniform('run_tick', 11)} < 2e-1 AS noise_injected FROM frames""",
+  {_noisy('brake', 30, '5e-2', 0)}, {Q.uniform('run_id, episode_ord, frame_id', 11)} < 2e-1 AS noise_injected FROM frames""",
 )
 def _(spark, sf):
-    out = SA.inject_noise(frames(spark, sf), 11, key="run_tick")
+    out = SA.inject_noise(frames(spark, sf), 11)
     return out.select(*KEY, r6("steer_norm"), r6("throttle"), r6("brake"), "noise_injected")

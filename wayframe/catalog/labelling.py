@@ -166,17 +166,21 @@ def _(spark, sf):
     return QU.rejection_reason(judged(spark, sf)).groupBy("reason").agg(F.count(F.lit(1)).alias("frames"))
 
 
+#: The test frames are one run.
+EPISODE_KEY = ("episode_ord", "frame_id")
+
+
 def thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stationary thinning over the frames with a full horizon (the first ones of each episode)."""
     full = QU.require_full_horizon(judged(spark, sf_dir, numbered(spark, sf_dir)))
-    return GA.thin_stationary(full, key="run_tick")
+    return GA.thin_stationary(full, key=EPISODE_KEY)
 
 
 THINNED = JUDGED + f""",
 full_h AS (SELECT *, row_number() OVER (PARTITION BY episode_ord ORDER BY frame_id) AS rn FROM judged WHERE points = 12),
 moved AS (SELECT *, coalesce(max(CASE WHEN NOT stationary THEN rn END)
             OVER (PARTITION BY episode_ord ORDER BY rn ROWS UNBOUNDED PRECEDING), 0) AS moved_at FROM full_h),
-thinned AS (SELECT *, NOT stationary OR near_light OR (rn - moved_at <= 5 AND {Q.uniform('run_tick')} < 15e-2) AS keep FROM moved)"""
+thinned AS (SELECT *, NOT stationary OR near_light OR (rn - moved_at <= 5 AND {Q.uniform('episode_ord, frame_id')} < 15e-2) AS keep FROM moved)"""
 
 
 @query("thin_stationary", f"WITH {THINNED} SELECT episode_ord, frame_id, stationary, keep FROM thinned")
@@ -222,7 +226,7 @@ def reasoned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     frames_ = judged(spark, sf_dir, numbered(spark, sf_dir))
     complete = frames_.withColumn("stationary", F.col("stationary") & QU.has_full_horizon())
-    kept = GA.thin_stationary(complete, key="run_tick")
+    kept = GA.thin_stationary(complete, key=EPISODE_KEY)
     return FU.command_from_futures(QU.rejection_reason(kept))
 
 

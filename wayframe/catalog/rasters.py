@@ -211,7 +211,7 @@ def _(spark, sf):
 @query(
     "channel_stats",
     f"""WITH {ACTOR_LAYERS} SELECT tick, channel, {Q.r6('least(min(value), 0)', 'min')}, {Q.r6('greatest(max(value), 0)', 'max')},
-  {Q.r6(f'sum(value) / {H * W}', 'mean', 8)} FROM alay GROUP BY 1, 2""",
+  {Q.r6(f'sum(value) / {H * W}', 'mean', 8)} FROM (SELECT tick, channel, value FROM alay UNION ALL SELECT tick, CAST(c AS INTEGER), 0 FROM (SELECT DISTINCT tick FROM alay), range(18) r(c)) GROUP BY 1, 2""",
 )
 def _(spark, sf):
     s = R.channel_stats(R.rasterize(["tick"], tokens=tokens(spark, sf), grid=GRID), ["tick"], GRID)

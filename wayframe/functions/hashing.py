@@ -1,34 +1,30 @@
 """Reproducible randomness from row keys.
 
 ``rand()`` depends on how rows are partitioned, so a retried or re-planned task
-would draw other numbers.  These draws depend only on a key and a seed: the key
-goes through two rounds of a 32-bit shift-xor-multiply mix.
+would draw other numbers.  These draws depend only on a key and a seed: 48 bits
+of the MD5 of both.  A key may have several parts (run, episode, frame; sample,
+element); all of them count in full.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MULTIPLIER = 73_244_475
-MODULUS = 4_294_967_296
-SEED_STEP = 2_654_435_769
-
-
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+MODULUS = 1 << 48
 
 
-def _fold(x: Column) -> Column:
-    return F.shiftright(x, 16).bitwiseXOR(x)
+def _parts(key) -> list[Column]:
+    keys = key if isinstance(key, Sequence) and not isinstance(key, str) else [key]
+    return [F.col(k) if isinstance(k, str) else k for k in keys]
 
 
 def hash_int(key, seed: int = 0) -> Column:
-    """Integer in [0, 2^32)."""
-    x = F.pmod(_c(key).cast("bigint") + F.lit(int(seed) * SEED_STEP), F.lit(MODULUS))
-    for _ in range(2):
-        x = F.pmod(_fold(x) * F.lit(MULTIPLIER), F.lit(MODULUS))
-    return _fold(x)
+    """Integer in [0, 2^48) from a column or a sequence of columns; null parts are skipped."""
+    text = F.concat_ws(":", F.lit(str(int(seed))), *[p.cast("string") for p in _parts(key)])
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
 
 
 def uniform(key, seed: int = 0) -> Column:

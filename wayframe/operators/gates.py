@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wayframe import constants as K
 from wayframe.functions.hashing import uniform
 from wayframe.operators.futures import EPISODE
-from wayframe.plans.segments import SEG, WIDTH, Running, halo, own_rows, scan
+from wayframe.plans.segments import SEG, WIDTH, Running, dense_index, halo, own_rows, scan
 
 
 def drop_action_mismatch(df: DataFrame) -> DataFrame:
@@ -27,24 +27,28 @@ def mark_gate(
     keys: Sequence[str] = EPISODE,
     index: str = "frame_id",
     width: int = WIDTH,
+    gaps: bool = False,
 ) -> DataFrame:
     """Add ``recording``: true from the tick that completes the first run of ``ticks`` good ticks.
 
     Needs a look-back of ``ticks - 1`` rows and one minimum per episode, so it
-    works per segment: no task holds a whole episode.  ``index`` is the
-    consecutive tick counter.
+    works per segment: no task holds a whole episode.  Ticks are counted as rows:
+    with ``gaps`` the counter ``index`` may jump, and rows are numbered first;
+    without, it is consecutive.
     """
     good = F.col("speed_mps") >= min_speed
     if has_route is not None:
         good = good & has_route
-    spread = halo(df.withColumn("_good", good.cast("int")), index, back=ticks - 1, width=width)
-    run = W.partitionBy(*keys, SEG).orderBy(index).rowsBetween(-(ticks - 1), 0)
+    at = "_row" if gaps else index
+    rows = dense_index(df, keys, index, at, width) if gaps else df
+    spread = halo(rows.withColumn("_good", good.cast("int")), at, back=ticks - 1, width=width)
+    run = W.partitionBy(*keys, SEG).orderBy(at).rowsBetween(-(ticks - 1), 0)
     ready = F.sum("_good").over(run) >= ticks
     marked = own_rows(spread.withColumn("_ready", ready), keep_segment=True)
-    start = Running("min", F.when(F.col("_ready"), F.col(index)), "all")
-    out = scan(marked, keys, index, width, _start=start)
-    recording = F.coalesce(F.col(index) >= F.col("_start"), F.lit(False))
-    return out.withColumn("recording", recording).drop("_good", "_ready", "_start")
+    start = Running("min", F.when(F.col("_ready"), F.col(at)), "all")
+    out = scan(marked, keys, at, width, _start=start)
+    recording = F.coalesce(F.col(at) >= F.col("_start"), F.lit(False))
+    return out.withColumn("recording", recording).drop("_good", "_ready", "_start", *(["_row"] if gaps else []))
 
 
 def recording_gate(df: DataFrame, **options) -> DataFrame:
@@ -98,7 +102,7 @@ def thin_stationary(
     df: DataFrame,
     ratio: float = K.STATIONARY_KEEP_RATIO,
     max_run: int = K.STATIONARY_MAX_RUN,
-    key: str = "frame_id",
+    key: Sequence[str] = ("run_id", "episode_ord", "frame_id"),
     seed: int = 0,
     keys: Sequence[str] = EPISODE,
     index: str = "idx",
@@ -109,13 +113,13 @@ def thin_stationary(
     Reads ``stationary`` and ``near_light``.  A frame is early while it is at
     most the ``max_run``-th stationary frame since the vehicle last moved, which
     a look-back of ``max_run`` rows decides.  ``index`` numbers the rows of an
-    episode consecutively; ``key`` feeds the hash that decides the chance.
+    episode consecutively; ``key``, the whole key of a frame, feeds the hash that decides the chance.
     """
     spread = halo(df, index, back=max_run, width=width)
     run = W.partitionBy(*keys, SEG).orderBy(index).rowsBetween(-max_run, 0)
     standing = F.sum(F.col("stationary").cast("int")).over(run)
     early = standing <= max_run
-    chance = uniform(F.col(key), seed) < ratio
+    chance = uniform([F.col(x) for x in key], seed) < ratio
     keep = ~F.col("stationary") | F.col("near_light") | (early & chance)
     return own_rows(spread.withColumn("keep", keep))
 

@@ -103,8 +103,8 @@ def check_fields(df: DataFrame, mode: str = "bc") -> DataFrame:
 
 
 def check_object_width(df: DataFrame, column: str = "objects", width: int = K.OBJECT_WIDTH) -> DataFrame:
-    """Rows holding an object whose feature count is not ``width``."""
-    return df.where(F.exists(column, lambda o: F.size(o) != width))
+    """Rows holding an object whose feature count is not ``width``, null objects included."""
+    return df.where(F.exists(column, lambda o: o.isNull() | (F.size(o) != width)))
 
 
 def _not_finite(x: Column) -> Column:
@@ -133,6 +133,7 @@ def check_finite(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     )
 
 
+# --- fixed values: range rules ---
 DEFAULT_RULES = {"max_speed_mps": 50.0, "max_abs_accel_mps2": 12.0, "min_route_cov": 0.6}
 
 

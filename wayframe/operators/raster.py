@@ -321,13 +321,21 @@ def fill_speed_limit(cells: DataFrame, frames: DataFrame, keys: Sequence[str], l
     return cells.where(F.col("channel") != CH["speed_limit"]).unionByName(whole)
 
 
-def channel_stats(cells: DataFrame, keys: Sequence[str], grid: Grid = Grid()) -> DataFrame:
-    """Minimum, maximum and mean per channel over all cells, the implicit zeros included."""
+def channel_stats(cells: DataFrame, keys: Sequence[str], grid: Grid = Grid(), frames: DataFrame | None = None) -> DataFrame:
+    """Minimum, maximum and mean per channel over all cells, the implicit zeros included.
+
+    Every channel of every frame has a row, also those without cells; ``frames`` lists the frames
+    (columns ``keys``), by default those with a cell.
+    """
     n = grid.height * grid.width
     full = F.count(F.lit(1)) == n
     lo, hi = F.min("value"), F.max("value")
-    return cells.groupBy(*keys, "channel").agg(
+    drawn = cells.groupBy(*keys, "channel").agg(
         F.when(full, lo).otherwise(F.least(lo, F.lit(0.0))).alias("min"),
         F.when(full, hi).otherwise(F.greatest(hi, F.lit(0.0))).alias("max"),
         (F.sum("value") / n).alias("mean"),
     )
+    listed = (cells if frames is None else frames).select(*keys).distinct()
+    every = listed.withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(K.RASTER_CHANNELS - 1))))
+    j = every.join(drawn.withColumnsRenamed({k: f"_{k}" for k in [*keys, "channel"]}), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*keys, "channel"]], "left")
+    return j.select(*keys, "channel", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("min", "max", "mean")])

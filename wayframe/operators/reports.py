@@ -67,11 +67,11 @@ def histogram(df: DataFrame, value: Column | str, lo: float, hi: float, n: int =
     return _binned(df, v, F.lit(float(lo)), F.lit(float(hi)), n)
 
 
-def reward_histogram(df: DataFrame, value: str = "reward_clipped", n: int = 20, shown: int = 10) -> DataFrame:
-    """Histogram over the data's own range; the filled bins among the first ``shown``."""
+def reward_histogram(df: DataFrame, value: str = "reward_clipped", n: int = 20) -> DataFrame:
+    """Histogram over the data's own range; all filled bins."""
     ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
-    return _binned(df, F.col(value), lo, hi, n).where((F.col("bin") < shown) & (F.col("count") > 0))
+    return _binned(df, F.col(value), lo, hi, n).where("count > 0")
 
 
 def middle_values(df: DataFrame, value: str) -> DataFrame:
@@ -146,17 +146,14 @@ def diversity_report(
     speed: Column,
     steer: Column,
     rules: Mapping[str, float] | None = None,
-    sample_size: int | None = None,
-    order: str = "sample_idx",
 ) -> DataFrame:
     """Spread of speed and steering, share of moving samples, and which thresholds fail.
 
-    ``speed`` is in m/s.  All rows are read unless ``sample_size`` asks for the
-    first ones in file order.
+    ``speed`` is in m/s.  Issues are shown for any number of samples; ``few_samples``
+    says whether there are fewer than the rules ask for.
     """
     r = {**DIVERSITY, **(rules or {})}
-    src = df if sample_size is None else df.where(F.col(order) < sample_size)
-    s = src.select(speed.cast("double").alias("_v"), steer.cast("double").alias("_s")).agg(
+    s = df.select(speed.cast("double").alias("_v"), steer.cast("double").alias("_s")).agg(
         F.count(F.lit(1)).alias("samples_checked"),
         F.avg("_v").alias("speed_mean"),
         F.stddev_pop("_v").alias("speed_std"),
@@ -171,10 +168,8 @@ def diversity_report(
             F.when(F.col("stationary_ratio") > r["max_stationary_ratio"], F.lit("stationary_ratio")),
         )
     )
-    few = F.col("samples_checked") < r["min_samples"]
-    out = s.withColumn("issues", F.when(few, F.array().cast("array<string>")).otherwise(issues))
-    status = F.when(few, "insufficient_samples").when(F.size("issues") > 0, "warning").otherwise("ok")
-    return out.withColumn("status", status)
+    out = s.withColumn("issues", issues).withColumn("few_samples", F.col("samples_checked") < r["min_samples"])
+    return out.withColumn("status", F.when(F.size("issues") > 0, "warning").otherwise("ok"))
 
 
 def require_diversity(report: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ def augment(df: DataFrame, seed: int, settings: Mapping[str, float] | None = Non
         # One draw per element: the element number goes into the key.
         noise = F.transform(
             "ego_vec",
-            lambda v, i: clamp(v + H.normal(k * 64 + i, seed + _DRAW["ego_value"]) * c["ego_noise_scale"], -1.0, 1.0),
+            lambda v, i: clamp(v + H.normal([k, i], seed + _DRAW["ego_value"]) * c["ego_noise_scale"], -1.0, 1.0),
         )
         put("ego_vec", F.when(_hit(k, seed, "ego", c["p_ego_noise"]), noise).otherwise(F.col("ego_vec")))
     faster = _hit(k, seed, "speed", c["p_speed_scale"])
@@ -158,7 +158,7 @@ def augment(df: DataFrame, seed: int, settings: Mapping[str, float] | None = Non
             lambda p, i: F.transform(
                 p,
                 lambda v, j: clamp(
-                    v + H.normal(k * 64 + i * 2 + j, seed + _DRAW["path_value"]) * c["trajectory_noise_std"], -1.0, 1.0
+                    v + H.normal([k, i, j], seed + _DRAW["path_value"]) * c["trajectory_noise_std"], -1.0, 1.0
                 ),
             ),
         )
@@ -236,10 +236,12 @@ def raster_dropout(
 CONTROL_NOISE = {"probability": 0.2, "steer_std": 0.1, "throttle_std": 0.05, "brake_std": 0.05}
 
 
-def inject_noise(df: DataFrame, seed: int, settings: Mapping[str, float] | None = None, key: str = "frame_id") -> DataFrame:
-    """Perturb steer, throttle and brake of some ticks and flag them."""
+def inject_noise(
+    df: DataFrame, seed: int, settings: Mapping[str, float] | None = None, key: Sequence[str] = ("run_id", "episode_ord", "frame_id")
+) -> DataFrame:
+    """Perturb steer, throttle and brake of some ticks and flag them; ``key`` is the whole key of a tick."""
     c = {**CONTROL_NOISE, **(settings or {})}
-    k = F.col(key)
+    k = [F.col(x) for x in key]
     hit = H.uniform(k, seed) < c["probability"]
 
     def noisy(name: str, draw: int, std: float, lo: float) -> Column:

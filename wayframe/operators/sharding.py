@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayframe.plans.segments import WIDTH, dense_index
 
@@ -91,44 +92,62 @@ def reconcile_total(reconciled: DataFrame, total: int) -> DataFrame:
     )
 
 
-def _problem(kind: str, src: Column, out: Column, tolerance: float) -> Column:
-    """What is wrong with one field of one sample; null if nothing is."""
-    if kind == "exact":
-        return F.when(~src.eqNullSafe(out), F.lit("value"))
-    if kind == "float":
-        return F.when(F.abs(src - out) > tolerance, F.lit("value"))
-    worst = F.array_max(F.zip_with(src, out, lambda a, b: F.abs(a - b)))
-    return F.when(F.size(src) != F.size(out), F.lit("shape")).when(worst > tolerance, F.lit("value"))
+def _differs(src: Column, out: Column, kind: T.DataType, tolerance: float) -> Column:
+    """Whether two values of one type differ: nulls and NaNs equal only each other, numbers up to a tolerance."""
+    if isinstance(kind, T.ArrayType):
+        pairs = F.zip_with(src, out, lambda a, b: _differs(a, b, kind.elementType, tolerance))
+        return F.when(src.isNull() | out.isNull(), ~src.eqNullSafe(out)).otherwise(F.exists(pairs, lambda d: d))
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        odd = src.isNull() | out.isNull() | F.isnan(src) | F.isnan(out)
+        return F.when(odd | (src == out), ~src.eqNullSafe(out)).otherwise(~(F.abs(src - out) <= tolerance))
+    return ~src.eqNullSafe(out)
+
+
+def _reshaped(src: Column, out: Column, kind: T.DataType) -> Column:
+    """Whether two arrays of one type differ in length at any depth; null ones are compared as values."""
+    if not isinstance(kind, T.ArrayType):
+        return F.lit(False)
+    here = F.size(src) != F.size(out)
+    if isinstance(kind.elementType, T.ArrayType):
+        here = here | F.exists(F.zip_with(src, out, lambda a, b: _reshaped(a, b, kind.elementType)), lambda d: d)
+    return F.coalesce(src.isNotNull() & out.isNotNull() & here, F.lit(False))
 
 
 def verify_conversion(
     source: DataFrame,
     output: DataFrame,
-    fields: dict[str, str],
+    fields: Sequence[str],
     key: str = "sample_idx",
     tolerance: float = 1e-5,
     sampled: DataFrame | None = None,
 ) -> DataFrame:
     """Differences between source and output samples: (key, field, problem).
 
-    ``fields`` maps a name to ``exact``, ``float`` or ``array``.  ``sampled``
-    restricts the check to some keys; by default all samples are compared.
-    Problems are ``missing`` (sample or field), ``shape`` and ``value``.
+    ``fields`` may hold numbers, flags, texts, or arrays of them at any depth, of the same type on both sides;
+    floating-point numbers may differ by ``tolerance``, all else must be equal, and a null or NaN equals only its like.
+    ``sampled`` restricts the check to some keys; by default all samples of both sides are compared.
+    Problems are ``missing`` (a sample or a field that the output lacks), ``extra`` (one that the source lacks),
+    ``shape`` and ``value``.
     """
-    src = source if sampled is None else source.join(sampled.select(key), key, "left_semi")
-    s = src.select(key, F.struct(*fields).alias("_s"))
-    o = output.select(key, F.struct(*fields).alias("_o"))
-    j = s.join(o, key, "left")
-    gone = F.col("_o").isNull()
-    checks = [
-        F.struct(
-            F.lit(f).alias("field"),
-            F.when(~gone & F.col(f"_s.{f}").isNotNull() & F.col(f"_o.{f}").isNull(), F.lit("missing"))
-            .when(~gone, _problem(kind, F.col(f"_s.{f}"), F.col(f"_o.{f}"), tolerance))
-            .alias("problem"),
+    for f in fields:
+        if source.schema[f].dataType.simpleString() != output.schema[f].dataType.simpleString():
+            raise ValueError(f"{f}: {source.schema[f].dataType.simpleString()} in the source, {output.schema[f].dataType.simpleString()} in the output")
+    only = (lambda df: df) if sampled is None else (lambda df: df.join(sampled.select(key), key, "left_semi"))
+    s = only(source).select(key, F.struct(*fields).alias("_s"))
+    o = only(output).select(key, F.struct(*fields).alias("_o"))
+    j = s.join(o, key, "full_outer")
+    lost, extra = F.col("_o").isNull(), F.col("_s").isNull()
+
+    def check(f: str) -> Column:
+        a, b, kind = F.col(f"_s.{f}"), F.col(f"_o.{f}"), source.schema[f].dataType
+        problem = (
+            F.when(a.isNotNull() & b.isNull(), F.lit("missing"))
+            .when(a.isNull() & b.isNotNull(), F.lit("extra"))
+            .when(_reshaped(a, b, kind), F.lit("shape"))
+            .when(_differs(a, b, kind, tolerance), F.lit("value"))
         )
-        for f, kind in fields.items()
-    ]
-    lost = F.struct(F.lit("*").alias("field"), F.when(gone, F.lit("missing")).alias("problem"))
-    rows = F.filter(F.array(lost, *checks), lambda r: r["problem"].isNotNull())
+        return F.struct(F.lit(f).alias("field"), F.when(~lost & ~extra, problem).alias("problem"))
+
+    whole = F.struct(F.lit("*").alias("field"), F.when(lost, F.lit("missing")).when(extra, F.lit("extra")).alias("problem"))
+    rows = F.filter(F.array(whole, *[check(f) for f in fields]), lambda r: r["problem"].isNotNull())
     return j.select(key, F.inline(rows))

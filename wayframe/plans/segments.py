@@ -169,7 +169,16 @@ def neighbours(
     keep_segment: bool = False,
     **values: Column,
 ) -> DataFrame:
-    """Each expression's value ``offset`` rows earlier (later if negative); null outside the group."""
+    """Each expression's value ``offset`` rows earlier (later if negative); null outside the group.
+
+    One row back is exact for any counter, gaps included: the last row of the
+    earlier segments comes through their summaries.  For other offsets ``index``
+    must be consecutive, see :func:`dense_index`.
+    """
+    if offset == 1 and not keep_segment:
+        last = {n: Running("last", F.struct(c.alias("v")), "before") for n, c in values.items()}
+        out = scan(df, keys, index, width, **last)
+        return out.withColumns({n: F.col(f"{n}.v") for n in values})
     w = W.partitionBy(*keys, SEG).orderBy(index)
     spread = halo(df, index, back=max(offset, 0), ahead=max(-offset, 0), width=width)
     return own_rows(spread.select("*", *[F.lag(c, offset).over(w).alias(n) for n, c in values.items()]), keep_segment)

@@ -18,16 +18,24 @@ def read_table(spark: SparkSession, root: str | Sequence[str], name: str) -> Dat
     return spark.read.schema(table_schema(name)).parquet(*[f"{r.rstrip('/')}/{name}" for r in roots])
 
 
-def conform(df: DataFrame, name: str) -> DataFrame:
-    """Cast to the declared schema, columns in declared order; columns it lacks are null."""
+def conform(df: DataFrame, name: str, optional: Sequence[str] = ()) -> DataFrame:
+    """Cast to the declared schema, columns in declared order.
+
+    Columns that the schema does not know, and absent ones that are not ``optional``, are errors; an absent
+    optional column becomes null.
+    """
     schema = table_schema(name)
     have = set(df.columns)
+    unknown = sorted(have - set(schema.names))
+    absent = [c for c in schema.names if c not in have and c not in optional]
+    if unknown or absent:
+        raise ValueError(f"{name}: unknown columns {unknown}, absent columns {absent}")
     return df.select(
         *[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
     )
 
 
-def append_table(df: DataFrame, root: str, name: str, codec: str = "snappy") -> None:
+def append_table(df: DataFrame, root: str, name: str, codec: str = "snappy", optional: Sequence[str] = ()) -> None:
     """Append rows, cast to the declared schema; an unknown codec falls back to gzip.
 
     An empty input adds nothing.
@@ -35,7 +43,7 @@ def append_table(df: DataFrame, root: str, name: str, codec: str = "snappy") ->
     used = codec.lower() if codec.lower() in _CODECS else "gzip"
     if df.isEmpty():
         return
-    conform(df, name).write.mode("append").option("compression", used).parquet(f"{root.rstrip('/')}/{name}")
+    conform(df, name, optional).write.mode("append").option("compression", used).parquet(f"{root.rstrip('/')}/{name}")
 
 
 def write_shards(df: DataFrame, path: str, rows_per_shard: int = 50_000, codec: str = "zstd") -> None:
@@ -49,14 +57,14 @@ def write_shards(df: DataFrame, path: str, rows_per_shard: int = 50_000, codec:
     )
 
 
-def save_table(df: DataFrame, table: str, name: str, path: str | None = None) -> None:
+def save_table(df: DataFrame, table: str, name: str, path: str | None = None, optional: Sequence[str] = ()) -> None:
     """Insert into a catalog table, creating it from the declared schema if it is absent."""
     spark = df.sparkSession
     if not spark.catalog.tableExists(table):
         options = {"path": path} if path else {}
         empty = spark.createDataFrame([], table_schema(name))
         empty.write.format("parquet").options(**options).saveAsTable(table)
-    conform(df, name).write.insertInto(table)
+    conform(df, name, optional).write.insertInto(table)
 
 
 def table_count(spark: SparkSession, table: str) -> DataFrame:

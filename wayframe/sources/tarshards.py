@@ -20,14 +20,14 @@ METADATA = "__metadata__.json"
 
 _NUMPY = {
     T.LongType: "int64", T.IntegerType: "int32", T.ShortType: "int16", T.ByteType: "int8",
-    T.DoubleType: "float32", T.FloatType: "float32", T.BooleanType: "bool",
+    T.DoubleType: "float64", T.FloatType: "float32", T.BooleanType: "bool",
 }
 
 
-def _dtype(kind: T.DataType) -> str:
+def _dtype(kind: T.DataType, narrow: bool) -> str:
     while isinstance(kind, T.ArrayType):
         kind = kind.elementType
-    return _NUMPY[type(kind)]
+    return "float32" if narrow and isinstance(kind, T.DoubleType) else _NUMPY[type(kind)]
 
 
 def _member(tar: tarfile.TarFile, name: str, payload: bytes) -> None:
@@ -36,6 +36,12 @@ def _member(tar: tarfile.TarFile, name: str, payload: bytes) -> None:
     tar.addfile(info, io.BytesIO(payload))
 
 
+def _archives(spark: SparkSession, path: str) -> DataFrame:
+    """The archives' paths, dealt out over as many tasks as the session shuffles with, one by one."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.tar").load(path).select("path")
+    return listed.repartition("path")
+
+
 def write_tar_shards(
     df: DataFrame,
     path: str,
@@ -43,6 +49,7 @@ def write_tar_shards(
     index: str = "sample_idx",
     shard: str = "shard_idx",
     tasks: int | None = None,
+    narrow: bool = False,
 ) -> DataFrame:
     """Write one archive per shard and return the manifest (shard, first, last, count, file).
 
@@ -50,10 +57,10 @@ def write_tar_shards(
     written under a temporary name and renamed when complete, so a repeated task
     replaces it with the same content.  The manifest is stored next to the
     shards as JSON lines.  ``tasks`` is the number of writers; the session's
-    shuffle partitions by default.
+    shuffle partitions by default.  ``narrow`` stores doubles as float32.
     """
     path = path.rstrip("/")
-    dtypes = {f: _dtype(df.schema[f].dataType) for f in fields}
+    dtypes = {f: _dtype(df.schema[f].dataType, narrow) for f in fields}
 
     def write(frames: Iterator) -> Iterator:
         import numpy as np
@@ -171,13 +178,14 @@ def read_tar_shards(
                 if rows:
                     yield flush(rows)
 
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.tar").load(path).select("path")
-    n = max(1, spark.sparkContext.defaultParallelism)
-    return listed.repartition(n, F.col("path")).mapInPandas(read, schema)
+    return _archives(spark, path).mapInPandas(read, schema)
 
 
 def shard_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Per archive: the sample count its metadata states, or else its counted frame ids; null if unreadable."""
+    """Per archive: the sample count its metadata states, or else its counted frame ids, and the ``reason`` of a null count.
+
+    A malformed archive has no count.  A store that fails to answer fails the task, which Spark repeats.
+    """
     path = path.rstrip("/")
 
     def count(frames: Iterator) -> Iterator:
@@ -187,7 +195,7 @@ def shard_counts(spark: SparkSession, path: str) -> DataFrame:
         for pdf in frames:
             rows = []
             for p in pdf["path"].tolist():
-                n, stated = 0, 0
+                n, stated, reason = 0, 0, None
                 try:
                     store, name = fs.FileSystem.from_uri(p if "://" in p else p.replace("file:", "file://", 1))
                     with store.open_input_stream(name) as src, tarfile.open(fileobj=src, mode="r|*") as tar:
@@ -196,11 +204,11 @@ def shard_counts(spark: SparkSession, path: str) -> DataFrame:
                                 stated = int(json.loads(tar.extractfile(m).read()).get("sample_count", 0))
                             elif m.name.endswith(".frame_id.npy"):
                                 n += 1
-                except (OSError, tarfile.TarError, ValueError):
-                    n, stated = 0, 0
-                rows.append((p.rsplit("/", 1)[-1], stated or n or None))
-            yield pd.DataFrame(rows, columns=["file", "sample_count"]).astype({"sample_count": "Int64"})
-
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.tar").load(path).select("path")
-    n = max(1, spark.sparkContext.defaultParallelism)
-    return listed.repartition(n, F.col("path")).mapInPandas(count, "file string, sample_count bigint")
+                except (tarfile.TarError, ValueError) as e:
+                    n, stated, reason = 0, 0, f"malformed archive: {e}"
+                if not (stated or n or reason):
+                    reason = "no samples"
+                rows.append((p.rsplit("/", 1)[-1], stated or n or None, reason))
+            yield pd.DataFrame(rows, columns=["file", "sample_count", "reason"]).astype({"sample_count": "Int64", "reason": object})
+
+    return _archives(spark, path).mapInPandas(count, "file string, sample_count bigint, reason string")
