@@ -241,7 +241,7 @@ def likely(bits: np.ndarray, n: np.ndarray, percent: int, differ: np.ndarray | N
             below = len(levels[depth - 1][1])
             ca, cb = np.repeat(a, FANOUT * FANOUT) * FANOUT, np.repeat(b, FANOUT * FANOUT) * FANOUT
             ca += np.tile(np.repeat(np.arange(FANOUT), FANOUT), len(a))
-            cb += np.tile(np.arange(FANOUT), len(b))
+            cb += np.tile(np.arange(FANOUT), FANOUT * len(b))
             ok = (ca < below) & (cb < below) & (ca <= cb)
             a, b = ca[ok], cb[ok]
     return np.stack([order[a], order[b]])

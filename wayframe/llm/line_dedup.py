@@ -61,7 +61,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 def lines_of(docs: DataFrame) -> DataFrame:
     """One row per line that has a word: its document, number, and place in the tree."""
     x = keyed(docs).select(*DOC, F.posexplode(F.split(F.coalesce("row.text", F.lit("")), "\n")).alias("pos", "line"))
-    return x.select(*DOC, "pos", place(F.col("line")).alias("p")).where("p.n > 0").select(*DOC, "pos", "p.n", "p.fixed", "p.leaf", "p.tpl", "p.parts")
+    # The filter looks at the line, not at its place: a filter on the place would be pushed below and compute it twice.
+    x = x.where(F.translate("line", " \t\n\x0b\f\r", "") != "")
+    return x.select(*DOC, "pos", place(F.col("line")).alias("p")).select(*DOC, "pos", "p.n", "p.fixed", "p.leaf", "p.tpl", "p.parts")
 
 
 def agreeing(n: str, parts: str, seed: str) -> Column:
