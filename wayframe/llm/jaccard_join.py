@@ -391,7 +391,7 @@ def sql(words: int = WORDS, percent: int = PERCENT) -> str:
     return rf"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
 s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) < {words} THEN w ELSE w[i : i + {words} - 1] END AS g FROM (SELECT *, unnest(range(1, greatest(1, len(w) - {words} + 1) + 1)) AS i FROM w WHERE len(w) > 0)),
 n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both >= {percent} * (a.n + b.n - both)),
+p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS hits FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * hits >= {percent} * (a.n + b.n - hits)),
 reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM reach r JOIN l ON l.x = r.y)
 SELECT r.x AS doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r.y) AS component_id FROM reach r LEFT JOIN n ON n.doc_id = r.x GROUP BY r.x"""
