@@ -55,8 +55,10 @@ def plain_secrets(text):
     return sorted(out)
 
 
-def test_secret_scan(spark, documents):
-    got = {r["doc_id"]: r for r in run(spark, "op2_secret_scan")}
+def test_secret_scan(spark, con):
+    larger = SF.replace("0.001", "0.01")  # the smallest table holds no secret
+    documents = con.execute(f"SELECT doc_id, text FROM '{larger}/documents.parquet'").fetchall()
+    got = {r["doc_id"]: r.asDict() for r in catalog.QUERIES["op2_secret_scan"](spark, larger).collect()}
     assert len(got) == len(documents)
     for doc_id, text in documents:
         want = plain_secrets(text or "")
