@@ -168,7 +168,10 @@ def read_files(manifest: DataFrame, path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "file"],
                 )
 
-    return placed.select("file", F.col("before_n_ids").cast("bigint").alias("start")).repartition("file").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, file string")
+    # A stated number of partitions: adaptive execution would put the few small rows, and so all files, into one task.
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = placed.select("file", F.col("before_n_ids").cast("bigint").alias("start")).repartition(tasks, "file")
+    return files.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, file string")
 
 
 def token_files(docs: DataFrame, tokenizer: str | None = None, end: int = END, per_file: int = IDS_PER_FILE) -> DataFrame:

@@ -12,10 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Pieces kept per Python worker, and the longest one that is kept.
-KEPT, LONGEST = 300_000, 64
+#: Pieces kept per Python worker in each of two generations, and the longest one that is kept.
+KEPT, LONGEST = 500_000, 64
+#: Texts encoded at a time.
+ROWS = 4096
 
 
 def path_of(name: str) -> str:
@@ -25,16 +28,25 @@ def path_of(name: str) -> str:
 
 
 class _Pieces(dict):
-    """piece -> bytes of its ids."""
+    """piece -> bytes of its ids.  Full generations are set aside; what is still in use comes back from there."""
 
-    def __init__(self, tokenizer, lead: str, dtype: str):
+    def __init__(self, tokenizer, lead: str, dtype: str, marks: _Pieces | None = None, lowers: bool = False):
         super().__init__()
-        self._of, self._lead, self._dtype = tokenizer, lead, dtype
+        self._of, self._lead, self._dtype, self._lowers = tokenizer, lead, dtype, lowers
+        self._marks = self if marks is None else marks
+        self._old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.asarray(self._of.encode(self._lead + piece, add_special_tokens=False).ids, dtype=self._dtype).tobytes()
+        if len(piece) > 1 and piece[-1] in ".,;:" and piece[-2].isalpha():
+            # Letters never join the punctuation after them, so both are looked up on their own.
+            return self[piece[:-1]] + self._marks[piece[-1]]
+        ids = self._old.get(piece)
+        if ids is None:
+            low = piece.lower() if self._lowers and max(piece, default="") < "\u0100" else piece
+            ids = self[low] if low != piece else np.asarray(self._of.encode(self._lead + piece, add_special_tokens=False).ids, dtype=self._dtype).tobytes()
         if len(piece) <= LONGEST:
             if len(self) >= KEPT:
+                self._old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -55,7 +67,9 @@ class Encoder:
         tokenizer = Tokenizer.from_file(file)
         self.dtype = "<u2" if tokenizer.get_vocab_size() <= 65536 else "<u4"
         self.spaced = tokenizer.encode("a b", add_special_tokens=False).tokens[1] != tokenizer.encode("b", add_special_tokens=False).tokens[0]
-        self._bare, self._after = _Pieces(tokenizer, "", self.dtype), _Pieces(tokenizer, " ", self.dtype)
+        lowers = tokenizer.encode("A", add_special_tokens=False).ids == tokenizer.encode("a", add_special_tokens=False).ids
+        self._bare = _Pieces(tokenizer, "", self.dtype, lowers=lowers)
+        self._after = _Pieces(tokenizer, " ", self.dtype, self._bare, lowers)
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -65,6 +79,48 @@ class Encoder:
         parts = self._border.split(text) if self._near_space.search(text) else text.split(" ")
         return self._bare[parts[0]] + b"".join(map(self._after.__getitem__, parts[1:]))
 
+    def batch(self, texts: pa.Array, end: int) -> tuple[pa.Array, np.ndarray]:
+        """Ids of many texts, each with ``end`` after it, as bytes, and their numbers.
+
+        Pieces are cut and told apart in Arrow; Python sees each different piece of the batch once.
+        """
+        texts = pc.fill_null(texts, "")
+        if self.spaced:
+            odd = pc.match_substring_regex(texts, r"(^ )|([\pZ\pC] )|( [\pZ\pC])|( $)")
+            plain, whole = texts.filter(pc.invert(odd)), texts.filter(odd)
+            order = np.argsort(np.concatenate([np.flatnonzero(~odd.to_numpy(zero_copy_only=False)), np.flatnonzero(odd.to_numpy(zero_copy_only=False))]), kind="stable")
+        else:
+            plain, whole, order = pc.replace_substring(texts, "\n", " "), [], None
+        lists = pc.split_pattern(plain, " ")
+        starts = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        pieces, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        if self.spaced:
+            first, back = np.unique(codes[starts[:-1]], return_inverse=True)
+            codes[starts[:-1]] = len(pieces) + back
+            blobs = [*map(self._after.__getitem__, pieces), *(self._bare[pieces[k]] for k in first.tolist())]
+            codes = np.concatenate([codes, len(blobs) + np.arange(len(whole))])
+            blobs += [self(x) for x in whole.to_pylist()]
+            starts = np.concatenate([starts, starts[-1] + 1 + np.arange(len(whole))])
+        else:
+            blobs = [*map(self._bare.__getitem__, pieces)]
+        width = np.dtype(self.dtype).itemsize
+        lengths = np.fromiter(map(len, blobs), np.int64, len(blobs)) // width
+        at = np.cumsum(lengths) - lengths
+        pool = np.frombuffer(b"".join(blobs), self.dtype)
+        n = lengths[codes]
+        per_doc = np.add.reduceat(n, starts[:-1]) if len(texts) else np.zeros(0, np.int64)
+        ends = np.cumsum(per_doc + 1)
+        ids = np.full(int(ends[-1]) if len(ends) else 0, end, self.dtype)
+        body = np.ones(len(ids), bool)
+        body[ends - 1] = False
+        ids[body] = pool[np.repeat(at[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        offsets = np.concatenate([[0], ends * width])
+        out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(per_doc), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids)])
+        if order is not None:
+            out, per_doc = out.take(pa.array(order)), per_doc[order]
+        return out.cast(pa.binary()), per_doc + 1
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -86,14 +142,14 @@ def encoded(docs: DataFrame, file: str, end: int) -> DataFrame:
         from pyspark import TaskContext
 
         enc = encoder(file)
-        last = np.asarray([end], dtype=enc.dtype).tobytes()
-        width, at = np.dtype(enc.dtype).itemsize, TaskContext.get().partitionId() << 40
+        at = TaskContext.get().partitionId() << 40
         for b in batches:
-            ids = [enc(t) + last for t in b.column(1).to_pylist()]
-            rid = pa.array(np.arange(at, at + len(ids), dtype=np.int64))
-            at += len(ids)
-            n = pa.array([len(x) // width for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([rid, b.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), n], names=["rid", "doc_id", "ids", "n"])
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
+                ids, n = enc.batch(part.column(1), end)
+                rid = pa.array(np.arange(at, at + len(n), dtype=np.int64))
+                at += len(n)
+                yield pa.RecordBatch.from_arrays([rid, part.column(0).cast(pa.int64()), ids, pa.array(n)], names=["rid", "doc_id", "ids", "n"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "rid bigint, doc_id bigint, ids binary, n bigint")
 
