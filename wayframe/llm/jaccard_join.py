@@ -27,7 +27,7 @@ from wayframe.llm.common import chunk_pairs, components, runs, settle
 
 WORDS, PERCENT = 3, 90
 #: Bits per hash and bounds of a bitmap's width; sets per block; children per tree node.
-SPREAD, NARROWEST, WIDEST, BLOCK, FANOUT = 4, 256, 65536, 512, 8
+SPREAD, NARROWEST, WIDEST, BLOCK, FANOUT = 2, 256, 65536, 512, 8
 #: The count sketch has about a cell per this many hashes, within bounds; a crowded cell holds 3 times the mean and 20 more.
 PER_CELL, CELL_BITS = 64, (12, 20)
 #: Bits of the filter that keeps sets without a likely partner out of verification.
@@ -85,10 +85,6 @@ def width_of(n: int) -> int:
     return min(WIDEST, max(NARROWEST, 1 << (SPREAD * n - 1).bit_length()))
 
 
-def width_sql(n: str) -> Column:
-    return F.expr(f"CAST(least({WIDEST}, greatest({NARROWEST}, pow(2, length(bin({SPREAD} * {n} - 1))))) AS INT)")
-
-
 def bitmap(h: np.ndarray) -> bytes:
     bits = np.zeros(width_of(len(h)), np.uint8)
     bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
@@ -248,7 +244,7 @@ def likely(bits: np.ndarray, n: np.ndarray, percent: int, differ: np.ndarray | N
 
 
 def partners(groups: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
-    """Likely pairs (a, b) of groups (h, width, i, j, block, sid, n, bits, label), sorted by the first four.
+    """Likely pairs (a, b) of groups (h, cls, i, j, block, own, sid, n, bits, label), sorted by the first four.
 
     Without ``all_pairs`` each set is paired with its smallest likely partner only; with it, with every likely
     partner of another label.
@@ -256,14 +252,16 @@ def partners(groups: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, borders in runs(batches, 4):
-            width, bi, bj, block, sid, n, label = (t.column(c).to_numpy() for c in ("width", "i", "j", "block", "sid", "n", "label"))
+            bi, bj, block, own, sid, n, label = (t.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "block", "own", "sid", "n", "label"))
             raw = t.column("bits").to_pylist()
             out: list[np.ndarray] = []
             for lo, hi in itertools.pairwise(borders):
                 if hi - lo < 2:
                     continue
-                bits = np.stack([folded(x, int(width[lo])) for x in raw[lo:hi]])
+                width = 8 * min(map(len, raw[lo:hi]))
+                bits = np.stack([folded(x, width) for x in raw[lo:hi]])
                 pairs = likely(bits, n[lo:hi], percent, label[lo:hi] if all_pairs else None) + lo
+                pairs = pairs[:, own[pairs[0]] | own[pairs[1]]]
                 if all_pairs:
                     pairs = pairs[:, label[pairs[0]] != label[pairs[1]]]
                 if bi[lo] != bj[lo]:
@@ -325,17 +323,22 @@ def joined(sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     bits = settle(bits.join(shared.select(F.col("sid").alias("_sid")).distinct(), F.col("sid") == F.col("_sid"), "left_semi"), "bitmaps")
 
     def grouped(rows: DataFrame, labelled: bool) -> DataFrame:
-        """The rows of shared prefixes as groups by hash and bitmap width, in block pairs."""
-        least = F.expr(f"(n * {percent} + 99) div 100").alias("m")
-        g = rows.select("*", least).withColumn("width", F.explode(F.array_distinct(F.array(width_sql("n"), width_sql("m"))))).drop("m")
-        size = [F.count(F.lit(1)).alias("rows"), F.min("label").alias("l0"), F.max("label").alias("l1")]
-        count = g.groupBy("h", "width").agg(*size).where("rows > 1" + (" AND l0 <> l1" if labelled else ""))
-        count = count.select(F.col("h").alias("_h"), F.col("width").alias("_w"), "rows")
-        g = g.join(count, (F.col("h") == F.col("_h")) & (F.col("width") == F.col("_w"))).drop("_h", "_w")
-        g = chunk_pairs(g, ["h", "width"], "rows", F.xxhash64("label", "sid") if not labelled else F.xxhash64("sid"), block)
+        """The rows of shared prefixes as groups by hash and size class, in block pairs.
+
+        Sizes of a pair lie in one class or in neighbouring ones (a class is a little wider than the threshold's
+        ratio), so a set is ``own`` in its class and a guest in the next; two guests are not compared.
+        """
+        s = F.expr(f"CAST(floor(ln(n) / (1.001 * ln(100 / {percent}D))) AS BIGINT)")
+        places = F.array(F.struct(s.alias("cls"), F.lit(True).alias("own")), F.struct((s + 1).alias("cls"), F.lit(False).alias("own")))
+        g = rows.select("*", F.explode(places).alias("p")).select("h", "p.cls", "p.own", "sid", "n", "label")
+        size = [F.count(F.lit(1)).alias("rows"), F.count_if("own").alias("owned"), F.min("label").alias("l0"), F.max("label").alias("l1")]
+        count = g.groupBy("h", "cls").agg(*size).where("rows > 1 AND owned > 0" + (" AND l0 <> l1" if labelled else ""))
+        count = count.select(F.col("h").alias("_h"), F.col("cls").alias("_c"), "rows")
+        g = g.join(count, (F.col("h") == F.col("_h")) & (F.col("cls") == F.col("_c"))).drop("_h", "_c")
+        g = chunk_pairs(g, ["h", "cls"], "rows", F.xxhash64("sid"), block)
         b = bits.withColumnRenamed("sid", "_sid")
-        g = g.join(b, F.col("sid") == F.col("_sid")).select("h", F.col("width").cast("bigint").alias("width"), F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "block", "sid", "n", "bits", "label")
-        return g.repartition("h", "width", "i", "j").sortWithinPartitions("h", "width", "i", "j")
+        g = g.join(b, F.col("sid") == F.col("_sid")).select("h", "cls", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "block", "own", "sid", "n", "bits", "label")
+        return g.repartition("h", "cls", "i", "j").sortWithinPartitions("h", "cls", "i", "j")
 
     first = settle(partners(grouped(shared.withColumn("label", F.col("sid")), False), percent, False), "pairs")
     links = settle(verified(first, sets, percent), "links")
