@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from wayframe.catalog import ctes as Q
 from wayframe.catalog.registry import query
-from wayframe.catalog.views import frames, r6
+from wayframe.catalog.views import frames, lights, r6
+from wayframe.operators import gates as GA
+from wayframe.operators import joins as J
 from wayframe.operators import motion as M
 from wayframe.operators import rewards as R
 from wayframe.operators.gates import cut_at_terminal, mark_gate
@@ -119,3 +121,77 @@ def _(spark, sf):
         *KEY, r6("reward_normalized", digits=5), r6("reward_mean"), r6("reward_std"),
         "action_steer", "action_throttle", "action_brake", "route_progress_delta", "done", "discount",
     )
+
+
+# --- ticks with gaps (after the control check), small segments: borders and missing ticks matter ---
+NARROW = 64
+GAPPED = Q.FRAMES + """,
+whole AS (SELECT * FROM frames), thin AS (SELECT * FROM whole WHERE NOT (speed_mps > 5e-1 AND brake > 5e-1 AND throttle > 2e-1) AND frame_id % 64 <> 0)"""
+GAPPED_EVENTS = GAPPED + EVENTS.removeprefix(Q.FRAMES).replace("FROM frames WINDOW", "FROM thin WINDOW")
+
+
+def gapped(spark, sf_dir):
+    """Frames after the control check; the tick at each segment border is missing as well."""
+    return GA.drop_action_mismatch(frames(spark, sf_dir)).where(F.col("frame_id") % 64 != 0)
+
+
+@query("comfort_gapped", f"WITH {GAPPED_EVENTS} SELECT episode_ord, frame_id, {Q.r6('jerk', 'jerk')}, {Q.r6('steer_change', 'steer_change')} FROM evs")
+def _(spark, sf):
+    return M.comfort(gapped(spark, sf), 0.1, width=NARROW).select(*KEY, r6("jerk"), r6("steer_change"))
+
+
+@query("progress_delta_gapped", f"WITH {GAPPED_EVENTS} SELECT episode_ord, frame_id, route_progress_delta FROM evs")
+def _(spark, sf):
+    return M.progress_delta(gapped(spark, sf), start(), width=NARROW).select(*KEY, "route_progress_delta")
+
+
+@query("counter_increased_gapped", f"WITH {GAPPED_EVENTS} SELECT episode_ord, frame_id, collision_flag FROM evs")
+def _(spark, sf):
+    return M.counter_increased(gapped(spark, sf), "collisions_cum", "collision_flag", width=NARROW).select(*KEY, "collision_flag")
+
+
+@query("recording_gate_gapped", f"WITH {GAPPED},{Q.gate(source='thin')} SELECT episode_ord, frame_id FROM gated WHERE recording")
+def _(spark, sf):
+    return GA.recording_gate(gapped(spark, sf), width=NARROW, gaps=True).select(*KEY)
+
+
+@query(
+    "cut_at_terminal_gapped",
+    f"""WITH {GAPPED_EVENTS}, ev1 AS (SELECT *, CASE WHEN collision_flag THEN 'collision' WHEN offroad_flag AND frame_id > 200 THEN 'offroad' WHEN route_completed THEN 'goal' END AS ev FROM evs),
+fi AS (SELECT *, min(CASE WHEN ev IS NOT NULL THEN frame_id END) OVER (PARTITION BY episode_ord) AS f,
+         arg_min(ev, CASE WHEN ev IS NOT NULL THEN frame_id END) OVER (PARTITION BY episode_ord) AS why FROM ev1)
+SELECT episode_ord, frame_id, coalesce(why, 'none') AS termination, frame_id = max(frame_id) OVER (PARTITION BY episode_ord) AS done FROM fi WHERE f IS NULL OR frame_id <= f""",
+)
+def _(spark, sf):
+    """Leaving the road ends an episode here, once its first 200 ticks are over."""
+    steps = R.tick_events(gapped(spark, sf), 0.1, start(), width=NARROW)
+    steps = steps.withColumn("offroad_flag", F.col("offroad_flag") & (F.col("frame_id") > 200))
+    return GA.mark_terminal(cut_at_terminal(steps, width=NARROW), width=NARROW).select(*KEY, "termination", "done")
+
+
+STOP = "EXISTS (SELECT 1 FROM lights l WHERE l.tick = run_tick AND stop_x BETWEEN 0 AND 8 AND abs(stop_y) <= 8 AND state IN (0, 1))"
+
+
+@query(
+    "rl_labels_complete",
+    f"""WITH {Q.LIGHTS},{GAPPED_EVENTS}""".replace("lane_events_cum > pe AS lane_flag", f"(lane_events_cum > pe OR {STOP}) AS lane_flag").replace(
+        "coalesce(lane_type <> 1, true) AS offroad_flag", "(coalesce(lane_type <> 1, true) AND frame_id > 200) AS offroad_flag"
+    )
+    + REWARDS.removeprefix(EVENTS)
+    + f""",{Q.gate(source='rc')},
+tf AS (SELECT *, min(CASE WHEN offroad_flag OR route_completed THEN frame_id END) OVER (PARTITION BY episode_ord) AS f FROM gated),
+cut AS (SELECT * FROM tf WHERE f IS NULL OR frame_id <= f)"""
+    + NORMAL.format(source="cut")
+    + f""",
+kp0 AS (SELECT * FROM nz WHERE recording),{Q.futures(12, 200_000, source='kp0', bases='true')},
+fu AS (SELECT episode_ord, frame_id, sum(f_x) AS xs FROM fut GROUP BY ALL HAVING count(*) = 12),
+kp AS (SELECT kp0.*, frame_id = max(frame_id) OVER (PARTITION BY episode_ord) AS done FROM kp0 SEMI JOIN fu USING (episode_ord, frame_id))
+SELECT episode_ord, frame_id, {Q.r6('reward_normalized', 'reward_normalized', 5)}, reward_violation, reward_offroad,
+  route_progress_delta, done, CASE WHEN done THEN 0e0 ELSE 1e0 END AS discount FROM kp""",
+)
+def _(spark, sf):
+    """Lights and lane events, leaving the road, full horizons, and the terminal mark on what is left."""
+    lit = J.traffic_violation(gapped(spark, sf).withColumn("tick", F.col("run_tick")), lights(spark, sf))
+    late = lit.withColumn("lane_type", F.when(F.col("frame_id") > 200, F.col("lane_type")).otherwise(F.lit(1)))
+    out = R.rl_labels(late, 0.1, termination={"collision": False}, start=start(), horizon=(12, 200_000), width=NARROW, gaps=True)
+    return out.select(*KEY, r6("reward_normalized", digits=5), "reward_violation", "reward_offroad", "route_progress_delta", "done", "discount")

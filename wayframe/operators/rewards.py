@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wayframe import constants as K
 from wayframe.operators.futures import EPISODE
+from wayframe.operators.futures import future_samples, future_waypoints
 from wayframe.operators.gates import cut_at_terminal, mark_gate, mark_terminal
 from wayframe.operators.motion import jerk
 from wayframe.plans.segments import SEG, WIDTH, neighbours, segment_of
@@ -148,14 +149,18 @@ def rl_labels(
     run: Sequence[str] = ("run_id",),
     run_order: str = "run_tick",
     width: int = WIDTH,
+    horizon: tuple[int, int] | None = None,
+    gaps: bool = False,
 ) -> DataFrame:
     """Rewards, running statistics, episode end and terminal marks of the recorded frames.
 
+    With ``horizon`` (steps, microseconds per step) recorded frames get their ``futures``, those without all
+    of them are dropped, and the last frame that is left is the terminal one.  ``gaps``: see gates.mark_gate.
     Rewards are computed on every tick, the running statistics count from the
     moment the gate opens, an episode ends at its first terminal tick, and its
     last recorded frame is marked.  The controls are carried as actions.
     """
-    steps = tick_events(mark_gate(df, width=width), dt, start, reach, width=width)
+    steps = tick_events(mark_gate(df, width=width, gaps=gaps), dt, start, reach, width=width)
     # Ticks after the end of an episode do not exist for the run statistics.
     t = dict(termination or {})
     cut = cut_at_terminal(steps, t.get("collision", True), t.get("offroad", True), t.get("completion", True), width=width)
@@ -166,4 +171,7 @@ def rl_labels(
         F.col("throttle").alias("action_throttle"),
         F.col("brake").alias("action_brake"),
     )
+    if horizon is not None:
+        n, step_us = horizon
+        kept = future_waypoints(future_samples(kept, n, step_us, tail=None)).where(F.size("futures") == n)
     return mark_terminal(kept, width=width)
