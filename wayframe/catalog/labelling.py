@@ -13,13 +13,17 @@ from wayframe.operators import futures as FU
 from wayframe.operators import gates as GA
 from wayframe.operators import quality as QU
 from wayframe.plans.segments import dense_index
+from wayframe.sources.shared import settle
 
 KEY = ["episode_ord", "frame_id"]
 
 
 def buffered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded ticks: gate on all ticks, then the control check."""
-    return GA.drop_action_mismatch(GA.recording_gate(frames(spark, sf_dir)))
+    """Recorded ticks: gate on all ticks, then the control check.
+
+    Written once: what follows reads its input several times, and stacked plans would double at each step.
+    """
+    return settle(GA.drop_action_mismatch(GA.recording_gate(frames(spark, sf_dir))), "ticks")
 
 
 BUFFERED = Q.FRAMES + "," + Q.gate() + """,
@@ -39,7 +43,7 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     Done before labelling, while it only costs a count of the ticks; the tail
     ticks come last, so the numbers of the frames stay consecutive without them.
     """
-    return dense_index(buffered(spark, sf_dir), FU.EPISODE, "frame_id")
+    return settle(dense_index(buffered(spark, sf_dir), FU.EPISODE, "frame_id"), "ticks")
 
 
 @query(

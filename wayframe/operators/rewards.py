@@ -14,6 +14,7 @@ from wayframe.operators.futures import future_samples, future_waypoints
 from wayframe.operators.gates import cut_at_terminal, mark_gate, mark_terminal
 from wayframe.operators.motion import jerk
 from wayframe.plans.segments import SEG, WIDTH, neighbours, segment_of
+from wayframe.sources.shared import settle
 
 
 def offroad_flag(lane_type: str = "lane_type", driving: int = K.DRIVING_LANE) -> Column:
@@ -160,12 +161,13 @@ def rl_labels(
     moment the gate opens, an episode ends at its first terminal tick, and its
     last recorded frame is marked.  The controls are carried as actions.
     """
-    steps = tick_events(mark_gate(df, width=width, gaps=gaps), dt, start, reach, width=width)
+    # Each step reads its input more than once, so the ticks are written between them and the plan stays flat.
+    steps = settle(tick_events(settle(mark_gate(df, width=width, gaps=gaps), "ticks"), dt, start, reach, width=width), "ticks")
     # Ticks after the end of an episode do not exist for the run statistics.
     t = dict(termination or {})
     cut = cut_at_terminal(steps, t.get("collision", True), t.get("offroad", True), t.get("completion", True), width=width)
     scored = running_normalise(rewards(cut, weights, clip), keys=run, order=run_order, width=width)
-    kept = scored.where("recording").select(
+    kept = settle(scored, "ticks").where("recording").select(
         "*",
         F.col("steer_norm").alias("action_steer"),
         F.col("throttle").alias("action_throttle"),
@@ -174,4 +176,5 @@ def rl_labels(
     if horizon is not None:
         n, step_us = horizon
         kept = future_waypoints(future_samples(kept, n, step_us, tail=None)).where(F.size("futures") == n)
+        kept = settle(kept, "ticks")
     return mark_terminal(kept, width=width)

@@ -13,9 +13,11 @@ _own: dict[str, str | None] = {}  # by application, where the session names no f
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from the session; a temporary one of our own where none is set (tests)."""
+    """The cluster's shared folder, from the session; where none is set, a temporary one of our own, on one machine only."""
     path = spark.conf.get(CHECKPOINT_DIR, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         path = _own.setdefault(app, None) or tempfile.mkdtemp(prefix="wayframe-")
         _own[app] = path
