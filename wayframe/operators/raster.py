@@ -17,6 +17,8 @@ from wayframe import constants as K
 from wayframe.functions.geometry import limit_to_mps
 
 CH = K.CHANNELS
+#: Rows of one layer in one frame from which the frame's rows are dealt to several tasks.
+CROWDED = 2_000
 
 
 def _c(x) -> Column:
@@ -157,15 +159,19 @@ def draw_polyline(points, thickness: int, grid: Grid) -> Column:
     return thicken(points, polyline_centres(points, grid), thickness, grid)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out evenly before drawing.
+def spread(df: DataFrame, placed: bool = False) -> DataFrame:
+    """Deal the rows out evenly before drawing, unless they are ``placed`` already.
 
     One input row becomes thousands of cells, so input partitions sized by bytes
     are far too big.  The number is stated (the session's shuffle partitions),
     or adaptive execution would merge them again; dealing by row keeps a frame
     with very many lines from filling one task.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df if placed else df.repartition(_tasks(df))
+
+
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _layers(df: DataFrame, keys: Sequence[str], *layers: tuple[Column | int, Column, Column | float]) -> DataFrame:
@@ -186,12 +192,12 @@ def _layers(df: DataFrame, keys: Sequence[str], *layers: tuple[Column | int, Col
     )
 
 
-def lane_layers(segments: DataFrame, keys: Sequence[str], grid: Grid = Grid()) -> DataFrame:
+def lane_layers(segments: DataFrame, keys: Sequence[str], grid: Grid = Grid(), placed: bool = False) -> DataFrame:
     """Centre line, drivable area, both boundaries and speed limit of the lane segments.
 
     Reads ``kind`` (only 0 is drawn), ``coords_x``, ``coords_y`` and ``speed_limit``.
     """
-    lines = spread(segments).where((F.col("kind") == 0) & (F.size("coords_x") > 0) & (F.size("coords_x") == F.size("coords_y")))
+    lines = spread(segments, placed).where((F.col("kind") == 0) & (F.size("coords_x") > 0) & (F.size("coords_x") == F.size("coords_y")))
     lines = lines.withColumn(
         "_p", F.zip_with("coords_x", "coords_y", lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
     )
@@ -230,7 +236,7 @@ def lane_layers(segments: DataFrame, keys: Sequence[str], grid: Grid = Grid()) -
     )
 
 
-def light_layers(lights: DataFrame, keys: Sequence[str], grid: Grid = Grid(), radius: int = 2) -> DataFrame:
+def light_layers(lights: DataFrame, keys: Sequence[str], grid: Grid = Grid(), radius: int = 2, placed: bool = False) -> DataFrame:
     """Stop lines, and the light's state on the channel of its colour."""
     cells = stamp(*xy_to_cell("stop_x", "stop_y", grid), radius, grid)
     colour = (
@@ -238,12 +244,12 @@ def light_layers(lights: DataFrame, keys: Sequence[str], grid: Grid = Grid(), ra
         .when(F.col("state") == K.YELLOW, CH["light_yellow"])
         .when(F.col("state") == K.GREEN, CH["light_green"])
     )
-    return _layers(spread(lights), keys, (CH["stop_line"], cells, 1.0), (colour, cells, 1.0)).where("channel IS NOT NULL")
+    return _layers(spread(lights, placed), keys, (CH["stop_line"], cells, 1.0), (colour, cells, 1.0)).where("channel IS NOT NULL")
 
 
-def route_layers(routes: DataFrame, keys: Sequence[str], grid: Grid = Grid(), points: str = "points") -> DataFrame:
+def route_layers(routes: DataFrame, keys: Sequence[str], grid: Grid = Grid(), points: str = "points", placed: bool = False) -> DataFrame:
     """Route centre line and corridor, from ``array<struct<x, y>>`` per frame."""
-    lines = spread(routes).withColumn("_c", polyline_centres(points, grid))
+    lines = spread(routes, placed).withColumn("_c", polyline_centres(points, grid))
     return _layers(
         lines,
         keys,
@@ -252,7 +258,7 @@ def route_layers(routes: DataFrame, keys: Sequence[str], grid: Grid = Grid(), po
     )
 
 
-def actor_layers(tokens: DataFrame, keys: Sequence[str], grid: Grid = Grid()) -> DataFrame:
+def actor_layers(tokens: DataFrame, keys: Sequence[str], grid: Grid = Grid(), placed: bool = False) -> DataFrame:
     """Presence of each actor by class, and its velocity at the centre cell."""
     row, col = xy_to_cell("x_ego", "y_ego", grid)
     r = grid.pixels(grid.actor_radius)
@@ -262,7 +268,7 @@ def actor_layers(tokens: DataFrame, keys: Sequence[str], grid: Grid = Grid()) ->
     cells = F.when(kind == K.VEHICLE, stamp(row, col, r, grid)).otherwise(stamp(row, col, small, grid))
     centre = stamp(row, col, 0, grid)
     return _layers(
-        spread(tokens),
+        spread(tokens, placed),
         keys,
         (channel, cells, 1.0),
         (CH["velocity_x"], centre, F.col("vx")),
@@ -293,17 +299,25 @@ def rasterize(
     tokens: DataFrame | None = None,
     grid: Grid = Grid(),
 ) -> DataFrame:
-    """Sparse raster (keys, channel, row, col, value) of all layers given."""
+    """Sparse raster (keys, channel, row, col, value) of all layers given.
+
+    The layers own different channels, so each is merged alone.  Rows are placed by frame before they are drawn,
+    and their cells then meet without another shuffle; only frames with more than CROWDED rows in a
+    layer are dealt out row by row, and their cells shuffled after a map-side merge.
+    """
     parts = []
     for source, draw in ((segments, lane_layers), (lights, light_layers), (routes, route_layers), (tokens, actor_layers)):
         if source is not None:
-            parts.append(draw(source, keys, grid))
+            crowded = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWDED).drop("_n")
+            by_frame = source.join(crowded, list(keys), "left_anti").repartition(_tasks(source), *keys)
+            parts.append(merge_cells(draw(by_frame, keys, grid, placed=True), keys, grid))
+            parts.append(merge_cells(draw(source.join(crowded, list(keys), "left_semi"), keys, grid), keys, grid))
     if not parts:
         raise ValueError("nothing to draw")
     cells = parts[0]
     for p in parts[1:]:
         cells = cells.unionByName(p)
-    return merge_cells(cells, keys, grid)
+    return cells
 
 
 def fill_speed_limit(cells: DataFrame, frames: DataFrame, keys: Sequence[str], limit: str, grid: Grid = Grid()) -> DataFrame:
