@@ -8,9 +8,10 @@ overlap is too small.  Pairs of sets that are left are verified on the full sets
 
 Scale.  The global order puts hashes from crowded cells of a bounded count sketch last, so passages that very
 many documents share stay out of prefixes.  Groups are split into blocks and block pairs are tasks of
-their own.  The first round offers each set its smallest likely partner only; once those links are known,
-a second round offers all likely pairs between different components, so a large group of near copies costs about its
-size and not its square, and no link between components is lost.
+their own.  The first round looks at the first few prefix hashes and offers each set its smallest likely partner only; once
+those links are known, groups within one component are done, and a second round offers all likely pairs between
+different components in the others.  So a large group of near copies costs about its size and not its square, and
+no link between components is lost.
 """
 
 from __future__ import annotations
@@ -27,9 +28,14 @@ from wayframe.llm.common import chunk_pairs, components, runs, settle
 
 WORDS, PERCENT = 3, 90
 #: Bits per hash and bounds of a bitmap's width; sets per block; children per tree node.
-SPREAD, NARROWEST, WIDEST, BLOCK, FANOUT = 2, 256, 65536, 512, 8
-#: The count sketch has about a cell per this many hashes, within bounds; a crowded cell holds 3 times the mean and 20 more.
-PER_CELL, CELL_BITS = 64, (12, 20)
+SPREAD, NARROWEST, WIDEST, BLOCK, FANOUT = 8, 256, 65536, 512, 8
+#: The first round looks at the first hashes of a prefix only.
+FIRST = 6
+#: Rows that a Python worker handles at a time.
+ROWS = 512
+PLACES = 4096
+#: The count sketch has about a cell per this many hashes, within bounds; a crowded cell is 8 deviations and 8 above the mean.
+PER_CELL, CELL_BITS = 16, (12, 22)
 #: Bits of the filter that keeps sets without a likely partner out of verification.
 FILTER_BITS = 22
 
@@ -97,6 +103,13 @@ def folded(raw: bytes, width: int) -> np.ndarray:
     return np.bitwise_or.reduce(b.reshape(-1, width // 64), axis=0)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of ROWS rows: a worker's memory stays small whatever the batch size."""
+    for b in batches:
+        for lo in range(0, b.num_rows, ROWS):
+            yield b.slice(lo, ROWS)
+
+
 def sets_of(docs: DataFrame, words: int, keep: dict[str, Column]) -> DataFrame:
     """Rows (<keep>, n, sid, bits, hashes).  sid, 64 bits of the set's digest, names equal sets; null for an empty set."""
     names = list(keep)
@@ -106,7 +119,7 @@ def sets_of(docs: DataFrame, words: int, keep: dict[str, Column]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in batches:
+        for b in sliced(batches):
             n, sid, bits, raw = [], [], [], []
             for t in b.column(len(names)).to_pylist():
                 h = shingles(t, words)
@@ -123,22 +136,24 @@ def crowded(sets: DataFrame) -> np.ndarray:
     """Which cells of the count sketch, of bounded size, are crowded: bool per cell, counted over all sets."""
     total = sets.agg(F.sum("n")).first()[0] or 0
     bits = min(max((total // PER_CELL).bit_length(), CELL_BITS[0]), CELL_BITS[1])
-    limit = 3 * total / (1 << bits) + 20
+    mean = total / (1 << bits)
+    limit = mean + 8 * mean**0.5 + 8
     piece = 1 << CELL_BITS[0]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << bits, np.int64)
-        for b in batches:
-            for raw in b.column(0).to_pylist():
-                np.add.at(n, (from_bytes(raw) >> np.uint64(48 - bits)).astype(np.int64), 1)
-        parts = np.minimum(n, 65535).astype("<u2").reshape(-1, piece)
+        n = np.zeros(1 << bits, np.uint32)
+        for b in sliced(batches):
+            h = from_bytes(b"".join(b.column(0).to_pylist())) >> np.uint64(48 - bits)
+            cells, seen = np.unique(h, return_counts=True)
+            n[cells.astype(np.int64)] += seen.astype(np.uint32)
+        parts = np.minimum(n, 255).astype(np.uint8).reshape(-1, piece)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, borders in runs(batches, 1):
             raw = t.column("n").to_pylist()
-            marks = [np.packbits(sum(np.frombuffer(x, "<u2").astype(np.int64) for x in raw[lo:hi]) > limit).tobytes() for lo, hi in itertools.pairwise(borders)]
-            yield pa.RecordBatch.from_arrays([t.column("part").take(pa.array(borders[:-1])).combine_chunks() if hasattr(t.column("part"), "combine_chunks") else t.column("part").take(pa.array(borders[:-1])), pa.array(marks, pa.binary())], names=["part", "marks"])
+            marks = [np.packbits(sum(np.frombuffer(x, np.uint8).astype(np.int64) for x in raw[lo:hi]) > limit).tobytes() for lo, hi in itertools.pairwise(borders)]
+            yield pa.RecordBatch.from_arrays([pa.array(t.column("part").to_numpy()[borders[:-1]]), pa.array(marks, pa.binary())], names=["part", "marks"])
 
     parts = sets.select("hashes").mapInArrow(count, "part bigint, n binary").repartition("part").sortWithinPartitions("part").mapInArrow(add, "part bigint, marks binary")
     got = sorted((r["part"], bytes(r["marks"])) for r in parts.collect())
@@ -148,12 +163,15 @@ def crowded(sets: DataFrame) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, heavy: np.ndarray, percent: int) -> DataFrame:
-    """(h, sid, n) for the prefix of every set; a set that a task has seen is not repeated by it."""
+    """(h, sid, nr) for the prefix of every set; a set that a task has seen is not repeated by it.
+
+    nr packs the set's size and the hash's place in the prefix: size * PLACES + place.
+    """
     shift = np.uint64(48 - (len(heavy).bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in sliced(batches):
             hs, sids, ns = [], [], []
             for sid, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if sid is None or sid in seen:
@@ -165,15 +183,15 @@ def prefixes(sets: DataFrame, heavy: np.ndarray, percent: int) -> DataFrame:
                 h = np.concatenate([h[~late], h[late]])[:m]
                 hs.append(h.view(np.int64))
                 sids.append(np.full(len(h), sid))
-                ns.append(np.full(len(h), len(raw) // 6))
+                ns.append(len(raw) // 6 * PLACES + np.minimum(np.arange(len(h)), PLACES - 1))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, sids, ns)], names=["h", "sid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, sids, ns)], names=["h", "sid", "nr"])
 
-    return sets.select("sid", "hashes").mapInArrow(run, "h bigint, sid bigint, n bigint")
+    return sets.select("sid", "hashes").mapInArrow(run, "h bigint, sid bigint, nr bigint")
 
 
 def shared_by_two(posted: DataFrame) -> DataFrame:
-    """Of (h, sid, n), the distinct rows whose h occurs with two sids or more.  A task streams its rows and holds none."""
+    """Of (h, sid, nr), the distinct rows whose h occurs with two sids or more.  A task streams its rows and holds none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h0 = sid0 = n0 = first = first_n = None
@@ -197,10 +215,10 @@ def shared_by_two(posted: DataFrame) -> DataFrame:
             heads_n = np.concatenate([[0 if first_n is None else first_n], n[at]])[run_no]
             later = np.flatnonzero(new & (order >= 2))
             second = np.flatnonzero(new & (order == 2))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[second], h[later]])), pa.array(np.concatenate([heads[second], sid[later]])), pa.array(np.concatenate([heads_n[second], n[later]]))], names=["h", "sid", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[second], h[later]])), pa.array(np.concatenate([heads[second], sid[later]])), pa.array(np.concatenate([heads_n[second], n[later]]))], names=["h", "sid", "nr"])
             h0, sid0, n0, seen, first, first_n = h[-1], sid[-1], n[-1], int(order[-1]), heads[-1], heads_n[-1]
 
-    return posted.repartition("h").sortWithinPartitions("h", "sid").mapInArrow(run, "h bigint, sid bigint, n bigint")
+    return posted.repartition("h").sortWithinPartitions("h", "sid").mapInArrow(run, "h bigint, sid bigint, nr bigint")
 
 
 def likely(bits: np.ndarray, n: np.ndarray, percent: int, differ: np.ndarray | None = None) -> np.ndarray:
@@ -293,7 +311,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in sliced(batches):
             bit = b.column(2).to_numpy()
             hit = (marks[bit // 64] >> (bit % 64)) & 1
             sid = b.column(0).to_pylist()
@@ -305,7 +323,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     some = settle(some, "verify_sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             ok = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 both = len(np.intersect1d(from_bytes(x), from_bytes(y), assume_unique=True))
@@ -318,7 +336,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def joined(sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """Components (node, component) over sids of written sets; sids without a link are not listed."""
-    shared = settle(shared_by_two(prefixes(sets, crowded(sets), percent)), "shared_prefixes")
+    shared = shared_by_two(prefixes(sets, crowded(sets), percent))
+    shared = settle(shared.select("h", "sid", F.expr(f"nr div {PLACES}").alias("n"), F.expr(f"nr % {PLACES}").alias("place")), "shared_prefixes")
     bits = sets.where("sid IS NOT NULL").select("sid", "bits").groupBy("sid").agg(F.first("bits").alias("bits"))
     bits = settle(bits.join(shared.select(F.col("sid").alias("_sid")).distinct(), F.col("sid") == F.col("_sid"), "left_semi"), "bitmaps")
 
@@ -340,7 +359,7 @@ def joined(sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
         g = g.join(b, F.col("sid") == F.col("_sid")).select("h", "cls", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "block", "own", "sid", "n", "bits", "label")
         return g.repartition("h", "cls", "i", "j").sortWithinPartitions("h", "cls", "i", "j")
 
-    first = settle(partners(grouped(shared.withColumn("label", F.col("sid")), False), percent, False), "pairs")
+    first = settle(partners(grouped(shared.where(f"place < {FIRST}").withColumn("label", F.col("sid")), False), percent, False), "pairs")
     links = settle(verified(first, sets, percent), "links")
     labels = components(links).withColumnRenamed("node", "_node")
     known = shared.join(labels, F.col("sid") == F.col("_node"), "left").select("h", "sid", "n", F.coalesce("component", "sid").alias("label"))
