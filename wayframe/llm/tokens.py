@@ -8,6 +8,8 @@ the library once, are kept: natural text repeats its words, and only new pieces
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,23 +29,55 @@ def path_of(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_marks() -> dict[int, int]:
+    """How byte-level files write the bytes that are no printable Latin-1 character: as the characters from U+0100 on, in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+_MARKS = _byte_marks()
+#: Words on which the direct way must agree with the whole tokenizer before it is used.
+_PROBES = ("the", "word", "tokenisation", "\u00e9t\u00e9", "stra\u00dfe", "xqzjv", "\u00b5\u00aa")
+
+
 class _Pieces(dict):
     """piece -> bytes of its ids.  Full generations are set aside; what is still in use comes back from there."""
 
     def __init__(self, tokenizer, lead: str, dtype: str, marks: _Pieces | None = None, lowers: bool = False):
         super().__init__()
-        self._of, self._lead, self._dtype, self._lowers = tokenizer, lead, dtype, lowers
+        self._of, self._lead, self._lowers = tokenizer, lead, lowers
+        self._merge, self._code = tokenizer.model.tokenize, {"<u2": "H", "<u4": "I"}[dtype]
         self._marks = self if marks is None else marks
+        self._space = chr(_MARKS[ord(" ")]) if lead == " " else ""
+        self._direct = all(self._word(w) == self._encode(w) for w in _PROBES)
         self._old: dict[str, bytes] = {}
 
+    def _encode(self, piece: str) -> bytes:
+        return self._bytes(self._of.encode(self._lead + piece, add_special_tokens=False).ids)
+
+    def _word(self, piece: str) -> bytes:
+        """A piece of Latin-1 letters in the case that the tokenizer keeps: one word, straight to the library's merge model."""
+        text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_MARKS)
+        return self._bytes([t.id for t in self._merge(self._space + text)])
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        out = array(self._code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
     def __missing__(self, piece: str) -> bytes:
         if len(piece) > 1 and piece[-1] in ".,;:" and piece[-2].isalpha():
             # Letters never join the punctuation after them, so both are looked up on their own.
             return self[piece[:-1]] + self._marks[piece[-1]]
         ids = self._old.get(piece)
         if ids is None:
-            low = piece.lower() if self._lowers and max(piece, default="") < "\u0100" else piece
-            ids = self[low] if low != piece else np.asarray(self._of.encode(self._lead + piece, add_special_tokens=False).ids, dtype=self._dtype).tobytes()
+            latin = max(piece, default="") < "\u0100"
+            low = piece.lower() if self._lowers and latin else piece
+            if low != piece:
+                ids = self[low]
+            else:
+                ids = self._word(piece) if self._direct and latin and piece.isalpha() else self._encode(piece)
         if len(piece) <= LONGEST:
             if len(self) >= KEPT:
                 self._old = dict(self)
