@@ -10,7 +10,7 @@ import pytest
 from wayframe.llm import catalog, html_text, jaccard_join, line_dedup, mixing, packing, quality, secret_scan, sharding, token_files, vector_dedup
 from wayframe.llm.common import components, running
 
-COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, _text string, n bigint, size int, th string"
+COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, _text string, n bigint, size int, th string, _k int, copies int, `a.b` int"
 
 
 def prose(seed, n, words=400):
@@ -27,7 +27,7 @@ def odd(spark):
         (5, " \n\t ", "en", "b"), (6, "two words", "en", "b"), (7, prose(7, 30_000, 9000), "de", "b"), (8, "x" * 200_000, "en", "c"), (None, None, None, None),
         (9, "ä 日本 \U0001f600\n\n" + prose(9, 60), "en", "a"), (10, base + "\nextra line here", "en", "c"), (1, "same id, other text " + prose(3, 80), "en", "a"),
     ]
-    return spark.createDataFrame([(*r, len(r[1] or ""), "clash", "clash", -1, -2, "clash") for r in rows], COLUMNS)
+    return spark.createDataFrame([(*r, len(r[1] or ""), "clash", "clash", -1, -2, "clash", 7, 8, 9) for r in rows], COLUMNS)
 
 
 @pytest.fixture(scope="module")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql.window import Window
 
 from wayframe.sources.shared import fresh_dir, settle
 
-__all__ = ["SPACE", "components", "fresh_dir", "let", "running", "settle", "table", "words"]
+__all__ = ["SPACE", "components", "fresh_dir", "let", "packed", "running", "settle", "table", "unpacked", "words"]
 
 #: A run of white space between words, as a Java regular expression; the characters are U+0020 and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -90,9 +89,14 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     return leaves.union(leaves.select(F.col("component").alias("node"), "component").distinct())
 
 
-def unique(name: str) -> str:
-    """A column name that no input column has."""
-    return f"_{name}_{uuid.uuid4().hex[:8]}"
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """The rows as one struct ``row`` with some keys beside it, so that no input column can clash with a name used here."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in keys.items()])
+
+
+def unpacked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns of packed rows."""
+    return df.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
 def runs(batches, keys: int):

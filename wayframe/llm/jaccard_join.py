@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayframe.llm.common import chunk_pairs, components, runs, settle
+from wayframe.llm.common import chunk_pairs, components, packed, runs, settle, unpacked
 
 WORDS, PERCENT = 3, 90
 #: Bits per hash and bounds of a bitmap's width; sets per block; children per tree node.
@@ -394,18 +394,19 @@ def grouped_rows(sets: DataFrame, percent: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of documents with one of each group: the smallest doc_id, then the smallest text hash.  Rows without words stay."""
-    cols = docs.columns
     key = F.xxhash64("doc_id", "text")
-    sets = settle(sets_of(docs, words, {"doc_id": F.col("doc_id").cast("bigint"), "_k": key}), "shingles")
+    sets = settle(sets_of(docs, words, {"doc_id": F.col("doc_id").cast("bigint"), "k": key}), "shingles")
     rows = grouped_rows(sets, percent)
-    best = rows.where("part IS NOT NULL").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_k")).alias("b"))
-    stay = best.select(F.col("b.doc_id").alias("_doc"), F.col("b._k").alias("_key"))
-    times = rows.where("part IS NOT NULL").groupBy(F.col("doc_id").alias("_doc2"), F.col("_k").alias("_key2")).agg(F.count(F.lit(1)).alias("_times"))
-    stay = stay.join(times, F.col("_doc").eqNullSafe(F.col("_doc2")) & (F.col("_key") == F.col("_key2"))).select("_doc", "_key", "_times")
-    empty = rows.where("part IS NULL").select(F.col("doc_id").alias("_doc"), F.col("_k").alias("_key"), F.lit(1).cast("bigint").alias("_times")).distinct()
+    some = rows.where("part IS NOT NULL")
+    best = some.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "k")).alias("b"))
+    stay = best.select(F.col("b.doc_id").alias("_doc"), F.col("b.k").alias("_k"))
+    times = some.groupBy(F.col("doc_id").alias("_doc2"), F.col("k").alias("_k2")).agg(F.count(F.lit(1)).alias("times"))
+    stay = stay.join(times, F.col("_doc").eqNullSafe(F.col("_doc2")) & (F.col("_k") == F.col("_k2"))).select("_doc", "_k", "times")
+    empty = rows.where("part IS NULL").select(F.col("doc_id").alias("_doc"), F.col("k").alias("_k"), F.lit(1).cast("bigint").alias("times")).distinct()
     # Rows repeated in full have one key: only these pass a deduplication, all others stay where they are.
-    j = docs.withColumn("_k", key).join(settle(stay.unionByName(empty), "kept"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key")))
-    return j.where("_times = 1").select(*cols).unionByName(j.where("_times > 1").dropDuplicates(["_doc", "_key"]).select(*cols))
+    d = packed(docs, doc_id=F.col("doc_id"), k=key)
+    j = d.join(settle(stay.unionByName(empty), "kept"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("k") == F.col("_k")))
+    return unpacked(j.where("times = 1").select("row").unionByName(j.where("times > 1").dropDuplicates(["_doc", "_k"]).select("row")), docs.columns)
 
 
 def sql(words: int = WORDS, percent: int = PERCENT) -> str:

@@ -55,7 +55,7 @@ def place(line: Column) -> Column:
 def keyed(docs: DataFrame) -> DataFrame:
     """Documents with the columns of DOC, by which they are ordered: null doc_ids last, ties by text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("id"), digest(text).alias("th"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("id"), digest(text).alias("th"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -93,14 +93,8 @@ def recurring(lines: DataFrame) -> DataFrame:
     return t.select("leaf", "tpl", "grp").join(groups.select(F.col("leaf").alias("_leaf"), F.col("grp").alias("_grp"), F.col("first").alias("first")), (F.col("leaf") == F.col("_leaf")) & (F.col("grp") == F.col("_grp"))).select("leaf", "tpl", "first")
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
-    """Every row of documents with its text less the recurring lines, and n_lines and n_dropped (lines with a word).
-
-    A null text stays null with no lines; n_chars, where there is such a column, is set to the new length.
-    Lines are cut at ``\\n`` only and joined again by it.  Rows that agree in doc_id and text are one
-    document and stay alike.  Documents with the same doc_id and other texts are different documents.
-    Other columns pass through, whatever they are called.  An empty table gives an empty result.
-    """
+def cleaned(docs: DataFrame) -> DataFrame:
+    """Rows (row, new, n_lines, n_dropped): a document, its text less the recurring lines, and its lines with a word."""
     lines = settle(lines_of(docs), "lines")
     bad = recurring(lines).withColumnsRenamed({"leaf": "_leaf", "tpl": "_tpl"})
     hit = lines.join(bad, (F.col("leaf") == F.col("_leaf")) & (F.col("tpl") == F.col("_tpl"))).where(F.struct(*DOC) != F.col("first"))
@@ -108,16 +102,36 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     j = keyed(docs).join(lost, [F.col(c) == F.col(f"_{c}") for c in DOC], "left")
     whole = F.coalesce("row.text", F.lit(""))
     stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("lost"))
-    text = F.when(F.col("lost").isNull(), F.col("row.text")).otherwise(let(F.split(whole, "\n"), lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x, i)), "\n")))
+    rest = let(F.split(whole, "\n"), lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x, i)), "\n"))
     n_lines = F.regexp_count(whole, F.lit(r"[^\x20\x09-\x0D][^\n]*")).cast("bigint")
-    out = j.select("row", text.alias("_new"), n_lines.alias("n_lines"), F.coalesce(F.size("lost"), F.lit(0)).cast("bigint").alias("n_dropped"))
-    out = out.withColumn("n_dropped", F.when(F.col("n_dropped") < 0, F.lit(0).cast("bigint")).otherwise(F.col("n_dropped")))
-    cols = []
-    for f in docs.schema.fields:
-        old = F.col("row").getField(f.name)
-        new = {"text": F.col("_new"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("_new")).otherwise(old).cast(f.dataType)}.get(f.name, old)
-        cols.append(new.alias(f.name))
-    return out.select(*cols, *[c for c in ("n_lines", "n_dropped") if c not in docs.columns])
+    n_dropped = F.when(F.col("lost").isNull(), F.lit(0)).otherwise(F.size("lost")).cast("bigint")
+    return j.select("row", F.when(F.col("lost").isNull(), F.col("row.text")).otherwise(rest).alias("new"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    def column(name: str, kind) -> Column:
+        old = F.col("row").getField(name)
+        if name == "text":
+            return F.col("new")
+        return F.when(F.col("n_dropped") > 0, F.length("new")).otherwise(old).cast(kind) if name == "n_chars" else old
+
+    return [column(f.name, f.dataType).alias(f.name) for f in docs.schema.fields]
+
+
+def drop_lines(docs: DataFrame) -> DataFrame:
+    """Every row of documents with its text less the recurring lines, and n_lines and n_dropped (lines with a word).
+
+    A null text stays null with no lines; n_chars, where there is such a column, is set to the new length.
+    Lines are cut at ``\\n`` only and joined again by it.  Rows that agree in doc_id and text are one
+    document and stay alike.  Documents with the same doc_id and other texts are different documents.
+    Other columns pass through, whatever they are called.  An empty table gives an empty result.
+    """
+    return cleaned(docs).select(*_columns(docs), *[c for c in ("n_lines", "n_dropped") if c not in docs.columns])
+
+
+def keep_rest(docs: DataFrame) -> DataFrame:
+    """drop_lines() with the columns of documents only, and without documents that have lost every line."""
+    return cleaned(docs).where("n_dropped = 0 OR n_dropped < n_lines").select(*_columns(docs))
 
 
 SQL = rf"""WITH d AS (SELECT DISTINCT doc_id, text, doc_id IS NULL AS no_id, coalesce(doc_id, 0) AS id, coalesce(text, '') AS t,

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayframe.llm.common import running, settle
+from wayframe.llm.common import packed, running, settle, unpacked
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
 BUCKETS = 256
@@ -106,22 +106,21 @@ def mixed(docs: DataFrame) -> DataFrame:
 
     Decisions meet the texts by (doc_id, source, text digest); full duplicates are told apart by their number.
     """
-    cols = docs.columns
-    th = F.md5(F.coalesce("text", F.lit("")))
-    key = ["_doc", "_src", "_th"]
-    got = mix(docs).select(F.col("doc_id").alias("_doc"), F.col("source").alias("_src"), F.col("th").alias("_th"), "copies")
+    key = ["doc", "src", "th"]
+    got = mix(docs).groupBy(F.col("doc_id").alias("_doc"), F.col("source").alias("_src"), F.col("th").alias("_th"))
     # full duplicates: the copies of all of them together, shared by the rows in turn
-    got = got.groupBy(*key).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    j = docs.withColumn("_text_md5", th).join(got, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_text_md5") == F.col("_th")))
-    single = j.where("_rows = 1").withColumn("_n", F.col("_copies"))
+    got = got.agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    d = packed(docs, doc=F.col("doc_id"), src=F.col("source"), th=F.md5(F.coalesce("text", F.lit(""))))
+    j = d.join(got, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+    single = j.where("rows = 1").select("row", F.col("copies").alias("times"))
     # A third of the rows may be one repeated row: their number comes from a running total, not from one group.
-    many = running(j.where("_rows > 1").withColumns({"_one": F.lit(1).cast("bigint"), "_salt": F.monotonically_increasing_id()}), ["_doc", "_src", "_th", "_salt"], ["_one"])
-    low = many.groupBy(*[F.col(c).alias(c + "2") for c in key]).agg(F.min("before__one").alias("_low"))
-    many = many.join(low, [F.col(c).eqNullSafe(F.col(c + "2")) for c in key])
-    i = F.col("before__one") - F.col("_low")
-    many = many.withColumn("_n", F.expr("_copies div _rows") + (i < F.expr("_copies % _rows")).cast("bigint"))
-    rows = single.select(*cols, "_n").unionByName(many.select(*cols, "_n"))
-    return rows.where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))).select(*cols)
+    many = j.where("rows > 1").select("row", *key, "copies", "rows", F.lit(1).cast("bigint").alias("one"), F.monotonically_increasing_id().alias("salt"))
+    many = running(many, [*key, "salt"], ["one"])
+    low = many.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.min("before_one").alias("low"))
+    many = many.join(low, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+    turn = F.expr("copies div rows") + ((F.col("before_one") - F.col("low")) < F.expr("copies % rows")).cast("bigint")
+    rows = single.unionByName(many.select("row", turn.alias("times"))).where("times > 0")
+    return unpacked(rows.withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))), docs.columns)
 
 
 SQL = rf"""WITH s AS MATERIALIZED (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS th,

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayframe.llm.common import SPACE, let, settle, words
+from wayframe.llm.common import let, packed, settle, unpacked, words
 
 #: Base rules: fewer words than this, or a larger share (in %) of words in repeated 3-word windows, fail.
 MIN_WORDS, MAX_REPEAT_PCT = 50, 50
@@ -135,13 +135,12 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of documents that pass, with their columns.  Rows keep their text in place: only counts travel."""
-    rid = "_row"
-    with_id = docs.select(*docs.columns, F.xxhash64("doc_id", "text").alias(rid))
-    m = settle(measured(with_id, ["doc_id", "lang", "source", rid]), "quality")
-    # Rows that agree in doc_id, text, lang and source get the same verdict, so keys may repeat on the left only.
-    good = judged(m).where("kept").select(F.col("doc_id").alias("_d"), F.col(rid).alias("_r"), F.col("lang").alias("_l"), F.col("source").alias("_s")).distinct()
-    on = (F.col(rid) == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))
-    return with_id.join(good, on, "left_semi").select(*docs.columns)
+    keys = {"doc_id": F.col("doc_id"), "lang": F.col("lang"), "source": F.col("source"), "h": F.xxhash64("doc_id", "text")}
+    m = settle(measured(docs.select(*[v.alias(k) for k, v in keys.items()], "text"), list(keys)), "quality")
+    # Rows that agree in all keys get the same verdict, so keys may repeat on the left only.
+    good = judged(m).where("kept").select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return unpacked(packed(docs, **keys).join(good, on, "left_semi"), docs.columns)
 
 
 def sql(counts: str) -> str:
