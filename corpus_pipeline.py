@@ -19,8 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go from all documents but their first; a document that loses every line goes with them."""
-    out = line_dedup.drop_lines(docs).where("n_dropped = 0 OR n_dropped < n_lines")
-    return out.select(*docs.columns)
+    return line_dedup.keep_rest(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
