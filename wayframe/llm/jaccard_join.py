@@ -144,8 +144,7 @@ def crowded(sets: DataFrame) -> np.ndarray:
         n = np.zeros(1 << bits, np.uint32)
         for b in sliced(batches):
             h = from_bytes(b"".join(b.column(0).to_pylist())) >> np.uint64(48 - bits)
-            cells, seen = np.unique(h, return_counts=True)
-            n[cells.astype(np.int64)] += seen.astype(np.uint32)
+            np.add.at(n, h.astype(np.int64), np.uint32(1))
         parts = np.minimum(n, 255).astype(np.uint8).reshape(-1, piece)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "n"])
 
@@ -236,28 +235,39 @@ def likely(bits: np.ndarray, n: np.ndarray, percent: int, differ: np.ndarray | N
         o, lo, hi, sl, t0, t1 = levels[-1]
         at = np.arange(0, len(lo), FANOUT)
         levels.append((np.bitwise_or.reduceat(o, at, axis=0), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(sl, at), np.minimum.reduceat(t0, at), np.maximum.reduceat(t1, at)))
-    size = len(levels[-1][1])
-    a, b = np.triu_indices(size)
-    for depth in range(len(levels) - 1, -1, -1):
+
+    def possible(depth: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether some rows below the nodes a and b may reach the threshold and are not all of one tag."""
         o, lo, hi, sl, t0, t1 = levels[depth]
-        if not depth:
-            a, b = a[a != b], b[a != b]
-        keep = (100 * np.minimum(hi[a], hi[b]) >= percent * np.maximum(lo[a], lo[b])) & ~((t0[a] == t1[a]) & (t0[b] == t1[b]) & (t0[a] == t0[b]) & (differ is not None))
-        a, b = a[keep], b[keep]
-        keep = np.zeros(len(a), bool)
-        step = max(1, 4_000_000 // o.shape[1])
-        for s in range(0, len(a), step):
-            x, y = a[s : s + step], b[s : s + step]
+        keep = 100 * np.minimum(hi[a], hi[b]) >= percent * np.maximum(lo[a], lo[b])
+        if differ is not None:
+            keep &= ~((t0[a] == t1[a]) & (t0[b] == t1[b]) & (t0[a] == t0[b]))
+        some = np.flatnonzero(keep)
+        step = max(1, 500_000 // o.shape[1])
+        for s in range(0, len(some), step):
+            at = some[s : s + step]
+            x, y = a[at], b[at]
             most = np.bitwise_count(o[x] & o[y]).sum(axis=1).astype(np.int64) + np.minimum(sl[x], sl[y])
-            keep[s : s + step] = (100 + percent) * np.minimum(most, np.minimum(hi[x], hi[y])) >= percent * (lo[x] + lo[y])
-        a, b = a[keep], b[keep]
-        if depth:
-            below = len(levels[depth - 1][1])
-            ca, cb = np.repeat(a, FANOUT * FANOUT) * FANOUT, np.repeat(b, FANOUT * FANOUT) * FANOUT
-            ca += np.tile(np.repeat(np.arange(FANOUT), FANOUT), len(a))
-            cb += np.tile(np.arange(FANOUT), FANOUT * len(b))
-            ok = (ca < below) & (cb < below) & (ca <= cb)
-            a, b = ca[ok], cb[ok]
+            keep[at] = (100 + percent) * np.minimum(most, np.minimum(hi[x], hi[y])) >= percent * (lo[x] + lo[y])
+        return keep
+
+    a, b = np.triu_indices(len(levels[-1][1]))
+    if len(levels) == 1:
+        a, b = a[a != b], b[a != b]
+    keep = possible(len(levels) - 1, a, b)
+    a, b = a[keep], b[keep]
+    first, second = np.repeat(np.arange(FANOUT), FANOUT), np.tile(np.arange(FANOUT), FANOUT)
+    for depth in range(len(levels) - 2, -1, -1):
+        below = len(levels[depth][1])
+        found = [(a[:0], b[:0])]
+        for s in range(0, len(a), 1024):  # children of some node pairs at a time
+            ca = (a[s : s + 1024, None] * FANOUT + first).ravel()
+            cb = (b[s : s + 1024, None] * FANOUT + second).ravel()
+            ok = (ca < below) & (cb < below) & ((ca < cb) if not depth else (ca <= cb))
+            ca, cb = ca[ok], cb[ok]
+            keep = possible(depth, ca, cb)
+            found.append((ca[keep], cb[keep]))
+        a, b = (np.concatenate(x) for x in zip(*found))
     return np.stack([order[a], order[b]])
 
 
