@@ -40,7 +40,7 @@ PER_CELL, CELL_BITS = 16, (12, 22)
 FILTER_BITS = 22
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 100_000
 
 
 class _WordHashes(dict):
