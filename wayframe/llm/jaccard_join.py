@@ -28,7 +28,7 @@ from wayframe.llm.common import chunk_pairs, components, packed, runs, settle, u
 
 WORDS, PERCENT = 3, 90
 #: Bits per hash and bounds of a bitmap's width; sets per block; children per tree node.
-SPREAD, NARROWEST, WIDEST, BLOCK, FANOUT = 8, 256, 65536, 512, 8
+SPREAD, NARROWEST, WIDEST, BLOCK, FANOUT = 4, 256, 65536, 512, 8
 #: The first round looks at the first hashes of a prefix only.
 FIRST = 6
 #: Rows that a Python worker handles at a time.
@@ -355,10 +355,15 @@ def joined(sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
         """The rows of shared prefixes as groups by hash and size class, in block pairs.
 
         Sizes of a pair lie in one class or in neighbouring ones (a class is a little wider than the threshold's
-        ratio), so a set is ``own`` in its class and a guest in the next; two guests are not compared.
+        ratio), so a set is ``own`` in its class and a guest in the next; two guests are not compared.  A pair meets at
+        its first shared hash at least, and with ``place`` hashes before it a set of n can reach the threshold only
+        with partners of up to (n - place) * (1 + 1 / t) - n; if those are all below the next class, it is no guest there.
         """
-        s = F.expr(f"CAST(floor(ln(n) / (1.001 * ln(100 / {percent}D))) AS BIGINT)")
-        places = F.array(F.struct(s.alias("cls"), F.lit(True).alias("own")), F.struct((s + 1).alias("cls"), F.lit(False).alias("own")))
+        step = f"(1.001 * ln(100 / {percent}D))"
+        s = F.expr(f"CAST(floor(ln(n) / {step}) AS BIGINT)")
+        largest = F.expr(f"ln(greatest(1D, (n - place) * {100 + percent} / {percent}D - n + 1)) / {step}")
+        guest = F.when(largest > s + 1 - 1e-9, F.struct((s + 1).alias("cls"), F.lit(False).alias("own")))
+        places = F.array_compact(F.array(F.struct(s.alias("cls"), F.lit(True).alias("own")), guest))
         g = rows.select("*", F.explode(places).alias("p")).select("h", "p.cls", "p.own", "sid", "n", "label")
         size = [F.count(F.lit(1)).alias("rows"), F.count_if("own").alias("owned"), F.min("label").alias("l0"), F.max("label").alias("l1")]
         count = g.groupBy("h", "cls").agg(*size).where("rows > 1 AND owned > 0" + (" AND l0 <> l1" if labelled else ""))
@@ -372,7 +377,7 @@ def joined(sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     first = settle(partners(grouped(shared.where(f"place < {FIRST}").withColumn("label", F.col("sid")), False), percent, False), "pairs")
     links = settle(verified(first, sets, percent), "links")
     labels = components(links).withColumnRenamed("node", "_node")
-    known = shared.join(labels, F.col("sid") == F.col("_node"), "left").select("h", "sid", "n", F.coalesce("component", "sid").alias("label"))
+    known = shared.join(labels, F.col("sid") == F.col("_node"), "left").select("h", "sid", "n", "place", F.coalesce("component", "sid").alias("label"))
     rest = partners(grouped(settle(known, "labelled"), True), percent, True)
     rest = rest.join(first, ["a", "b"], "left_anti")
     more = settle(verified(settle(rest, "pairs"), sets, percent), "links")
