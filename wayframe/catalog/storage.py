@@ -18,8 +18,9 @@ from wayframe.sources.shared import fresh_dir
 from wayframe.schemas import table_schema
 
 
-#: The test tables give some of the frame columns only.
-OPTIONAL = table_schema("frames").names
+def optional() -> list[str]:
+    """The test tables give some of the frame columns only.  A schema needs a session, so this is no constant."""
+    return table_schema("frames").names
 
 
 def frame_table(spark: SparkSession, sf_dir: str, run: str) -> DataFrame:
@@ -56,11 +57,11 @@ def table_sums(df: DataFrame) -> DataFrame:
 def _(spark, sf):
     """Two runs, one of them appended to in two steps and once with nothing, read as one dataset."""
     root = fresh_dir(spark, "tables")
-    T.append_table(frame_table(spark, sf, "run_a"), f"{root}/run_a", "frames", optional=OPTIONAL)
+    T.append_table(frame_table(spark, sf, "run_a"), f"{root}/run_a", "frames", optional=optional())
     b = frame_table(spark, sf, "run_b")
-    T.append_table(b.where("command = 1"), f"{root}/run_b", "frames", codec="zstd", optional=OPTIONAL)
-    T.append_table(b.where("command = 2"), f"{root}/run_b", "frames", codec="lzo9", optional=OPTIONAL)
-    T.append_table(b.where("command = 99"), f"{root}/run_b", "frames", optional=OPTIONAL)
+    T.append_table(b.where("command = 1"), f"{root}/run_b", "frames", codec="zstd", optional=optional())
+    T.append_table(b.where("command = 2"), f"{root}/run_b", "frames", codec="lzo9", optional=optional())
+    T.append_table(b.where("command = 99"), f"{root}/run_b", "frames", optional=optional())
     return table_sums(T.read_table(spark, f"{root}/run_*", "frames"))
 
 
@@ -69,7 +70,7 @@ def _(spark, sf):
     """Insert twice into a catalog table, count it, export it, read the export."""
     root, name = fresh_dir(spark, "catalog"), f"frames_{uuid.uuid4().hex}"
     for _ in range(2):
-        T.save_table(frame_table(spark, sf, "run_a"), name, "frames", f"{root}/table", optional=OPTIONAL)
+        T.save_table(frame_table(spark, sf, "run_a"), name, "frames", f"{root}/table", optional=optional())
     T.export_table(spark, name, f"{root}/frames")
     n = T.table_count(spark, name).scalar()
     return table_sums(T.read_table(spark, root, "frames")).withColumn("table_rows", n)
