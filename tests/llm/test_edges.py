@@ -1,7 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and odd extra columns, for every operator and stage."""
 
 import collections
+import hashlib
 import random
+import re
 
 import corpus_pipeline
 import numpy as np
@@ -95,6 +97,68 @@ def test_lines_with_a_variable_word(spark):
     assert got == {1: 0, 2: 1, 3: 1, 4: 1}
 
 
+@pytest.mark.parametrize("edits", [2, 3])
+def test_long_lines_with_several_variable_words(spark, edits):
+    base = prose("template", 64).split()
+    rows = []
+    for i in range(1, 6):
+        w = list(base)
+        for k in range(edits):
+            w[5 + 20 * k] = prose(f"{i} {k}", 1, 9**5)
+        rows.append((i, f"{prose(i, 20)}\n{' '.join(w)}"))
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 1, 5: 1}
+
+
+def plain_dropped(rows):
+    """n_dropped by document, for distinct doc_ids: in a leaf, templates in order of documents join the first seed that they are like."""
+    held, lines = collections.defaultdict(set), []
+    for doc, text in rows:
+        for line in (text or "").split("\n"):
+            t = tuple(re.sub("[0-9]+", "<*>", line).split())
+            if sum("<*>" not in w for w in t) >= line_dedup.SHORT:
+                held[t].add(doc)
+                lines.append((doc, t))
+    leaves = collections.defaultdict(list)
+    for t in held:
+        leaves[len(t), t[: line_dedup.DEPTH]].append(t)
+    first = {}
+    for leaf in leaves.values():
+        groups = {}
+        for t in sorted(leaf, key=lambda t: (-len(held[t]), int(hashlib.md5(" ".join(t).encode()).hexdigest()[:15], 16))):
+            seed = next((s for s in groups if 100 * sum(x == y for x, y in zip(s, t)) >= line_dedup.SIMILAR * len(t)), t)
+            groups.setdefault(seed, []).append(t)
+        for g in groups.values():
+            docs = sum(len(held[t]) for t in g)
+            fixed = min(sum("<*>" not in w for w in t) for t in g)
+            of = set().union(*(held[t] for t in g))
+            if len(of) > 1 and (fixed >= line_dedup.LONG or docs >= line_dedup.SHORT_DOCS):
+                first |= dict.fromkeys(g, min(of))
+    lost = collections.Counter(doc for doc, t in lines if t in first and doc != first[t])
+    return {doc: lost[doc] for doc, _ in rows}
+
+
+def test_lines_against_all_templates_of_a_leaf(spark):
+    r = random.Random(4)
+    rows = []
+    for family in range(12):
+        w = ["all", "lines", "begin", *prose(family, r.choice((7, 9, 17, 57))).split()]
+        for _ in range(r.choice((2, 5, 9))):
+            v = list(w)
+            for k in r.sample(range(3, len(w)), r.choice((0, 1, len(w) // 10))):
+                v[k] = prose(r.random(), 1, 9**5)
+            rows.append((len(rows) + 1, "\n".join([" ".join(v)] * r.choice((1, 2)) + [prose(r.random(), 15)])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {x["doc_id"]: x["n_dropped"] for x in line_dedup.drop_lines(docs).collect()} == plain_dropped(rows)
+
+
+def test_lines_of_the_tables_against_all_templates_of_a_leaf(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(x) for x in docs.collect()]
+    assert len({d for d, _ in rows}) == len(rows)
+    assert {x["doc_id"]: x["n_dropped"] for x in line_dedup.drop_lines(docs).collect()} == plain_dropped(rows)
+
+
 def plain_groups(rows, words, percent):
     sets = []
     for _, t in rows:

@@ -1,13 +1,14 @@
 """Line deduplication by a fixed-depth template tree.
 
 A line goes down the tree by its token count and its first DEPTH tokens, with digits generalised to
-``<*>``.  In a leaf the most frequent template is the seed.  The rest of a line is kept as PARTS hashes of
-equal stretches of tokens; templates that agree with the seed in stretches holding at least SIMILAR % of
-their tokens belong to the seed's group, the other stretches being its variable fields.  A group found in
-several documents recurs: the first document (smallest doc_id) keeps its lines, all others lose them.
-
-Only DataFrame functions.  A line travels as about 80 bytes whatever its length; texts are shuffled
-once, to meet the line numbers that they lose.
+``<*>``.  In a leaf the most frequent template is the first seed; templates that equal it in SIMILAR % of
+their tokens, position by position, belong to its group, the other positions being its variable fields.
+Those left over choose further seeds among themselves until each has its group.  A group found in several
+documents recurs: the first document (smallest doc_id) keeps its lines, all others lose them.
+
+Only DataFrame functions.  A line travels as about 50 bytes whatever its length, and its tokens only if
+its leaf has several templates, once for each template; texts are shuffled once, to meet the line numbers
+that they lose.
 """
 
 from __future__ import annotations
@@ -17,13 +18,17 @@ from pyspark.sql import functions as F
 
 from wayframe.llm.common import let, settle, words
 
-DEPTH, PARTS, SIMILAR = 3, 8, 80
+DEPTH, PARTS, SIMILAR = 3, 8, 80  # PARTS is for the SQL only, which compares stretches of tokens
 #: A group of lines with this many tokens that hold no digit recurs from two documents on.
 LONG, LONG_DOCS = 8, 2
 #: Shorter ones, down to this many tokens, meet by chance and need more documents; still shorter ones stay.
 SHORT, SHORT_DOCS = 3, 20
 
 DOC = ("no_id", "id", "th")
+#: Bits of the filter for lines whose tokens are wanted, and bits in a word of it.
+BITS, WORD = 1 << 22, 64
+#: Rows of templates and stretches left over, up to which the driver goes through the remaining rounds.
+FEW = 5000
 
 
 def digest(text: Column) -> Column:
@@ -31,23 +36,20 @@ def digest(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-def place(line: Column) -> Column:
-    """A line's place in the tree: n tokens, those of them without a digit, leaf, template digest, and the hashes of its stretches."""
-    tokens = words(F.regexp_replace(line, "[0-9]+", "<*>"))
+def tokens_of(line: Column) -> Column:
+    """A line's words with digits generalised."""
+    return words(F.regexp_replace(line, "[0-9]+", "<*>"))
 
-    def stretch(t: Column, j: Column) -> Column:
-        m = F.greatest(F.size(t) - DEPTH, F.lit(0))
-        lo, hi = F.floor(j * m / PARTS).cast("int"), F.floor((j + 1) * m / PARTS).cast("int")
-        return F.hash(F.array_join(F.slice(t, lo + DEPTH + 1, hi - lo), " "))
 
+def place(line: Column) -> Column:
+    """A line's place in the tree: n tokens, those of them without a digit, leaf, and template digest."""
     return let(
-        tokens,
+        tokens_of(line),
         lambda t: F.struct(
             F.size(t).alias("n"),
             F.size(F.filter(t, lambda w: ~F.contains(w, F.lit("<*>")))).alias("fixed"),
             F.xxhash64(F.size(t), F.array_join(F.slice(t, 1, DEPTH), " ")).alias("leaf"),
             digest(F.array_join(t, " ")).alias("tpl"),
-            F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda j: stretch(t, j)).alias("parts"),
         ),
     )
 
@@ -58,45 +60,136 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("id"), digest(text).alias("th"))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """One row per line that has a word: its document, number, and place in the tree."""
+def cut(docs: DataFrame) -> DataFrame:
+    """One row per line that has a word: its document, number, and text."""
     x = keyed(docs).select(*DOC, F.posexplode(F.split(F.coalesce("row.text", F.lit("")), "\n")).alias("pos", "line"))
     # The filter looks at the line, not at its place: a filter on the place would be pushed below and compute it twice.
-    x = x.where(F.translate("line", " \t\n\x0b\f\r", "") != "")
-    return x.select(*DOC, "pos", place(F.col("line")).alias("p")).select(*DOC, "pos", "p.n", "p.fixed", "p.leaf", "p.tpl", "p.parts")
+    return x.where(F.translate("line", " \t\n\x0b\f\r", "") != "")
 
 
-def agreeing(n: str, parts: str, seed: str) -> Column:
-    """Tokens, of the n - DEPTH after the leading ones, in stretches where the template equals the seed."""
-    held = " + ".join(
-        f"CASE WHEN {parts}[{j}] = {seed}[{j}] THEN floor({j + 1} * greatest({n} - {DEPTH}, 0) / {PARTS}) - floor({j} * greatest({n} - {DEPTH}, 0) / {PARTS}) ELSE 0 END"
-        for j in range(PARTS)
-    )
-    return F.expr(f"({held})")
+def lines_of(docs: DataFrame) -> DataFrame:
+    """One row per line that has a word: its document, number, and place in the tree."""
+    return cut(docs).select(*DOC, "pos", place(F.col("line")).alias("p")).select(*DOC, "pos", "p.n", "p.fixed", "p.leaf", "p.tpl")
+
 
+def with_tokens(templates: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows (leaf, tpl, docs, tokens) of templates, the tokens cut from the line ``at`` that holds them.
 
-def recurring(lines: DataFrame) -> DataFrame:
+    Lines are filtered by a map of BITS bits before they are placed, so few others travel.
+    """
+    spots = templates.select("leaf", "tpl", "docs", *[F.col(f"at.{c}").alias(f"_{c}") for c in (*DOC, "pos")])
+    bit = lambda *c: F.pmod(F.xxhash64(*c), F.lit(BITS))
+    wanted = spots.select(bit(*[f"_{c}" for c in (*DOC, "pos")]).alias("bit")).distinct()
+    wanted = wanted.groupBy(F.floor(F.col("bit") / WORD).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(bit % {WORD}))")).alias("set"))
+    near = cut(docs).withColumn("bit", bit(*DOC, "pos")).join(F.broadcast(wanted), F.floor(F.col("bit") / WORD) == F.col("_word"))
+    near = near.where(F.expr(f"shiftrightunsigned(set, int(bit % {WORD})) & 1L = 1L")).select(*DOC, "pos", "line")
+    found = near.join(spots, [F.col(c) == F.col(f"_{c}") for c in (*DOC, "pos")])
+    return found.dropDuplicates(["leaf", "tpl"]).select("leaf", "tpl", "docs", tokens_of(F.col("line")).alias("tokens"))
+
+
+def alike(a: str, b: str) -> Column:
+    """Whether two templates of a leaf are equal in SIMILAR % of their tokens."""
+    equal = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e))
+    return 100 * equal >= SIMILAR * F.size(a)
+
+
+def stretches(tokens: Column) -> Column:
+    """Hashes of the stretches of a template after its leading tokens, one more than tokens may differ: templates that are alike share one."""
+
+    def of(t: Column) -> Column:
+        m, parts = F.size(t) - DEPTH, F.floor(F.size(t) * (100 - SIMILAR) / 100).cast("int") + 1
+
+        def stretch(j: Column) -> Column:
+            lo, hi = F.floor(j * m / parts).cast("int"), F.floor((j + 1) * m / parts).cast("int")
+            return F.xxhash64(j, F.array_join(F.slice(t, lo + DEPTH + 1, hi - lo), " "))
+
+        return F.transform(F.sequence(F.lit(0), parts - 1), stretch)
+
+    return let(tokens, of)
+
+
+def crowded(x: DataFrame) -> DataFrame:
+    """The rows whose stretch is held by several templates of their leaf."""
+    many = x.groupBy("leaf", "part").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("leaf", "part")
+    return x.join(many, ["leaf", "part"], "left_semi")
+
+
+def rounds(rows: list) -> list[tuple]:
+    """The rounds of members() over collected rows (leaf, tpl, docs, part, tokens): (leaf, tpl, grp) of those that join a seed."""
+    parts, tokens, rank, out = {}, {}, {}, []
+    for r in rows:
+        key = (r["leaf"], r["tpl"])
+        parts.setdefault(key, set()).add((r["leaf"], r["part"]))
+        tokens[key], rank[key] = r["tokens"], (r["docs"], -r["tpl"])
+    while parts:
+        head = {}
+        for key in sorted(parts, key=rank.get):
+            head |= dict.fromkeys(parts[key], key)
+        seeds = {key for key, of in parts.items() if all(head[p] == key for p in of)}
+        gone = set(seeds)
+        for key, of in parts.items():
+            a = tokens[key]
+            like = [s for s in {head[p] for p in of} & seeds if s != key and 100 * sum(x == y for x, y in zip(a, tokens[s])) >= SIMILAR * len(a)]
+            if like:
+                out.append((*key, max(like, key=rank.get)[1]))
+                gone.add(key)
+        parts = {key: of for key, of in parts.items() if key not in gone}
+    return out
+
+
+def members(tokens: DataFrame) -> DataFrame | None:
+    """Rows (leaf, tpl, grp) of the templates in groups of several, grp being the seed's template; None if there are none.
+
+    In each round a template that no other one left exceeds (by documents, then digest) in any of its stretches is
+    a seed, as all that are alike to it share a stretch with it; those that are alike join the greatest such seed.
+    Seeds and members leave, until no two templates left share a stretch.  Each template is compared with the
+    heads of its stretches only, so a round is linear, and the greatest template of a leaf leaves in each.
+    """
+    left = settle(crowded(tokens.select("leaf", "tpl", "docs", F.explode(stretches(F.col("tokens"))).alias("part"))), "stretches")
+    all_joined = None
+    while not left.isEmpty():
+        if left.count() <= FEW:
+            rest = rounds(left.join(tokens.select("leaf", "tpl", "tokens"), ["leaf", "tpl"]).collect())
+            if rest:
+                joined = tokens.sparkSession.createDataFrame(rest, "leaf bigint, tpl bigint, grp bigint")
+                all_joined = joined if all_joined is None else all_joined.union(joined)
+            break
+        rank = F.struct("docs", (-F.col("tpl")).alias("by"), F.col("tpl").alias("tpl"))
+        heads = left.groupBy("leaf", "part").agg(F.max(rank).alias("head"))
+        seen = settle(left.join(heads, ["leaf", "part"]).groupBy("leaf", "tpl", "head").agg(F.count(F.lit(1)).alias("_n")).drop("_n"), "seen")
+        seeds = seen.groupBy("leaf", "tpl").agg(F.min(F.col("head.tpl") == F.col("tpl")).alias("is_seed")).where("is_seed").select("leaf", "tpl")
+        pairs = seen.where("head.tpl <> tpl").withColumn("of", F.col("head.tpl")).join(seeds.withColumnRenamed("tpl", "of"), ["leaf", "of"], "left_semi")
+        pairs = pairs.join(tokens.select("leaf", F.col("tpl").alias("of"), F.col("tokens").alias("theirs")), ["leaf", "of"])
+        pairs = pairs.join(tokens.select("leaf", "tpl", "tokens"), ["leaf", "tpl"]).where(alike("tokens", "theirs"))
+        joined = settle(pairs.groupBy("leaf", "tpl").agg(F.max("head").alias("head")).select("leaf", "tpl", F.col("head.tpl").alias("grp")), "joined")
+        all_joined = joined if all_joined is None else all_joined.union(joined)
+        left = settle(crowded(left.join(seeds.union(joined.select("leaf", "tpl")), ["leaf", "tpl"], "left_anti")), "stretches")
+    return all_joined and all_joined.union(all_joined.select("leaf", F.col("grp").alias("tpl"), "grp").distinct())
+
+
+def recurring(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """The templates of groups that recur: (leaf, tpl, first), first being the document that keeps its lines."""
-    once = lines.groupBy("n", "fixed", "leaf", "tpl", *DOC).agg(F.min("parts").alias("parts"))
-    doc = F.struct(*DOC)
-    templates = once.groupBy("n", "fixed", "leaf", "tpl").agg(F.count(F.lit(1)).alias("docs"), F.min(doc).alias("first"), F.max(doc).alias("last"), F.min("parts").alias("parts"))
+    once = lines.groupBy("n", "fixed", "leaf", "tpl", *DOC).agg(F.min("pos").alias("pos"))
+    templates = once.groupBy("n", "fixed", "leaf", "tpl").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(*DOC, "pos")).alias("at"), F.max(F.struct(*DOC)).alias("last"))
     templates = settle(templates.where(f"fixed >= {SHORT}"), "templates")
-    leaves = templates.groupBy("leaf").agg(
-        F.max(F.struct("docs", (-F.col("tpl")).alias("by"), "tpl", "parts")).alias("seed"), F.count(F.lit(1)).alias("templates"), F.sum("docs").alias("in_leaf")
-    )
-    busy = leaves.where(f"in_leaf >= {LONG_DOCS}").select(F.col("leaf").alias("_leaf"), F.col("seed.tpl").alias("seed_tpl"), F.col("seed.parts").alias("seed_parts"))
-    t = templates.join(busy, F.col("leaf") == F.col("_leaf"))
-    same = 100 * (agreeing("n", "parts", "seed_parts") + F.least("n", F.lit(DEPTH))) >= SIMILAR * F.col("n")
-    t = t.withColumn("grp", F.when(same, F.col("seed_tpl")).otherwise(F.col("tpl"))).select("fixed", "leaf", "tpl", "grp", "docs", "first", "last")
+    several = templates.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("leaf")
+    # Templates with fewer tokens may not differ in any.
+    contested = settle(templates.where(f"n * {100 - SIMILAR} >= 100").join(several, "leaf", "left_semi").select("leaf", "tpl", "docs", "at"), "contested")
+    grouped = members(settle(with_tokens(contested, docs), "tokens"))
+    t = templates.select("fixed", "leaf", "tpl", "docs", F.struct(*[F.col(f"at.{c}").alias(c) for c in DOC]).alias("first"), "last")
+    if grouped is None:
+        t = t.withColumn("grp", F.col("tpl")).where(f"docs >= {LONG_DOCS}")
+    else:
+        t = t.join(grouped, ["leaf", "tpl"], "left").where(f"grp IS NOT NULL OR docs >= {LONG_DOCS}").withColumn("grp", F.coalesce("grp", "tpl"))
     groups = t.groupBy("leaf", "grp").agg(F.min("fixed").alias("fixed"), F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last"))
     groups = groups.where(f"first <> last AND ((fixed >= {LONG} AND docs >= {LONG_DOCS}) OR docs >= {SHORT_DOCS})")
-    return t.select("leaf", "tpl", "grp").join(groups.select(F.col("leaf").alias("_leaf"), F.col("grp").alias("_grp"), F.col("first").alias("first")), (F.col("leaf") == F.col("_leaf")) & (F.col("grp") == F.col("_grp"))).select("leaf", "tpl", "first")
+    return t.select("leaf", "tpl", "grp").join(groups.select("leaf", "grp", "first"), ["leaf", "grp"]).select("leaf", "tpl", "first")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """Rows (row, new, n_lines, n_dropped): a document, its text less the recurring lines, and its lines with a word."""
     lines = settle(lines_of(docs), "lines")
-    bad = recurring(lines).withColumnsRenamed({"leaf": "_leaf", "tpl": "_tpl"})
+    bad = recurring(lines, docs).withColumnsRenamed({"leaf": "_leaf", "tpl": "_tpl"})
     hit = lines.join(bad, (F.col("leaf") == F.col("_leaf")) & (F.col("tpl") == F.col("_tpl"))).where(F.struct(*DOC) != F.col("first"))
     lost = hit.groupBy(*DOC).agg(F.collect_set("pos").alias("lost")).withColumnsRenamed({c: f"_{c}" for c in DOC})
     j = keyed(docs).join(lost, [F.col(c) == F.col(f"_{c}") for c in DOC], "left")
