@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayframe.llm import html_text, jaccard_join, line_dedup, mixing, packing, quality, secret_scan, sharding, token_files, vector_dedup
+from wayframe.llm import byte_network, hard_negatives, html_text, jaccard_join, line_dedup, mixing, packing, prefix_trie, quality, secret_scan, sharding, token_files, vector_dedup
 from wayframe.llm.common import table
 
 
@@ -50,8 +50,24 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_network.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_token_files, op4_line_dedup, op5_html_text, op6_jaccard_join, op7_pack_windows, op8_quality_rules, op9_virtual_slots, op10_vector_dedup)
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_secret_scan, op3_token_files, op4_line_dedup, op5_html_text, op6_jaccard_join, op7_pack_windows, op8_quality_rules, op9_virtual_slots,
+        op10_vector_dedup, op11_hard_negatives, op12_prefix_trie, op13_byte_network,
+    )
 }
 
 SQL: dict[str, str] = {
@@ -60,4 +76,6 @@ SQL: dict[str, str] = {
     "op6_jaccard_join": jaccard_join.sql(),
     "op8_quality_rules": quality.sql(quality.BASE_COUNTS_SQL),
     "op10_vector_dedup": vector_dedup.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
 }
