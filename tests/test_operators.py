@@ -144,6 +144,61 @@ def test_hot_episode_is_split(spark):
     assert [None if o["samples"] is None else [s["t_us"] for s in o["samples"]] for o in out] == want
 
 
+TICK = "run_id string, episode_ord int, frame_id bigint, t_us bigint, x_m double, y_m double, speed_mps double"
+
+
+def test_very_many_ticks_at_one_time(spark):
+    """A million ticks of one time in one bucket: none is collected, and all have the samples that follow."""
+    at_once = spark.range(1_000_000).select(F.lit("r").alias("run_id"), F.lit(0).alias("episode_ord"), F.col("id").alias("frame_id"), F.lit(0).cast("bigint").alias("t_us"), *[F.lit(0.0).alias(c) for c in ("x_m", "y_m", "speed_mps")])
+    later = spark.createDataFrame([("r", 0, 1_000_000 + i, 10 * i, float(i), 0.0, 0.0) for i in range(1, 6)], TICK)
+    out = FU.future_samples(at_once.unionByName(later), 3, 10, tail=None)
+    got = out.where("frame_id < 1000000").groupBy(F.transform("samples", lambda s: s["x_m"]).alias("x")).count().collect()
+    assert [(r["x"], r["count"]) for r in got] == [([1.0, 2.0, 3.0], 1_000_000)]
+
+
+def test_equal_times_are_taken_one_after_the_other(spark):
+    times = [0, 0, 0, 5, 5, 5, 5, 9, 20, 20, 21, 40]
+    df = spark.createDataFrame([("r", 0, i, t, float(i), 0.0, 0.0) for i, t in enumerate(times)], TICK)
+    out = FU.future_samples(df, 4, 2, tail=None, bucket_us=8).orderBy("frame_id").collect()
+    assert [o["samples"] and [s["t_us"] for s in o["samples"]] if o["samples"] is not None else None for o in out] == naive_futures(times, 4, 2)
+    for o, base in zip(out, times):
+        places = [int(s["x_m"]) for s in o["samples"] or []]
+        assert places == sorted(set(places)) and all(times[p] == s["t_us"] for p, s in zip(places, o["samples"] or []))
+
+
+def test_samples_are_never_collected(spark):
+    df = spark.createDataFrame([("r", 0, i, i * 10, 0.0, 0.0, 0.0) for i in range(50)], TICK)
+    plan = FU.future_samples(df, 3, 10, tail=None)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline" not in plan.split("Union")[0].split("Join")[0]
+
+
+# --- numbering by ranges ---
+
+
+def test_numbers_of_a_hot_and_sparse_first_key(spark):
+    from wayframe.plans.ranges import number_rows
+
+    rows = [("hot", 10**12 + i * 10**6, i) for i in range(3000)] + [(f"f{i}", -i, i) for i in range(50)] + [(None, None, i) for i in range(5)]
+    df = spark.createDataFrame(rows, "file string, k bigint, v int").repartition(7).withColumn("idx", F.lit("old"))
+    got = number_rows(df, ["file", "k", "v"]).collect()
+    order = sorted(got, key=lambda r: (r["file"] is not None, r["file"] or "", r["k"] is not None, r["k"] or 0, r["v"]))
+    assert [r["idx"] for r in order] == list(range(len(rows)))
+    per = number_rows(df, ["k", "v"], keys=["file"])
+    assert sorted(r["idx"] for r in per.where("file = 'hot'").collect()) == list(range(3000))
+    assert sorted(r["idx"] for r in per.where("file IS NULL").collect()) == list(range(5))
+    assert {r["idx"] for r in per.where("file LIKE 'f%'").collect()} == {0}
+    assert number_rows(df.where("false"), ["k"]).count() == 0
+
+
+def test_shards_are_cut_in_order(spark):
+    from wayframe.operators.sharding import index_and_shard
+
+    df = spark.createDataFrame([("a" if i % 3 else "b", (i * 7919) % 1000) for i in range(1000)], "file string, k int")
+    got = index_and_shard(df, ["k"], 64).orderBy("sample_idx").collect()
+    assert [(r["file"], r["k"]) for r in got] == sorted((r["file"], r["k"]) for r in got)
+    assert [r["sample_idx"] for r in got] == list(range(1000)) and all(r["shard_idx"] == r["sample_idx"] // 64 for r in got)
+
+
 # --- checks ---
 
 
@@ -208,6 +263,38 @@ def test_resampling_restarts_after_each_kept_point(spark):
     assert got == want
 
 
+def fold_kept(pts, k, spacing):
+    kept, run = [pts[0]], 0
+    for (ax, ay), (bx, by) in zip(pts, pts[1:]):
+        run += round(math.hypot(bx - ax, by - ay) * 1e9)
+        if len(kept) < k and run >= round(spacing * 1e9):
+            kept.append((bx, by))
+            run = 0
+    return kept
+
+
+@pytest.mark.parametrize(("k", "width"), [(1, 7), (2, 7), (32, 4), (32, 65_536)])
+def test_resampling_equals_the_fold_across_segments(spark, k, width):
+    """Standing still, jumps over several stretches, routes of one point, gaps in the numbers."""
+    r = random.Random(k * width)
+    rows, want = [], {}
+    for route in range(25):
+        x, y, pts = 0.0, 0.0, []
+        for i in range(r.choice([1, 2, 30, 200])):
+            pts.append((x, y))
+            step = r.choice([0.0, 0.0, 0.1, 0.5, 1.0, 2.0, 3.7, 40.0])
+            a = r.uniform(0, 6.28)
+            x, y = x + step * math.cos(a), y + step * math.sin(a)
+        rows += [(route, i * 3 + route, *p) for i, p in enumerate(pts)]
+        want[route] = fold_kept(pts, k, 2.0)
+    r.shuffle(rows)
+    got = {}
+    for row in RO.resample_polyline(spark.createDataFrame(rows, "route_id int, idx int, x double, y double"), k=k, width=width).orderBy("route_id", "idx").collect():
+        assert row["idx"] == len(got.setdefault(row["route_id"], []))
+        got[row["route_id"]].append((row["x"], row["y"]))
+    assert got == want
+
+
 def paint(points, thickness, grid):
     """Cell by cell, on a dense set."""
     h, w, out = grid.height, grid.width, set()
@@ -267,8 +354,9 @@ def test_channel_stats_count_the_empty_cells(spark):
 def test_one_shard_has_no_validation_part(spark):
     df = spark.range(5).select(F.col("id").alias("sample_idx"), F.lit(0).alias("shard_idx"))
     assert SA.split_by_shard(df, "train").count() == 5
-    with pytest.raises(ValueError):
-        SA.split_by_shard(df, "val")
+    for bad in (lambda: SA.split_by_shard(df, "val"), lambda: SA.split_by_shard(df.where("false"), "train"), lambda: SA.split_by_shard(df.where("false"), "all")):
+        with pytest.raises(Exception, match="holds no samples"):
+            bad().collect()
 
 
 def test_shuffle_is_a_permutation_and_sorts_as_ranked(spark):
@@ -330,7 +418,85 @@ def test_objects_and_raster_are_dropped_together(spark):
 # --- reports ---
 
 
-@pytest.mark.parametrize("n", [1, 2, 7, 100])
+def plain_stop(xs, patience, delta):
+    best, at, stop = xs[0], 0, None
+    for i, x in enumerate(xs[1:], 1):
+        if x < best - delta:
+            best, at = x, i
+        elif i - at >= patience:
+            stop = i
+            break
+    return stop, at, best
+
+
+@pytest.mark.parametrize("width", [1, 3, 16, 65_536])
+def test_early_stop_equals_the_walk(spark, width):
+    """Falling scores only, falls smaller than the least gain, plateaus, short runs, gaps in the epochs."""
+    r = random.Random(width)
+    runs = {0: [100.0 - i for i in range(200)], 1: [1.0 - 1e-3 * i for i in range(300)], 2: [1.0], 3: [5.0] * 40, 4: [5.0 - 0.01 * (i % 7) for i in range(60)]}
+    for k in range(5, 40):
+        x, xs = 50.0, []
+        for _ in range(r.choice([2, 10, 150])):
+            x += r.choice([-3.0, -0.3, -0.05, 0.0, 0.4, 1.0]) * r.random()
+            xs.append(x)
+        runs[k] = xs
+    rows = [(k, 5 + 3 * i, x) for k, xs in runs.items() for i, x in enumerate(xs)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "run int, epoch int, score double")
+    for patience, delta in ((1, 0.0), (4, 0.25), (12, 1.0)):
+        got = {x["run"]: x for x in RP.early_stop(df, patience, delta, width=width).collect()}
+        for k, xs in runs.items():
+            stop, at, best = plain_stop(xs, patience, delta)
+            assert (got[k]["stop_at"], got[k]["best_epoch"], got[k]["best_score"]) == (stop, 5 + 3 * at, best), (k, patience, delta)
+
+
+def test_summary_of_a_segment_is_short_where_scores_fall_fast():
+    import pandas as pd
+
+    n = 5000
+    pdf = pd.DataFrame({"_seg": 1, "_at": range(n), "_x": [-float(i) for i in range(n)], "_e": range(n), "_best": [10.0] + [-float(i) for i in range(n - 1)]})
+    out = RP._entries(pdf, 20, 0.5).iloc[0]
+    assert len(out["_entry_x"]) == 1 and out["_last_at"] == [n - 1] and out["_stop"] == [-1]
+
+
+def test_moments(spark):
+    r = random.Random(4)
+    arrays = [[1e8 + r.random() for _ in range(r.choice([0, 1, 3, 200]))] for _ in range(60)]
+    flat = [x for a in arrays for x in a]
+    df = spark.createDataFrame([(a, [[1.0, 2.0]] * 3, [[1.0], [2.0, None]], float(i)) for i, a in enumerate(arrays)], "a array<double>, b array<array<double>>, c array<array<double>>, d double")
+    got = {x["field"]: x for x in RP.tensor_stats(df, ["a", "b", "c", "d"]).collect()}
+    mean = math.fsum(flat) / len(flat)
+    std = math.sqrt(math.fsum((x - mean) ** 2 for x in flat) / (len(flat) - 1))
+    a = got["a"]
+    assert (a["n"], a["min"], a["max"], a["shape"]) == (len(flat), min(flat), max(flat), None)
+    assert abs(a["mean"] - mean) < 1e-6 and abs(a["std"] - std) < 1e-6
+    assert (got["b"]["shape"], got["c"]["shape"], got["d"]["shape"]) == ([60, 3, 2], None, [60]) and got["c"]["n"] == 120
+    holes = spark.createDataFrame([(None, None), ([1.0, 3.0], [[2.0], None])], "a array<double>, b array<array<double>>")
+    assert [(x["field"], x["n"], x["mean"], x["shape"]) for x in RP.tensor_stats(holes, ["a", "b"]).orderBy("field").collect()] == [("a", 2, 2.0, None), ("b", 1, 2.0, None)]
+    empty = one(RP.tensor_stats(spark.createDataFrame([([],)], "a array<double>"), ["a"]))
+    assert (empty["n"], empty["mean"], empty["std"], empty["shape"]) == (0, None, None, [1, 0])
+
+
+def test_stats_do_not_explode_numbers(spark):
+    df = spark.createDataFrame([([1.0], 2.0)], "a array<double>, b double")
+    assert "explode" not in RP.tensor_stats(df, ["a", "b"])._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_distribution_scans_four_times(spark, tmp_path):
+    spark.range(1000).select((F.col("id") * 1.5).alias("x")).write.parquet(str(tmp_path / "x"))
+    d = RP.distribution(spark.read.parquet(str(tmp_path / "x")), "x")
+    assert d._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 4
+    assert one(d)["median"] == 499 * 1.5
+
+
+def test_middle_of_nothing(spark):
+    for df in (spark.createDataFrame([], "x double"), spark.createDataFrame([(None,)], "x double")):
+        got = one(RP.middle_values(df, "x"))
+        assert (got["n"], got["lower"], got["upper"]) == (0, None, None)
+        assert one(RP.distribution(df, "x"))["mean"] is None
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 100, 5001])
 def test_middle_values(spark, n):
     r = random.Random(n)
     xs = sorted(r.choice([1e9, r.random(), 3.0]) for _ in range(n))

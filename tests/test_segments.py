@@ -64,6 +64,30 @@ def test_gate_counts_rows_where_ticks_are_missing(spark, width):
     assert got == [t for _, t, v in ticks if v][4]
 
 
+def test_gate_refuses_a_counter_that_jumps(spark):
+    from wayframe.operators.gates import mark_gate
+
+    ticks = [(1, t, 2.0) for t in range(60)] + [(2, t, 2.0) for t in range(60) if t != 30]
+    df = spark.createDataFrame(ticks, "episode_ord int, frame_id bigint, speed_mps double").withColumn("run_id", F.lit("r"))
+    assert mark_gate(df.where("episode_ord = 1"), ticks=5, width=16).where("recording").count() == 56
+    with pytest.raises(Exception, match="frame_id has gaps"):
+        mark_gate(df, ticks=5, width=16).where("recording").collect()
+
+
+@pytest.mark.parametrize("gap", [16, 1])
+def test_tick_events_across_missing_border_ticks(spark, gap):
+    """Every ``gap``-th tick is missing, with segments of 16: the previous row is the last one there is."""
+    from wayframe.operators.rewards import tick_events
+
+    rows = [("r", 1, t, float(t % 5), 0.0, 0.1 * (t % 3), 100.0 - t, t // 7, t // 9, 1) for t in range(80) if gap == 1 or t % gap]
+    df = spark.createDataFrame(rows, "run_id string, episode_ord int, frame_id bigint, accel_long double, accel_lat double, steer_norm double, goal_dist_m double, collisions_cum int, lane_events_cum int, lane_type int")
+    got = tick_events(df, 0.1, F.lit(1000.0), width=16).orderBy("frame_id").collect()
+    for a, b in zip(rows, rows[1:]):
+        r = next(x for x in got if x["frame_id"] == b[2])
+        assert abs(r["jerk"] - abs(b[3] - a[3]) / 0.1) < 1e-9 and abs(r["steer_change"] - abs(b[5] - a[5])) < 1e-9
+        assert r["route_progress_delta"] == a[6] - b[6] and r["collision_flag"] == (b[7] > a[7]) and r["lane_flag"] == (b[8] > a[8])
+
+
 def test_no_window_over_a_whole_episode(spark):
     """Frames are never windowed by episode alone: only bucket summaries are."""
     from wayframe.operators.gates import recording_gate

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from wayframe.schemas import TABLE_NAMES, table_schema
@@ -11,7 +12,7 @@ from wayframe.sources import tables as T
 from wayframe.sources import tarshards as TS
 
 
-def test_schemas():
+def test_schemas(spark):
     assert len(TABLE_NAMES) == 8
     assert [f.name for f in table_schema("futures")][:3] == ["run_id", "shard_id", "frame_id"]
     assert len(table_schema("frames")) == 34
@@ -70,3 +71,75 @@ def test_malformed_log_lines_are_skipped(spark, tmp_path):
     (tmp_path / "m.jsonl").write_text('{"epoch": 1, "lr": 0.5}\n{"epoch": 2, "l\n\n{"epoch": 3, "lr": 0.25}\n')
     got = M.read_metrics(spark, str(tmp_path), "epoch bigint, lr double").collect()
     assert sorted(r["epoch"] for r in got) == [1, 3]
+
+
+LOG = "epoch bigint, lr double"
+
+
+def test_malformed_log_lines_are_counted(spark, tmp_path):
+    (tmp_path / "m.jsonl").write_text('{"epoch": 1, "lr": 0.5}\n{"epoch": 2, "l\n\n{"epoch": 3, "lr": 0.25}\nnot json\n')
+    watch = Observation()
+    assert M.read_metrics(spark, str(tmp_path), LOG, watch).count() == 2
+    assert watch.get == {"read": 2, "skipped": 2}
+    assert [tuple(r) for r in M.metric_line_counts(spark, str(tmp_path), LOG).collect()] == [(4, 2)]
+    bad = [r[M.CORRUPT] for r in M.read_metric_lines(spark, str(tmp_path), LOG).where("epoch IS NULL").collect()]
+    assert sorted(bad) == ["not json", '{"epoch": 2, "l']
+
+
+def test_run_documents(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0), ("a", 0), ("a", 1), ("b", 5)], "run_id string, episode_ord int")
+    doc = lambda n: M.run_metadata(rows, {"n": str(n)}, 0.1, 0.2, episode="episode_ord")
+    M.write_run_metadata(doc(1), str(tmp_path))
+    M.write_run_metadata(doc(2).where("run_id = 'b'"), str(tmp_path))
+    got = {r["run_id"]: r for r in M.read_run_metadata(spark, str(tmp_path)).collect()}
+    assert [(k, got[k]["frames"], got[k]["episodes"], got[k]["settings"]) for k in "ab"] == [("a", 3, 2, {"n": "1"}), ("b", 1, 1, {"n": "2"})]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        M.read_run_metadata(spark, str(tmp_path / "nothing"))
+    assert M.run_metadata(rows, {}, 0.1, 0.2).where("episodes IS NULL AND settings IS NULL").count() == 2
+
+
+def test_a_rerun_leaves_no_stale_shard(spark, tmp_path):
+    df = spark.range(40).select(F.col("id").alias("sample_idx"), F.expr("id div 10").alias("shard_idx"), F.col("id").alias("frame_id"))
+    TS.write_tar_shards(df, str(tmp_path), ["frame_id"])
+    manifest = TS.write_tar_shards(df.where("id < 15"), str(tmp_path), ["frame_id"])
+    assert sorted(os.listdir(tmp_path)) == ["_manifest", "shard-000000.tar", "shard-000001.tar"]
+    assert sorted(r["sample_count"] for r in manifest.collect()) == [5, 10]
+    assert TS.read_tar_shards(spark, str(tmp_path), {"frame_id": "bigint"}).count() == 15
+    TS.write_tar_shards(df.where("false"), str(tmp_path), ["frame_id"])
+    assert os.listdir(tmp_path) == ["_manifest"] and TS.read_manifest(spark, str(tmp_path)).count() == 0
+
+
+def test_a_failed_write_changes_nothing(spark, tmp_path):
+    df = spark.range(40).select(F.col("id").alias("sample_idx"), F.expr("id div 10").alias("shard_idx"), F.col("id").cast("double").alias("x"))
+    TS.write_tar_shards(df, str(tmp_path), ["x"])
+    before = {f: (tmp_path / f).read_bytes() for f in os.listdir(tmp_path) if f.endswith(".tar")}
+    broken = df.withColumn("x", F.when(F.col("sample_idx") == 35, F.raise_error(F.lit("broken")).cast("double")).otherwise(F.col("x") + 1))
+    with pytest.raises(Exception, match="broken"):
+        TS.write_tar_shards(broken, str(tmp_path), ["x"])
+    assert {f: (tmp_path / f).read_bytes() for f in os.listdir(tmp_path) if f.endswith(".tar")} == before
+    assert sorted(os.listdir(tmp_path)) == ["_manifest", *sorted(before)]
+
+
+def test_archives_are_dealt_over_tasks(spark, tmp_path):
+    """Two hundred small archives are read, and counted, by more than one task."""
+    df = spark.range(400).select(F.col("id").alias("sample_idx"), F.expr("id div 2").alias("shard_idx"), F.col("id").alias("frame_id"))
+    TS.write_tar_shards(df, str(tmp_path), ["frame_id"])
+    for rows in (TS.read_tar_shards(spark, str(tmp_path), {"frame_id": "bigint"}), TS.shard_counts(spark, str(tmp_path))):
+        tasks = rows.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+        assert len(tasks) == 8 and max(r["count"] for r in tasks) < 0.4 * sum(r["count"] for r in tasks)
+    assert len(TS.read_tar_shards(spark, str(tmp_path), {"frame_id": "bigint"}, tasks=3).select(F.spark_partition_id().alias("p")).distinct().collect()) == 3
+
+
+def test_sets_are_laid_out_and_pruned(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{run:03}", s, e, i) for run in range(3) for s in (1, 2) for e in range(5) for i in range(4)], "run_id string, set_idx bigint, episode_id int, x int")
+    T.write_episode_sets(rows, str(tmp_path), ["episode_id", "x"])
+    back = T.read_episode_sets(spark, str(tmp_path))
+    assert sorted(map(tuple, back.select(rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+    one = back.where("run_id = '001' AND set_idx = 2")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :].split("]")[0]
+    assert "run_id" in filters and "set_idx" in filters
+    assert len(one.inputFiles()) == 6 and one.select(F.input_file_name()).distinct().count() == 1
+    T.write_episode_sets(rows.where("run_id = '001' AND set_idx = 2 AND x = 0"), str(tmp_path), spread=3)
+    after = T.read_episode_sets(spark, str(tmp_path))
+    assert after.where("run_id = '001' AND set_idx = 2").count() == 5 and after.count() == 3 * 2 * 20 - 15

@@ -18,11 +18,12 @@ from wayframe.operators import rewards as R
     "tensor_stats",
     f"""WITH {Q.TENSORS}, x AS (SELECT 'ego_vec' AS field, v[j] AS x FROM tensors CROSS JOIN range(1, 15) r(j)
   UNION ALL SELECT 'objects', v[j] FROM tensors CROSS JOIN range(1, 56) r(j))
-SELECT field, count(*) AS n, {Q.r6('min(x)', 'min')}, {Q.r6('max(x)', 'max')}, {Q.r6('avg(x)', 'mean')}, {Q.r6('stddev_samp(x)', 'std')} FROM x GROUP BY 1""",
+SELECT field, count(*) AS n, {Q.r6('min(x)', 'min')}, {Q.r6('max(x)', 'max')}, {Q.r6('avg(x)', 'mean')}, {Q.r6('stddev_samp(x)', 'std')},
+  CASE field WHEN 'ego_vec' THEN (SELECT count(*) FROM tensors)::VARCHAR || ',14' ELSE (SELECT count(*) FROM tensors)::VARCHAR || ',5,11' END AS shape FROM x GROUP BY 1""",
 )
 def _(spark, sf):
     s = RP.tensor_stats(tensors(spark, sf), ["ego_vec", "objects"])
-    return s.select("field", "n", r6("min"), r6("max"), r6("mean"), r6("std"))
+    return s.select("field", "n", r6("min"), r6("max"), r6("mean"), r6("std"), F.array_join(F.transform("shape", lambda d: d.cast("string")), ",").alias("shape"))
 
 
 def _hist(source: str, x: str, lo: str, hi: str, n: int) -> str:

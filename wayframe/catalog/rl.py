@@ -123,16 +123,27 @@ def _(spark, sf):
     )
 
 
-# --- ticks with gaps (after the control check), small segments: borders and missing ticks matter ---
+# --- ticks with the gaps that the control check leaves, and small segments, so that borders matter ---
 NARROW = 64
 GAPPED = Q.FRAMES + """,
-whole AS (SELECT * FROM frames), thin AS (SELECT * FROM whole WHERE NOT (speed_mps > 5e-1 AND brake > 5e-1 AND throttle > 2e-1) AND frame_id % 64 <> 0)"""
+thin AS (SELECT * FROM frames WHERE NOT (speed_mps > 5e-1 AND brake > 5e-1 AND throttle > 2e-1))"""
 GAPPED_EVENTS = GAPPED + EVENTS.removeprefix(Q.FRAMES).replace("FROM frames WINDOW", "FROM thin WINDOW")
+#: The test events hold a collision or an off-road lane every few ticks, so that no episode would outlast its gate and one horizon.  Here
+#: every eighth collision is one, and the vehicle is off the road at every 331st tick of the run.
+RARE_EVENTS = GAPPED_EVENTS.replace("collisions_cum > pc AS collision_flag", "collisions_cum // 8 > pc // 8 AS collision_flag").replace(
+    "coalesce(lane_type <> 1, true) AS offroad_flag", "run_tick % 331 = 0 AS offroad_flag"
+)
 
 
 def gapped(spark, sf_dir):
-    """Frames after the control check; the tick at each segment border is missing as well."""
-    return GA.drop_action_mismatch(frames(spark, sf_dir)).where(F.col("frame_id") % 64 != 0)
+    """Frames after the control check."""
+    return GA.drop_action_mismatch(frames(spark, sf_dir))
+
+
+def rare(df):
+    """The same ticks with fewer collisions and other lane types, see RARE_EVENTS."""
+    lane = F.when(F.col("run_tick") % 331 == 0, 2).otherwise(1)
+    return df.withColumns({"collisions_cum": F.expr("collisions_cum div 8"), "lane_type": lane})
 
 
 @query("comfort_gapped", f"WITH {GAPPED_EVENTS} SELECT episode_ord, frame_id, {Q.r6('jerk', 'jerk')}, {Q.r6('steer_change', 'steer_change')} FROM evs")
@@ -157,15 +168,14 @@ def _(spark, sf):
 
 @query(
     "cut_at_terminal_gapped",
-    f"""WITH {GAPPED_EVENTS}, ev1 AS (SELECT *, CASE WHEN collision_flag THEN 'collision' WHEN offroad_flag AND frame_id > 200 THEN 'offroad' WHEN route_completed THEN 'goal' END AS ev FROM evs),
+    f"""WITH {RARE_EVENTS}, ev1 AS (SELECT *, CASE WHEN collision_flag THEN 'collision' WHEN offroad_flag THEN 'offroad' WHEN route_completed THEN 'goal' END AS ev FROM evs),
 fi AS (SELECT *, min(CASE WHEN ev IS NOT NULL THEN frame_id END) OVER (PARTITION BY episode_ord) AS f,
          arg_min(ev, CASE WHEN ev IS NOT NULL THEN frame_id END) OVER (PARTITION BY episode_ord) AS why FROM ev1)
 SELECT episode_ord, frame_id, coalesce(why, 'none') AS termination, frame_id = max(frame_id) OVER (PARTITION BY episode_ord) AS done FROM fi WHERE f IS NULL OR frame_id <= f""",
 )
 def _(spark, sf):
-    """Leaving the road ends an episode here, once its first 200 ticks are over."""
-    steps = R.tick_events(gapped(spark, sf), 0.1, start(), width=NARROW)
-    steps = steps.withColumn("offroad_flag", F.col("offroad_flag") & (F.col("frame_id") > 200))
+    """Collision, leaving the road and the goal all end an episode."""
+    steps = R.tick_events(rare(gapped(spark, sf)), 0.1, start(), width=NARROW)
     return GA.mark_terminal(cut_at_terminal(steps, width=NARROW), width=NARROW).select(*KEY, "termination", "done")
 
 
@@ -174,24 +184,21 @@ STOP = "EXISTS (SELECT 1 FROM lights l WHERE l.tick = run_tick AND stop_x BETWEE
 
 @query(
     "rl_labels_complete",
-    f"""WITH {Q.LIGHTS},{GAPPED_EVENTS}""".replace("lane_events_cum > pe AS lane_flag", f"(lane_events_cum > pe OR {STOP}) AS lane_flag").replace(
-        "coalesce(lane_type <> 1, true) AS offroad_flag", "(coalesce(lane_type <> 1, true) AND frame_id > 200) AS offroad_flag"
-    )
+    f"""WITH {Q.LIGHTS},{RARE_EVENTS}""".replace("lane_events_cum > pe AS lane_flag", f"(lane_events_cum > pe OR {STOP}) AS lane_flag")
     + REWARDS.removeprefix(EVENTS)
     + f""",{Q.gate(source='rc')},
-tf AS (SELECT *, min(CASE WHEN offroad_flag OR route_completed THEN frame_id END) OVER (PARTITION BY episode_ord) AS f FROM gated),
+tf AS (SELECT *, min(CASE WHEN collision_flag OR offroad_flag OR route_completed THEN frame_id END) OVER (PARTITION BY episode_ord) AS f FROM gated),
 cut AS (SELECT * FROM tf WHERE f IS NULL OR frame_id <= f)"""
     + NORMAL.format(source="cut")
     + f""",
 kp0 AS (SELECT * FROM nz WHERE recording),{Q.futures(12, 200_000, source='kp0', bases='true')},
 fu AS (SELECT episode_ord, frame_id, sum(f_x) AS xs FROM fut GROUP BY ALL HAVING count(*) = 12),
 kp AS (SELECT kp0.*, frame_id = max(frame_id) OVER (PARTITION BY episode_ord) AS done FROM kp0 SEMI JOIN fu USING (episode_ord, frame_id))
-SELECT episode_ord, frame_id, {Q.r6('reward_normalized', 'reward_normalized', 5)}, reward_violation, reward_offroad,
+SELECT episode_ord, frame_id, {Q.r6('reward_normalized', 'reward_normalized', 5)}, reward_violation, reward_offroad, reward_collision,
   route_progress_delta, done, CASE WHEN done THEN 0e0 ELSE 1e0 END AS discount FROM kp""",
 )
 def _(spark, sf):
-    """Lights and lane events, leaving the road, full horizons, and the terminal mark on what is left."""
-    lit = J.traffic_violation(gapped(spark, sf).withColumn("tick", F.col("run_tick")), lights(spark, sf))
-    late = lit.withColumn("lane_type", F.when(F.col("frame_id") > 200, F.col("lane_type")).otherwise(F.lit(1)))
-    out = R.rl_labels(late, 0.1, termination={"collision": False}, start=start(), horizon=(12, 200_000), width=NARROW, gaps=True)
-    return out.select(*KEY, r6("reward_normalized", digits=5), "reward_violation", "reward_offroad", "route_progress_delta", "done", "discount")
+    """Lights and lane events, every termination, full horizons, and the terminal mark on what is left, over all ticks."""
+    lit = J.traffic_violation(rare(gapped(spark, sf)).withColumn("tick", F.col("run_tick")), lights(spark, sf))
+    out = R.rl_labels(lit, 0.1, start=start(), horizon=(12, 200_000), width=NARROW, gaps=True)
+    return out.select(*KEY, r6("reward_normalized", digits=5), "reward_violation", "reward_offroad", "reward_collision", "route_progress_delta", "done", "discount")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayframe.catalog import ctes as Q
-from wayframe.catalog.dataset import SHARDED, sharded
+from wayframe.catalog.dataset import SETS, SHARDED, in_sets, sharded
 from wayframe.catalog.registry import query
 from wayframe.catalog.views import frames, r6, table
 from wayframe.sources import metadata as M
@@ -148,23 +148,80 @@ def _(spark, sf):
     return M.read_metadata(spark, root).withColumn("fields", F.array_join("fields", ","))
 
 
-@query("run_metadata", f"WITH {Q.FRAMES} SELECT run_id, count(*) AS frames, 1e-1 AS fixed_dt, 2e-1 AS future_dt, 32 AS K, 12 AS N, '0.4' AS resolution FROM frames GROUP BY 1")
+@query(
+    "run_metadata",
+    f"""WITH {Q.FRAMES} SELECT run_id, count(*) AS frames, count(DISTINCT episode_ord) AS episodes, 1e-1 AS fixed_dt, 2e-1 AS future_dt, 32 AS K, 12 AS N, 64 AS M, '0.4' AS resolution FROM frames GROUP BY 1
+  UNION ALL SELECT 'run1', count(*), count(DISTINCT episode_ord), 5e-2, 2e-1, 32, 12, 64, '0.5' FROM frames""",
+)
 def _(spark, sf):
-    m = M.run_metadata(frames(spark, sf), {"resolution": "0.4"}, 0.1, 0.2)
-    return m.withColumn("resolution", F.col("settings")["resolution"]).drop("settings")
+    """Two runs' documents, one of them written twice, read back."""
+    root, rows = fresh_dir(spark, "runs"), frames(spark, sf)
+    M.write_run_metadata(M.run_metadata(rows, {"resolution": "0.9"}, 0.2, 0.2, episode="episode_ord"), root)
+    M.write_run_metadata(M.run_metadata(rows.withColumn("run_id", F.lit("run1")), {"resolution": "0.5"}, 0.05, 0.2, episode="episode_ord"), root)
+    M.write_run_metadata(M.run_metadata(rows, {"resolution": "0.4"}, 0.1, 0.2, episode="episode_ord"), root)
+    return M.read_run_metadata(spark, root).withColumn("resolution", F.col("settings")["resolution"]).drop("settings")
 
 
 @query(
-    "read_metrics",
-    "SELECT event_id AS epoch, value AS \"valid/loss\", event_type AS stage FROM events WHERE event_id % 50 <> 7",
+    "dataset_summary",
+    f"WITH {SHARDED} SELECT 'run0' AS run_id, count(*) AS total_samples, count(DISTINCT shard_idx) AS shards, count(*) AS samples_in_shards, true AS complete FROM sharded",
 )
 def _(spark, sf):
+    """The dataset document beside what the shards hold; the shards are written a second time, fewer than at first."""
+    root, rows = fresh_dir(spark, "dataset"), tar_samples(spark, sf)
+    TS.write_tar_shards(rows.withColumn("shard_idx", F.expr("sample_idx div 500")), f"{root}/shards", ["frame_id"])
+    TS.write_tar_shards(rows, f"{root}/shards", ["frame_id", "done"])
+    M.write_metadata(M.dataset_metadata(rows, ["frame_id", "done"], "run0"), root)
+    return M.dataset_summary(spark, root, f"{root}/shards").select("run_id", "total_samples", "shards", "samples_in_shards", "complete")
+
+
+def logged(spark: SparkSession, sf_dir: str) -> str:
     """Metric lines, one in fifty of them cut short."""
     path = fresh_dir(spark, "metrics")
-    ev = table(spark, sf, "events").select(
+    ev = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("epoch"), F.col("value").alias("valid/loss"), F.col("event_type").alias("stage")
     )
     M.append_metrics(ev.where("epoch % 50 <> 7"), path)
     broken = ev.where("epoch % 50 = 7").select(F.substring(F.to_json(F.struct("*")), 1, 9).alias("value"))
     broken.write.mode("append").text(path)
-    return M.read_metrics(spark, path, "epoch bigint, `valid/loss` double, stage string")
+    return path
+
+
+METRIC_LINE = "epoch bigint, `valid/loss` double, stage string"
+
+
+@query(
+    "read_metrics",
+    "SELECT event_id AS epoch, value AS \"valid/loss\", event_type AS stage FROM events WHERE event_id % 50 <> 7",
+)
+def _(spark, sf):
+    return M.read_metrics(spark, logged(spark, sf), METRIC_LINE)
+
+
+@query("metric_line_counts", "SELECT count(*) AS lines, count(*) FILTER (WHERE event_id % 50 = 7) AS malformed FROM events")
+def _(spark, sf):
+    return M.metric_line_counts(spark, logged(spark, sf), METRIC_LINE)
+
+
+@query(
+    "read_episode_set",
+    f"""WITH {SETS} SELECT run_id, set_idx, episode_id, count(*) AS rows, CAST(sum(l_partkey) AS BIGINT) AS parts FROM sets WHERE run_id = 'RF' AND set_idx = 2 GROUP BY ALL""",
+)
+def _(spark, sf):
+    """One set of one run, out of the set layout on disk."""
+    root = fresh_dir(spark, "sets")
+    T.write_episode_sets(in_sets(spark, sf), root)
+    one = T.read_episode_sets(spark, root).where("run_id = 'RF' AND set_idx = 2")
+    return one.groupBy("run_id", "set_idx", "episode_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("l_partkey").alias("parts"))
+
+
+@query(
+    "rewrite_episode_set",
+    f"""WITH {SETS} SELECT run_id, set_idx, count(*) AS rows FROM sets WHERE NOT (run_id = 'RF' AND set_idx = 2 AND episode_id = 0) GROUP BY ALL""",
+)
+def _(spark, sf):
+    """One set is written again without its first episode; the others stay."""
+    root, rows = fresh_dir(spark, "sets"), in_sets(spark, sf)
+    T.write_episode_sets(rows, root)
+    T.write_episode_sets(rows.where("run_id = 'RF' AND set_idx = 2 AND episode_id <> 0"), root)
+    return T.read_episode_sets(spark, root).groupBy("run_id", "set_idx").agg(F.count(F.lit(1)).alias("rows"))

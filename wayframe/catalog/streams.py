@@ -14,6 +14,7 @@ from wayframe.catalog.audits import rewarded
 from wayframe.catalog.views import frames, r6
 from wayframe.operators.gates import mark_gate
 from wayframe.sources.shared import fresh_dir
+from wayframe.streaming.common import stream_session
 from wayframe.streaming.gate import stream_gate
 from wayframe.streaming.labelling import stream_future_labels
 from wayframe.streaming.running import stream_running_normalise
@@ -27,24 +28,18 @@ def through_stream(spark: SparkSession, rows: DataFrame, apply: Callable[[DataFr
     rows.write.parquet(f"{root}/all")
     stored = spark.read.schema(rows.schema).parquet(f"{root}/all")
     ends = stored.agg(F.max(order).alias("m")).first()["m"] + 1
-    # State has a fixed number of partitions, chosen at the first start: one per core here.
-    setting = "spark.sql.shuffle.partitions"
-    partitions = spark.conf.get(setting)
+    own = stream_session(spark, spark.sparkContext.defaultParallelism)
     for p in range(PARTS):
         step = stored.where((F.col(order) >= ends * p // PARTS) & (F.col(order) < ends * (p + 1) // PARTS))
         step.write.mode("append").parquet(f"{root}/in")
-        out = apply(spark.readStream.schema(rows.schema).parquet(f"{root}/in"))
-        spark.conf.set(setting, str(spark.sparkContext.defaultParallelism))
-        try:
-            q = (
-                out.writeStream.format("parquet")
-                .option("checkpointLocation", f"{root}/checkpoint")
-                .trigger(availableNow=True)
-                .start(f"{root}/out")
-            )
-            q.awaitTermination()
-        finally:
-            spark.conf.set(setting, partitions)
+        out = apply(own.readStream.schema(rows.schema).parquet(f"{root}/in"))
+        q = (
+            out.writeStream.format("parquet")
+            .option("checkpointLocation", f"{root}/checkpoint")
+            .trigger(availableNow=True)
+            .start(f"{root}/out")
+        )
+        q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{root}/out")
 
 

@@ -82,7 +82,6 @@ def frames(spark: SparkSession, sf_dir: str, irregular: bool = False) -> DataFra
         (F.col("cnt") - n).cast("double").alias("goal_dist_m"),
         "collisions_cum",
         "lane_events_cum",
-        (e % 17 == 0).alias("near_light"),
     )
 
 

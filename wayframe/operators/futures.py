@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wayframe import constants as K
 from wayframe.functions.geometry import command_from_path
 from wayframe.plans.segments import SEG
+from wayframe.sources.shared import settle
 
 EPISODE = ("run_id", "episode_ord")
 BUCKET_HORIZONS = 256
@@ -38,8 +39,12 @@ def future_samples(
     Plan: rows are put into time buckets at least one horizon wide.  A bucket
     needs, besides its own rows, the rows before its last target and ``n`` more;
     those are copied into it, so that one shuffle on (episode, bucket) brings
-    everything together.  A bucket's size is bounded by the tick rate, however
-    long the episode is; narrower buckets (``bucket_us``) give smaller tasks.
+    everything together.  Windows over the bucket, latest rows first, then carry the
+    first sample at or after each target and how many rows follow it; rows are never collected
+    into arrays.  Where the forced progress moves a step on to a later row than that, and only there,
+    the sample is fetched by its place: an equi-join on (episode, bucket, place) with the written rows.
+    The rows are written once for this, to the shared folder.  A bucket's size is bounded by the tick rate,
+    however long the episode is; narrower buckets (``bucket_us``) give smaller tasks.
     """
     horizon = n * step_us
     width = max(bucket_us or horizon * BUCKET_HORIZONS, horizon)
@@ -96,40 +101,46 @@ def future_samples(
         .drop("_place", "_looking", "_nth_before")
     )
 
-    # Rows of the bucket before each target = position of the first sample at or after it; the position
-    # taken for target k is the largest of those for the targets up to k, each moved on to step k.
-    by_time = W.partitionBy(*keys, SEG).orderBy(time)
-    firsts = [
-        (F.count(F.lit(1)).over(by_time.rangeBetween(W.unboundedPreceding, k * step_us - 1)) - k).cast("int")
-        for k in range(1, n + 1)
-    ]
-    ranked = placed.select(
-        *keys, SEG, "_own", "_end", *payload, *[c.alias(f"_f{k}") for k, c in enumerate(firsts, 1)],
-        F.row_number().over(in_bucket).alias("_pos"),
-    )
-    taken = [F.col("_f1") + 1]
-    taken += [F.greatest(*[F.col(f"_f{j}") for j in range(1, k + 1)]) + k for k in range(2, n + 1)]
-    is_base = F.col("_own") & (~F.col(tail) if tail else F.lit(True))
-    at = F.when(is_base & (F.col("_end") >= F.col(time) + horizon), F.array(*taken))
-
-    # Gather: the bucket's samples as one sorted array, in which each base row looks its samples up by position.
-    sample = F.struct("_pos", F.col(time).alias("t_us"), *[F.col(v) for v in values])
-    grouped = ranked.groupBy(*keys, SEG).agg(
-        F.sort_array(F.collect_list(sample)).alias("_all"),
-        F.collect_list(F.when(is_base, F.struct(*payload, at.alias("_at")))).alias("_bases"),
+    # With the latest rows first, the frame of target k holds the samples at or after it: its least is the first of them, and
+    # its size is what is left of the bucket from there.  Counted from the bucket's end, a step moves on to what the step before
+    # left less one, if that is further.
+    sample = F.struct(F.col(time).alias("t"), F.col(order).alias("o"), *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
+    latest = placed.withColumn("_back", -F.col(time)).withColumn("_is_base", F.col("_own") & (~F.col(tail) if tail else F.lit(True)))
+    back = W.partitionBy(*keys, SEG).orderBy("_back")
+    frames = {k: back.rangeBetween(W.unboundedPreceding, -k * step_us) for k in range(1, n + 1)}
+    whole = W.partitionBy(*keys, SEG)
+    ranked = latest.select(
+        *keys, SEG, "_is_base", "_end", *payload,
+        F.row_number().over(W.partitionBy(*keys, SEG).orderBy(F.desc(time), F.desc(order))).alias("_left"),
+        *[F.count(F.lit(1)).over(w).alias(f"_l{k}") for k, w in frames.items()],
+        *[F.min(sample).over(w).alias(f"_s{k}") for k, w in frames.items()],
     )
-
-    def lookup(a: Column, i: Column) -> Column:
-        s = F.get(F.col("_all"), a)
-        return F.struct((i + 1).alias("i"), s["t_us"].alias("t_us"), *[s[v].alias(v) for v in values])
-
-    def found(b: Column) -> Column:
-        whole = F.transform(b["_at"], lookup)
-        cut = F.transform(F.filter(b["_at"], lambda a: a < F.size("_all")), lookup)
-        return F.when(F.element_at(b["_at"], -1) < F.size("_all"), whole).otherwise(cut)
-
-    labelled = F.transform("_bases", lambda b: F.struct(*[b[c].alias(c) for c in payload], found(b).alias("samples")))
-    return grouped.select(*keys, F.inline(labelled)).select(*df.columns, "samples")
+    # what is left from the sample of step k on; 0 and less: run off the end
+    left = [F.col("_l1")]
+    left += [F.least(*[F.col(f"_l{j}") + (j - k) for j in range(1, k + 1)]) for k in range(2, n + 1)]
+    known = F.col("_is_base") & (F.col("_end") >= F.col(time) + horizon)
+    taken = [
+        F.struct(F.lit(k).alias("i"), x.cast("int").alias("left"), F.when(x == F.col(f"_l{k}"), F.col(f"_s{k}")).alias("s"))
+        for k, x in enumerate(left, 1)
+    ]
+    steps = F.when(known, F.filter(F.array(*taken), lambda p: p["left"] > 0))
+    stored = settle(ranked.select(*keys, SEG, "_left", "_is_base", *payload, steps.alias("_steps")), "future_steps")
+
+    def shown(i: Column, s: Column) -> Column:
+        return F.struct(i.alias("i"), s["t"].alias("t_us"), *[s[f"v{j}"].alias(v) for j, v in enumerate(values)])
+
+    moved = F.exists("_steps", lambda p: p["s"].isNull())
+    bases = stored.where("_is_base")
+    # These are few unless samples are sparser than the steps.
+    asked = bases.where(moved).select(*keys, SEG, F.col("_left").alias("_who"), F.inline(F.filter("_steps", lambda p: p["s"].isNull())))
+    place = [*keys, SEG, "left"]
+    there = stored.select(*keys, SEG, F.col("_left").cast("int").alias("left"), sample.alias("s"))
+    got = asked.drop("s").join(there, place).groupBy(*keys, SEG, F.col("_who").alias("_left")).agg(F.collect_list(F.struct("i", "s")).alias("_got"))
+    straight = bases.where(~F.coalesce(moved, F.lit(False))).select(*df.columns, F.transform("_steps", lambda p: shown(p["i"], p["s"])).alias("samples"))
+    direct = F.transform(F.filter("_steps", lambda p: p["s"].isNotNull()), lambda p: F.struct(p["i"].alias("i"), p["s"].alias("s")))
+    both = F.array_sort(F.concat(direct, "_got"), lambda a, b: a["i"] - b["i"])
+    forced = bases.where(moved).join(got, [*keys, SEG, "_left"]).select(*df.columns, F.transform(both, lambda p: shown(p["i"], p["s"])).alias("samples"))
+    return straight.unionByName(forced)
 
 
 def future_waypoints(df: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def mark_gate(
     Needs a look-back of ``ticks - 1`` rows and one minimum per episode, so it
     works per segment: no task holds a whole episode.  Ticks are counted as rows:
     with ``gaps`` the counter ``index`` may jump, and rows are numbered first;
-    without, it is consecutive.
+    without, it has to be consecutive, and a jump in it is an error when the rows are read.
     """
     good = F.col("speed_mps") >= min_speed
     if has_route is not None:
@@ -46,9 +46,15 @@ def mark_gate(
     ready = F.sum("_good").over(run) >= ticks
     marked = own_rows(spread.withColumn("_ready", ready), keep_segment=True)
     start = Running("min", F.when(F.col("_ready"), F.col(at)), "all")
-    out = scan(marked, keys, at, width, _start=start)
+    whole = {} if gaps else {
+        "_rows": Running("sum", F.lit(1).cast("bigint"), "all"), "_low": Running("min", F.col(at), "all"), "_high": Running("max", F.col(at), "all"),
+    }
+    out = scan(marked, keys, at, width, _start=start, **whole)
     recording = F.coalesce(F.col(at) >= F.col("_start"), F.lit(False))
-    return out.withColumn("recording", recording).drop("_good", "_ready", "_start", *(["_row"] if gaps else []))
+    if not gaps:
+        error = F.raise_error(F.lit(f"{index} has gaps or repeats; see the option gaps")).cast("boolean")
+        recording = F.when(F.col("_high") - F.col("_low") + 1 == F.col("_rows"), recording).otherwise(error)
+    return out.withColumn("recording", recording).drop("_good", "_ready", "_start", *whole, *(["_row"] if gaps else []))
 
 
 def recording_gate(df: DataFrame, **options) -> DataFrame:

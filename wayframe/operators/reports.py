@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,27 +15,88 @@ from wayframe.functions.geometry import command_label
 from wayframe.plans.segments import WIDTH, Running, scan
 
 
-def _flat(df: DataFrame, name: str) -> Column:
-    """A column's numbers as one flat array."""
-    kind, depth = df.schema[name].dataType, 0
+def _depth(kind: T.DataType) -> int:
+    depth = 0
     while isinstance(kind, T.ArrayType):
         kind, depth = kind.elementType, depth + 1
+    return depth
+
+
+def _flat(df: DataFrame, name: str) -> Column:
+    """A column's numbers as one flat array."""
+    depth = _depth(df.schema[name].dataType)
     c = F.col(name) if depth else F.array(name)
     for _ in range(depth - 1):
-        c = F.flatten(c)
-    return F.transform(c, lambda v: v.cast("double"))
+        c = F.flatten(F.filter(c, lambda inner: inner.isNotNull()))
+    numbers = F.filter(F.transform(c, lambda v: v.cast("double")), lambda v: v.isNotNull())
+    return F.coalesce(numbers, F.array().cast("array<double>"))
+
+
+def _shape(df: DataFrame, name: str) -> Column:
+    """A row's extent in each dimension; null if the arrays inside differ in length, or are null."""
+    depth = _depth(df.schema[name].dataType)
+
+    def extents(c: Column, left: int) -> Column:
+        here = F.array(F.when(c.isNotNull(), F.size(c)).cast("bigint"))
+        if left == 1:
+            return here
+        inner = F.array_distinct(F.transform(c, lambda x: extents(x, left - 1)))
+        return F.concat(here, F.when(F.size(inner) <= 1, F.coalesce(F.get(inner, F.lit(0)), F.array(*[F.lit(0).cast("bigint")] * (left - 1)))))
+
+    if not depth:
+        return F.array().cast("array<bigint>")
+    e = extents(F.col(name), depth)
+    return F.when(~F.exists(e, lambda x: x.isNull()), e)
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _moments(xs: Column) -> Column:
+    """An array's count, least, greatest, mean and sum of squares about the mean, in its row."""
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    n = F.size(xs)
+
+    def about(mean: Column) -> Column:
+        m2 = total(F.transform(xs, lambda x: (x - mean) * (x - mean)))
+        return F.struct(n.alias("n"), F.array_min(xs).alias("lo"), F.array_max(xs).alias("hi"), mean.alias("mean"), m2.alias("m2"))
+
+    return _let(F.when(n > 0, total(xs) / n), about)
 
 
 def tensor_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, minimum, maximum, mean and sample deviation of all numbers of each column."""
-    parts = F.array(*[F.struct(F.lit(c).alias("field"), _flat(df, c).alias("xs")) for c in columns])
-    x = df.select(F.inline(parts)).select("field", F.explode("xs").alias("x"))
-    return x.groupBy("field").agg(
-        F.count("x").alias("n"),
-        F.min("x").alias("min"),
-        F.max("x").alias("max"),
-        F.avg("x").alias("mean"),
-        F.stddev_samp("x").alias("std"),
+    """Per field: count, minimum, maximum, mean and sample deviation of all its numbers, and its ``shape``.
+
+    Null numbers don't count.  ``shape`` is the number of rows and the extent of each further dimension; null if rows differ
+    in shape or are null.  Each array is folded to its moments in its own row.  Rows are merged by the number of
+    values that they hold, so that they weigh alike, and the few sums of different numbers are merged pairwise (Chan, Golub and
+    LeVeque); nothing cancels, and no row is multiplied by its numbers.
+    """
+    parts = F.array(*[F.struct(F.lit(c).alias("field"), _moments(_flat(df, c)).alias("m"), _shape(df, c).alias("shape")) for c in columns])
+    x = df.select(F.inline(parts)).select("field", "m.*", "shape")
+    by = x.groupBy("field", "n", "shape").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.avg("mean").alias("mean"), F.var_pop("mean").alias("spread"), F.sum("m2").alias("m2")
+    )
+    # n values in each of the rows: their means spread by n * rows * var_pop(mean)
+    count = (F.col("n") * F.col("rows")).cast("double")
+    by = by.select("field", "rows", "shape", "lo", "hi", F.struct(count.alias("n"), "mean", (F.col("m2") + count * F.col("spread")).alias("m2")).alias("m"))
+
+    def merge(a: Column, b: Column) -> Column:
+        n, d = a["n"] + b["n"], b["mean"] - a["mean"]
+        both = F.struct(n.alias("n"), (a["mean"] + d * b["n"] / n).alias("mean"), (a["m2"] + b["m2"] + d * d * a["n"] * b["n"] / n).alias("m2"))
+        return F.when(b["n"] == 0, a).when(a["n"] == 0, b).otherwise(both)
+
+    none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    out = by.groupBy("field").agg(
+        F.aggregate(F.sort_array(F.collect_list("m")), none, merge).alias("m"), F.min("lo").alias("min"), F.max("hi").alias("max"),
+        F.sum("rows").alias("rows"), F.count_distinct("shape").alias("shapes"), F.count_if(F.col("shape").isNull()).alias("odd"), F.first("shape", ignorenulls=True).alias("shape"),
+    )
+    n = F.col("m.n")
+    return out.select(
+        "field", n.cast("bigint").alias("n"), "min", "max", F.when(n > 0, F.col("m.mean")).alias("mean"), F.when(n > 1, F.sqrt(F.col("m.m2") / (n - 1))).alias("std"),
+        F.when((F.col("shapes") == 1) & (F.col("odd") == 0), F.concat(F.array("rows"), F.col("shape"))).alias("shape"),
     )
 
 
@@ -74,41 +136,45 @@ def reward_histogram(df: DataFrame, value: str = "reward_clipped", n: int = 20)
     return _binned(df, F.col(value), lo, hi, n).where("count > 0")
 
 
+def _selected(df: DataFrame, value: str, **aggregates: Column) -> DataFrame:
+    """One row: ``n``, the two middle values ``lower`` and ``upper``, and the aggregates, in two passes.
+
+    The first pass takes the aggregates and brackets the middle by a quantile sketch; its one row is joined once.  The second
+    counts the values of the bracket, with all rows below it as one more, lowest value.  Counts are added up in
+    parts of the bracket.  No task sorts or holds the whole column.
+    """
+    first = df.withColumn("_v", F.col(value).cast("double"))
+    first = first.agg(F.percentile_approx("_v", [0.4995, 0.5005], 10_000).alias("_q"), F.count("_v").alias("n"), *[a.alias(k) for k, a in aggregates.items()])
+    first = first.select(F.struct("n", *aggregates).alias("_all"), F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
+    v = F.col("_v")
+    # One row without a value keeps the result's row where the column has none.
+    values = df.select(F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL").union(df.sparkSession.range(1).select(F.lit(None).cast("double")))
+    met = values.select("_v", v.isNotNull().cast("int").alias("_is")).join(F.broadcast(first), v.isNull() | (v <= F.col("_hi")))
+    inside = v >= F.col("_lo")
+    span = F.col("_hi") - F.col("_lo")
+    part = F.when(~inside, -1).when(span > 0, F.floor((v - F.col("_lo")) / span * 65_535)).otherwise(0).cast("bigint")
+    counted = met.groupBy("_all", part.alias("_b"), F.when(inside, v).alias("_v")).agg(F.sum("_is").alias("_n"))
+    upto = scan(counted, [], ["_b", "_v"], 1, _upto=Running("sum", F.col("_n")))
+    n = F.col("_all.n")
+    at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
+    out = upto.groupBy("_all").agg(at(F.floor((n + 1) / 2)).alias("lower"), at(F.floor(n / 2) + 1).alias("upper"))
+    return out.select("_all.*", "lower", "upper")
+
+
 def middle_values(df: DataFrame, value: str) -> DataFrame:
     """Exact middle of a column of any size: one row ``n, lower, upper``.
 
-    ``lower`` and ``upper`` are the two middle values (equal for an odd count).
-    A quantile sketch brackets the middle; only the values in the bracket are
-    counted, and their counts are accumulated in segments of the bracket.  No
-    task sorts or holds the whole column.
+    ``lower`` and ``upper`` are the two middle values (equal for an odd count, null for an empty column); nulls don't count.
     """
-    base = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"))
-    sketch = base.agg(
-        F.percentile_approx("_v", [0.4995, 0.5005], 10_000).alias("q"), F.count(F.lit(1)).alias("n")
-    )
-    lo, hi = sketch.select(F.col("q")[0]).scalar(), sketch.select(F.col("q")[1]).scalar()
-    n = sketch.select("n").scalar()
-    below = base.where(F.col("_v") < lo).agg(F.count(F.lit(1))).scalar()
-    inside = base.where((F.col("_v") >= lo) & (F.col("_v") <= hi)).groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
-    part = F.when(hi > lo, F.floor((F.col("_v") - lo) / (hi - lo) * 65_535)).otherwise(0).cast("bigint")
-    cum = scan(inside.withColumn("_b", part), [], ["_b", "_v"], 1, _cum=Running("sum", F.col("_n")))
-    upto = F.col("_cum") + below
-    lower = F.min(F.when(upto >= F.floor((n + 1) / 2), F.col("_v")))
-    upper = F.min(F.when(upto >= F.floor(n / 2) + 1, F.col("_v")))
-    return cum.agg(lower.alias("lower"), upper.alias("upper")).select(n.alias("n"), "lower", "upper")
+    return _selected(df, value).select("n", "lower", "upper")
 
 
 def distribution(df: DataFrame, value: str, scale: float = 1.0) -> DataFrame:
     """Minimum, maximum, mean, sample deviation, lower median and mean size, plain and in physical units."""
-    median = middle_values(df, value).select("lower").scalar()
-    stats = df.agg(
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.avg(F.abs(value)).alias("abs_mean"),
-    ).withColumn("median", median)
+    c = F.col(value)
+    stats = _selected(df, value, min=F.min(c), max=F.max(c), mean=F.avg(c), std=F.stddev_samp(c), abs_mean=F.avg(F.abs(c)))
     names = ["min", "max", "mean", "std", "median", "abs_mean"]
+    stats = stats.withColumnRenamed("lower", "median")
     return stats.select(*names, *[(F.col(c) * scale).alias(f"{c}_physical") for c in names])
 
 
@@ -193,10 +259,8 @@ def speed_limit_table(df: DataFrame, limit: str) -> DataFrame:
 
 def speed_limit_report(df: DataFrame, limit: str) -> DataFrame:
     """Extremes, mean and median (mean of the two middle values) of the limits in km/h and m/s."""
-    mid = middle_values(df, limit)
-    median = mid.select((F.col("lower") + F.col("upper")) / 2.0).scalar()
-    s = df.agg(F.count(limit).alias("n"), F.min(limit).alias("min"), F.max(limit).alias("max"), F.avg(limit).alias("mean"))
-    s = s.withColumn("median", median)
+    c = F.col(limit)
+    s = _selected(df, limit, min=F.min(c), max=F.max(c), mean=F.avg(c)).withColumn("median", (F.col("lower") + F.col("upper")) / 2.0)
     names = ["min", "max", "mean", "median"]
     return s.select("n", *[F.col(c).alias(f"{c}_kmh") for c in names], *[(F.col(c) / 3.6).alias(f"{c}_mps") for c in names])
 
@@ -298,6 +362,37 @@ def top_k(df: DataFrame, k: int, objective: str = "objective", maximize: bool =
     return df.orderBy(by, order).limit(k)
 
 
+def _entries(pdf, patience: int, min_delta: float):
+    """One row that says what a segment of records (falling scores) does to any accepted best it is entered with.
+
+    The first record that beats the best by more than ``min_delta`` is the entry; what follows depends on it alone.  So each
+    entry has its outcome: the last record accepted in the segment, or where training stops inside.  The best is at most
+    ``min_delta`` above the least score before the segment (``_best``), so only the records down to the first one that
+    beats that least by ``min_delta`` can be entries.
+    """
+    import numpy as np
+    import pandas as pd
+
+    pdf = pdf.sort_values("_at", ignore_index=True)
+    x, at, epoch = (pdf[c].to_numpy() for c in ("_x", "_at", "_e"))
+    n = len(x)
+    # Scores fall, so the next one accepted after i is where they first go below x[i] - min_delta.
+    after = np.searchsorted(-x, -(x - min_delta), side="right")
+    last, stop = np.arange(n), np.full(n, -1)
+    for i in range(n - 1, -1, -1):
+        j = after[i]
+        if j < n:
+            if at[j] - at[i] > patience:
+                stop[i] = at[i] + patience
+            else:
+                last[i], stop[i] = last[j], stop[j]
+    before = pdf["_best"].iloc[0]
+    beats = np.flatnonzero(x < before - min_delta) if before == before else np.arange(1)  # no score before: the first record is accepted
+    k = int(beats[0]) + 1 if len(beats) else n
+    data = {"_entry_x": x[:k], "_entry_at": at[:k], "_last_x": x[last[:k]], "_last_at": at[last[:k]], "_last_e": epoch[last[:k]], "_stop": stop[:k]}
+    return pd.DataFrame([{"_seg": pdf["_seg"].iloc[0], **{c: v.tolist() for c, v in data.items()}}])
+
+
 def early_stop(
     df: DataFrame,
     patience: int,
@@ -312,8 +407,12 @@ def early_stop(
 
     An epoch improves if it beats the last accepted best by more than
     ``min_delta``; training stops after ``patience`` epochs in a row without
-    improvement.  An accepted epoch is always better than all before it, so only
-    those records are folded in order; the rest is dropped by a segmented scan.
+    improvement.  The first epoch is accepted.
+
+    An accepted epoch is always better than all before it, so a segmented scan drops all but those records.  Records
+    are cut into segments of ``width`` epochs, and each is summarised on its own: what it does to the best it is entered
+    with.  A run's summaries are then followed in order, in a stream that carries three numbers: the best, the epoch that set it
+    and where training stopped.  No task holds a run, even one in which every epoch is a record.
     """
     sign = -1.0 if maximize else 1.0
     base = df.select(run, epoch, (F.col(score) * sign).cast("double").alias("_x"))
@@ -322,31 +421,59 @@ def early_stop(
         base, [run], epoch, width,
         _at=Running("sum", one, "before"), _best=Running("min", F.col("_x"), "before"), _n=Running("sum", one, "all"),
     )
-    rec = seen.where(F.col("_best").isNull() | (F.col("_x") < F.col("_best")))
-    runs = rec.groupBy(run).agg(
-        F.sort_array(F.collect_list(F.struct("_at", "_x", F.col(epoch).cast("bigint").alias("_e")))).alias("_r"), F.max("_n").alias("_n")
-    )
-    first = F.col("_r")[0]
-    none = F.lit(None).cast("bigint")
-    start = F.struct(first["_x"].alias("best"), first["_at"].alias("at"), first["_e"].alias("epoch"), none.alias("stop"))
-
-    def step(a: Column, r: Column) -> Column:
-        late = r["_at"] > a["at"] + patience
-        better = r["_x"] < a["best"] - min_delta
-        go = a["stop"].isNull() & ~late & better
-        return F.struct(
-            F.when(go, r["_x"]).otherwise(a["best"]).alias("best"),
-            F.when(go, r["_at"]).otherwise(a["at"]).alias("at"),
-            F.when(go, r["_e"]).otherwise(a["epoch"]).alias("epoch"),
-            F.when(a["stop"].isNull() & late, a["at"] + patience).otherwise(a["stop"]).alias("stop"),
-        )
-
-    end = F.aggregate(F.slice("_r", F.lit(2), F.greatest(F.size("_r") - 1, F.lit(0))), start, step)
-    runs = runs.select(run, "_n", end.alias("_e"))
-    stop = F.coalesce(F.col("_e.stop"), F.when(F.col("_e.at") + patience <= F.col("_n") - 1, F.col("_e.at") + patience))
-    return runs.select(
-        run, stop.alias("stop_at"), F.col("_e.epoch").alias("best_epoch"), (F.col("_e.best") * sign).alias("best_score")
-    )
+    rec = seen.where(F.col("_x").isNotNull() & (F.col("_best").isNull() | (F.col("_x") < F.col("_best"))))
+    rec = rec.select(run, F.expr(f"_at div {int(width)}").alias("_seg"), "_at", "_x", F.col(epoch).cast("bigint").alias("_e"), "_best", "_n")
+    kind = dict(df.dtypes)[run]
+    lists = "_entry_x array<double>, _entry_at array<bigint>, _last_x array<double>, _last_at array<bigint>, _last_e array<bigint>, _stop array<bigint>"
+
+    def summarise(pdf):
+        out = _entries(pdf, patience, min_delta)
+        out[run], out["_n"] = pdf[run].iloc[0], pdf["_n"].iloc[0]
+        return out
+
+    def follow(batches: Iterator) -> Iterator:
+        import bisect
+
+        import pyarrow as pa
+
+        names = [run, "_n", "stop_at", "best_epoch", "best_score"]
+        key, state, size = None, None, 0
+
+        def end() -> tuple:
+            best, at, e, stop = state
+            return (key, size, stop if stop >= 0 else (at + patience if at + patience <= size - 1 else None), e, best * sign)
+
+        for b in batches:
+            done = []
+            for r in b.to_pylist():
+                if state is None or r[run] != key:
+                    if state is not None:
+                        done.append(end())
+                    key, size, state = r[run], r["_n"], (math.inf, None, None, -1)
+                best, at, e, stop = state
+                if stop >= 0:
+                    continue
+                # entries fall: the first below the best less min_delta
+                k = 0 if at is None else bisect.bisect_right(r["_entry_x"], -(best - min_delta), key=lambda x: -x)
+                if k == len(r["_entry_x"]):
+                    continue
+                if at is not None and r["_entry_at"][k] - at > patience:
+                    state = (best, at, e, at + patience)
+                else:
+                    state = (r["_last_x"][k], r["_last_at"][k], r["_last_e"][k], r["_stop"][k])
+            if done:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, d)) for d in done], schema=out_schema(b))
+        if state is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, end()))], schema=out_schema(b))
+
+    def out_schema(b):
+        import pyarrow as pa
+
+        return pa.schema([(run, b.schema.field(run).type), ("_n", pa.int64()), ("stop_at", pa.int64()), ("best_epoch", pa.int64()), ("best_score", pa.float64())])
+
+    summaries = rec.groupBy(run, "_seg").applyInPandas(summarise, f"`{run}` {kind}, _seg bigint, _n bigint, {lists}")
+    ordered = summaries.repartition(run).sortWithinPartitions(run, "_seg")
+    return ordered.mapInArrow(follow, f"`{run}` {kind}, _n bigint, stop_at bigint, best_epoch bigint, best_score double").drop("_n")
 
 
 def run_summary(df: DataFrame, reach: float = K.GOAL_REACH_M, keys: Sequence[str] = ("run_id",), episode: str = "episode_ord") -> DataFrame:

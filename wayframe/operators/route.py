@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from wayframe import constants as K
 from wayframe.functions.geometry import wrap_deg
+from wayframe.operators.futures import future_samples
+from wayframe.plans.segments import SEG, WIDTH, segment_of
+from wayframe.sources.shared import settle
 
 
 def route_geometry(df: DataFrame, keys: Sequence[str] = ("route_id",), index: str = "idx") -> DataFrame:
@@ -60,44 +63,61 @@ def drop_consumed(
     return marked.withColumn("_start", start).where(F.col(index) >= F.col("_start")).drop("_at", "_end", "_start")
 
 
+#: Lengths are counted in whole parts of a metre, so that sums do not depend on where they start.
+PARTS_PER_M = 1_000_000_000
+
+
+def travelled(df: DataFrame, keys: Sequence[str], index: str, width: int = WIDTH) -> DataFrame:
+    """Add ``_s``, the length from the route's first point to each point; a route is cut into segments of ``width`` numbers."""
+    order = W.partitionBy(*keys, SEG).orderBy(index)
+    base = df.withColumn(SEG, segment_of(index, width))
+    step = F.coalesce(F.hypot(F.col("x") - F.lag("x").over(order), F.col("y") - F.lag("y").over(order)), F.lit(0.0))
+    local = base.withColumn("_step", F.rint(step * PARTS_PER_M).cast("bigint"))
+    local = settle(local.withColumn("_s", F.sum("_step").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_step"), "route_points")
+    ends = local.groupBy(*keys, SEG).agg(F.max("_s").alias("_len"), F.min_by(F.struct("x", "y"), index).alias("_a"), F.max_by(F.struct("x", "y"), index).alias("_b"))
+    along = W.partitionBy(*keys).orderBy(SEG)
+    gap = F.coalesce(F.hypot(F.col("_a.x") - F.lag("_b.x").over(along), F.col("_a.y") - F.lag("_b.y").over(along)), F.lit(0.0))
+    ends = ends.select(*keys, SEG, "_len", F.rint(gap * PARTS_PER_M).cast("bigint").alias("_gap"))
+    before = F.sum(F.col("_gap")).over(along) + F.coalesce(F.sum("_len").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = ends.select(*keys, SEG, before.alias("_before"))
+    return local.join(starts, [*keys, SEG]).withColumn("_s", F.col("_s") + F.col("_before")).drop(SEG, "_before")
+
+
 def resample_polyline(
     df: DataFrame,
     k: int = K.ROUTE_POINTS,
     spacing: float = 2.0,
     keys: Sequence[str] = ("route_id",),
     index: str = "idx",
+    width: int = WIDTH,
 ) -> DataFrame:
     """Thin a polyline to points at least ``spacing`` of travelled length apart, at most ``k``.
 
     The first point is kept; after a kept point the length starts again from 0
-    (nothing is carried over).  The restart makes this a fold along the route.
+    (nothing is carried over).  So each point points to the one that would be kept after it: the first at least
+    ``spacing`` further on, an as-of lookup on the travelled length.  The kept points are what the first one
+    reaches; pointers are composed with themselves, so ``k`` points take log2(k) rounds.  A step leads to the next stretch
+    of ``spacing`` that holds a point, or the one after, so only the first ``2 * k`` such stretches of a route take part.
+    No task or row holds a route.  Lengths are compared in nanometres.
     """
-    pts = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(index, "x", "y"))).alias("_p"))
-    first = F.col("_p")[0]
-    kept_type = df.select(F.array(F.struct("x", "y")).alias("a")).schema["a"].dataType.simpleString()
-    start = F.struct(
-        F.array(F.struct(first["x"].alias("x"), first["y"].alias("y"))).cast(kept_type).alias("kept"),
-        F.lit(0.0).alias("run"),
-        first["x"].cast("double").alias("px"),
-        first["y"].cast("double").alias("py"),
-    )
-
-    def step(acc: Column, p: Column) -> Column:
-        run = acc["run"] + F.hypot(p["x"] - acc["px"], p["y"] - acc["py"])
-        emit = (run >= spacing) & (F.size(acc["kept"]) < k)
-        point = F.array(F.struct(p["x"].alias("x"), p["y"].alias("y"))).cast(kept_type)
-        return F.struct(
-            F.when(emit, F.concat(acc["kept"], point)).otherwise(acc["kept"]).alias("kept"),
-            F.when(run >= spacing, F.lit(0.0)).otherwise(run).alias("run"),
-            p["x"].cast("double").alias("px"),
-            p["y"].cast("double").alias("py"),
-        )
-
-    rest = F.slice("_p", F.lit(2), F.greatest(F.size("_p") - 1, F.lit(0)))
-    kept = F.aggregate(rest, start, step, lambda acc: acc["kept"])
-    return pts.select(*keys, F.posexplode(kept).alias(index, "_q")).select(
-        *keys, index, F.col("_q.x").alias("x"), F.col("_q.y").alias("y")
-    )
+    keys = list(keys)
+    gap = round(spacing * PARTS_PER_M)
+    points = travelled(df.select(*keys, index, "x", "y"), keys, index, width)
+    stretch = F.dense_rank().over(W.partitionBy(*keys).orderBy(F.expr(f"_s div {gap}")))
+    points = settle(points.withColumn("_nth", stretch).where(F.col("_nth") <= 2 * k).drop("_nth"), "route_points")
+    ahead = future_samples(points, 1, gap, keys, index, "_s", (index,), tail=None)
+    then = settle(ahead.select(*keys, F.col(index).alias("_at"), F.get("samples", F.lit(0))[index].alias("_to")).where("_to IS NOT NULL"), "pointers")
+    reached = points.groupBy(*keys).agg(F.min(index).alias("_at")).withColumn("_hop", F.lit(0))
+    rounds = max(k - 1, 0).bit_length()
+    for r in range(rounds):
+        far = reached.join(then, [*keys, "_at"]).select(*keys, F.col("_to").alias("_at"), (F.col("_hop") + 2**r).alias("_hop"))
+        reached = settle(reached.union(far), "reached")
+        if r == rounds - 1:
+            break
+        after = then.select(*keys, F.col("_at").alias("_to"), F.col("_to").alias("_next"))
+        then = settle(then.join(after, [*keys, "_to"]).select(*keys, "_at", F.col("_next").alias("_to")), "pointers")
+    kept = reached.where(F.col("_hop") < k).select(*keys, F.col("_at").alias(index), "_hop")
+    return kept.join(points, [*keys, index]).select(*keys, F.col("_hop").alias(index), "x", "y")
 
 
 def describe_route(df: DataFrame, lookahead: int = 7, keys: Sequence[str] = ("route_id",), index: str = "idx") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wayframe import constants as K
 from wayframe.functions import hashing as H
 from wayframe.functions.normalise import clamp
+from wayframe.plans.ranges import number_rows
 from wayframe.plans.segments import dense_index
 
 
@@ -17,22 +18,21 @@ def split_by_shard(df: DataFrame, part: str, ratio: float = 0.2, shard: str = "s
     """The rows of the training or validation shards.
 
     Shards are taken in order: the first ``trunc(n * (1 - ratio))``, at least
-    one, train; the rest validate.  An empty part is an error.
+    one, train; the rest validate.  No samples at all are an error, and so is an empty part when its rows are read.
     """
     if part not in ("train", "val", "all"):
         raise ValueError("part is 'train', 'val' or 'all'")
-    shards = df.select(shard).distinct()
-    n = shards.count()
-    if part == "all":
-        cut = n
-    else:
-        cut = max(int(n * (1 - ratio)), 1)
-    if n == 0 or (part == "val" and cut >= n):
+    shards = number_rows(df.select(shard).distinct(), [shard], "_at")
+    if shards.isEmpty():
         raise ValueError(f"part {part!r} holds no samples")
     if part == "all":
         return df
-    ranked = dense_index(shards, [], shard, "_at")
-    return df.join(ranked.where(F.col("_at") < cut if part == "train" else F.col("_at") >= cut).select(shard), shard, "left_semi")
+    n = F.count(F.lit(1))
+    cut = F.greatest(F.floor(n * (1 - ratio)), F.lit(1))
+    error = F.raise_error(F.lit(f"part {part!r} holds no samples")).cast("bigint")
+    end = shards.agg(F.when(cut >= n, error).otherwise(cut) if part == "val" else cut).scalar()
+    mine = F.col("_at") >= end if part == "val" else F.col("_at") < end
+    return df.join(shards.where(mine).select(shard), shard, "left_semi")
 
 
 def shuffle_keys(df: DataFrame, seed: int, shard: str = "shard_idx", sample: str = "sample_idx") -> DataFrame:

@@ -9,18 +9,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayframe.plans.ranges import number_rows
 from wayframe.plans.segments import WIDTH, dense_index
 
 
-def index_and_shard(
-    df: DataFrame, order: Sequence[str], per_shard: int = 1000, file: str = "file", width: int = WIDTH
-) -> DataFrame:
+def index_and_shard(df: DataFrame, order: Sequence[str], per_shard: int = 1000, file: str = "file") -> DataFrame:
     """Add ``sample_idx`` (dense, in file and row order) and ``shard_idx``.
 
-    Files are cut into segments of the first order column, so a file of any size
-    is numbered in parallel; only the segment counts are accumulated in one place.
+    Rows are numbered over ranges of the whole order, so one file or one first key may hold most of them.
     """
-    out = dense_index(df, [], list(order), "sample_idx", width, within=[file])
+    out = number_rows(df, [file, *order], "sample_idx")
     return out.withColumn("shard_idx", F.expr(f"sample_idx div {int(per_shard)}"))
 
 
@@ -69,7 +67,7 @@ def reconcile_shards(counts: DataFrame, total: int, per_shard: int) -> DataFrame
     count becomes the shard's share of what the metadata total leaves after the
     shards before it; with nothing left it is a full shard.
     """
-    ranked = dense_index(counts, [], "shard_idx", "_at")
+    ranked = number_rows(counts, ["shard_idx"], "_at")
     known = F.coalesce(F.col("sample_count"), F.lit(0)) > 0
     left = F.greatest(F.lit(0), F.lit(total) - F.col("_at") * per_shard)
     filled = F.when(left > 0, F.least(F.lit(per_shard), left)).otherwise(F.lit(per_shard))

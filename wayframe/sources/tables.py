@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayframe.schemas import table_schema
 
@@ -74,3 +75,25 @@ def table_count(spark: SparkSession, table: str) -> DataFrame:
 def export_table(spark: SparkSession, table: str, path: str) -> None:
     """Copy a catalog table to a Parquet folder."""
     spark.table(table).write.mode("overwrite").parquet(path)
+
+
+SET_KEYS = ("run_id", "set_idx")
+
+
+def write_episode_sets(df: DataFrame, root: str, order: Sequence[str] = ("episode_id",), codec: str = "zstd", spread: int = 1) -> None:
+    """Lay samples out on disk by run and set, a folder each: ``root/run_id=.../set_idx=...``.
+
+    ``df`` has the columns of sharding.assign_episode_sets.  Only the sets that ``df`` holds are replaced, so a set can be
+    written again alone.  A set is written by one task, or by up to ``spread`` where sets are large; in each file rows are sorted by ``order``.
+    """
+    salt = [F.pmod(F.xxhash64(*order), F.lit(spread))] if spread > 1 else []
+    placed = df.repartition(*SET_KEYS, *salt).sortWithinPartitions(*SET_KEYS, *order)
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", codec).partitionBy(*SET_KEYS).parquet(root)
+
+
+def read_episode_sets(spark: SparkSession, root: str) -> DataFrame:
+    """Samples of the set layout; conditions on ``run_id`` and ``set_idx`` choose the folders that are read."""
+    found = spark.read.parquet(root).schema
+    # stated, as a run's name may look like a number
+    kinds = {"run_id": T.StringType(), "set_idx": T.LongType()}
+    return spark.read.schema(T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in found])).parquet(root)

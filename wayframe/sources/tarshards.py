@@ -11,12 +11,15 @@ import json
 import tarfile
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 METADATA = "__metadata__.json"
+SHARD_FILE = "shard-%06d.tar"
+MANIFEST, STAGING = "_manifest", "_staging-"
 
 _NUMPY = {
     T.LongType: "int64", T.IntegerType: "int32", T.ShortType: "int16", T.ByteType: "int8",
@@ -36,41 +39,49 @@ def _member(tar: tarfile.TarFile, name: str, payload: bytes) -> None:
     tar.addfile(info, io.BytesIO(payload))
 
 
-def _archives(spark: SparkSession, path: str) -> DataFrame:
-    """The archives' paths, dealt out over as many tasks as the session shuffles with, one by one."""
+def _store(path: str) -> tuple:
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+
+
+def _archives(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
+    """The archives' paths, dealt out over ``tasks`` (as many as the session shuffles with, by default).
+
+    The number is stated, as adaptive execution would merge the tiny rows into one task.
+    """
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.tar").load(path).select("path")
-    return listed.repartition("path")
+    return listed.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
 
 
-def write_tar_shards(
-    df: DataFrame,
-    path: str,
-    fields: Sequence[str],
-    index: str = "sample_idx",
-    shard: str = "shard_idx",
-    tasks: int | None = None,
-    narrow: bool = False,
-) -> DataFrame:
-    """Write one archive per shard and return the manifest (shard, first, last, count, file).
+@dataclass
+class _Written(WriterCommitMessage):
+    """What a task wrote: metadata of each archive, and its place in the staging folder."""
 
-    ``index`` and ``shard`` come from sharding.index_and_shard.  An archive is
-    written under a temporary name and renamed when complete, so a repeated task
-    replaces it with the same content.  The manifest is stored next to the
-    shards as JSON lines.  ``tasks`` is the number of writers; the session's
-    shuffle partitions by default.  ``narrow`` stores doubles as float32.
+    shards: list[tuple[dict, str]]
+
+
+class _TarWriter(DataSourceArrowWriter):
+    """Tasks write whole archives into a staging folder of the job; the driver publishes them when all are there.
+
+    On commit the manifest goes first and comes last: without it, the folder is no finished data set.  Old archives go, so a
+    rerun with fewer shards leaves none behind.  Only files that the successful attempts report are moved; the staging folder, with what failed
+    or repeated attempts left in it, goes on commit and on abort.
     """
-    path = path.rstrip("/")
-    dtypes = {f: _dtype(df.schema[f].dataType, narrow) for f in fields}
 
-    def write(frames: Iterator) -> Iterator:
+    def __init__(self, path: str, options: dict) -> None:
+        self.path, self.index, self.shard = path, options["index"], options["shard"]
+        self.dtypes: dict[str, str] = json.loads(options["dtypes"])
+        self.staging = f"{STAGING}{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator) -> _Written:
         import numpy as np
-        import pandas as pd
-        from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-        store.create_dir(base, recursive=True)
+        store, base = _store(self.path)
+        mine = f"{base}/{self.staging}/{uuid.uuid4().hex}"
+        store.create_dir(mine, recursive=True)
+        done: list[tuple[dict, str]] = []
         state: dict = {}
-        done: list = []
         heads: dict = {}  # npy headers by field and shape
 
         def close() -> None:
@@ -80,22 +91,19 @@ def write_tar_shards(
             _member(state["tar"], METADATA, json.dumps(meta).encode())
             state["tar"].close()
             state["out"].close()
-            name = f"shard-{state['shard']:06d}.tar"
-            store.move(state["tmp"], f"{base}/{name}")
-            done.append({**meta, "file": name})
+            done.append((meta, state["name"]))
             state.clear()
 
-        for pdf in frames:
-            columns = [pdf[f].tolist() for f in fields]
-            for s, i, *values in zip(pdf[shard].tolist(), pdf[index].tolist(), *columns):
+        for batch in iterator:
+            columns = [batch.column(f).to_pylist() for f in self.dtypes]
+            for s, i, *values in zip(batch.column(self.shard).to_pylist(), batch.column(self.index).to_pylist(), *columns):
                 if state.get("shard") != s:
                     close()
-                    tmp = f"{base}/_tmp-{uuid.uuid4().hex}"
-                    out = store.open_output_stream(tmp)
-                    state.update(shard=s, first=i, n=0, tmp=tmp, out=out, tar=tarfile.open(fileobj=out, mode="w|"))
-                for f, v in zip(fields, values):
-                    rows = [list(x) for x in v] if hasattr(v, "__len__") and len(v) and hasattr(v[0], "__len__") else v
-                    a = np.asarray(rows, dtype=dtypes[f])
+                    name = f"{mine}/{s}.tar"
+                    out = store.open_output_stream(name)
+                    state.update(shard=s, first=i, n=0, name=name, out=out, tar=tarfile.open(fileobj=out, mode="w|"))
+                for (f, dtype), v in zip(self.dtypes.items(), values):
+                    a = np.asarray(v, dtype=dtype)
                     head = heads.get((f, a.shape))
                     if head is None:
                         buf = io.BytesIO()
@@ -104,26 +112,91 @@ def write_tar_shards(
                     _member(state["tar"], f"{i:08d}.{f}.npy", head + a.tobytes())
                 state["last"], state["n"] = i, state["n"] + 1
         close()
-        yield pd.DataFrame(done, columns=["shard_idx", "first_sample_idx", "last_sample_idx", "sample_count", "file"])
+        return _Written(done)
+
+    def commit(self, messages: list) -> None:
+        from concurrent.futures import ThreadPoolExecutor
 
+        from pyarrow import fs
+
+        store, base = _store(self.path)
+        shards = sorted(((meta, name) for m in messages if m is not None for meta, name in m.shards), key=lambda s: s[0]["shard_idx"])
+        if store.get_file_info(f"{base}/{MANIFEST}").type != fs.FileType.NotFound:
+            store.delete_dir(f"{base}/{MANIFEST}")
+        if store.get_file_info(base).type == fs.FileType.NotFound:
+            store.create_dir(base, recursive=True)
+        here = store.get_file_info(fs.FileSelector(base))
+        stale = [f.path for f in here if f.base_name.startswith("shard-") and f.base_name.endswith(".tar")]
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(store.delete_file, stale))
+            list(pool.map(lambda s: store.move(s[1], f"{base}/{SHARD_FILE % s[0]['shard_idx']}"), shards))
+        lines = "".join(json.dumps({**meta, "file": SHARD_FILE % meta["shard_idx"]}) + "\n" for meta, _ in shards)
+        store.create_dir(f"{base}/{MANIFEST}", recursive=True)
+        with store.open_output_stream(f"{base}/{MANIFEST}/part-00000.json") as out:
+            out.write(lines.encode())
+        self._clear(store, base)
+
+    def abort(self, messages: list) -> None:
+        self._clear(*_store(self.path))
+
+    def _clear(self, store, base: str) -> None:
+        from pyarrow import fs
+
+        if store.get_file_info(f"{base}/{self.staging}").type != fs.FileType.NotFound:
+            store.delete_dir(f"{base}/{self.staging}")
+
+
+class TarShards(DataSource):
+    """``df.write.format("wayframe_tar")``: see :func:`write_tar_shards`."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "wayframe_tar"
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> _TarWriter:
+        return _TarWriter(self.options["target"], {k: self.options[k] for k in ("index", "shard", "dtypes")})
+
+
+def write_tar_shards(
+    df: DataFrame,
+    path: str,
+    fields: Sequence[str],
+    index: str = "sample_idx",
+    shard: str = "shard_idx",
+    tasks: int | None = None,
+    narrow: bool = False,
+) -> DataFrame:
+    """Write one archive per shard and return the manifest (shard, first, last, count, file).
+
+    ``index`` and ``shard`` come from sharding.index_and_shard.  The write replaces what the folder held, in two steps: tasks write
+    into a staging folder, and the driver publishes all archives once every task has committed, the manifest last (JSON lines
+    beside the shards).  A job that fails leaves the folder as it was.  ``tasks`` is the number of writers; the session's
+    shuffle partitions by default.  ``narrow`` stores doubles as float32.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    dtypes = {f: _dtype(df.schema[f].dataType, narrow) for f in fields}
     # A stated number: adaptive execution must not merge small partitions of a slow writer.
-    writers = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.select(shard, index, *fields).repartition(writers, shard).sortWithinPartitions(shard, index)
-    manifest = placed.mapInPandas(
-        write, "shard_idx bigint, first_sample_idx bigint, last_sample_idx bigint, sample_count bigint, file string"
-    )
-    where = f"{path}/_manifest"
-    manifest.write.mode("overwrite").json(where)
-    return df.sparkSession.read.schema(manifest.schema).json(where)
+    writers = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.select(shard, index, *[c for c in fields if c not in (shard, index)]).repartition(writers, shard).sortWithinPartitions(shard, index)
+    spark.dataSource.register(TarShards)
+    options = {"target": path, "index": index, "shard": shard, "dtypes": json.dumps(dtypes)}
+    placed.write.format(TarShards.name()).mode("overwrite").options(**options).save()
+    return read_manifest(spark, path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The published archives of a folder; one without a manifest is an error."""
+    kinds = "shard_idx bigint, first_sample_idx bigint, last_sample_idx bigint, sample_count bigint, file string"
+    return spark.read.schema(kinds).json(f"{path.rstrip('/')}/{MANIFEST}")
 
 
 def read_tar_shards(
-    spark: SparkSession, path: str, fields: Mapping[str, str], required: Sequence[str] | None = None
+    spark: SparkSession, path: str, fields: Mapping[str, str], required: Sequence[str] | None = None, tasks: int | None = None
 ) -> DataFrame:
     """Samples of all shards: ``file``, ``sample_idx`` and the fields (Spark type names).
 
     Samples without all ``required`` fields (by default, all fields) are dropped.
-    Only paths go through the listing; each task streams its own archives.
+    Only paths go through the listing; each of ``tasks`` tasks (the session's shuffle partitions by default) streams its own archives.
     """
     path = path.rstrip("/")
     needed = set(fields if required is None else required)
@@ -178,7 +251,7 @@ def read_tar_shards(
                 if rows:
                     yield flush(rows)
 
-    return _archives(spark, path).mapInPandas(read, schema)
+    return _archives(spark, path, tasks).mapInPandas(read, schema)
 
 
 def shard_counts(spark: SparkSession, path: str) -> DataFrame:

@@ -2,23 +2,85 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import SparkSession
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def prepare(spark: SparkSession) -> None:
-    """State variables need the RocksDB state store."""
+def stream_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
+    """A session of the same application whose settings suit stateful streams; those of ``spark`` stay as they are.
+
+    State lives in RocksDB.  It has a fixed number of partitions, chosen when a stream first starts: ``partitions``, or as many
+    as the session shuffles with.
+    """
+    own = spark.newSession()
+    for k, v in (("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone")), ("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))):
+        own.conf.set(k, v)
+    own.conf.set(PROVIDER, ROCKSDB)
+    if partitions:
+        own.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    return own
+
+
+def require_rocksdb(spark: SparkSession) -> None:
+    """State variables need the RocksDB state store; a session without it is an error, see :func:`stream_session`."""
     if "RocksDB" not in (spark.conf.get(PROVIDER, None) or ""):
-        spark.conf.set(PROVIDER, ROCKSDB)
+        raise ValueError(f"set {PROVIDER} to {ROCKSDB}, or read the stream in stream_session(spark)")
+
+
+def late_rows(query) -> int:
+    """Rows that a streaming query's last triggers dropped because they came later than its watermark allows.
+
+    Spark keeps the progress of the last hundred triggers or so; add the counts up where a query runs for longer.
+    """
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
+
+
+class Waiting:
+    """A key's rows that wait in state, in buckets of their order column: a map from bucket to the bucket's columns.
+
+    The rows of a micro-batch are put away frame by frame as they come, and taken out bucket by bucket in order.  So what is in
+    memory is one frame or one bucket, never all that a key got in a micro-batch.
+    """
+
+    def __init__(self, handle, name: str, columns: dict[str, str], order: str, width: int) -> None:
+        self.columns, self.order, self.width = list(columns), order, width
+        fields = ", ".join(f"{c} array<{t}>" for c, t in columns.items())
+        self.map = handle.getMapState(name, "bucket bigint", fields)
+
+    def add(self, pdf) -> None:
+        for bucket, rows in pdf.groupby(pdf[self.order] // self.width):
+            at = (int(bucket),)
+            old = self.map.getValue(at) if self.map.containsKey(at) else [[]] * len(self.columns)
+            self.map.updateValue(at, tuple(list(o) + rows[c].tolist() for o, c in zip(old, self.columns)))
+
+    def buckets(self) -> list[int]:
+        return sorted(k[0] for k in self.map.keys())
+
+    def get(self, bucket: int):
+        """The bucket's rows in order; equal ones in the order in which they came."""
+        import pandas as pd
+
+        rows = pd.DataFrame(dict(zip(self.columns, map(list, self.map.getValue((bucket,))))))
+        return rows.sort_values(self.order, kind="stable", ignore_index=True)
 
+    def put(self, bucket: int, rows) -> None:
+        self.map.updateValue((bucket,), tuple(rows[c].tolist() for c in self.columns))
 
-def gather(rows, order: str):
-    """A key's rows of one micro-batch, in tick order; a micro-batch is bounded by the source's trigger options."""
-    import pandas as pd
+    def remove(self, bucket: int) -> None:
+        self.map.removeKey((bucket,))
 
-    return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+    def drain(self, frames: Iterator) -> Iterator:
+        """Put the frames away, then take out every bucket, in order."""
+        for pdf in frames:
+            self.add(pdf)
+        for b in self.buckets():
+            rows = self.get(b)
+            self.remove(b)
+            yield rows
 
 
 def run_length(good, carry: int):

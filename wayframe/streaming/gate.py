@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wayframe import constants as K
-from wayframe.streaming.common import gather, prepare, run_length
+from wayframe.streaming.common import Waiting, require_rocksdb, run_length
+
+
+#: Ticks of a key that are looked at together.
+AT_ONCE = 4096
 
 
 class _Gate(StatefulProcessor):
@@ -20,21 +24,22 @@ class _Gate(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("gate", "run bigint, open boolean, standing bigint")
+        self.waiting = Waiting(handle, "ticks", {"frame_id": "bigint", "good": "boolean", "still": "boolean"}, "frame_id", AT_ONCE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import numpy as np
 
-        pdf = gather(rows, "frame_id")
         run0, open0, standing0 = self.state.get() if self.state.exists() else (0, False, 0)
-        run = run_length(pdf["good"].to_numpy(bool), run0)
-        opened = np.maximum.accumulate(run >= self.need) | open0
-        standing = run_length(pdf["still"].to_numpy(bool), standing0)
-        if len(pdf):
-            self.state.update((int(run[-1]), bool(opened[-1]), int(standing[-1])))
-        for name, value in zip(self.keys, key):
-            pdf[name] = value
-        pdf["recording"], pdf["standing_run"] = opened, standing
-        yield pdf[[*self.keys, "frame_id", "recording", "standing_run"]]
+        for pdf in self.waiting.drain(rows):
+            run = run_length(pdf["good"].to_numpy(bool), run0)
+            opened = np.maximum.accumulate(run >= self.need) | open0
+            standing = run_length(pdf["still"].to_numpy(bool), standing0)
+            run0, open0, standing0 = int(run[-1]), bool(opened[-1]), int(standing[-1])
+            for name, value in zip(self.keys, key):
+                pdf[name] = value
+            pdf["recording"], pdf["standing_run"] = opened, standing
+            yield pdf[[*self.keys, "frame_id", "recording", "standing_run"]]
+        self.state.update((run0, open0, standing0))
 
     def close(self) -> None:
         pass
@@ -48,7 +53,7 @@ def stream_gate(
     keys: Sequence[str] = ("run_id", "episode_ord"),
 ) -> DataFrame:
     """Per tick: is the gate open, and how many ticks has the vehicle been standing."""
-    prepare(stream.sparkSession)
+    require_rocksdb(stream.sparkSession)
     keys = list(keys)
     rows = stream.select(
         *keys,

@@ -9,40 +9,75 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wayframe import constants as K
-from wayframe.streaming.common import gather, prepare
+from wayframe.streaming.common import Waiting, require_rocksdb
 
-FIELDS = ["frame_id", "t_us", "x_m", "y_m", "speed_mps", "is_base"]
+COLUMNS = {"frame_id": "bigint", "t_us": "bigint", "x_m": "double", "y_m": "double", "speed_mps": "double", "is_base": "boolean"}
+FIELDS = list(COLUMNS)
 
 
 class _Labeller(StatefulProcessor):
-    """Keeps the ticks that a waiting frame may still need: at most one horizon, plus the waiting frames."""
+    """Keeps the ticks that a waiting frame may still need, in buckets of one horizon: at most one horizon, plus the waiting frames.
+
+    Frames are labelled bucket by bucket; for one bucket's frames the next ones are loaded as far as their targets reach.
+    """
 
     def __init__(self, keys: Sequence[str], n: int, step_us: int, idle_us: int) -> None:
         self.keys, self.n, self.step_us, self.idle_us = list(keys), n, step_us, idle_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.ticks = handle.getListState(
-            "ticks", "frame_id bigint, t_us bigint, x_m double, y_m double, speed_mps double, is_base boolean"
-        )
+        self.ticks = Waiting(handle, "ticks", COLUMNS, "t_us", self.n * self.step_us)
         self.expiry = handle.getValueState("expiry", "at bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        latest = None
+        for pdf in rows:
+            self.ticks.add(pdf)
+            newest = int(pdf["clock_us"].max())
+            latest = newest if latest is None else max(latest, newest)
+        yield from self.labelled(key)
+        # Forget the episode once the watermark has left its last tick behind by the idle time.
+        if self.expiry.exists():
+            self.handle.deleteTimer(self.expiry.get()[0])
+        at_ms = (latest + self.idle_us) // 1000 + 1
+        self.expiry.update((at_ms,))
+        self.handle.registerTimer(at_ms)
+
+    def labelled(self, key) -> Iterator:
+        """The frames that are ready, earliest bucket first; a bucket whose frames are all labelled goes."""
+        buckets = self.ticks.buckets()
+        for i, b in enumerate(buckets):
+            own = self.ticks.get(b)
+            waiting = yield from self.ready(key, own, buckets[i + 1 :])
+            if waiting is not None:
+                # Targets move on with the frames: those behind a waiting frame wait, too.
+                self.ticks.put(b, own.iloc[waiting:])
+                return
+            self.ticks.remove(b)
+
+    def ready(self, key, own, later: list[int]):
+        """Label the bucket's frames as far as the ticks reach; the place of the first frame that has to wait, or None."""
         import numpy as np
         import pandas as pd
 
-        arrived = gather(rows, "t_us")
-        new = arrived[FIELDS]
-        old = pd.DataFrame(list(self.ticks.get()), columns=FIELDS)
-        buf = pd.concat([old, new], ignore_index=True) if len(old) else new
+        bases = np.flatnonzero(own["is_base"].to_numpy(bool))
+        if not len(bases):
+            return None
+        reach = int(own["t_us"].iloc[bases[-1]]) + self.n * self.step_us
+        parts, beyond = [own], 0
+        for c in later:
+            parts.append(self.ticks.get(c))
+            beyond += int((parts[-1]["t_us"] >= reach).sum())
+            if beyond > self.n:
+                break
+        buf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else own
         t = buf["t_us"].to_numpy("int64")
         step = np.arange(1, self.n + 1)
-        bases = np.flatnonzero(buf["is_base"].to_numpy(bool))
         # First tick at or after each target, and at least one tick further per step.
         first = np.searchsorted(t, t[bases][:, None] + step * self.step_us, side="left")
         at = np.maximum.accumulate(first - step, axis=1) + step
-        ready = at[:, -1] < len(t)
-        done, picked = bases[ready], at[ready]
+        fit = at[:, -1] < len(t)
+        done, picked = bases[fit], at[fit]
         if len(done):
             flat = picked.ravel()
             out = pd.DataFrame({"frame_id": np.repeat(buf["frame_id"].to_numpy()[done], self.n)})
@@ -52,18 +87,11 @@ class _Labeller(StatefulProcessor):
             for f in FIELDS[1:5]:
                 out[f] = buf[f].to_numpy()[flat]
             yield out[[*self.keys, "frame_id", "i", *FIELDS[1:5]]]
-        waiting = bases[~ready]
-        keep = buf.iloc[waiting[0] :] if len(waiting) else buf.iloc[len(buf) :]
-        self.ticks.put([tuple(r) for r in keep.itertuples(index=False, name=None)])
-        # Forget the episode once the watermark has left its last tick behind by the idle time.
-        if self.expiry.exists():
-            self.handle.deleteTimer(self.expiry.get()[0])
-        at_ms = int(arrived["clock_us"].max() + self.idle_us) // 1000 + 1
-        self.expiry.update((at_ms,))
-        self.handle.registerTimer(at_ms)
+        return int(bases[~fit][0]) if len(done) < len(bases) else None
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        self.ticks.clear()
+        for b in self.ticks.buckets():
+            self.ticks.remove(b)
         self.expiry.clear()
         return iter(())
 
@@ -85,10 +113,10 @@ def stream_future_labels(
     Frames whose horizon never arrives are dropped.  Ticks of an episode arrive
     in order across micro-batches.  ``clock`` is the microsecond column that
     drives the watermark, common to all episodes (``t_us`` by default): ticks
-    more than one horizon behind it are late and dropped, and an episode silent
-    for ``idle_us`` is forgotten.
+    more than one horizon behind it are late, dropped and counted in the query's progress
+    (common.late_rows), and an episode silent for ``idle_us`` is forgotten.
     """
-    prepare(stream.sparkSession)
+    require_rocksdb(stream.sparkSession)
     base = F.lit(True) if tail is None else ~F.col(tail)
     keys = list(keys)
     # The first watermark is time 0, and a tick at it would count as late: clocks start one second later.
