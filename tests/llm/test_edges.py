@@ -7,6 +7,7 @@ import re
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wayframe.llm import catalog, html_text, jaccard_join, line_dedup, mixing, packing, quality, secret_scan, sharding, token_files, vector_dedup
@@ -74,6 +75,36 @@ def test_mix_copies_match(odd):
         assert abs(sum(r["taken"] for r in x) - x[0]["target"]) <= max(r["size"] for r in x) / 2 + 1e-6
 
 
+def test_mix_prefers_by_length(spark):
+    """Within a source, long documents are taken more often than short ones, in proportion to the root of their length."""
+    r = random.Random(8)
+    rows, n = [], 0
+    for source, many in (("a", 4000), ("b", 4000), ("c", 4000)):
+        for _ in range(many):
+            n += 1
+            rows.append((n, "w " * r.choice((4, 100)), source))
+    got = [x for x in mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect() if x["source"] == "c"]
+    # weights 5, 2 and 1 of 150 %: c's target is below its size, so every document is taken once or not at all
+    assert {x["copies"] for x in got} == {0, 1}
+    rate = {k: sum(x["copies"] for x in got if x["size"] == k) / sum(x["size"] == k for x in got) for k in (4, 100)}
+    words = sum(x["size"] for x in got)
+    liked = sum(mixing_root(x["size"]) * x["size"] for x in got)
+    for k in rate:
+        assert abs(rate[k] - got[0]["target"] / liked * mixing_root(k)) < 0.03
+    assert rate[100] > 3 * rate[4] and abs(sum(x["taken"] for x in got) - got[0]["target"]) <= 50 and words > 0
+
+
+def mixing_root(size):
+    return max(1, int(size**0.5))
+
+
+def test_full_sources_are_not_sorted(spark):
+    """A source that stops at twice its size takes whole copies; its rows meet no window."""
+    rows = [(i, "two words", "a") for i in range(50)] + [(100 + i, "w " * 300, "c") for i in range(50)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    assert {(x["source"], x["copies"]) for x in got.where("source = 'a'").collect()} == {("a", 2)}
+
+
 def test_lines(spark):
     line = "please read the notice number {} before you leave the hall today"
     long = prose("long", 60)
@@ -111,7 +142,7 @@ def test_long_lines_with_several_variable_words(spark, edits):
 
 
 def plain_dropped(rows):
-    """n_dropped by document, for distinct doc_ids: in a leaf, templates in order of documents join the first seed that they are like."""
+    """(n_dropped, text) by document, for distinct doc_ids: in a leaf, templates in order of documents join the first seed that they are like."""
     held, lines = collections.defaultdict(set), []
     for doc, text in rows:
         for line in (text or "").split("\n"):
@@ -134,8 +165,16 @@ def plain_dropped(rows):
             of = set().union(*(held[t] for t in g))
             if len(of) > 1 and (fixed >= line_dedup.LONG or docs >= line_dedup.SHORT_DOCS):
                 first |= dict.fromkeys(g, min(of))
-    lost = collections.Counter(doc for doc, t in lines if t in first and doc != first[t])
-    return {doc: lost[doc] for doc, _ in rows}
+    out = {}
+    for doc, text in rows:
+        kept = [x for x in (text or "").split("\n") if first.get(t := tuple(re.sub("[0-9]+", "<*>", x).split()), doc) == doc or not t]
+        n = len((text or "").split("\n")) - len(kept)
+        out[doc] = (n, "\n".join(kept) if n else text)
+    return out
+
+
+def dropped(docs):
+    return {x["doc_id"]: (x["n_dropped"], x["text"]) for x in line_dedup.drop_lines(docs).collect()}
 
 
 def test_lines_against_all_templates_of_a_leaf(spark):
@@ -149,14 +188,14 @@ def test_lines_against_all_templates_of_a_leaf(spark):
                 v[k] = prose(r.random(), 1, 9**5)
             rows.append((len(rows) + 1, "\n".join([" ".join(v)] * r.choice((1, 2)) + [prose(r.random(), 15)])))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert {x["doc_id"]: x["n_dropped"] for x in line_dedup.drop_lines(docs).collect()} == plain_dropped(rows)
+    assert dropped(docs) == plain_dropped(rows)
 
 
 def test_lines_of_the_tables_against_all_templates_of_a_leaf(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = [tuple(x) for x in docs.collect()]
     assert len({d for d, _ in rows}) == len(rows)
-    assert {x["doc_id"]: x["n_dropped"] for x in line_dedup.drop_lines(docs).collect()} == plain_dropped(rows)
+    assert dropped(docs) == plain_dropped(rows)
 
 
 def plain_groups(rows, words, percent):
@@ -311,6 +350,70 @@ def test_held_out_pages():
     assert html_text.main_text(page[: page.index("Five")], crf) == "A & B One two three. Four."
 
 
+UNSEEN = [
+    ("<body><nav><a href='#'>Home</a></nav><main><h1>A title here</h1><p>First words of it that go on. And more.</p></main><div class='x'>© 2024 Some Company. All rights reserved.</div></body>", "A title here First words of it that go on. And more."),
+    ("<body><main><h1>A title</h1><p>First words of it that go on. And more.</p></main><div class='reviews'><p>I liked this a lot. We will buy more.</p></div></body>", "A title First words of it that go on. And more."),
+    ("<body><article><header><h1>The heading of it</h1></header><p>First words of it that go on. And more.</p></article><footer>foot</footer></body>", "The heading of it First words of it that go on. And more."),
+    ("<body><main><p>Prose a | b | c | goes on | for ever | until its end | is near.</p></main><section><p>A reader says: I have read it twice.</p></section></body>", "Prose a | b | c | goes on | for ever | until its end | is near."),
+    ("<body><div id='content'><h1>Bars | in the title</h1><p>if a > b then c | d © me, and this goes on</p><p>Another ends here.</p></div><div id='footer'>Imprint</div></body>", "Bars | in the title if a > b then c | d © me, and this goes on Another ends here."),
+    ("<body><article><p>One | two | three |<br></article><footer>x</footer></body>", "One | two | three |"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), UNSEEN)
+def test_pages_of_other_layouts(page, text):
+    assert html_text.main_text(page, html_text.model()) == text
+
+
+def test_odd_pages(spark):
+    page = "<nav>x</nav><article><p>Some words stand here.</p></article>"
+    long = "<article>" + "<p>Many words make up this long text.</p>" * 20_000 + "</article>"
+    rows = [(1, "u", page, "c", 5), (1, "u", page, "c", 5), (None, None, page, "c", 5), (2, "v", None, "c", 5), (3, "w", "", "c", 5), (4, "w", "<p", "c", 5), (5, "l", long, "c", 5)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars int")
+    got = [tuple(r) for r in html_text.extract(pages).collect()]
+    want = {page: "Some words stand here.", long: " ".join(["Many words make up this long text."] * 20_000)}
+    assert sorted(got, key=str) == sorted(((i, u, want.get(h, ""), len(want.get(h, ""))) for i, u, h, _, _ in rows), key=str)
+    assert html_text.extract(pages.where("false")).count() == 0
+
+
+def test_ids_of_all_scripts():
+    """Pieces are cut before the library normalises: letters that it takes apart, in front of marks, in every script."""
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    from wayframe.llm import tokens
+
+    r = random.Random(11)
+    letters = [chr(c) for c in range(0x20, 0x2FA20) if unicodedata.category(chr(c))[0] in "LMNPSZ" and not 0xAC00 < c < 0xD7A0]
+    odd = ["\u0130", "\u0958", "\ufb2a", "BİTTİ", "क़", "אשׁ", "ǅ", "ﬁ", "\u0345", "\u1e9e", "é", "ß", "\u00aa", "\u00b5", "\u0149", "i\u0307", "日本", "\U0001f600", "\u200d"]
+    marks = [".", ",", ";", ":", ".,", ": ", ", ", "\n", " ", "  "]
+    texts = [x + m for x in odd for m in (".", ",", ";", ":", ". ", ":\n")] + [x + m + y for x in odd for m in ".,;:" for y in ("a", " b", "é")]
+    texts += ["".join(r.choice((r.choice(odd), r.choice(letters) * r.choice((1, 2)), r.choice("aZé9"), r.choice(marks))) for _ in range(r.randrange(1, 30))) for _ in range(6000)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = tokens.path_of(name)
+        whole, own = Tokenizer.from_file(path), tokens.Encoder(path)
+        for t in texts:
+            want = whole.encode(t, add_special_tokens=False).ids
+            assert np.frombuffer(own(t), own.dtype).tolist() == want, (name, t)
+        ids, count = own.batch(pa.array([*texts, None, ""]), 2)
+        for t, raw, n in zip([*texts, "", ""], ids.to_pylist(), count.tolist()):
+            want = [*whole.encode(t, add_special_tokens=False).ids, 2]
+            assert (np.frombuffer(raw, own.dtype).tolist(), n) == (want, len(want)), (name, t)
+
+
+@pytest.mark.parametrize("size", [60, 400])
+def test_each_source_has_its_own_fence(spark, size):
+    """Code holds signs in every line, prose does not; the same share of signs is usual in one source and odd in the other, at any size."""
+    r = random.Random(size)
+    signs = lambda seed, share: " ".join(w + ("{#}" if r.random() < share else "") for w in prose(seed, 90).split())
+    rows = [(i, signs(i, r.uniform(0.15, 0.3)), "en", "code") for i in range(size)]
+    rows += [(size + i, signs(size + i, r.uniform(0, 0.01)), "en", "prose") for i in range(size)]
+    rows += [(2 * size, signs("odd", 0.25), "en", "prose"), (2 * size + 1, signs("wild", 1.0), "en", "code")]
+    got = {x["doc_id"]: x["kept"] for x in quality.quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert sorted(i for i, k in got.items() if not k) == [2 * size, 2 * size + 1]
+
+
 def test_running_and_components(spark):
     df = spark.createDataFrame([(i % 7, i, 2) for i in range(500)], "a int, b int, n bigint")
     got = [r["before_n"] for r in running(df, ["a", "b"], ["n"]).orderBy("a", "b").collect()]

@@ -72,7 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_mix_sources": mixing.SQL,
-    "op4_line_dedup": line_dedup.SQL,
     "op6_jaccard_join": jaccard_join.sql(),
     "op8_quality_rules": quality.sql(quality.BASE_COUNTS_SQL),
     "op10_vector_dedup": vector_dedup.SQL,

@@ -33,7 +33,7 @@ WALLS = frozenset("article section div main aside nav header footer table ul ol
 TAGS = "nav header footer aside form main article section figure table ul ol dl blockquote pre dialog button h1 h2 h3 p li".split()
 #: Words in class, id and role by what they say about a block.
 WORDS = {
-    "comment": r"comments?|disqus|discuss(?:ion)?|repl(?:y|ies)|respond",
+    "comment": r"comments?|disqus|discuss(?:ion)?|repl(?:y|ies)|respond|reviews?|feedback|testimonials?",
     "nav": r"nav(?:bar|igation)?|menu|breadcrumbs?|topbar|toolbar|pagination|pager|tabs",
     "ad": r"ads?|advert\w*|sponsor\w*|promo\w*|banner",
     "side": r"side(?:bar)?|widget|rail|related|recommend\w*|complementary|share|social|tags",
@@ -43,6 +43,8 @@ WORDS = {
     "main": r"main|content|article|post|entry|story|body|text",
 }
 _WORDS = {k: re.compile(rf"(?:^|[\s_-])(?:{v})(?:$|[\s_-])", re.I) for k, v in WORDS.items()}
+_RIGHTS = re.compile(r"\W*(?:©|\(c\)|copyright\b)", re.I)
+_TRAIL = re.compile(r"\s[|>›»·/]\s")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -126,7 +128,10 @@ def blocks_of(html: str) -> list[tuple[str, tuple[str, ...], float, bool]]:
     p.feed(html)
     p.close()
     p._flush()
-    return p.blocks
+    # where a page names its article, what stands beside it is marked
+    if not any("in:article" in f or "in:main" in f for _, f, _, _ in p.blocks):
+        return p.blocks
+    return [(t, f if "in:article" in f or "in:main" in f else tuple(sorted({*f, "beside"})), x, m) for t, f, x, m in p.blocks]
 
 
 def shape(text: str, linked: float) -> tuple[str, ...]:
@@ -135,7 +140,9 @@ def shape(text: str, linked: float) -> tuple[str, ...]:
         f"length {min(4, int(math.log2(len(text) + 1)) // 2)}",
         "links" if linked > 0.6 else "some links" if linked > 0.1 else "no links",
         "ends" if text[-1] in ".!?:" else "open",
-        *(("mark",) if "©" in text or "|" in text or ">" in text else ()),
+        *(("rights",) if _RIGHTS.match(text) else ()),
+        # signs between short phrases, as in trails of links; prose with such signs is longer or ends like a sentence
+        *(("trail",) if len(text) < 100 and text[-1] not in ".!?:" and _TRAIL.search(text) else ()),
     )
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from wayframe.llm.common import let, settle, words
 
-DEPTH, PARTS, SIMILAR = 3, 8, 80  # PARTS is for the SQL only, which compares stretches of tokens
+DEPTH, SIMILAR = 3, 80
 #: A group of lines with this many tokens that hold no digit recurs from two documents on.
 LONG, LONG_DOCS = 8, 2
 #: Shorter ones, down to this many tokens, meet by chance and need more documents; still shorter ones stay.
@@ -27,12 +27,12 @@ SHORT, SHORT_DOCS = 3, 20
 DOC = ("no_id", "id", "th")
 #: Bits of the filter for lines whose tokens are wanted, and bits in a word of it.
 BITS, WORD = 1 << 22, 64
-#: Rows of templates and stretches left over, up to which the driver goes through the remaining rounds.
-FEW = 5000
+#: Templates' stretches left over, and tokens of them, up to which the driver goes through the remaining rounds by the same rule.
+FEW, FEW_TOKENS = 5000, 1 << 20
 
 
 def digest(text: Column) -> Column:
-    """60 bits of the MD5 as a number: DuckDB can compute it too, so that ties fall alike."""
+    """60 bits of the MD5 as a number, by which ties are broken."""
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
@@ -148,8 +148,9 @@ def members(tokens: DataFrame) -> DataFrame | None:
     left = settle(crowded(tokens.select("leaf", "tpl", "docs", F.explode(stretches(F.col("tokens"))).alias("part"))), "stretches")
     all_joined = None
     while not left.isEmpty():
-        if left.count() <= FEW:
-            rest = rounds(left.join(tokens.select("leaf", "tpl", "tokens"), ["leaf", "tpl"]).collect())
+        rest = left.join(tokens.select("leaf", "tpl", "tokens"), ["leaf", "tpl"])
+        if left.count() <= FEW and rest.agg(F.sum(F.size("tokens"))).first()[0] <= FEW_TOKENS:
+            rest = rounds(rest.collect())
             if rest:
                 joined = tokens.sparkSession.createDataFrame(rest, "leaf bigint, tpl bigint, grp bigint")
                 all_joined = joined if all_joined is None else all_joined.union(joined)
@@ -226,19 +227,3 @@ def keep_rest(docs: DataFrame) -> DataFrame:
     """drop_lines() with the columns of documents only, and without documents that have lost every line."""
     return cleaned(docs).where("n_dropped = 0 OR n_dropped < n_lines").select(*_columns(docs))
 
-
-SQL = rf"""WITH d AS (SELECT DISTINCT doc_id, text, doc_id IS NULL AS no_id, coalesce(doc_id, 0) AS id, coalesce(text, '') AS t,
-   CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS th, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l0 AS (SELECT no_id, id, th, i, regexp_extract_all(regexp_replace(ls[i], '[0-9]+', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS w
-   FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)),
-l AS MATERIALIZED (SELECT no_id, id, th, i, len(w) AS n, len(list_filter(w, lambda y: NOT contains(y, '<*>'))) AS fixed, array_to_string(w[1:{DEPTH}], ' ') AS lead, CAST('0x' || substr(md5(array_to_string(w, ' ')), 1, 15) AS BIGINT) AS tpl,
-   [array_to_string(w[{DEPTH} + 1 + j * greatest(len(w) - {DEPTH}, 0) // {PARTS} : {DEPTH} + (j + 1) * greatest(len(w) - {DEPTH}, 0) // {PARTS}], ' ') for j in range(0, {PARTS})] AS parts FROM l0 WHERE len(w) > 0),
-t AS MATERIALIZED (SELECT n, fixed, lead, tpl, count(DISTINCT (no_id, id, th)) AS docs, min((no_id, id, th)) AS first, max((no_id, id, th)) AS last, min(parts) AS parts FROM l WHERE fixed >= {SHORT} GROUP BY n, fixed, lead, tpl),
-s AS (SELECT n, lead, tpl AS seed_tpl, parts AS seed FROM t QUALIFY row_number() OVER (PARTITION BY n, lead ORDER BY docs DESC, tpl) = 1),
-g AS MATERIALIZED (SELECT t.*, CASE WHEN 100 * (least(t.n, {DEPTH}) + list_sum([CASE WHEN parts[j + 1] = seed[j + 1] THEN (j + 1) * greatest(t.n - {DEPTH}, 0) // {PARTS} - j * greatest(t.n - {DEPTH}, 0) // {PARTS} ELSE 0 END for j in range(0, {PARTS})])) >= {SIMILAR} * t.n THEN seed_tpl ELSE tpl END AS grp
-   FROM t JOIN s ON s.n = t.n AND s.lead = t.lead),
-r AS (SELECT n, lead, grp, min(first) AS first FROM g GROUP BY n, lead, grp HAVING min(first) <> max(last) AND ((min(fixed) >= {LONG} AND sum(docs) >= {LONG_DOCS}) OR sum(docs) >= {SHORT_DOCS})),
-x AS (SELECT l.no_id, l.id, l.th, list(l.i) AS lost FROM l JOIN g ON g.n = l.n AND g.lead = l.lead AND g.tpl = l.tpl JOIN r ON r.n = l.n AND r.lead = l.lead AND r.grp = g.grp WHERE (l.no_id, l.id, l.th) <> r.first GROUP BY 1, 2, 3)
-SELECT d.doc_id, CAST(len(list_filter(d.ls, lambda y: regexp_matches(y, '[^\x20\x09-\x0D]'))) AS BIGINT) AS n_lines, CAST(coalesce(len(x.lost), 0) AS BIGINT) AS n_dropped,
-  CASE WHEN x.lost IS NULL THEN o.text ELSE array_to_string([d.ls[i] for i in range(1, len(d.ls) + 1) if NOT list_contains(x.lost, i)], chr(10)) END AS text
-FROM documents o JOIN d ON d.doc_id IS NOT DISTINCT FROM o.doc_id AND d.text IS NOT DISTINCT FROM o.text LEFT JOIN x ON x.no_id = d.no_id AND x.id = d.id AND x.th = d.th"""

@@ -20,8 +20,9 @@ MIN_WORDS, MAX_REPEAT_PCT = 50, 50
 REACH = 3
 #: Lines added to a document's lines before the share of repeated ones is taken: one repeat in a short text says little.
 FEW_LINES = 10
-#: A group's own sketch is used from this many documents on; else the language's, else the whole corpus's.
-ENOUGH = 200
+#: A group's quartiles are its own sketch's, pulled towards its language's as if by so many documents of that; a language's likewise
+#: towards the whole corpus's.  So each group has a threshold of its own, and one of few documents is not judged by a few alone.
+PRIOR = 50
 #: metric -> smallest spread; a group whose documents all agree still tolerates this much per REACH.
 METRICS = {"symbol_rate": 100, "dup_line_rate": 1000, "repeat_rate": 500, "word_length": 100}
 #: Metrics that are rejected on the low side too.
@@ -84,10 +85,15 @@ def bin_of(v: str, div: str = "div") -> str:
     return f"CASE WHEN {v} < 64 THEN {v} ELSE ({v} {div} {step}) * {step} END"
 
 
+def blend(own: str, docs: str, wider: str, div: str) -> str:
+    """SQL text of a group's quartile, pulled towards the wider group's."""
+    return f"(({docs} * {own} + {PRIOR} * ({wider})) {div} ({docs} + {PRIOR}))"
+
+
 def fences(m: DataFrame) -> DataFrame:
     """One row per (lang, source) in the data with the bounds lo_<metric> and hi_<metric>.
 
-    Documents without words do not count.  Levels of merging: source, language, all.
+    Documents without words do not count.  Levels of merging: source, language, all; each is blended with the next by PRIOR.
     """
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.expr(bin_of(k)).alias("bin")) for k in METRICS]))
     long = m.where("n_words > 0").select("lang", "source", each.alias("x"))
@@ -107,7 +113,7 @@ def fences(m: DataFrame) -> DataFrame:
     j = quartiles(["lang", "source"], "s")
     j = j.join(quartiles(["lang"], "l"), (F.col("metric") == F.col("l_metric")) & F.col("lang").eqNullSafe(F.col("l_lang")))
     j = j.join(quartiles([], "a"), F.col("metric") == F.col("a_metric"))
-    pick = lambda c: F.when(F.col("docs_s") >= ENOUGH, F.col(f"{c}_s")).when(F.col("docs_l") >= ENOUGH, F.col(f"{c}_l")).otherwise(F.col(f"{c}_a"))
+    pick = lambda c: F.expr(blend(f"{c}_s", "docs_s", blend(f"{c}_l", "docs_l", f"{c}_a", "div"), "div"))
     floor = F.expr("CASE metric " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in METRICS.items()) + " END")
     j = j.select("lang", "source", "metric", pick("q1").alias("q1"), pick("q3").alias("q3")).withColumn("reach", REACH * F.greatest(F.col("q3") - F.col("q1"), floor))
     sides = {"hi": F.col("q3") + F.col("reach"), "lo": F.col("q1") - F.col("reach")}
@@ -153,7 +159,7 @@ def sql(counts: str) -> str:
 
     long = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS metric, {bin_of(k, '//')} AS bin FROM m WHERE n_words > 0" for k in METRICS)
     floor = "CASE metric " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in METRICS.items()) + " END"
-    pick = lambda c: f"CASE WHEN g.docs >= {ENOUGH} THEN g.{c} WHEN l.docs >= {ENOUGH} THEN l.{c} ELSE a.{c} END AS {c}"
+    pick = lambda c: blend(f"g.{c}", "g.docs", blend(f"l.{c}", "l.docs", f"a.{c}", "//"), "//") + f" AS {c}"
     inside = " AND ".join([f"{k} <= hi_{k}" for k in METRICS] + [f"{k} >= lo_{k}" for k in TWO_SIDED])
     sides = ", ".join(f"max(q3 + reach) FILTER (metric = '{k}') AS hi_{k}, max(q1 - reach) FILTER (metric = '{k}') AS lo_{k}" for k in METRICS)
     return f"""WITH counts AS ({counts}),

@@ -67,8 +67,9 @@ class _Pieces(dict):
         return out.tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if len(piece) > 1 and piece[-1] in ".,;:" and piece[-2].isalpha():
-            # Letters never join the punctuation after them, so both are looked up on their own.
+        if len(piece) > 1 and piece[-1] in ".,;:" and piece[-2] < "\u0100" and piece[-2].isalpha():
+            # Latin letters never join the punctuation after them, so both are looked up on their own.  Others may: a
+            # tokenizer that lowers or composes its text can leave a mark there, which does.
             return self[piece[:-1]] + self._marks[piece[-1]]
         ids = self._old.get(piece)
         if ids is None:
