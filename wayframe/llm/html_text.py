@@ -43,6 +43,7 @@ WORDS = {
     "main": r"main|content|article|post|entry|story|body|text",
 }
 _WORDS = {k: re.compile(rf"(?:^|[\s_-])(?:{v})(?:$|[\s_-])", re.I) for k, v in WORDS.items()}
+_CUT = re.compile(r"</?[a-zA-Z]")
 _RIGHTS = re.compile(r"\W*(?:©|\(c\)|copyright\b)", re.I)
 _TRAIL = re.compile(r"\s[|>›»·/]\s")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -126,6 +127,8 @@ class _Blocks(HTMLParser):
 def blocks_of(html: str) -> list[tuple[str, tuple[str, ...], float, bool]]:
     p = _Blocks()
     p.feed(html)
+    if _CUT.match(p.rawdata):  # what is left of a tag that the end of the page cuts off
+        p.rawdata = ""
     p.close()
     p._flush()
     # where a page names its article, what stands beside it is marked

@@ -22,7 +22,7 @@ REACH = 3
 FEW_LINES = 10
 #: A group's quartiles are its own sketch's, pulled towards its language's as if by so many documents of that; a language's likewise
 #: towards the whole corpus's.  So each group has a threshold of its own, and one of few documents is not judged by a few alone.
-PRIOR = 50
+PRIOR = 20
 #: metric -> smallest spread; a group whose documents all agree still tolerates this much per REACH.
 METRICS = {"symbol_rate": 100, "dup_line_rate": 1000, "repeat_rate": 500, "word_length": 100}
 #: Metrics that are rejected on the low side too.
