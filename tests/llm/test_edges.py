@@ -280,20 +280,28 @@ def test_vectors(spark):
     assert vector_dedup.near_duplicates(df.where("false")).count() == 0
 
 
-def test_vector_recall_at_the_threshold():
-    """Pairs with a cosine just over the threshold share enough pivots in more than nine of ten cases."""
+@pytest.mark.parametrize("dim", [16, 64, 384])
+@pytest.mark.parametrize("kind", ["even", "mean", "strong mean", "clusters", "tight groups"])
+def test_vector_recall_at_the_threshold(kind, dim):
+    """Pairs with a cosine of 0.951 share enough pivots in more than nine of ten cases, however the vectors lie; few others do."""
     r = np.random.default_rng(8)
-    piv = r.normal(size=(vector_dedup.PIVOTS, 64))
-    piv /= np.linalg.norm(piv, axis=1, keepdims=True)
-    x = r.normal(size=(3000, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    z = r.normal(size=x.shape)
-    z -= (z * x).sum(axis=1, keepdims=True) * x
-    z /= np.linalg.norm(z, axis=1, keepdims=True)
-    y = 0.952 * x + np.sqrt(1 - 0.952**2) * z
-    near = [np.argsort(-(v @ piv.T), axis=1)[:, : vector_dedup.NEAR] for v in (x, y)]
-    shared = np.array([len(set(a) & set(b)) for a, b in zip(*near)])
-    assert (shared >= vector_dedup.SHARED).mean() > 0.9
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    n = 6000
+    x = unit(r.normal(size=(n, dim)))
+    if "mean" in kind:
+        x = unit(x + (1.3 if kind == "strong mean" else 1.0) * unit(r.normal(size=(1, dim))))
+    elif kind == "clusters":
+        x = unit(unit(r.normal(size=(40, dim)))[r.integers(40, size=n)] + 0.5 * x)
+    elif kind == "tight groups":
+        x = unit(unit(r.normal(size=(40, dim)))[r.integers(40, size=n)] + 0.15 * x)
+    z = r.normal(size=(2000, dim))
+    z = unit(z - (z * x[:2000]).sum(axis=1, keepdims=True) * x[:2000])
+    y = 0.951 * x[:2000] + np.sqrt(1 - 0.951**2) * z
+    centre, pivots = vector_dedup.pivots_of(x[-vector_dedup.SAMPLE :])
+    near = [vector_dedup.nearest(v, centre, pivots, vector_dedup.NEAR) for v in (x[:2000], y, x[2000:4000])]
+    share = lambda a, b: ((a[:, :, None] == b[:, None, :]).any(axis=2).sum(axis=1) >= vector_dedup.SHARED).mean()
+    assert share(near[0], near[1]) > 0.9
+    assert share(near[0], near[2]) < {"clusters": 0.1, "tight groups": 0.3}.get(kind, 0.02)
 
 
 def test_checked_tokens():

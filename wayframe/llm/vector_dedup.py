@@ -1,12 +1,12 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-A vector is described by its NEAR nearest reference points (pivots), in order of cosine.  Inverted lists, one
+A vector is described by its NEAR nearest reference points (pivots), in order of cosine, both taken without the sample's mean.  Inverted lists, one
 per combination of SHARED pivots, bring together the vectors that share that many of them.  In a list,
 candidates are verified exactly; a pair that meets in several lists is counted in one of them only, the
 list of its smallest shared pivots.  Lists give back one row per vector (links, and a representative
 of what it is connected to in the list), so pairs are never written out.
 
-Pivots come from a bounded sample of SAMPLE vectors, thinned so that no two are close; every vector is indexed.
+Pivots come from a bounded sample of SAMPLE vectors, each furthest from those before; every vector is indexed.
 Equal vectors are indexed once and weighted by their number.  Long lists are split into blocks, and
 block pairs are dealt out as tasks of their own, so a dense region is compared completely.
 """
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from wayframe.llm.common import chunk_pairs, components, runs, settle
 
-SAMPLE, PIVOTS, APART = 4096, 256, 0.6
-NEAR, SHARED = 6, 3
+SAMPLE, PIVOTS, APART = 4096, 256, 0.8
+NEAR, SHARED = 8, 3
 THRESHOLD = 0.95
 BLOCK = 512
 
@@ -58,18 +58,43 @@ def prepared(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.select("vec_id", column).mapInArrow(run, "rid bigint, vec_id bigint, same binary, vec binary")
 
 
-def choose_pivots(reps: DataFrame, sample: int = SAMPLE, count: int = PIVOTS) -> np.ndarray:
-    """Up to ``count`` unit vectors, pairwise apart, from a sample whose size is bounded and whose choice is fixed by hashes."""
+def centred(m: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Unit vectors of what sets the rows apart from the centre; a row at the centre stays zero."""
+    d = m - centre
+    norm = np.linalg.norm(d, axis=1, keepdims=True)
+    return d / np.where(norm > 0, norm, 1.0)
+
+
+def pivots_of(sample: np.ndarray, count: int = PIVOTS) -> tuple[np.ndarray, np.ndarray]:
+    """The sample's mean, and up to ``count`` centred vectors of it, each the one furthest from those before.
+
+    Vectors that share a mean are all near the same few points; what is left without the mean tells them apart.
+    """
+    centre = sample.mean(axis=0)
+    m = centred(sample, centre)
+    far, picked = np.full(len(m), np.inf), []
+    for _ in range(min(count, len(m))):
+        i = int(far.argmax())
+        if far[i] <= 1 - APART:
+            break
+        picked.append(i)
+        far = np.minimum(far, 1 - m @ m[i])
+    return centre, m[picked]
+
+
+def choose_pivots(reps: DataFrame, sample: int = SAMPLE, count: int = PIVOTS) -> tuple[np.ndarray, np.ndarray]:
+    """pivots_of() a sample whose size is bounded and whose choice is fixed by hashes."""
     rows = [np.frombuffer(r["vec"], np.float64) for r in reps.orderBy(F.xxhash64("same"), "same").limit(sample).select("vec").collect()]
     if not rows:
-        return np.zeros((0, 1))
+        return np.zeros(1), np.zeros((0, 1))
     dim = max(len(x) for x in rows)
-    picked: list[np.ndarray] = []
-    for x in rows:
-        x = np.pad(x, (0, dim - len(x)))
-        if len(picked) < count and (not picked or (np.stack(picked) @ x).max() < APART):
-            picked.append(x)
-    return np.stack(picked)
+    return pivots_of(np.stack([np.pad(x, (0, dim - len(x))) for x in rows]), count)
+
+
+def nearest(m: np.ndarray, centre: np.ndarray, pivots: np.ndarray, near: int) -> np.ndarray:
+    """The sorted numbers of each row's nearest pivots."""
+    order = np.argsort(-(centred(m, centre) @ pivots.T), axis=1, kind="stable")
+    return np.sort(order[:, : min(near, len(pivots))], axis=1)
 
 
 def keys_of(near: np.ndarray, shared: int) -> np.ndarray:
@@ -83,7 +108,7 @@ def keys_of(near: np.ndarray, shared: int) -> np.ndarray:
     return np.stack(out, axis=1) if out else np.zeros((len(near), 0), np.int64)
 
 
-def described(reps: DataFrame, pivots: np.ndarray, near: int, shared: int) -> DataFrame:
+def described(reps: DataFrame, centre: np.ndarray, pivots: np.ndarray, near: int, shared: int) -> DataFrame:
     """(rep, weight, near, vec) to (key, rep, near): near holds the sorted numbers of the nearest pivots as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,9 +119,8 @@ def described(reps: DataFrame, pivots: np.ndarray, near: int, shared: int) -> Da
             for i, raw in enumerate(b.column(1).to_pylist()):
                 v = np.frombuffer(raw, np.float64)[: pivots.shape[1]]
                 m[i, : len(v)] = v
-            k = min(near, len(pivots))
-            first = np.sort(np.argsort(-(m @ pivots.T), axis=1, kind="stable")[:, :k], axis=1)
-            keys = keys_of(first, min(shared, k))
+            first = nearest(m, centre, pivots, near)
+            keys = keys_of(first, min(shared, first.shape[1]))
             rep = np.repeat(b.column(0).to_numpy(), keys.shape[1])
             raw = np.repeat(np.array([x.tobytes() for x in first.astype("<u2")], dtype=object), keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(rep), pa.array(raw.tolist(), pa.binary())], names=["key", "rep", "near"])
@@ -168,7 +192,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, near: int
     reps = rows.where("vec IS NOT NULL").groupBy("same").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("weight"))
     own = rows.select(F.col("rid").alias("_rid"), "vec")
     reps = settle(reps.join(own, F.col("rep") == F.col("_rid")).select("rep", "weight", "same", "vec"), "distinct_vectors")
-    posted = settle(described(reps, choose_pivots(reps), near, shared), "postings")
+    posted = settle(described(reps, *choose_pivots(reps), near, shared), "postings")
     long = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("key", "_key")
     lists = posted.join(long, F.col("key") == F.col("_key")).drop("_key")
     lists = chunk_pairs(lists, ["key"], "n", F.xxhash64("rep", "key"), block)
