@@ -240,7 +240,7 @@ def main_text(html: str | None, crf: Model) -> str:
 def extract(pages: DataFrame, crf: Model | None = None) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars.
 
-    A null, empty or textless page has an empty text.  Broken markup is read as far as it goes: tags may be left
+    A null, empty or textless page has an empty text; a page of any length is read as a whole.  Broken markup is read as far as it goes: tags may be left
     open, references cut off.  Rows are read one by one, so null and repeated ids give rows like others; an empty table
     gives none; other columns are ignored.
     """

@@ -389,7 +389,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     Lower-cases A-Z; words as ``[^\\x20\\x09-\\x0D]+``.  Fewer words than a shingle: the whole text is one.  A
     null text or one without words has an empty set, links with nothing and has no part.  Equal texts
-    link.  component_id is the smallest doc_id of the group, null if none has one; null and repeated doc_ids are rows like
+    link.  Shingles of a text are counted by 48 bits of their hashes: a text of ten million words may count a few less.  component_id is the smallest doc_id of the group, null if none has one; null and repeated doc_ids are rows like
     others.  An empty table gives an empty result; other columns are ignored.  Sets are named by 64
     bits of their digest: two different ones meet in one name with probability n * n / 2**65.
     """
@@ -408,7 +408,10 @@ def grouped_rows(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of documents with one of each group: the smallest doc_id, then the smallest text hash.  Rows without words stay."""
+    """The rows of documents with one of each group: the smallest doc_id, then the smallest text hash.  Rows without words stay.
+
+    Null doc_ids come after others; of repeated rows one stays.  Texts may be of any length, columns of any name; an empty table gives none.
+    """
     key = F.xxhash64("doc_id", "text")
     sets = settle(sets_of(docs, words, {"doc_id": F.col("doc_id").cast("bigint"), "k": key}), "shingles")
     rows = grouped_rows(sets, percent)

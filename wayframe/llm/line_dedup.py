@@ -215,7 +215,7 @@ def _columns(docs: DataFrame) -> list[Column]:
 def drop_lines(docs: DataFrame) -> DataFrame:
     """Every row of documents with its text less the recurring lines, and n_lines and n_dropped (lines with a word).
 
-    A null text stays null with no lines; n_chars, where there is such a column, is set to the new length.
+    A null text stays null with no lines; texts and lines may be of any length; n_chars, where there is such a column, is set to the new length.
     Lines are cut at ``\\n`` only and joined again by it.  Rows that agree in doc_id and text are one
     document and stay alike.  Documents with the same doc_id and other texts are different documents.
     Other columns pass through, whatever they are called.  An empty table gives an empty result.
@@ -224,6 +224,9 @@ def drop_lines(docs: DataFrame) -> DataFrame:
 
 
 def keep_rest(docs: DataFrame) -> DataFrame:
-    """drop_lines() with the columns of documents only, and without documents that have lost every line."""
+    """drop_lines() with the columns of documents only, and without documents that have lost every line.
+
+    Documents without a line (null, empty) stay; ties, repeated rows, clashing names and empty tables are as in drop_lines().
+    """
     return cleaned(docs).where("n_dropped = 0 OR n_dropped < n_lines").select(*_columns(docs))
 

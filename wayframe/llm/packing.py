@@ -149,7 +149,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int = END, window:
     """Pieces of documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null text is an empty document, which is its end id.  Null and repeated doc_ids are kept as they are;
-    each row is a document of its own.  An empty table gives no piece.  Other columns are ignored.
+    each row is a document of its own.  A text of any length is cut into windows.  An empty table gives no piece.  Other columns are ignored.
     """
     file = tokenizer or tokens.path_of(TOKENIZER)
     dtype = tokens.dtype_of(file)

@@ -140,7 +140,10 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of documents that pass, with their columns.  Rows keep their text in place: only counts travel."""
+    """The rows of documents that pass, with their columns.  Rows keep their text in place: only counts travel.
+
+    Nulls, long texts and repeated rows are judged as in quality(); columns may have any names; an empty table gives none.
+    """
     keys = {"doc_id": F.col("doc_id"), "lang": F.col("lang"), "source": F.col("source"), "h": F.xxhash64("doc_id", "text")}
     m = settle(measured(docs.select(*[v.alias(k) for k, v in keys.items()], "text"), list(keys)), "quality")
     # Rows that agree in all keys get the same verdict, so keys may repeat on the left only.

@@ -88,7 +88,7 @@ def written(found: list[tuple[int, int, str]]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """Per row of documents: doc_id, n_assign, n_access, n_hex, n_checked, base_sha256, spans.
 
-    Null and empty texts have no spans (base_sha256 of the empty string).  Rows are scanned one by one, so
+    Null and empty texts have no spans (base_sha256 of the empty string); long ones are scanned as a whole, in time that grows with their length.  Rows are scanned one by one, so
     repeated rows and null doc_ids give rows alike; an empty table gives none; other columns are ignored.
     """
 

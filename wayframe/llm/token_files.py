@@ -178,7 +178,7 @@ def token_files(docs: DataFrame, tokenizer: str | None = None, end: int = END, p
     """Encode every whole text, write the token files to the shared folder, and return what they hold.
 
     Null texts are empty documents with the end id only.  Null doc_ids come first; repeated rows are kept
-    as so many documents.  An empty table writes no file and gives no row.  Other columns are ignored.
+    as so many documents.  A text of any length is encoded as a whole.  An empty table writes no file and gives no row.  Other columns are ignored.
     """
     file = tokenizer or tokens.path_of(TOKENIZER)
     dtype = tokens.dtype_of(file)
