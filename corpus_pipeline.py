@@ -1,7 +1,8 @@
 """From raw documents to packed token sequences, in five stages.
 
 Each stage takes what the stage before kept and returns the columns of documents, the last one pieces of
-sequences.  Between stages the rows are written to the shared folder, so a lost executor costs one stage.
+sequences.  Every stage takes null and repeated doc_ids, null, empty and very long texts, ties, columns of any name beside those of
+documents, and empty tables (which give empty results), each as its operator states.  Between stages the rows are written to the shared folder, so a lost executor costs one stage.
 """
 
 from __future__ import annotations
