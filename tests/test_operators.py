@@ -387,6 +387,13 @@ def test_draws_use_the_whole_key(spark):
     assert len(set(far)) == 6
 
 
+def test_null_parts_of_a_key_keep_their_place(spark):
+    from wayframe.functions import hashing as H
+
+    df = spark.createDataFrame([(None, 1), (1, None)], "a int, b int")
+    assert len({r["h"] for r in df.select(H.hash_int(["a", "b"], 3).alias("h")).collect()}) == 2
+
+
 def test_conversion_check_sees_every_difference(spark):
     from wayframe.operators.sharding import verify_conversion
 

@@ -143,3 +143,19 @@ def test_sets_are_laid_out_and_pruned(spark, tmp_path):
     T.write_episode_sets(rows.where("run_id = '001' AND set_idx = 2 AND x = 0"), str(tmp_path), spread=3)
     after = T.read_episode_sets(spark, str(tmp_path))
     assert after.where("run_id = '001' AND set_idx = 2").count() == 5 and after.count() == 3 * 2 * 20 - 15
+
+
+def test_folders_of_a_job_can_be_cleared(spark, tmp_path):
+    from wayframe.sources import shared
+
+    before = shared.made(spark)
+    kept, gone = shared.settle(spark.range(5), "kept"), shared.settle(spark.range(7), "gone")
+    new = [p for p in shared.made(spark) if p not in before]
+    assert kept.count() == 5 and len(new) == 2 and all(os.path.isdir(p) for p in new)
+    other = tmp_path / "other"
+    other.mkdir()
+    shared.clear(spark, [new[1], str(other)])
+    assert os.path.isdir(new[0]) and not os.path.exists(new[1]) and other.is_dir() and new[1] not in shared.made(spark)
+    assert kept.count() == 5
+    shared.clear(spark, new)
+    assert not os.path.exists(new[0])

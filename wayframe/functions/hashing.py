@@ -22,8 +22,8 @@ def _parts(key) -> list[Column]:
 
 
 def hash_int(key, seed: int = 0) -> Column:
-    """Integer in [0, 2^48) from a column or a sequence of columns; null parts are skipped."""
-    text = F.concat_ws(":", F.lit(str(int(seed))), *[p.cast("string") for p in _parts(key)])
+    """Integer in [0, 2^48) from a column or a sequence of columns; a null part keeps its place, as an empty text."""
+    text = F.concat_ws(":", F.lit(str(int(seed))), *[F.coalesce(p.cast("string"), F.lit("")) for p in _parts(key)])
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wayframe import constants as K
 from wayframe.functions.geometry import limit_to_mps
+from wayframe.sources.shared import settle
 
 CH = K.CHANNELS
 #: Rows of one layer in one frame from which the frame's rows are dealt to several tasks.
@@ -301,13 +302,14 @@ def rasterize(
 ) -> DataFrame:
     """Sparse raster (keys, channel, row, col, value) of all layers given.
 
-    The layers own different channels, so each is merged alone.  Rows are placed by frame before they are drawn,
-    and their cells then meet without another shuffle; only frames with more than CROWDED rows in a
-    layer are dealt out row by row, and their cells shuffled after a map-side merge.
+    The layers own different channels, so each is merged alone.  A layer's rows, which are few beside their cells, are written once.
+    They are placed by frame before they are drawn, and their cells then meet without another shuffle; only frames
+    with more than CROWDED rows in a layer are dealt out row by row, and their cells shuffled after a map-side merge.
     """
     parts = []
     for source, draw in ((segments, lane_layers), (lights, light_layers), (routes, route_layers), (tokens, actor_layers)):
         if source is not None:
+            source = settle(source, "layer")
             crowded = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWDED).drop("_n")
             by_frame = source.join(crowded, list(keys), "left_anti").repartition(_tasks(source), *keys)
             parts.append(merge_cells(draw(by_frame, keys, grid, placed=True), keys, grid))

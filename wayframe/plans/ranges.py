@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayframe.sources.shared import fresh_dir
+from wayframe.sources.shared import CODEC, fresh_dir
 
 
 def number_rows(df: DataFrame, order: Sequence[str], name: str = "idx", keys: Sequence[str] = ()) -> DataFrame:
@@ -26,7 +26,7 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str = "idx", keys: Se
     spark, columns = df.sparkSession, [c for c in df.columns if c != name]
     path = fresh_dir(spark, "numbered")
     by = [*keys, *order]
-    df.select(*columns).repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(path)
+    df.select(*columns).repartitionByRange(*by).sortWithinPartitions(*by).write.option("compression", CODEC).parquet(path)
     stored = spark.read.schema(df.select(*columns).schema).parquet(path)
     part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
     rows = stored.select(*columns, part.alias("_part"), F.col("_metadata.row_index").alias("_at"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: What is written between steps is read once or twice; disk is what it costs.
+CODEC = "zstd"
 
 _own: dict[str, str | None] = {}  # by application, where the session names no folder
 
@@ -24,13 +27,35 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_made: dict[str, list[str]] = {}  # folders by application, in the order in which they were named
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared one."""
-    return f"{shared_dir(spark)}/wayframe/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/wayframe/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def made(spark: SparkSession) -> list[str]:
+    """The folders that this application has named so far and not cleared."""
+    return list(_made.get(spark.sparkContext.applicationId, []))
+
+
+def clear(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Remove folders that :func:`fresh_dir` named in this application, once nothing reads what was written there; others stay.
+
+    A DataFrame that was settled is read from its folder whenever it is used, so clear what is done with only.
+    """
+    own = _made.get(spark.sparkContext.applicationId, [])
+    for path in [p for p in folders if p in own]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        own.remove(path)
 
 
 def settle(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write the rows to the shared folder and read them back: cuts the lineage and keeps column pruning."""
     path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", CODEC).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
