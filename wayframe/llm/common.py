@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayframe.sources.shared import fresh_dir, settle
+from wayframe.sources.shared import CODEC, fresh_dir, settle
 
 __all__ = ["SPACE", "components", "fresh_dir", "let", "packed", "running", "settle", "table", "unpacked", "words"]
 
@@ -40,7 +40,7 @@ def running(df: DataFrame, order: Sequence[str], sums: Sequence[str], prefix: st
     """
     spark = df.sparkSession
     path = fresh_dir(spark, "ranges")
-    df.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", CODEC).parquet(path)
     rows = spark.read.schema(df.schema).parquet(path).select("*", F.col("_metadata.file_name").alias("_file"))
     totals = rows.groupBy("_file").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
