@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wayframe.llm import jaccard_join, line_dedup, mixing, packing, quality
 from wayframe.llm.common import settle, table
+from wayframe.sources.shared import clear, made
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
+        before = made(spark)
         docs = settle(stage(spark, docs, sf_dir), name)
+        # The result is written last; what the stage wrote on the way, and what it read, is done with.
+        *steps, result = [p for p in made(spark) if p not in before]
+        clear(spark, [*steps, *read])
+        read = [result]
     return STAGES[-1][1](spark, docs, sf_dir)
