@@ -468,11 +468,10 @@ def test_early_stop_equals_the_walk(spark, width):
 
 
 def test_summary_of_a_segment_is_short_where_scores_fall_fast():
-    import pandas as pd
+    import numpy as np
 
     n = 5000
-    pdf = pd.DataFrame({"_seg": 1, "_at": range(n), "_x": [-float(i) for i in range(n)], "_e": range(n), "_best": [10.0] + [-float(i) for i in range(n - 1)]})
-    out = RP._entries(pdf, 20, 0.5).iloc[0]
+    out = RP._entries(-np.arange(n, dtype=float), np.arange(n), np.arange(n), 10.0, 20, 0.5)
     assert len(out["_entry_x"]) == 1 and out["_last_at"] == [n - 1] and out["_stop"] == [-1]
 
 

@@ -362,19 +362,16 @@ def top_k(df: DataFrame, k: int, objective: str = "objective", maximize: bool =
     return df.orderBy(by, order).limit(k)
 
 
-def _entries(pdf, patience: int, min_delta: float):
-    """One row that says what a segment of records (falling scores) does to any accepted best it is entered with.
+def _entries(x, at, epoch, before: float | None, patience: int, min_delta: float) -> dict[str, list]:
+    """What a segment of records (falling scores ``x``) does to any accepted best it is entered with.
 
     The first record that beats the best by more than ``min_delta`` is the entry; what follows depends on it alone.  So each
     entry has its outcome: the last record accepted in the segment, or where training stops inside.  The best is at most
-    ``min_delta`` above the least score before the segment (``_best``), so only the records down to the first one that
+    ``min_delta`` above the least score before the segment (``before``), so only the records down to the first one that
     beats that least by ``min_delta`` can be entries.
     """
     import numpy as np
-    import pandas as pd
 
-    pdf = pdf.sort_values("_at", ignore_index=True)
-    x, at, epoch = (pdf[c].to_numpy() for c in ("_x", "_at", "_e"))
     n = len(x)
     # Scores fall, so the next one accepted after i is where they first go below x[i] - min_delta.
     after = np.searchsorted(-x, -(x - min_delta), side="right")
@@ -386,11 +383,10 @@ def _entries(pdf, patience: int, min_delta: float):
                 stop[i] = at[i] + patience
             else:
                 last[i], stop[i] = last[j], stop[j]
-    before = pdf["_best"].iloc[0]
-    beats = np.flatnonzero(x < before - min_delta) if before == before else np.arange(1)  # no score before: the first record is accepted
+    beats = np.arange(1) if before is None else np.flatnonzero(x < before - min_delta)  # no score before: the first record is accepted
     k = int(beats[0]) + 1 if len(beats) else n
     data = {"_entry_x": x[:k], "_entry_at": at[:k], "_last_x": x[last[:k]], "_last_at": at[last[:k]], "_last_e": epoch[last[:k]], "_stop": stop[:k]}
-    return pd.DataFrame([{"_seg": pdf["_seg"].iloc[0], **{c: v.tolist() for c, v in data.items()}}])
+    return {c: v.tolist() for c, v in data.items()}
 
 
 def early_stop(
@@ -426,10 +422,30 @@ def early_stop(
     kind = dict(df.dtypes)[run]
     lists = "_entry_x array<double>, _entry_at array<bigint>, _last_x array<double>, _last_at array<bigint>, _last_e array<bigint>, _stop array<bigint>"
 
-    def summarise(pdf):
-        out = _entries(pdf, patience, min_delta)
-        out[run], out["_n"] = pdf[run].iloc[0], pdf["_n"].iloc[0]
-        return out
+    def summarise(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        held: list[dict] = []
+
+        def summary() -> dict:
+            x, at, e = (np.array([r[c] for r in held]) for c in ("_x", "_at", "_e"))
+            first = held[0]
+            return {run: first[run], "_seg": first["_seg"], "_n": first["_n"], **_entries(x, at, e, first["_best"], patience, min_delta)}
+
+        kinds = [("_seg", pa.int64()), ("_n", pa.int64()), ("_entry_x", pa.list_(pa.float64())), ("_entry_at", pa.list_(pa.int64())), ("_last_x", pa.list_(pa.float64()))]
+        kinds += [(c, pa.list_(pa.int64())) for c in ("_last_at", "_last_e", "_stop")]
+        for b in batches:
+            schema, done = pa.schema([(run, b.schema.field(run).type), *kinds]), []
+            for r in b.to_pylist():
+                if held and (held[0]["_seg"] != r["_seg"] or held[0][run] != r[run]):
+                    done.append(summary())
+                    held = []
+                held.append(r)
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=schema)
+        if held:
+            yield pa.RecordBatch.from_pylist([summary()], schema=schema)
 
     def follow(batches: Iterator) -> Iterator:
         import bisect
@@ -471,7 +487,8 @@ def early_stop(
 
         return pa.schema([(run, b.schema.field(run).type), ("_n", pa.int64()), ("stop_at", pa.int64()), ("best_epoch", pa.int64()), ("best_score", pa.float64())])
 
-    summaries = rec.groupBy(run, "_seg").applyInPandas(summarise, f"`{run}` {kind}, _seg bigint, _n bigint, {lists}")
+    placed = rec.repartition(run, "_seg").sortWithinPartitions(run, "_seg", "_at")
+    summaries = placed.mapInArrow(summarise, f"`{run}` {kind}, _seg bigint, _n bigint, {lists}")
     ordered = summaries.repartition(run).sortWithinPartitions(run, "_seg")
     return ordered.mapInArrow(follow, f"`{run}` {kind}, _n bigint, stop_at bigint, best_epoch bigint, best_score double").drop("_n")
 
