@@ -159,3 +159,52 @@ def test_folders_of_a_job_can_be_cleared(spark, tmp_path):
     assert kept.count() == 5
     shared.clear(spark, new)
     assert not os.path.exists(new[0])
+
+
+def test_many_sets_share_folders_and_one_is_written_again_alone(spark, tmp_path):
+    rows = spark.range(30_000).select(
+        F.concat(F.lit("r"), F.col("id") % 2).alias("run_id"), F.expr("id div 6 + 1").alias("set_idx"), (F.col("id") % 3).cast("int").alias("episode_id"), F.col("id").alias("x"),
+    )
+    T.write_episode_sets(rows, str(tmp_path))
+    folders = [d for d, _, names in os.walk(tmp_path) if any(n.endswith(".parquet") for n in names)]
+    assert len(folders) == 4  # 5000 sets of two runs
+    back = T.read_episode_sets(spark, str(tmp_path))
+    assert sorted(map(tuple, back.select(rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+    one = "run_id = 'r1' AND set_idx = 4100"
+    T.write_episode_sets(rows.where(f"{one} AND episode_id <> 0").withColumn("x", -F.col("x")), str(tmp_path), spread=3)
+    after = T.read_episode_sets(spark, str(tmp_path))
+    want = [r for r in rows.where(f"NOT ({one})").collect()] + rows.where(f"{one} AND episode_id <> 0").withColumn("x", -F.col("x")).collect()
+    assert sorted(map(tuple, after.select(rows.columns).collect())) == sorted(map(tuple, want))
+
+
+def test_archives_are_small_and_plain_ones_are_read(spark, tmp_path):
+    import tarfile
+
+    df = spark.range(2000).select(F.col("id").alias("sample_idx"), F.expr("id div 1000").alias("shard_idx"), F.col("id").alias("frame_id"))
+    fields = {"frame_id": "bigint"}
+    size = {}
+    for level in (1, 0):
+        path = tmp_path / str(level)
+        TS.write_tar_shards(df, str(path), ["frame_id"], level=level)
+        size[level] = sum(p.stat().st_size for p in path.glob("*.tar"))
+        assert sorted(r["frame_id"] for r in TS.read_tar_shards(spark, str(path), fields).collect()) == list(range(2000))
+        assert {r["sample_count"] for r in TS.shard_counts(spark, str(path)).collect()} == {1000}
+        with tarfile.open(path / "shard-000001.tar") as tar:
+            assert len(tar.getnames()) == 1001
+    assert size[1] * 10 < size[0]
+    cut = tmp_path / "1" / "shard-000001.tar"
+    cut.write_bytes(cut.read_bytes()[:5000])
+    got = {r["file"]: r["reason"] for r in TS.shard_counts(spark, str(tmp_path / "1")).collect()}
+    assert got["shard-000000.tar"] is None and got["shard-000001.tar"].startswith("malformed archive")
+
+
+def test_members_are_framed_as_tarfile_does():
+    import io
+    import tarfile
+
+    for name, payload in (("00000001.x.npy", b"a" * 137), ("12345678.route.npy", b""), ("00000000.y.npy", b"b" * 512)):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as tar:
+            TS._member(tar, name, payload)
+        mine = TS._Framer(len(payload)).frame(name.encode(), payload)
+        assert out.getvalue()[: len(mine)] == mine and len(mine) % 512 == 0

@@ -2,14 +2,20 @@
 
 Spark brings the samples of a shard together and orders them; the per-shard
 task only streams them into (or out of) one archive, without holding it.
+
+Archives are gzip streams by default: a member of a few bytes takes a kilobyte of headers and
+padding in a plain archive.  ``tar`` and ``tarfile.open`` see by the first bytes which of the two they read,
+and so do the readers here.
 """
 
 from __future__ import annotations
 
+import gzip
 import io
 import json
 import tarfile
 import uuid
+import zlib
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -20,6 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 METADATA = "__metadata__.json"
 SHARD_FILE = "shard-%06d.tar"
 MANIFEST, STAGING = "_manifest", "_staging-"
+BUFFER = 1 << 16
 
 _NUMPY = {
     T.LongType: "int64", T.IntegerType: "int32", T.ShortType: "int16", T.ByteType: "int8",
@@ -39,12 +46,32 @@ def _member(tar: tarfile.TarFile, name: str, payload: bytes) -> None:
     tar.addfile(info, io.BytesIO(payload))
 
 
+class _Framer:
+    """Members of one size and kind, as tarfile writes them, from one header: only name and checksum differ."""
+
+    def __init__(self, size: int) -> None:
+        info = tarfile.TarInfo("")
+        info.size = size
+        self.head, self.pad = info.tobuf(), bytes(-size % tarfile.BLOCKSIZE)
+        self.sum = int(self.head[148:154], 8)
+
+    def frame(self, name: bytes, payload: bytes) -> bytes:
+        return b"".join((name.ljust(100, b"\0"), self.head[100:148], b"%06o" % (self.sum + sum(name)), self.head[154:], payload, self.pad))
+
+
 def _store(path: str) -> tuple:
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
+def _opened(src) -> tarfile.TarFile:
+    """The archive in a stream of bytes, gzip or plain, read from front to back."""
+    raw = io.BufferedReader(src, BUFFER)
+    plain = raw.peek(2)[:2] != b"\x1f\x8b"
+    return tarfile.open(fileobj=raw if plain else io.BufferedReader(gzip.GzipFile(fileobj=raw), BUFFER), mode="r|")
+
+
 def _archives(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
     """The archives' paths, dealt out over ``tasks`` (as many as the session shuffles with, by default).
 
@@ -70,7 +97,7 @@ class _TarWriter(DataSourceArrowWriter):
     """
 
     def __init__(self, path: str, options: dict) -> None:
-        self.path, self.index, self.shard = path, options["index"], options["shard"]
+        self.path, self.index, self.shard, self.level = path, options["index"], options["shard"], int(options["level"])
         self.dtypes: dict[str, str] = json.loads(options["dtypes"])
         self.staging = f"{STAGING}{uuid.uuid4().hex}"
 
@@ -82,7 +109,12 @@ class _TarWriter(DataSourceArrowWriter):
         store.create_dir(mine, recursive=True)
         done: list[tuple[dict, str]] = []
         state: dict = {}
-        heads: dict = {}  # npy headers by field and shape
+        heads: dict = {}  # npy headers and frames by field and shape
+
+        def add(members: list[bytes]) -> None:
+            data = b"".join(members)
+            state["tar"].fileobj.write(data)
+            state["tar"].offset += len(data)
 
         def close() -> None:
             if not state:
@@ -90,6 +122,7 @@ class _TarWriter(DataSourceArrowWriter):
             meta = {"shard_idx": state["shard"], "first_sample_idx": state["first"], "last_sample_idx": state["last"], "sample_count": state["n"]}
             _member(state["tar"], METADATA, json.dumps(meta).encode())
             state["tar"].close()
+            state["zip"].close()
             state["out"].close()
             done.append((meta, state["name"]))
             state.clear()
@@ -101,15 +134,26 @@ class _TarWriter(DataSourceArrowWriter):
                     close()
                     name = f"{mine}/{s}.tar"
                     out = store.open_output_stream(name)
-                    state.update(shard=s, first=i, n=0, name=name, out=out, tar=tarfile.open(fileobj=out, mode="w|"))
+                    # Without time and name, so that a rerun gives the same bytes.
+                    packed = gzip.GzipFile("", "wb", self.level, out, mtime=0) if self.level else out
+                    state.update(shard=s, first=i, n=0, name=name, out=out, zip=packed, tar=tarfile.open(fileobj=packed, mode="w|"))
+                members = []
                 for (f, dtype), v in zip(self.dtypes.items(), values):
                     a = np.asarray(v, dtype=dtype)
-                    head = heads.get((f, a.shape))
-                    if head is None:
+                    known = heads.get((f, a.shape))
+                    if known is None:
                         buf = io.BytesIO()
                         np.save(buf, a, allow_pickle=False)
-                        head = heads[(f, a.shape)] = buf.getvalue()[: len(buf.getvalue()) - a.nbytes]
-                    _member(state["tar"], f"{i:08d}.{f}.npy", head + a.tobytes())
+                        known = heads[(f, a.shape)] = buf.getvalue()[: len(buf.getvalue()) - a.nbytes], _Framer(len(buf.getvalue()))
+                    head, framer = known
+                    name = f"{i:08d}.{f}.npy".encode()
+                    if len(name) <= tarfile.LENGTH_NAME:
+                        members.append(framer.frame(name, head + a.tobytes()))
+                    else:
+                        add(members)
+                        members = []
+                        _member(state["tar"], name.decode(), head + a.tobytes())
+                add(members)
                 state["last"], state["n"] = i, state["n"] + 1
         close()
         return _Written(done)
@@ -154,7 +198,7 @@ class TarShards(DataSource):
         return "wayframe_tar"
 
     def writer(self, schema: T.StructType, overwrite: bool) -> _TarWriter:
-        return _TarWriter(self.options["target"], {k: self.options[k] for k in ("index", "shard", "dtypes")})
+        return _TarWriter(self.options["target"], {k: self.options[k] for k in ("index", "shard", "dtypes", "level")})
 
 
 def write_tar_shards(
@@ -165,13 +209,14 @@ def write_tar_shards(
     shard: str = "shard_idx",
     tasks: int | None = None,
     narrow: bool = False,
+    level: int = 1,
 ) -> DataFrame:
     """Write one archive per shard and return the manifest (shard, first, last, count, file).
 
     ``index`` and ``shard`` come from sharding.index_and_shard.  The write replaces what the folder held, in two steps: tasks write
     into a staging folder, and the driver publishes all archives once every task has committed, the manifest last (JSON lines
     beside the shards).  A job that fails leaves the folder as it was.  ``tasks`` is the number of writers; the session's
-    shuffle partitions by default.  ``narrow`` stores doubles as float32.
+    shuffle partitions by default.  ``narrow`` stores doubles as float32; ``level`` is that of gzip, 0 for plain archives.
     """
     spark, path = df.sparkSession, path.rstrip("/")
     dtypes = {f: _dtype(df.schema[f].dataType, narrow) for f in fields}
@@ -179,7 +224,7 @@ def write_tar_shards(
     writers = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = df.select(shard, index, *[c for c in fields if c not in (shard, index)]).repartition(writers, shard).sortWithinPartitions(shard, index)
     spark.dataSource.register(TarShards)
-    options = {"target": path, "index": index, "shard": shard, "dtypes": json.dumps(dtypes)}
+    options = {"target": path, "index": index, "shard": shard, "dtypes": json.dumps(dtypes), "level": str(level)}
     placed.write.format(TarShards.name()).mode("overwrite").options(**options).save()
     return read_manifest(spark, path)
 
@@ -234,7 +279,7 @@ def read_tar_shards(
             for p in pdf["path"].tolist():
                 store, name = fs.FileSystem.from_uri(p if "://" in p else p.replace("file:", "file://", 1))
                 rows, at, got = [], None, {}
-                with store.open_input_stream(name) as src, tarfile.open(fileobj=src, mode="r|*") as tar:
+                with store.open_input_stream(name) as src, _opened(src) as tar:
                     for m in tar:
                         if not m.name.endswith(".npy"):
                             continue
@@ -271,13 +316,13 @@ def shard_counts(spark: SparkSession, path: str) -> DataFrame:
                 n, stated, reason = 0, 0, None
                 try:
                     store, name = fs.FileSystem.from_uri(p if "://" in p else p.replace("file:", "file://", 1))
-                    with store.open_input_stream(name) as src, tarfile.open(fileobj=src, mode="r|*") as tar:
+                    with store.open_input_stream(name) as src, _opened(src) as tar:
                         for m in tar:
                             if m.name == METADATA:
                                 stated = int(json.loads(tar.extractfile(m).read()).get("sample_count", 0))
                             elif m.name.endswith(".frame_id.npy"):
                                 n += 1
-                except (tarfile.TarError, ValueError) as e:
+                except (tarfile.TarError, zlib.error, EOFError, gzip.BadGzipFile, ValueError) as e:
                     n, stated, reason = 0, 0, f"malformed archive: {e}"
                 if not (stated or n or reason):
                     reason = "no samples"
