@@ -343,6 +343,17 @@ def test_layers_are_computed_once(spark):
     assert plan.count("Exchange ") <= 14
 
 
+def test_tasks_of_a_raster_grow_with_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(R, "CELLS_PER_TASK", 1000)
+    lights = spark.range(400).select((F.col("id") % 100).alias("tick"), F.lit(0.0).alias("stop_x"), F.lit(0.0).alias("stop_y"), F.lit(0).alias("state"))
+    for crowded, tasks in ((2000, 20), (3, 20)):  # fifty cells a light; by frame, or every light on its own
+        monkeypatch.setattr(R, "CROWDED", crowded)
+        cells = R.rasterize(["tick"], lights=lights)
+        plan = cells._jdf.queryExecution().executedPlan().toString()
+        assert f", {tasks}), REPARTITION_BY_NUM" in plan or f"RoundRobinPartitioning({tasks}), REPARTITION_BY_NUM" in plan
+        assert cells.count() == 2 * 25 * 100
+
+
 def test_velocities_add_up_and_are_clipped(spark):
     rows = [(1, 0.0, 0.0, 0, 30.0, -1.0), (1, 0.0, 0.0, 1, 30.0, 2.0)]
     df = spark.createDataFrame(rows, "tick int, x_ego double, y_ego double, type_id int, vx double, vy double")

@@ -20,6 +20,8 @@ from wayframe.sources.shared import settle
 CH = K.CHANNELS
 #: Rows of one layer in one frame from which the frame's rows are dealt to several tasks.
 CROWDED = 2_000
+#: Cells that a task draws and merges: about 0.4 GB in the merge.
+CELLS_PER_TASK = 3_000_000
 
 
 def _c(x) -> Column:
@@ -160,19 +162,31 @@ def draw_polyline(points, thickness: int, grid: Grid) -> Column:
     return thicken(points, polyline_centres(points, grid), thickness, grid)
 
 
-def spread(df: DataFrame, placed: bool = False) -> DataFrame:
+def spread(df: DataFrame, placed: bool = False, cells: int | None = None) -> DataFrame:
     """Deal the rows out evenly before drawing, unless they are ``placed`` already.
 
-    One input row becomes thousands of cells, so input partitions sized by bytes
-    are far too big.  The number is stated (the session's shuffle partitions),
-    or adaptive execution would merge them again; dealing by row keeps a frame
+    One input row becomes up to ``cells`` cells (those of a line, by default), so input partitions sized by bytes
+    are far too big.  The rows are written once and counted, and the number of tasks goes by them; dealing by row keeps a frame
     with very many lines from filling one task.
     """
-    return df if placed else df.repartition(_tasks(df))
+    if placed:
+        return df
+    stored = settle(df, "layer")
+    return stored.repartition(_tasks(stored, stored.count(), cells or _line_cells(Grid())))
 
 
-def _tasks(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _line_cells(grid: Grid) -> int:
+    """Cells of one layer of a line that crosses the grid at its widest, boundaries and centre line aside."""
+    return (2 * grid.pixels(grid.drivable_thickness) - 1) * max(grid.height, grid.width)
+
+
+def _stamp_cells(radius: int) -> int:
+    return (2 * radius + 1) ** 2
+
+
+def _tasks(df: DataFrame, rows: int, cells: int) -> int:
+    """As many tasks as the session shuffles with, and no more than CELLS_PER_TASK cells in each if rows draw ``cells``."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows * cells // CELLS_PER_TASK))
 
 
 def _layers(df: DataFrame, keys: Sequence[str], *layers: tuple[Column | int, Column, Column | float]) -> DataFrame:
@@ -305,15 +319,25 @@ def rasterize(
     The layers own different channels, so each is merged alone.  A layer's rows, which are few beside their cells, are written once.
     They are placed by frame before they are drawn, and their cells then meet without another shuffle; only frames
     with more than CROWDED rows in a layer are dealt out row by row, and their cells shuffled after a map-side merge.
+    The number of tasks goes by the rows of a layer and the cells that one of them may draw.
     """
+    line, actor = _line_cells(grid), _stamp_cells(grid.pixels(grid.actor_radius))
+    # Each layer's rows, how they are drawn, and the cells of one row at most
+    layers = (
+        (segments, lane_layers, 2 * line),
+        (lights, light_layers, 2 * _stamp_cells(2)),
+        (routes, route_layers, line),
+        (tokens, actor_layers, actor + 2),
+    )
     parts = []
-    for source, draw in ((segments, lane_layers), (lights, light_layers), (routes, route_layers), (tokens, actor_layers)):
+    for source, draw, each in layers:
         if source is not None:
             source = settle(source, "layer")
-            crowded = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWDED).drop("_n")
-            by_frame = source.join(crowded, list(keys), "left_anti").repartition(_tasks(source), *keys)
-            parts.append(merge_cells(draw(by_frame, keys, grid, placed=True), keys, grid))
-            parts.append(merge_cells(draw(source.join(crowded, list(keys), "left_semi"), keys, grid), keys, grid))
+            crowded = settle(source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWDED), "crowded_frames")
+            many = crowded.agg(F.sum("_n")).first()[0] or 0
+            by_frame = source.join(crowded, list(keys), "left_anti").repartition(_tasks(source, source.count() - many, each), *keys)
+            dealt = source.join(crowded, list(keys), "left_semi").repartition(_tasks(source, many, each))
+            parts += [merge_cells(draw(rows, keys, grid, placed=True), keys, grid) for rows in (by_frame, dealt)]
     if not parts:
         raise ValueError("nothing to draw")
     cells = parts[0]
