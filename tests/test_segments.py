@@ -99,3 +99,17 @@ def test_no_window_over_a_whole_episode(spark):
     windows = [line for line in plan.splitlines() if "Window [" in line]
     # The only window without the segment in it accumulates the summaries (columns _s_*).
     assert windows and all("_seg" in line or "(_s_" in line for line in windows)
+
+
+def test_rows_are_dealt_by_their_number(spark, monkeypatch):
+    from wayframe.operators.futures import future_samples
+    from wayframe.plans import segments
+
+    assert segments.dealt(spark.range(10), ["id"]).rdd.getNumPartitions() == 8
+    monkeypatch.setattr(segments, "ROWS_PER_TASK", 10)
+    assert segments.dealt(spark.range(1000), ["id"], 1000).rdd.getNumPartitions() == 100
+    ran, plain = [], segments.dealt
+    monkeypatch.setattr("wayframe.operators.futures.dealt", lambda df, by, rows=0: ran.append(rows) or plain(df, by, rows))
+    ticks = spark.range(300).select(F.lit("r").alias("run_id"), F.lit(0).alias("episode_ord"), F.col("id").alias("frame_id"), (F.col("id") * 10).alias("t_us"), *[F.lit(0.0).alias(c) for c in ("x_m", "y_m", "speed_mps")])
+    assert future_samples(ticks, 2, 10, tail=None).where("size(samples) = 2").count() == 298
+    assert ran == [300, 300]

@@ -12,6 +12,7 @@ from wayframe.catalog.rl import REWARDS, start
 from wayframe.catalog.views import frames, r6, table, tensors
 from wayframe.operators import reports as RP
 from wayframe.operators import rewards as R
+from wayframe.sources.shared import settle
 
 
 @query(
@@ -51,7 +52,8 @@ def _(spark, sf):
 
 
 def rewarded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.rewards(R.tick_events(frames(spark, sf_dir), 0.1, start()))
+    # Written once: the steps that follow read their ticks several times.
+    return R.rewards(R.tick_events(settle(frames(spark, sf_dir), "ticks"), 0.1, start()))
 
 
 @query(
