@@ -126,3 +126,42 @@ def test_streams_ask_for_their_state_store(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     with pytest.raises(ValueError, match="stream_session"):
         stream_gate(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+
+
+def test_waiting_rows_are_put_away_once():
+    """Frames whose rows spread over the same buckets used to read and write a bucket again for each of them."""
+    moved = []
+
+    class Map(dict):
+        def updateValue(self, key, value):
+            moved.append(len(value[0]))
+            self[key] = value
+
+        def getValue(self, key):
+            moved.append(len(self[key][0]))
+            return self[key]
+
+        def containsKey(self, key):
+            return key in self
+
+        def removeKey(self, key):
+            del self[key]
+
+    class Handle:
+        def __init__(self):
+            self.maps = {}
+
+        def getMapState(self, name, key, value):
+            return self.maps.setdefault(name, Map())
+
+    handle = Handle()
+    frames = [pd.DataFrame({"t": range(i, 4000, 40), "x": range(i, 4000, 40)}) for i in range(40)]
+    first = common.Waiting(handle, "ticks", {"t": "bigint", "x": "bigint"}, "t", 100)
+    first.open()
+    for pdf in frames[:20]:
+        first.add(pdf)
+    # Another worker goes on with what is in state.
+    second = common.Waiting(handle, "ticks", {"t": "bigint", "x": "bigint"}, "t", 100)
+    got = pd.concat(second.drain(iter(frames[20:])), ignore_index=True)
+    assert got["t"].tolist() == got["x"].tolist() == list(range(4000))
+    assert sum(moved) == 2 * 4000 and not handle.maps["ticks"]

@@ -11,7 +11,7 @@ from wayframe.catalog import ctes as Q
 from wayframe.catalog.registry import query
 from wayframe.catalog.rl import NORMAL, REWARDS
 from wayframe.catalog.audits import rewarded
-from wayframe.catalog.views import frames, r6
+from wayframe.catalog.views import frames, r6, ticks_in
 from wayframe.operators.gates import mark_gate
 from wayframe.sources.shared import fresh_dir, settle
 from wayframe.streaming.common import stream_session
@@ -59,7 +59,7 @@ def _(spark, sf):
     + f" SELECT run_tick, {Q.r6('reward_mean', 'reward_mean')}, {Q.r6('reward_std', 'reward_std')}, {Q.r6('reward_normalized', 'reward_normalized', 5)} FROM nz",
 )
 def _(spark, sf):
-    rows = mark_gate(settle(rewarded(spark, sf), "ticks")).select("run_id", "run_tick", "reward_clipped", "recording")
+    rows = mark_gate(settle(rewarded(spark, sf), "ticks"), rows=ticks_in(spark, sf)).select("run_id", "run_tick", "reward_clipped", "recording")
     out = through_stream(spark, rows, stream_running_normalise)
     return out.select("run_tick", r6("reward_mean"), r6("reward_std"), r6("reward_normalized", digits=5))
 

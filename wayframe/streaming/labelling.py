@@ -33,6 +33,7 @@ class _Labeller(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         latest = None
+        self.ticks.open()
         for pdf in rows:
             self.ticks.add(pdf)
             newest = int(pdf["clock_us"].max())
@@ -94,6 +95,7 @@ class _Labeller(StatefulProcessor):
         return int(bases[~fit][0]) if len(done) < len(bases) else None
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        self.ticks.open()
         for b in self.ticks.buckets():
             self.ticks.remove(b)
         self.expiry.clear()
