@@ -1,6 +1,7 @@
 """Segmented scans and halos give what plain windows give, for any segment width."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import Window as W
@@ -113,3 +114,34 @@ def test_rows_are_dealt_by_their_number(spark, monkeypatch):
     ticks = spark.range(300).select(F.lit("r").alias("run_id"), F.lit(0).alias("episode_ord"), F.col("id").alias("frame_id"), (F.col("id") * 10).alias("t_us"), *[F.lit(0.0).alias(c) for c in ("x_m", "y_m", "speed_mps")])
     assert future_samples(ticks, 2, 10, tail=None).where("size(samples) = 2").count() == 298
     assert ran == [300, 300]
+
+
+def test_tasks_of_shared_steps_go_by_rows(spark, monkeypatch):
+    """Frames, the gate and the audit used to take as many tasks as the session shuffles with, whatever the table's size."""
+    from __spark_entry__ import queries
+    from wayframe.plans import segments
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(segments, "ROWS_PER_TASK", 20)
+    monkeypatch.setattr("wayframe.operators.joins.ROWS_PER_TASK", 20)
+
+    def tasks(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return [int(x) for x in re.findall(r", (\d+)\), REPARTITION_BY_NUM", plan)]
+
+    events, lines = (spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("events", "lineitem"))
+    gate = tasks(queries()["recording_gate"](spark, sf))
+    assert gate and set(gate) == {-(-events // 20)}
+    assert tasks(queries()["audit_completeness"](spark, sf)) == [-(-lines // 20)]
+
+
+def test_futures_are_turned_once(spark):
+    """A filter on what derives from the futures used to repeat the lookups and turns."""
+    from wayframe.operators import futures as FU
+
+    samples = "array<struct<i:int,t_us:bigint,x_m:double,y_m:double,speed_mps:double>>"
+    df = spark.createDataFrame([(0.0, 0.0, 90.0, [(1, 10, 1.0, 0.0, 2.0), (2, 20, 3.0, 0.0, 2.0)]), (0.0, 0.0, 0.0, None)], f"x_m double, y_m double, yaw_deg double, samples {samples}")
+    out = FU.future_extrema(FU.future_waypoints(df)).where("size(futures) = 2 AND max_step < 5 AND max_speed < 9")
+    assert not any("samples" in line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line)
+    assert [round(x["y"], 9) for x in out.first()["futures"]] == [-1.0, -3.0]
+    assert FU.future_waypoints(df).count() == 2

@@ -9,7 +9,7 @@ from wayframe.catalog import ctes as Q
 from wayframe.catalog.labelling import LABELLED, labelled
 from wayframe.catalog.registry import query
 from wayframe.catalog.rl import REWARDS, start
-from wayframe.catalog.views import frames, r6, table, tensors
+from wayframe.catalog.views import frames, r6, table, tensors, ticks_in
 from wayframe.operators import reports as RP
 from wayframe.operators import rewards as R
 from wayframe.sources.shared import settle
@@ -53,7 +53,7 @@ def _(spark, sf):
 
 def rewarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Written once: the steps that follow read their ticks several times.
-    return R.rewards(R.tick_events(settle(frames(spark, sf_dir), "ticks"), 0.1, start()))
+    return R.rewards(R.tick_events(settle(frames(spark, sf_dir), "ticks"), 0.1, start(), rows=ticks_in(spark, sf_dir)))
 
 
 @query(

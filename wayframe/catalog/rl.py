@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wayframe.catalog import ctes as Q
 from wayframe.catalog.registry import query
-from wayframe.catalog.views import frames, lights, r6
+from wayframe.catalog.views import frames, lights, r6, ticks_in
 from wayframe.operators import gates as GA
 from wayframe.operators import joins as J
 from wayframe.operators import motion as M
@@ -100,7 +100,7 @@ nz AS (SELECT *, CASE WHEN recording THEN m ELSE 0e0 END AS reward_mean, CASE WH
     + f" SELECT run_tick, {Q.r6('reward_mean', 'reward_mean')}, {Q.r6('reward_std', 'reward_std')}, {Q.r6('reward_normalized', 'reward_normalized', 5)} FROM nz",
 )
 def _(spark, sf):
-    scored = R.rewards(R.tick_events(mark_gate(frames(spark, sf)), 0.1, start()))
+    scored = R.rewards(R.tick_events(mark_gate(frames(spark, sf), rows=ticks_in(spark, sf)), 0.1, start(), rows=ticks_in(spark, sf)))
     out = R.running_normalise(scored, width=1024)
     return out.select("run_tick", r6("reward_mean"), r6("reward_std"), r6("reward_normalized", digits=5))
 

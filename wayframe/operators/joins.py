@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayframe import constants as K
 from wayframe.functions.geometry import object_type, rotate_to_ego, to_ego_xy, wrap_pi
+from wayframe.plans.segments import ROWS_PER_TASK, dealt
 
 
 def nearby_actors(egos: DataFrame, actors: DataFrame, radius: float = K.ACTOR_RADIUS_M, tick: str = "tick") -> DataFrame:
@@ -55,11 +56,12 @@ def _any_per_tick(lights: DataFrame, condition: Column, name: str, keys: Sequenc
 
 
 def near_light(
-    frames: DataFrame, lights: DataFrame, radius: float = K.LIGHT_RADIUS_M, keys: Sequence[str] = ("tick",)
+    frames: DataFrame, lights: DataFrame, radius: float = K.LIGHT_RADIUS_M, keys: Sequence[str] = ("tick",), rows: int = 0
 ) -> DataFrame:
-    """Add ``near_light``: a light's stop point lies within ``radius`` of the vehicle."""
+    """Add ``near_light``: a light's stop point lies within ``radius`` of the vehicle.  ``rows``: see segments.scan."""
     close = F.hypot("stop_x", "stop_y") < radius
     hits = _any_per_tick(lights, close, "near_light", keys)
+    frames = dealt(frames, keys, rows) if rows > ROWS_PER_TASK else frames
     return frames.join(hits, list(keys), "left").withColumn("near_light", F.coalesce("near_light", F.lit(False)))
 
 

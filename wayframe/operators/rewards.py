@@ -111,16 +111,16 @@ def running_normalise(
 
 def tick_events(
     df: DataFrame, dt: float, start: Column | None = None, reach: float = K.GOAL_REACH_M,
-    keys: Sequence[str] = EPISODE, index: str = "frame_id", width: int = WIDTH,
+    keys: Sequence[str] = EPISODE, index: str = "frame_id", width: int = WIDTH, rows: int = 0,
 ) -> DataFrame:
     """All tick-to-tick inputs of the reward with one look at the previous tick.
 
     Adds ``jerk``, ``steer_change``, ``route_progress_delta``, ``collision_flag``,
     ``lane_flag``, ``offroad_flag``, ``violation_flag`` and ``route_completed``.
-    A column ``stop_line_violation`` (see joins.traffic_violation) is honoured.
+    A column ``stop_line_violation`` (see joins.traffic_violation) is honoured.  ``rows``: see segments.scan.
     """
     was = F.struct("accel_long", "accel_lat", "steer_norm", "goal_dist_m", "collisions_cum", "lane_events_cum")
-    out = neighbours(df, keys, index, width=width, _was=was)
+    out = neighbours(df, keys, index, width=width, rows=rows, _was=was)
     w = lambda c: F.col(f"_was.{c}")
     grew = lambda c: F.col(c) > F.coalesce(w(c), F.lit(0))
     before = w("goal_dist_m") if start is None else F.coalesce(w("goal_dist_m"), start)
