@@ -249,10 +249,6 @@ def likely(bits: np.ndarray, n: np.ndarray, percent: int, differ: np.ndarray | N
             x, y = a[at], b[at]
             most = np.bitwise_count(o[x] & o[y]).sum(axis=1).astype(np.int64) + np.minimum(sl[x], sl[y])
             keep[at] = (100 + percent) * np.minimum(most, np.minimum(hi[x], hi[y])) >= percent * (lo[x] + lo[y])
-            if not depth:
-                # A bit that only one bitmap has stands for a hash that only one set has, and the threshold bounds the number of those.
-                apart = np.bitwise_count(o[x] ^ o[y]).sum(axis=1).astype(np.int64)
-                keep[at] &= (100 + percent) * apart <= (100 - percent) * (lo[x] + lo[y])
         return keep
 
     a, b = np.triu_indices(len(levels[-1][1]))
