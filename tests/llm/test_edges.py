@@ -255,6 +255,26 @@ def test_tree_loses_no_pair():
     assert want <= got and len(got) < len(sets) ** 2 / 8
 
 
+def test_tree_tells_families_just_below_the_threshold():
+    """Texts that share 88 % with each other: shared hashes that meet in a bit hide nothing, so nearly no pair is left to verify."""
+    r = np.random.default_rng(8)
+    for size in (200, 500, 1000):
+        base, sets = r.integers(0, 2**48, size, dtype=np.uint64), []
+        for _ in range(60):
+            x = base.copy()
+            x[r.permutation(size)[: size // 32 + 1]] = r.integers(0, 2**48, size // 32 + 1, dtype=np.uint64)
+            sets.append(np.unique(x))
+        raw = [jaccard_join.bitmap(s, parity=True) for s in sets]
+        for width in (8 * len(raw[0]), 4 * len(raw[0])):
+            bits = np.stack([jaccard_join.folded(x, width, parity=True) for x in raw])
+            n = np.array([len(s) for s in sets])
+            share = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+            share = {(i, j): share(i, j) for i in range(60) for j in range(i + 1, 60)}
+            got = {tuple(sorted(p)) for p in jaccard_join.likely(bits, n, 90).T.tolist()}
+            assert {p for p, x in share.items() if x >= 0.9} <= got
+            assert sum(share[p] < 0.9 for p in got) < len(share) / 5
+
+
 def test_vectors(spark):
     r = np.random.default_rng(3)
     rows, unit = [], lambda x: x / np.linalg.norm(x)

@@ -2,9 +2,10 @@
 
 Documents become sets of shingle hashes; equal sets are joined once.  Two sets can only reach the threshold if
 their prefixes (the first few hashes in one global order) share a hash, so prefixes deal the sets into
-groups.  In a group, sets carry a bitmap of their hashes and their size.  A tree over the group holds
-OR-combined bitmaps and size ranges; traversed against itself, it drops node pairs whose largest possible
-overlap is too small.  Pairs of sets that are left are verified on the full sets.
+groups.  In a group, sets carry their size and a bitmap of parities: each hash flips a bit.  What two sets share
+flips both alike, so the bits in which their bitmaps differ never outnumber the hashes that only one of them has, and
+nearly equal them.  A tree over the group holds AND- and OR-combined bitmaps and size ranges; traversed against itself,
+it drops node pairs that must differ in too many hashes.  Pairs of sets that are left are verified on the full sets.
 
 Scale.  The global order puts hashes from crowded cells of a bounded count sketch last, so passages that very
 many documents share stay out of prefixes.  Groups are split into blocks and block pairs are tasks of
@@ -91,16 +92,17 @@ def width_of(n: int) -> int:
     return min(WIDEST, max(NARROWEST, 1 << (SPREAD * n - 1).bit_length()))
 
 
-def bitmap(h: np.ndarray) -> bytes:
-    bits = np.zeros(width_of(len(h)), np.uint8)
-    bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+def bitmap(h: np.ndarray, parity: bool = False) -> bytes:
+    """Bit i: whether some of the hashes, with ``parity`` an odd number of them, end in i."""
+    width = width_of(len(h))
+    times = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((times & 1 if parity else times > 0).astype(np.uint8), bitorder="little").tobytes()
 
 
-def folded(raw: bytes, width: int) -> np.ndarray:
+def folded(raw: bytes, width: int, parity: bool = False) -> np.ndarray:
     """The bitmap with ``width`` bits, as 64-bit words."""
     b = np.frombuffer(raw, "<u8")
-    return np.bitwise_or.reduce(b.reshape(-1, width // 64), axis=0)
+    return (np.bitwise_xor if parity else np.bitwise_or).reduce(b.reshape(-1, width // 64), axis=0)
 
 
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +127,7 @@ def sets_of(docs: DataFrame, words: int, keep: dict[str, Column]) -> DataFrame:
                 h = shingles(t, words)
                 n.append(len(h))
                 raw.append(to_bytes(h))
-                bits.append(bitmap(h) if len(h) else b"")
+                bits.append(bitmap(h, parity=True) if len(h) else b"")
                 sid.append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(raw[-1])))) if len(h) else None)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(bits, pa.binary()), pa.array(raw, pa.binary())], names=[*names, "n", "sid", "bits", "hashes"])
 
@@ -223,42 +225,42 @@ def shared_by_two(posted: DataFrame) -> DataFrame:
 def likely(bits: np.ndarray, n: np.ndarray, percent: int, differ: np.ndarray | None = None) -> np.ndarray:
     """Row pairs (2, k) of a group that may reach the threshold, by dual traversal of a signature tree.
 
-    bits: 64-bit words per row; differ: rows with equal numbers are not paired.
+    bits: 64-bit words per row, bitmaps of all rows with parity or of all without; differ: rows with equal numbers are not paired.
     """
     order = np.argsort(n, kind="stable")
     bits, n = bits[order], n[order]
-    slack = n - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
     tag = np.arange(len(n)) if differ is None else differ[order]
-    # Levels from rows up: OR of bitmaps, size range, largest slack (hashes that share a bit), and the tag if there is but one.
-    levels = [(bits, n, n, slack, tag, tag)]
-    while len(levels[-1][1]) > FANOUT:
-        o, lo, hi, sl, t0, t1 = levels[-1]
+    # Levels from rows up: bits that all and that any rows have, size range, and the tag if there is but one.
+    levels = [(bits, bits, n, n, tag, tag)]
+    while len(levels[-1][2]) > FANOUT:
+        every, some, lo, hi, t0, t1 = levels[-1]
         at = np.arange(0, len(lo), FANOUT)
-        levels.append((np.bitwise_or.reduceat(o, at, axis=0), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(sl, at), np.minimum.reduceat(t0, at), np.maximum.reduceat(t1, at)))
+        levels.append((np.bitwise_and.reduceat(every, at, axis=0), np.bitwise_or.reduceat(some, at, axis=0), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.minimum.reduceat(t0, at), np.maximum.reduceat(t1, at)))
 
     def possible(depth: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether some rows below the nodes a and b may reach the threshold and are not all of one tag."""
-        o, lo, hi, sl, t0, t1 = levels[depth]
+        every, any_, lo, hi, t0, t1 = levels[depth]
         keep = 100 * np.minimum(hi[a], hi[b]) >= percent * np.maximum(lo[a], lo[b])
         if differ is not None:
             keep &= ~((t0[a] == t1[a]) & (t0[b] == t1[b]) & (t0[a] == t0[b]))
         some = np.flatnonzero(keep)
-        step = max(1, 500_000 // o.shape[1])
+        step = max(1, 500_000 // bits.shape[1])
         for s in range(0, len(some), step):
             at = some[s : s + step]
             x, y = a[at], b[at]
-            most = np.bitwise_count(o[x] & o[y]).sum(axis=1).astype(np.int64) + np.minimum(sl[x], sl[y])
-            keep[at] = (100 + percent) * np.minimum(most, np.minimum(hi[x], hi[y])) >= percent * (lo[x] + lo[y])
+            apart = every[x] ^ every[y] if not depth else (every[x] & ~any_[y]) | (every[y] & ~any_[x])
+            least = np.bitwise_count(apart).sum(axis=1).astype(np.int64)  # hashes that only one of two sets has
+            keep[at] = (100 + percent) * least <= (100 - percent) * (hi[x] + hi[y])
         return keep
 
-    a, b = np.triu_indices(len(levels[-1][1]))
+    a, b = np.triu_indices(len(levels[-1][2]))
     if len(levels) == 1:
         a, b = a[a != b], b[a != b]
     keep = possible(len(levels) - 1, a, b)
     a, b = a[keep], b[keep]
     first, second = np.repeat(np.arange(FANOUT), FANOUT), np.tile(np.arange(FANOUT), FANOUT)
     for depth in range(len(levels) - 2, -1, -1):
-        below = len(levels[depth][1])
+        below = len(levels[depth][2])
         found = [(a[:0], b[:0])]
         for s in range(0, len(a), 1024):  # children of some node pairs at a time
             ca = (a[s : s + 1024, None] * FANOUT + first).ravel()
@@ -287,7 +289,7 @@ def partners(groups: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
                 if hi - lo < 2:
                     continue
                 width = 8 * min(map(len, raw[lo:hi]))
-                bits = np.stack([folded(x, width) for x in raw[lo:hi]])
+                bits = np.stack([folded(x, width, parity=True) for x in raw[lo:hi]])
                 pairs = likely(bits, n[lo:hi], percent, label[lo:hi] if all_pairs else None) + lo
                 pairs = pairs[:, own[pairs[0]] | own[pairs[1]]]
                 if all_pairs:
