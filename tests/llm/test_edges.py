@@ -191,6 +191,22 @@ def test_lines_against_all_templates_of_a_leaf(spark):
     assert dropped(docs) == plain_dropped(rows)
 
 
+def test_places_of_lines_go_without_arrays(spark):
+    """All kinds of white space and digits, told from the words themselves; the plan splits each text once and has no lambda."""
+    r = random.Random(6)
+    texts = ["".join(r.choice(["a", "b1", "22", "<*>", "x<*>y3", "\u00e4\u00a0", " ", "  ", "\t", "\x0b", "\f", "\r", "\n", " \t ", "\u0660"]) for _ in range(r.randrange(60))) for _ in range(200)]
+    docs = spark.createDataFrame([*enumerate(texts), (900, None)], "doc_id bigint, text string")
+    lines = line_dedup.lines_of(docs)
+    want = []
+    for doc, text in enumerate(texts):
+        for pos, line in enumerate(text.split("\n")):
+            if t := re.findall(r"[^\x20\x09-\x0D]+", re.sub("[0-9]+", "<*>", line)):
+                want.append((doc, pos, len(t), sum("<*>" not in w for w in t), int(hashlib.md5(" ".join(t).encode()).hexdigest()[:15], 16)))
+    assert sorted((x["id"], x["pos"], x["n"], x["fixed"], x["tpl"]) for x in lines.collect()) == want
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "translate" not in plan
+
+
 def test_lines_of_the_tables_against_all_templates_of_a_leaf(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = [tuple(x) for x in docs.collect()]

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayframe.llm.common import let, settle, words
+from wayframe.llm.common import let, settle
 
 DEPTH, SIMILAR = 3, 80
 #: A group of lines with this many tokens that hold no digit recurs from two documents on.
@@ -24,6 +24,9 @@ LONG, LONG_DOCS = 8, 2
 #: Shorter ones, down to this many tokens, meet by chance and need more documents; still shorter ones stay.
 SHORT, SHORT_DOCS = 3, 20
 
+#: White space inside a line, but for single spaces.
+ODD_SPACE = r"(?:[\x09\x0B-\x0D]|\x20(?=[\x20\x09\x0B-\x0D]))[\x20\x09\x0B-\x0D]*"
+
 DOC = ("no_id", "id", "th")
 #: Bits of the filter for lines whose tokens are wanted, and bits in a word of it.
 BITS, WORD = 1 << 22, 64
@@ -36,22 +39,16 @@ def digest(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-def tokens_of(line: Column) -> Column:
-    """A line's words with digits generalised."""
-    return words(F.regexp_replace(line, "[0-9]+", "<*>"))
+def plain(text: Column) -> Column:
+    """A text with digits generalised and single spaces between the words of a line; a line's ends may keep one."""
+    return F.regexp_replace(F.regexp_replace(text, "[0-9]+", "<*>"), ODD_SPACE, " ")
 
 
-def place(line: Column) -> Column:
-    """A line's place in the tree: n tokens, those of them without a digit, leaf, and template digest."""
-    return let(
-        tokens_of(line),
-        lambda t: F.struct(
-            F.size(t).alias("n"),
-            F.size(F.filter(t, lambda w: ~F.contains(w, F.lit("<*>")))).alias("fixed"),
-            F.xxhash64(F.size(t), F.array_join(F.slice(t, 1, DEPTH), " ")).alias("leaf"),
-            digest(F.array_join(t, " ")).alias("tpl"),
-        ),
-    )
+def place(line: Column) -> list[Column]:
+    """A plain line's place in the tree: n tokens, those of them without a digit, leaf, and template digest.  No array is built."""
+    n = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    digits = F.when(F.contains(line, F.lit("<*>")), F.regexp_count(line, F.lit(r"<\*>[^ ]*"))).otherwise(F.lit(0))
+    return [n.alias("n"), (n - digits).alias("fixed"), F.xxhash64(n, F.substring_index(line, " ", DEPTH)).alias("leaf"), digest(line).alias("tpl")]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -61,15 +58,14 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def cut(docs: DataFrame) -> DataFrame:
-    """One row per line that has a word: its document, number, and text."""
-    x = keyed(docs).select(*DOC, F.posexplode(F.split(F.coalesce("row.text", F.lit("")), "\n")).alias("pos", "line"))
-    # The filter looks at the line, not at its place: a filter on the place would be pushed below and compute it twice.
-    return x.where(F.translate("line", " \t\n\x0b\f\r", "") != "")
+    """One row per line that has a word: its document, number, and plain text, made for the whole text at once."""
+    x = keyed(docs).select(*DOC, F.posexplode(F.split(plain(F.coalesce("row.text", F.lit(""))), "\n")).alias("pos", "line"))
+    return x.select(*DOC, "pos", F.trim("line").alias("line")).where("line <> ''")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """One row per line that has a word: its document, number, and place in the tree."""
-    return cut(docs).select(*DOC, "pos", place(F.col("line")).alias("p")).select(*DOC, "pos", "p.n", "p.fixed", "p.leaf", "p.tpl")
+    return cut(docs).select(*DOC, "pos", *place(F.col("line")))
 
 
 def with_tokens(templates: DataFrame, docs: DataFrame) -> DataFrame:
@@ -84,7 +80,7 @@ def with_tokens(templates: DataFrame, docs: DataFrame) -> DataFrame:
     near = cut(docs).withColumn("bit", bit(*DOC, "pos")).join(F.broadcast(wanted), F.floor(F.col("bit") / WORD) == F.col("_word"))
     near = near.where(F.expr(f"shiftrightunsigned(set, int(bit % {WORD})) & 1L = 1L")).select(*DOC, "pos", "line")
     found = near.join(spots, [F.col(c) == F.col(f"_{c}") for c in (*DOC, "pos")])
-    return found.dropDuplicates(["leaf", "tpl"]).select("leaf", "tpl", "docs", tokens_of(F.col("line")).alias("tokens"))
+    return found.dropDuplicates(["leaf", "tpl"]).select("leaf", "tpl", "docs", F.split("line", " ").alias("tokens"))
 
 
 def alike(a: str, b: str) -> Column:
