@@ -120,12 +120,13 @@ def mixed(docs: DataFrame) -> DataFrame:
     key = ["doc", "src", "th"]
     got = mix(docs).groupBy(F.col("doc_id").alias("_doc"), F.col("source").alias("_src"), F.col("th").alias("_th"))
     # full duplicates: the copies of all of them together, shared by the rows in turn
-    got = got.agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    got = settle(got.agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")), "taken")
     d = packed(docs, doc=F.col("doc_id"), src=F.col("source"), th=F.md5(F.coalesce("text", F.lit(""))))
-    j = d.join(got, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
-    single = j.where("rows = 1").select("row", F.col("copies").alias("times"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    single = d.join(got.where("rows = 1"), same).select("row", F.col("copies").alias("times"))
     # A third of the rows may be one repeated row: their number comes from a running total, not from one group.
-    many = j.where("rows > 1").select("row", *key, "copies", "rows", F.lit(1).cast("bigint").alias("one"), F.monotonically_increasing_id().alias("salt"))
+    # Written by themselves they are small where few rows repeat, so their join need not shuffle all texts again.
+    many = d.join(settle(got.where("rows > 1"), "repeated"), same).select("row", *key, "copies", "rows", F.lit(1).cast("bigint").alias("one"), F.monotonically_increasing_id().alias("salt"))
     many = running(many, [*key, "salt"], ["one"])
     low = many.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.min("before_one").alias("low"))
     many = many.join(low, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])

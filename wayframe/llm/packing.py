@@ -152,7 +152,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int = END, window:
     each row is a document of its own.  A text of any length is cut into windows.  An empty table gives no piece.  Other columns are ignored.
     """
     file = tokenizer or tokens.path_of(TOKENIZER)
-    dtype = tokens.dtype_of(file)
     staged = settle(tokens.encoded(docs, file, end), "tokens")
     plan = placed(staged.select("rid", "n"), window, step)
 
@@ -161,7 +160,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int = END, window:
             cols = [b.column(c).to_pylist() for c in ("doc_id", "ids", "n", "full0", "seq1", "off1", "len1", "seq2", "len2")]
             out: list[tuple] = []
             for doc, raw, n, full0, seq1, off1, len1, seq2, len2 in zip(*cols):
-                ids = np.frombuffer(raw, dtype).astype("<u4")
+                ids = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4")  # the driver loads no tokenizer
                 pieces = [(k * window, window, full0 + k, 0) for k in range(n // window)]
                 at = n - len1 - len2
                 if len1:
