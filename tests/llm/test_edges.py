@@ -254,6 +254,32 @@ def test_groups_against_all_pairs(spark, monkeypatch, words, percent, block):
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(least.values()))
 
 
+def test_pairs_to_verify_grow_with_the_texts(spark, monkeypatch):
+    """A family of texts around the threshold: the pairs that are verified stay a few per text and not the square, and bitmaps are small beside the sets."""
+    r, rows = random.Random(6), []
+    base = prose("family", 400).split()
+    for i in range(150):
+        v = list(base)
+        for k in r.sample(range(len(v)), r.choice((2, 3, 4, 5))):
+            v[k] = f"y{i}x{k}"
+        rows.append((i + 1, " ".join(v)))
+    count, verified = [], jaccard_join.verified
+
+    def counted(pairs, sets, percent):
+        count.append(pairs.count())
+        return verified(pairs, sets, percent)
+
+    monkeypatch.setattr(jaccard_join, "verified", counted)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    n, label = plain_groups(rows, 3, 90)
+    least = {x: min(doc for (doc, _), y in zip(rows, label) if x == y) for x in set(label)}
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_join.similar_groups(docs).collect()}
+    assert got == {doc: least[x] for (doc, _), x in zip(rows, label)}
+    assert sum(count) < 8 * len(rows)
+    bits = jaccard_join.sets_of(docs, 3, {"doc_id": docs.doc_id}).select("n", "bits").collect()
+    assert all(8 * len(x["bits"]) <= 2 * x["n"] for x in bits)
+
+
 def test_tree_loses_no_pair():
     r = np.random.default_rng(5)
     sets = []

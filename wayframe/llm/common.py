@@ -132,3 +132,11 @@ def chunk_pairs(df: DataFrame, group: Sequence[str], rows: str, chunk: Column, s
     c = F.pmod(chunk, F.col("_blocks")).cast("int")
     d = df.withColumn("_blocks", n).withColumn("_c", c)
     return d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumns({"i": F.least("_c", "_o"), "j": F.greatest("_c", "_o")}).drop("_o", "_blocks").withColumnRenamed("_c", "block")
+
+
+def chunk_leaders(df: DataFrame, rows: str, chunk: Column, size: int) -> DataFrame:
+    """Give each row the block (i = 0, j) of its group that it belongs to, and the rows of block 0 all blocks: at most about twice the rows."""
+    n = F.ceil(F.col(rows) / size).cast("int")
+    d = df.withColumn("_blocks", n).withColumn("block", F.pmod(chunk, F.col("_blocks")).cast("int"))
+    j = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array("block"))
+    return d.withColumn("i", F.lit(0)).withColumn("j", F.explode(j)).drop("_blocks")

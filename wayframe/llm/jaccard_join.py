@@ -8,11 +8,11 @@ nearly equal them.  A tree over the group holds AND- and OR-combined bitmaps and
 it drops node pairs that must differ in too many hashes.  Pairs of sets that are left are verified on the full sets.
 
 Scale.  The global order puts hashes from crowded cells of a bounded count sketch last, so passages that very
-many documents share stay out of prefixes.  Groups are split into blocks and block pairs are tasks of
-their own.  The first round looks at the first few prefix hashes and offers each set its smallest likely partner only; once
-those links are known, groups within one component are done, and a second round offers all likely pairs between
-different components in the others.  So a large group of near copies costs about its size and not its square, and
-no link between components is lost.
+many documents share stay out of prefixes.  Bitmaps that travel with a group have a bit or two per hash, enough to tell
+unlike sets apart.  The first round splits groups into blocks, gives each block the rows of one of them, and offers
+each set its nearest and its smallest likely partner only; once those links are known, groups within one component are
+done, and a second round offers all likely pairs between different components in the others, in pairs of blocks.  So a
+large group of near copies costs about its size and not its square, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayframe.llm.common import chunk_pairs, components, packed, runs, settle, unpacked
+from wayframe.llm.common import chunk_leaders, chunk_pairs, components, packed, runs, settle, unpacked
 
 WORDS, PERCENT = 3, 90
 #: Bits per hash and bounds of a bitmap's width; sets per block; children per tree node.
 SPREAD, NARROWEST, WIDEST, BLOCK, FANOUT = 4, 256, 65536, 512, 8
-#: The first round looks at the first hashes of a prefix only.
-FIRST = 6
+#: Bits per hash and least width of the bitmaps that travel with the groups: a set's bitmap goes to all its prefix hashes.
+CARRIED = (1, 64)
+#: A group of up to this many rows is one node of a tree; such groups are gone through many at a time.
+SMALL = 32
 #: Rows that a Python worker handles at a time.
 ROWS = 512
 PLACES = 4096
@@ -88,13 +90,13 @@ def from_bytes(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def width_of(n: int) -> int:
-    return min(WIDEST, max(NARROWEST, 1 << (SPREAD * n - 1).bit_length()))
+def width_of(n: int, spread: int = SPREAD, least: int = NARROWEST) -> int:
+    return min(WIDEST, max(least, 1 << (spread * n - 1).bit_length()))
 
 
-def bitmap(h: np.ndarray, parity: bool = False) -> bytes:
+def bitmap(h: np.ndarray, parity: bool = False, spread: int = SPREAD, least: int = NARROWEST) -> bytes:
     """Bit i: whether some of the hashes, with ``parity`` an odd number of them, end in i."""
-    width = width_of(len(h))
+    width = width_of(len(h), spread, least)
     times = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width)
     return np.packbits((times & 1 if parity else times > 0).astype(np.uint8), bitorder="little").tobytes()
 
@@ -127,7 +129,7 @@ def sets_of(docs: DataFrame, words: int, keep: dict[str, Column]) -> DataFrame:
                 h = shingles(t, words)
                 n.append(len(h))
                 raw.append(to_bytes(h))
-                bits.append(bitmap(h, parity=True) if len(h) else b"")
+                bits.append(bitmap(h, True, *CARRIED) if len(h) else b"")
                 sid.append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(raw[-1])))) if len(h) else None)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(bits, pa.binary()), pa.array(raw, pa.binary())], names=[*names, "n", "sid", "bits", "hashes"])
 
@@ -273,39 +275,90 @@ def likely(bits: np.ndarray, n: np.ndarray, percent: int, differ: np.ndarray | N
     return np.stack([order[a], order[b]])
 
 
+def differing(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits the rows a and b differ, some pairs at a time."""
+    out = np.empty(len(a), np.int64)
+    step = max(1, 500_000 // bits.shape[1])
+    for s in range(0, len(a), step):
+        out[s : s + step] = np.bitwise_count(bits[a[s : s + step]] ^ bits[b[s : s + step]]).sum(axis=1)
+    return out
+
+
+def likely_in_small(raw: list[bytes], n: np.ndarray, starts: np.ndarray, sizes: np.ndarray, percent: int, wanted) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs (2, k) of many groups, each so small that its tree is one node, that may reach the threshold, and the bits in which they differ.
+
+    Group g is the rows starts[g] to starts[g] + sizes[g]; wanted(a, b) leaves pairs out by other columns.
+    """
+    lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+    rows = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    later = np.repeat(starts + sizes, sizes) - rows - 1
+    a = np.repeat(rows, later)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+    width = np.zeros(len(raw), np.int64)
+    for size in np.unique(sizes):
+        at = starts[sizes == size, None] + np.arange(size)
+        width[at] = lengths[at].min(axis=1, keepdims=True)
+    keep = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+    keep[keep] = wanted(a[keep], b[keep])
+    a, b = a[keep], b[keep]
+    for w in np.unique(width[a]):
+        x, y = a[width[a] == w], b[width[a] == w]
+        used = np.unique(np.concatenate([x, y]))
+        bits = np.empty((len(used), w // 8), np.uint64)
+        for size in np.unique(lengths[used]):
+            same = np.flatnonzero(lengths[used] == size)
+            words = np.frombuffer(b"".join([raw[k] for k in used[same].tolist()]), "<u8")
+            bits[same] = np.bitwise_xor.reduce(words.reshape(len(same), -1, w // 8), axis=1)
+        apart = differing(bits, np.searchsorted(used, x), np.searchsorted(used, y))
+        near = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
+        yield np.stack([x[near], y[near]]), apart[near]
+
+
 def partners(groups: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
     """Likely pairs (a, b) of groups (h, cls, i, j, block, own, sid, n, bits, label), sorted by the first four.
 
-    Without ``all_pairs`` each set is paired with its smallest likely partner only; with it, with every likely
-    partner of another label.
+    Without ``all_pairs`` each set is paired with two likely partners of a block only, the nearest by its bitmap and the
+    smallest; with it, with every likely partner of another label.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, borders in runs(batches, 4):
             bi, bj, block, own, sid, n, label = (t.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "block", "own", "sid", "n", "label"))
             raw = t.column("bits").to_pylist()
+            starts, sizes = np.array(borders[:-1]), np.diff(borders)
+            group = np.repeat(np.arange(len(sizes)), sizes)
+
+            def wanted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                keep = own[a] | own[b]
+                return keep & (label[a] != label[b]) & ((bi[a] == bj[a]) | (block[a] != block[b])) if all_pairs else keep
+
+            def chosen(pairs: np.ndarray, apart: np.ndarray) -> np.ndarray:
+                x, y = sid[pairs[0]], sid[pairs[1]]
+                a, b = np.maximum(x, y), np.minimum(x, y)
+                if all_pairs:
+                    return np.stack([a, b])
+                g = group[pairs[0]]
+                by = np.lexsort((b, a, g))
+                by = by[np.concatenate([[True], (a[by][1:] != a[by][:-1]) | (g[by][1:] != g[by][:-1])])]
+                x, y, g, apart = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([g, g]), np.concatenate([apart, apart])
+                near = np.lexsort((y, apart, x, g))
+                near = near[np.concatenate([[True], (x[near][1:] != x[near][:-1]) | (g[near][1:] != g[near][:-1])])]
+                found = np.stack([np.concatenate([a[by], np.maximum(x, y)[near]]), np.concatenate([b[by], np.minimum(x, y)[near]])])
+                return np.unique(found, axis=1)
+
             out: list[np.ndarray] = []
-            for lo, hi in itertools.pairwise(borders):
-                if hi - lo < 2:
-                    continue
+            small = (sizes > 1) & (sizes <= SMALL)
+            for pairs, apart in likely_in_small(raw, n, starts[small], sizes[small], percent, wanted) if small.any() else ():
+                if pairs.size:
+                    out.append(chosen(pairs, apart))
+            for lo, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+                hi = lo + size
                 width = 8 * min(map(len, raw[lo:hi]))
                 bits = np.stack([folded(x, width, parity=True) for x in raw[lo:hi]])
-                pairs = likely(bits, n[lo:hi], percent, label[lo:hi] if all_pairs else None) + lo
-                pairs = pairs[:, own[pairs[0]] | own[pairs[1]]]
-                if all_pairs:
-                    pairs = pairs[:, label[pairs[0]] != label[pairs[1]]]
-                if bi[lo] != bj[lo]:
-                    pairs = pairs[:, block[pairs[0]] != block[pairs[1]]]
-                if not pairs.size:
-                    continue
-                x, y = sid[pairs[0]], sid[pairs[1]]
-                a, b = np.maximum(x, y), np.minimum(x, y)
-                if not all_pairs:
-                    by = np.lexsort((b, a))
-                    a, b = a[by], b[by]
-                    first = np.concatenate([[True], a[1:] != a[:-1]])
-                    a, b = a[first], b[first]
-                out.append(np.stack([a, b]))
+                pairs = likely(bits, n[lo:hi], percent, label[lo:hi] if all_pairs else None)
+                pairs = pairs[:, wanted(pairs[0] + lo, pairs[1] + lo)]
+                if pairs.size:
+                    out.append(chosen(pairs + lo, differing(bits, *pairs)))
             if out:
                 a, b = np.concatenate(out, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -371,18 +424,19 @@ def joined(sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
         count = g.groupBy("h", "cls").agg(*size).where("rows > 1 AND owned > 0" + (" AND l0 <> l1" if labelled else ""))
         count = count.select(F.col("h").alias("_h"), F.col("cls").alias("_c"), "rows")
         g = g.join(count, (F.col("h") == F.col("_h")) & (F.col("cls") == F.col("_c"))).drop("_h", "_c")
-        g = chunk_pairs(g, ["h", "cls"], "rows", F.xxhash64("sid"), block)
+        g = chunk_pairs(g, ["h", "cls"], "rows", F.xxhash64("sid"), block) if labelled else chunk_leaders(g, "rows", F.xxhash64("sid"), block)
         b = bits.withColumnRenamed("sid", "_sid")
         g = g.join(b, F.col("sid") == F.col("_sid")).select("h", "cls", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "block", "own", "sid", "n", "bits", "label")
         return g.repartition("h", "cls", "i", "j").sortWithinPartitions("h", "cls", "i", "j")
 
-    first = settle(partners(grouped(shared.where(f"place < {FIRST}").withColumn("label", F.col("sid")), False), percent, False), "pairs")
+    first = settle(partners(grouped(shared.withColumn("label", F.col("sid")), False), percent, False), "pairs")
     links = settle(verified(first, sets, percent), "links")
     labels = components(links).withColumnRenamed("node", "_node")
     known = shared.join(labels, F.col("sid") == F.col("_node"), "left").select("h", "sid", "n", "place", F.coalesce("component", "sid").alias("label"))
-    rest = partners(grouped(settle(known, "labelled"), True), percent, True)
-    rest = rest.join(first, ["a", "b"], "left_anti")
-    more = settle(verified(settle(rest, "pairs"), sets, percent), "links")
+    # Written before the join: a pair is found at each hash it shares, and the optimiser would join each of these.
+    rest = settle(partners(grouped(settle(known, "labelled"), True), percent, True), "pairs")
+    rest = settle(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    more = settle(verified(rest, sets, percent), "links")
     return components(links.union(more))
 
 
