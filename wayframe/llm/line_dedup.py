@@ -57,28 +57,33 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("id"), digest(text).alias("th"))
 
 
-def cut(docs: DataFrame) -> DataFrame:
-    """One row per line that has a word: its document, number, and plain text, made for the whole text at once."""
-    x = keyed(docs).select(*DOC, F.posexplode(F.split(plain(F.coalesce("row.text", F.lit(""))), "\n")).alias("pos", "line"))
+def cut(rows: DataFrame) -> DataFrame:
+    """One row per line of keyed documents that has a word: its document, number, and plain text, made for the whole text at once."""
+    x = rows.select(*DOC, F.posexplode(F.split(plain(F.coalesce("row.text", F.lit(""))), "\n")).alias("pos", "line"))
     return x.select(*DOC, "pos", F.trim("line").alias("line")).where("line <> ''")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """One row per line that has a word: its document, number, and place in the tree."""
-    return cut(docs).select(*DOC, "pos", *place(F.col("line")))
+    return cut(keyed(docs)).select(*DOC, "pos", *place(F.col("line")))
+
+
+def maybe_in(rows: DataFrame, wanted: DataFrame, *names: str) -> DataFrame:
+    """The rows whose columns ``names`` may occur in ``wanted`` (with _ before its names), by a map of BITS bits: few others stay."""
+    bit = lambda *c: F.pmod(F.xxhash64(*c), F.lit(BITS))
+    bits = wanted.select(bit(*[f"_{c}" for c in names]).alias("bit")).distinct()
+    bits = bits.groupBy(F.floor(F.col("bit") / WORD).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(bit % {WORD}))")).alias("set"))
+    near = rows.withColumn("bit", bit(*names)).join(F.broadcast(bits), F.floor(F.col("bit") / WORD) == F.col("_word"))
+    return near.where(F.expr(f"shiftrightunsigned(set, int(bit % {WORD})) & 1L = 1L")).select(*rows.columns)
 
 
 def with_tokens(templates: DataFrame, docs: DataFrame) -> DataFrame:
     """Rows (leaf, tpl, docs, tokens) of templates, the tokens cut from the line ``at`` that holds them.
 
-    Lines are filtered by a map of BITS bits before they are placed, so few others travel.
+    Documents are filtered before they are cut and lines before they are placed, so few others are cut or travel.
     """
     spots = templates.select("leaf", "tpl", "docs", *[F.col(f"at.{c}").alias(f"_{c}") for c in (*DOC, "pos")])
-    bit = lambda *c: F.pmod(F.xxhash64(*c), F.lit(BITS))
-    wanted = spots.select(bit(*[f"_{c}" for c in (*DOC, "pos")]).alias("bit")).distinct()
-    wanted = wanted.groupBy(F.floor(F.col("bit") / WORD).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(bit % {WORD}))")).alias("set"))
-    near = cut(docs).withColumn("bit", bit(*DOC, "pos")).join(F.broadcast(wanted), F.floor(F.col("bit") / WORD) == F.col("_word"))
-    near = near.where(F.expr(f"shiftrightunsigned(set, int(bit % {WORD})) & 1L = 1L")).select(*DOC, "pos", "line")
+    near = maybe_in(cut(maybe_in(keyed(docs), spots, *DOC)), spots, *DOC, "pos")
     found = near.join(spots, [F.col(c) == F.col(f"_{c}") for c in (*DOC, "pos")])
     return found.dropDuplicates(["leaf", "tpl"]).select("leaf", "tpl", "docs", F.split("line", " ").alias("tokens"))
 
