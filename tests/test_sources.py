@@ -208,3 +208,162 @@ def test_members_are_framed_as_tarfile_does():
             TS._member(tar, name, payload)
         mine = TS._Framer(len(payload)).frame(name.encode(), payload)
         assert out.getvalue()[: len(mine)] == mine and len(mine) % 512 == 0
+
+
+class _Here:
+    """Runs a function over the archives of a folder in this process."""
+
+    def __init__(self, paths):
+        self.paths = [f"file:{p}" for p in paths]
+
+    def mapInPandas(self, f, schema):
+        import pandas as pd
+
+        return [tuple(r) for out in f(iter([pd.DataFrame({"path": self.paths})])) for r in out.itertuples(index=False)]
+
+    def mapInArrow(self, f, schema):
+        import pyarrow as pa
+
+        return [tuple(r.values()) for out in f(iter([pa.RecordBatch.from_pydict({"path": self.paths})])) for r in out.to_pylist()]
+
+
+def test_alike_samples_are_not_read_and_written_one_by_one(spark, tmp_path, monkeypatch):
+    """The work a member takes: headers parsed in reading, arrays made of lists in writing."""
+    import json
+    import tarfile
+
+    import numpy as np
+    import pyarrow as pa
+
+    n, calls = 3000, {"read": 0, "written": 0}
+
+    def counted(f, what):
+        def g(*a, **k):
+            calls[what] += 1
+            return f(*a, **k)
+
+        return g
+
+    batch = pa.RecordBatch.from_pydict({
+        "shard_idx": pa.array([0] * n), "sample_idx": pa.array(range(n)), "x": pa.array([i / 4 if i else None for i in range(n)]),
+        "v": pa.array([[i * 1.0, None] for i in range(n)], pa.list_(pa.float64())), "done": pa.array([i % 3 == 0 for i in range(n)]),
+    })
+    dtypes = {"x": "float64", "v": "float64", "done": "bool"}
+    writer = TS._TarWriter(str(tmp_path), {"index": "sample_idx", "shard": "shard_idx", "dtypes": json.dumps(dtypes), "level": "1"})
+    monkeypatch.setattr(np, "asarray", counted(np.asarray, "written"))
+    writer.commit([writer.write(iter([batch]))])
+    assert calls["written"] < n // 10
+    monkeypatch.setattr(tarfile.TarInfo, "frombuf", counted(tarfile.TarInfo.frombuf, "read"))
+    with monkeypatch.context() as m:
+        m.setattr(TS, "_archives", lambda *a: _Here([tmp_path / "shard-000000.tar"]))
+        got = TS.read_tar_shards(spark, str(tmp_path), {"x": "double", "v": "array<double>", "done": "boolean"})
+    assert calls["read"] < n // 10
+    assert str(got) == str([("shard-000000.tar", i, i / 4 if i else None, [i * 1.0, float("nan")], i % 3 == 0) for i in range(n)])
+
+
+def test_rows_alike_or_not_are_written_as_tarfile_does(tmp_path):
+    """Numbers that get longer, shards that end inside a batch, ragged and absent lists: tarfile and numpy read what was put in."""
+    import io
+    import json
+    import tarfile
+
+    import numpy as np
+    import pyarrow as pa
+
+    def batch(numbers, vs):
+        n = len(numbers)
+        return pa.RecordBatch.from_pydict({
+            "s": pa.array([i // 700 for i in numbers], pa.int32()), "i": pa.array(numbers, pa.int64()), "k": pa.array([i * 3 for i in numbers], pa.int64()),
+            "b": pa.array([None if i % 5 == 0 else i % 2 == 0 for i in numbers], pa.bool_()), "v": pa.array(vs, pa.list_(pa.list_(pa.float64()))), "w" * 90: pa.array([1.5] * n),
+        })
+
+    even = list(range(99_999_300, 100_000_500))
+    rows = [batch(even, [[[i / 2, None], [0.0, 1.0]] for i in even])]
+    odd = list(range(100_000_500, 100_000_520))
+    rows.append(batch(odd, [None if i % 3 == 0 else [[1.0] * (i % 4)] for i in odd]))
+    for names in (["k", "b", "v"], ["k", "b", "v", "w" * 90]):
+        dtypes = {f: {"k": "int64", "b": "bool"}.get(f, "float32") for f in names}
+        path = tmp_path / str(len(names))
+        writer = TS._TarWriter(str(path), {"index": "i", "shard": "s", "dtypes": json.dumps(dtypes), "level": "1"})
+        writer.commit([writer.write(iter(rows))])
+        seen = []
+        for p in sorted(path.glob("*.tar")):
+            with tarfile.open(p) as tar:
+                for m in tar:
+                    if m.name.endswith(".npy"):
+                        a = np.load(io.BytesIO(tar.extractfile(m).read()))
+                        seen.append((m.name, a.dtype.str, a.shape, a.tobytes()))
+        want = []
+        for r in (r for b in rows for r in b.to_pylist()):
+            for f in names:
+                a = np.asarray(r[f], dtype=dtypes[f])
+                want.append((f"{r['i']:08d}.{f}.npy", a.dtype.str, a.shape, a.tobytes()))
+        assert seen == want
+
+
+def test_odd_archives_are_read_member_by_member(spark, tmp_path, monkeypatch):
+    """Runs of alike samples between ragged ones, numbers twice, other files, missing and additional fields, long names, other dtypes, cut archives."""
+    import io
+    import tarfile
+
+    import numpy as np
+
+    members, want, x = [], {}, 0
+
+    def put(i, **fields):
+        for f, v in fields.items():
+            out = io.BytesIO()
+            np.save(out, v)
+            members.append((f"{i:08d}.{f}.npy", out.getvalue()))
+            want.setdefault(i, {})[f] = v
+
+    for i in range(900):
+        put(i, a=np.int64(i), v=np.array([i, np.nan if i % 7 == 0 else 1.0]))
+    put(899, a=np.int64(-1))
+    for i in range(900, 1000):
+        put(i, a=np.int64(i), v=np.arange(i % 3) * 0.5)
+    for i in range(1000, 1600):
+        if i % 50 == 0:
+            members.append((f"{i:08d}.txt", b"note"))
+        if i % 90 == 0:
+            put(i, a=np.int64(i))
+        elif i % 91 == 0:
+            put(i, a=np.int64(i), v=np.ones(2), more=np.ones(3))
+        elif i % 93 == 0:
+            put(i, a=np.int64(i), v=np.ones(2))
+            put(i, a=np.int64(2 * i), v=np.ones(2) * 2)
+        else:
+            put(i, a=np.int64(i), v=np.array([0.5, i]))
+    for i in range(1600, 1800):
+        put(i, a=np.int64(i), v=np.array([0.5, i], dtype=[">f8", "f4"][i % 2]))
+    for i in range(99_999_900, 100_000_100):
+        put(i, v=np.array([0.5, i]), a=np.int64(i))
+    for i in range(100_000_100, 100_000_103):
+        put(i, a=np.int64(i), **{"z" * 100: np.zeros(1)}, v=np.ones(2))
+    for i in range(100_000_103, 100_000_400):
+        put(i, a=np.int64(i), v=np.ones(2))
+    path = tmp_path / "shard-000000.tar"
+    with tarfile.open(path, "w") as tar:
+        for k, (name, payload) in enumerate(members):
+            info = tarfile.TarInfo(name)
+            info.size, info.mtime = len(payload), 5 if 200 < k < 300 else 0
+            tar.addfile(info, io.BytesIO(payload))
+    plain = lambda v: None if v is None else int(v) if v.shape == () else [float(e) for e in v]
+    rows = [("shard-000000.tar", i, plain(f.get("a")), plain(f.get("v"))) for i, f in want.items()]
+    monkeypatch.setattr(TS, "_archives", lambda *a: _Here([path]))
+    fields = {"a": "bigint", "v": "array<double>"}
+    assert str(TS.read_tar_shards(spark, str(tmp_path), fields)) == str([r for r in rows if r[3] is not None])
+    assert str(TS.read_tar_shards(spark, str(tmp_path), fields, required=[])) == str(rows)
+    assert TS.read_tar_shards(spark, str(tmp_path), {**fields, "none": "double"}) == []
+    assert TS.read_tar_shards(spark, str(tmp_path), {"a": "bigint"}) == [r[:3] for r in rows]
+    whole = path.read_bytes()
+    for cut in (whole[:100_000], b"", b"x" * 600):
+        path.write_bytes(cut)
+        with pytest.raises(tarfile.ReadError):
+            TS.read_tar_shards(spark, str(tmp_path), fields)
+    # A header that is none, or cut, ends an archive, as in tarfile.
+    for at in (49 * 2048, 49 * 2048 + 300):
+        path.write_bytes(whole[:at])
+        assert str(TS.read_tar_shards(spark, str(tmp_path), fields)) == str(rows[:49])
+    path.write_bytes(whole[: 300 * 2048] + b"x" * 512 + whole[300 * 2048 + 512 :])
+    assert str(TS.read_tar_shards(spark, str(tmp_path), fields)) == str(rows[:300])
