@@ -296,6 +296,25 @@ def test_resampling_equals_the_fold_across_segments(spark, k, width):
     assert got == want
 
 
+def test_resampling_broadcasts_no_points(spark, monkeypatch):
+    """Written points are small files of many rows: the driver must hold none of them."""
+    from wayframe.operators import futures as FU
+
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    for module in (RO, FU):
+        monkeypatch.setattr(module, "settle", lambda df, *a, f=module.settle: f(seen(df), *a))
+    df = spark.range(400).selectExpr("id div 20 AS route_id", "int(id % 20) AS idx", "id % 20 * 1.5D AS x", "0D AS y")
+    out = seen(RO.resample_polyline(df, k=8))
+    assert out.count() == 20 * 8
+    assert len(plans) > 5 and any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 def paint(points, thickness, grid):
     """Cell by cell, on a dense set."""
     h, w, out = grid.height, grid.width, set()
