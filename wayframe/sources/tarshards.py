@@ -267,7 +267,7 @@ class _Alike:
         kinds = [kind]
         for _ in shape:
             kinds.append(kinds[-1].value_type)
-        out = pa.array(flat, from_pandas=not shape).cast(kinds[-1])  # a value alone that is no number is null
+        out = pa.array(flat, from_pandas=True).cast(kinds[-1])  # what is no number is null
         n = len(flat)
         for size, of in zip(reversed(shape), reversed(kinds[:-1])):
             out = pa.ListArray.from_arrays(np.arange(0, n + 1, size, dtype=np.int32), out, type=of)
@@ -530,7 +530,7 @@ def read_tar_shards(
 
         def column(values: tuple, kind: pa.DataType) -> pa.Array:
             try:
-                return pa.array(values, kind, from_pandas=not pa.types.is_list(kind))
+                return pa.array(values, kind, from_pandas=True)
             except (pa.ArrowException, TypeError, OverflowError):  # another kind than the stored one
                 series = pd.Series(list(values))
                 try:
